@@ -10,8 +10,8 @@ never changes, and each document's expectation stays its probability.
 Documents are dealt to blocks by a hash of their id, so a source that holds a
 third of all rows is spread like the others. Each block leaves one residual a
 source; blocks of residuals meet again in a reduction tree until one residual a
-source is left, which is rounded by itself. So a source misses its target by
-less than the size of one document.
+source is left, which is rounded by itself. Long documents meet first, so that residual is
+mostly a short one; a source misses its target by less than its size.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def pivot(rows: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
         if held is not None:
             yield out([end()])
 
-    dealt = rows.repartition(n, "block").sortWithinPartitions("block", "source", "doc_id", "size", "share")
+    dealt = rows.repartition(n, "block").sortWithinPartitions("block", "source", F.desc("size"), "doc_id", "share")
     return dealt.mapInArrow(walk, ROW)
 
 
