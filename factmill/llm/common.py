@@ -171,3 +171,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark's cleaner deletes the shuffle files of finished steps.
+
+    Spark does this every half hour by itself (spark.cleaner.periodicGC.interval);
+    between the steps of one operator that is too rare for its disk.
+    """
+    spark.sparkContext._jvm.System.gc()
