@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, neardup, packing, quality, substrings, toxicity
+from . import embeddings, langid, lines, mixing, neardup, oracles, packing, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut_bytes(docs, substrings.byte_spans(docs)).drop("kept")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +59,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut_words(docs, substrings.word_spans(docs)).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_source_mixing, op4_jaccard_join, op5_toxicity, op6_suffix_dedup, op8_quality_rules, op9_embedding_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_source_mixing, op4_jaccard_join, op5_toxicity, op6_suffix_dedup, op7_line_dedup, op8_quality_rules, op9_embedding_dedup, op10_substring_dedup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_jaccard_join": oracles.OP4,
+    "op6_suffix_dedup": oracles.OP6,
+    "op7_line_dedup": oracles.OP7,
+    "op9_embedding_dedup": oracles.OP9,
+    "op10_substring_dedup": oracles.OP10,
+}
