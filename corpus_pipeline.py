@@ -1,12 +1,45 @@
-"""The training-corpus pipeline: language ID, line dedup, near-duplicate documents, mixing, packing."""
+"""The training-corpus pipeline: language ID, line dedup, near-duplicate documents, mixing, packing.
+
+Each stage takes all that its predecessor kept and returns the columns of
+documents, but for the last, which returns packed pieces. Missing texts, ids
+and repeated rows are treated as the operators say.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from factmill.llm import mixing, packing
+from factmill.llm import langid, lines, mixing, neardup, packing
 from factmill.llm.common import materialize
 
+#: Below this share the nearest codeword is a guess; such documents are rejected.
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without a letter or without a clear codeword go."""
+    told = langid.annotate(docs, langid.train(docs))
+    return told.where((F.col("__lang_pred") != langid.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their kept lines; one that loses every line goes."""
+    kept = lines.dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
+    return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows equal in id and text are one document; rows without an id stay.
+    """
+    linked = neardup.link(docs).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(linked, "doc_id", "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+    once = kept.where("doc_id IS NOT NULL").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    return once.unionByName(kept.where("doc_id IS NULL").select(*docs.columns))
+
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
@@ -18,13 +51,14 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("mix", mix_stage), ("pack", pack_stage)]
+STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("near_duplicates", near_duplicate_stage), ("mix", mix_stage), ("pack", pack_stage)]
 
-#: Packing is not a relational result, and language ID is a trained model.
+#: The first stage is a trained model and the last a packing, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import doc_rows, held_out, slices
 from .ngrams import chunks, clean, codes, sample
@@ -145,16 +146,14 @@ def decode(m: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
     return loss.argmin(1), share.max(1), (two[:, 1] - two[:, 0] < MARGIN) if loss.shape[1] > 1 else np.zeros(len(m), dtype=bool)
 
 
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Predict every whole text of documents(doc_id, text).
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with __lang_pred, __score and __ambiguous for every whole text (column text).
 
     A text that is null or has no letter is und with score 0 and not ambiguous;
-    so is every text if nothing was learned. A null doc_id counts as not held out.
+    so is every text if nothing was learned. All other columns come back as they are.
     """
     learned = docs.sparkSession.sparkContext.broadcast(model)
+    added = T.StructType([T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__ambiguous", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = learned.value
@@ -167,8 +166,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 best, score, ambiguous = np.zeros(len(texts), dtype=int), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
             names = [model.langs[i] if k else UNDETERMINED for i, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(ambiguous & known)],
-                names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
+                [*batch.columns, pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(ambiguous & known)], names=[*batch.schema.names, *added.names]
             )
 
-    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous of every row of documents(doc_id, text).
+
+    A null doc_id counts as not held out.
+    """
+    told = annotate(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model)
+    return told.select("doc_id", "held_out", *(F.col(f"__{c}").alias(c) for c in ("lang_pred", "score", "ambiguous")))

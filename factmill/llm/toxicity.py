@@ -21,7 +21,7 @@ from .ngrams import features, sample
 
 ORDERS, BITS = (3, 4, 5), 18
 #: Labelled rows to learn from, at most about so many of each class.
-MOST_ROWS = 3000
+MOST_ROWS = 2000
 L2, STEPS = 1.0, 60
 SEED = 11
 
@@ -37,22 +37,29 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, prior: float, size: int = 1
     y = labels.astype(float)
     if not len(y) or y.min() == y.max():  # one class or none: the share is all there is to say
         return Model(np.zeros(size, dtype=np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    flat = np.concatenate(sets).astype(np.int32)
-    ends = np.cumsum([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-    p = np.bincount(flat, weights=y[row], minlength=size) + 1.0
-    q = np.bincount(flat, minlength=size) + 2.0 - p
+    # Parts of the rows, so that no temporary array is as long as all features together.
+    parts = [(np.concatenate(sets[a : a + 200]), np.array([len(s) for s in sets[a : a + 200]]), slice(a, a + 200)) for a in range(0, len(sets), 200)]
+    sets.clear()
+
+    def spread(by_row: np.ndarray) -> np.ndarray:
+        """Sum of by_row over the rows that have each feature."""
+        return sum(np.bincount(flat, weights=np.repeat(by_row[rows], n), minlength=size) for flat, n, rows in parts)
+
+    p = spread(y) + 1.0
+    q = spread(1 - y) + 1.0
     ratio = np.log(p / (y.sum() + 2)) - np.log(q / ((1 - y).sum() + 2))
-    value = ratio.astype(np.float32)[flat]
 
     def dot(w: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(value * w.astype(np.float32)[flat], dtype=np.float64)])
-        return np.diff(total[np.concatenate([[0], ends])])
+        out = []
+        for flat, n, _ in parts:
+            total = np.concatenate([[0.0], np.cumsum((ratio * w)[flat])])
+            out.append(np.diff(total[np.concatenate([[0], np.cumsum(n)])]))
+        return np.concatenate(out)
 
     # Lipschitz constant of the loss by power iteration.
     v = np.random.default_rng(SEED).normal(size=size)
     for _ in range(8):
-        v = np.bincount(flat, weights=value * dot(v / np.linalg.norm(v))[row], minlength=size)
+        v = ratio * spread(dot(v / np.linalg.norm(v)))
     step = 1 / (np.linalg.norm(v) / 4 + L2 + len(y) / 4)
     w, b, last_w, last_b = np.zeros(size), 0.0, np.zeros(size), 0.0
     for k in range(STEPS):
@@ -60,7 +67,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, prior: float, size: int = 1
         at_w, at_b = w + m * (w - last_w), b + m * (b - last_b)
         miss = 1 / (1 + np.exp(-np.clip(dot(at_w) + at_b, -30, 30))) - y
         last_w, last_b = w, b
-        w = at_w - step * (np.bincount(flat, weights=value * miss[row], minlength=size) + L2 * at_w)
+        w = at_w - step * (ratio * spread(miss) + L2 * at_w)
         b = at_b - step * miss.sum()
     drawn = y.mean()
     b += np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn))
@@ -81,10 +88,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, seed: int =
             sets = [np.unique(features(t, ORDERS, BITS)).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "toxic", "buckets"])
 
-    got = sorted((r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(run, "doc_id long, toxic int, buckets binary").collect())
+    got = rows.mapInArrow(run, "doc_id long, toxic int, buckets binary").toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
     total = sum(counts.values())
     prior = min(max(counts.get(1, 0) / total, 1e-4), 1 - 1e-4) if total else 1e-4
-    return fit([np.frombuffer(x[2], dtype=np.int32) for x in got], np.array([x[1] for x in got]), prior)
+    return fit([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("buckets")], got.column("toxic").to_numpy(), prior)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
