@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,12 +94,18 @@ def base_failed() -> Column:
     return F.expr(f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words")
 
 
+@lru_cache(maxsize=64)
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+
 def upper_bound(k: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the rate at which k or fewer of n have probability delta."""
     if k >= n:
         return 1.0
-    logs = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)])
+    fact = _log_factorials(n)
     i = np.arange(k + 1)
+    logs = fact[n] - fact[i] - fact[n - i]
     low, high = k / n, 1.0
     for _ in range(60):
         p = (low + high) / 2
