@@ -63,3 +63,19 @@ def chains(parents: DataFrame) -> DataFrame:
             return known
         known = cut(known.unionByName(new))
         reached *= 2
+
+
+def simple_paths(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
+    """(graph, path) of all paths without a repeated node, from starts(graph, node) to nodes without successors, over edges(graph, src, dst)."""
+    edges = cut(edges.select("graph", "src", "dst").distinct())
+    last = F.element_at("path", -1)
+    open_ = starts.select("graph", F.array("node").alias("path"))
+    done = None
+    for _ in range(most):
+        step = open_.withColumn("src", last).join(edges, ["graph", "src"], "left")
+        ends = step.where("dst IS NULL").select("graph", "path")
+        done = cut(ends if done is None else done.unionByName(ends))
+        open_ = cut(step.where("dst IS NOT NULL AND NOT array_contains(path, dst)").select("graph", F.concat("path", F.array("dst")).alias("path")))
+        if open_.isEmpty():
+            break
+    return done

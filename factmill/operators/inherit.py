@@ -64,3 +64,11 @@ def topological_order(facts: Facts) -> DataFrame:
     """(fqn, depth): parents come before their children when ordered by depth."""
     depth = ancestor_chain(facts).groupBy(F.col("class").alias("fqn")).agg(F.max("dist").alias("depth"))
     return facts.classes.select("fqn").join(depth, "fqn", "left").select("fqn", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def with_stubs(facts: Facts, classes: DataFrame, methods: DataFrame) -> Facts:
+    """facts with library classes and their methods, but only those whose names the code base doesn't declare."""
+    known = facts.classes.select("fqn").unionByName(facts.interfaces.select("fqn")).unionByName(facts.traits.select("fqn"))
+    new = classes.join(known, "fqn", "left_anti")
+    theirs = methods.join(new.select(F.col("fqn").alias("owner")), "owner", "left_semi")
+    return facts.with_(classes=facts.classes.unionByName(new, allowMissingColumns=True), methods=facts.methods.unionByName(theirs, allowMissingColumns=True))

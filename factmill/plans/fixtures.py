@@ -1,0 +1,46 @@
+"""Small PHP sources for the queries that need a parser; their expected rows are the queries' SQL."""
+
+SOURCES = {
+    "/fix/Returns.php": r"""<?php
+class Returns {
+  public function mismatch(): int { return 'text'; }
+  public function missing(bool $b): int { while ($b) { $b = false; } }
+  public function nothing(): int { return null; }
+  public function extra(): void { return 1; }
+  public function branch($x): string { if ($x) { return 'a'; } else { return 2; } }
+  public function fine($x): ?int { if ($x) { return 1; } return null; }
+}
+""",
+    "/fix/Nulls.php": r"""<?php
+class Nulls {
+  public function open(?Returns $r) { $r->fine(1); }
+  public function guarded(?Returns $r) { if ($r !== null) { $r->fine(1); } }
+  public function early(?Returns $r) { if ($r === null) { return; } $r->fine(2); }
+  public function set() { $r = null; $r->fine(3); }
+}
+""",
+    "/fix/Events.php": r"""<?php
+class Shop {
+  public function sell($bus) { $bus->dispatch(new Sold()); }
+  public function stock($bus) { $bus->dispatch(new Stocked()); }
+}
+class Mailer implements EventSubscriberInterface {
+  public static function getSubscribedEvents() { return [Sold::class => 'onSold']; }
+  public function onSold() {}
+}
+class Audit implements EventSubscriberInterface {
+  public function onAnything() {}
+  private function hidden() {}
+}
+""",
+}
+
+DOC = """/**
+ * Does it.
+ * @template T of Base
+ * @param array<int, string> $rows
+ * @param ?T $one some text
+ * @return List<T>
+ * @throws Failure
+ * @deprecated
+ */"""

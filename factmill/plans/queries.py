@@ -502,3 +502,65 @@ def source_scan(spark, sf_dir):
 
 
 assert set(_KINDS) == set(TYPES)
+
+
+# ---------------------------------------------------------------- sources: small fixtures, expected rows as SQL
+
+
+def _parsed(spark):
+    from ..sources.php.facts import fact_rows, tables
+    from .fixtures import SOURCES
+
+    return tables(fact_rows(spark.createDataFrame(sorted(SOURCES.items()), "file_path string, content string")))
+
+
+@query(
+    """SELECT * FROM (VALUES ('Returns::mismatch', 'return_type_mismatch', 3), ('Returns::missing', 'missing_return', 4), ('Returns::nothing', 'return_type_mismatch', 5),
+  ('Returns::nothing', 'return_null_non_nullable', 5), ('Returns::extra', 'void_with_value', 6), ('Returns::branch', 'return_type_mismatch', 7)) v(method, problem, line)""",
+    ctes=False,
+)
+def return_diagnostics(spark, sf_dir):
+    return _parsed(spark)["returns"].where("problem IS NOT NULL").select("method", "problem", "line")
+
+
+@query("""SELECT * FROM (VALUES ('Nulls::open', 'possibly_null', 3), ('Nulls::guarded', 'definitely_not_null', 4), ('Nulls::early', 'definitely_not_null', 5), ('Nulls::set', 'definitely_null', 6)) v(method, state, line)""", ctes=False)
+def null_states(spark, sf_dir):
+    return _parsed(spark)["null_accesses"].where("method LIKE 'Nulls%'").select("method", "state", "line")
+
+
+@query("""SELECT * FROM (VALUES ('Shop::sell', 'Mailer::onSold'), ('Shop::sell', 'Audit::onAnything'), ('Shop::stock', 'Audit::onAnything')) v(caller, target)""", ctes=False)
+def event_edges(spark, sf_dir):
+    from ..sources.php.facts import synthetic_edges
+
+    return synthetic_edges(_parsed(spark), names).select("caller", "target")
+
+
+@query("""SELECT * FROM (VALUES ('Returns::branch', '0,2'), ('Returns::branch', '0,3'), ('Returns::fine', '0,2'), ('Returns::missing', '0,1,3')) v(method, path)""", ctes=False)
+def cfg_paths(spark, sf_dir):
+    from ..operators.fixpoint import simple_paths
+
+    edges = _parsed(spark)["cfg_edges"].where("method LIKE 'Returns%'").select(F.col("method").alias("graph"), "src", "dst")
+    paths = simple_paths(edges, edges.select("graph", F.lit(0).alias("node")).distinct())
+    return paths.select(F.col("graph").alias("method"), F.array_join("path", ",").alias("path"))
+
+
+@query("""SELECT * FROM (VALUES ('Returns::branch', 3), ('Returns::fine', 2), ('Returns::missing', 4)) v(method, n_blocks)""", ctes=False)
+def cfg_reachability(spark, sf_dir):
+    """Reachable blocks of methods with branches."""
+    from ..operators.fixpoint import reach_pairs
+
+    edges = _parsed(spark)["cfg_edges"].where("method LIKE 'Returns%'")
+    node = lambda c: F.concat_ws("#", "method", c)
+    met = reach_pairs(edges.select(node("src").alias("src"), node("dst").alias("dst")), edges.select(F.col("method").alias("origin"), F.concat("method", F.lit("#0")).alias("node")))
+    return met.groupBy(F.col("origin").alias("method")).agg(F.count(F.lit(1)).cast("int").alias("n_blocks"))
+
+
+@query("""SELECT * FROM (VALUES ('rows', 'array<int, string>', 'List<Base>'), ('one', '?T', 'List<Base>')) v(name, type, result)""", ctes=False)
+def doc_params(spark, sf_dir):
+    """Parameters of a doc comment, and its result with the template bound."""
+    from ..functions import docs
+    from .fixtures import DOC
+
+    c = F.col("doc")
+    one = spark.createDataFrame([(DOC,)], "doc string").select(F.explode(docs.params(c)).alias("p"), docs.tag_type(c, "return").alias("r"), F.map_from_entries(F.transform(docs.templates(c), lambda t: F.struct(t["name"], t["bound"]))).alias("b"))
+    return one.select("p.name", "p.type", docs.substitute(F.col("r"), F.col("b")).alias("result"))

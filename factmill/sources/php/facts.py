@@ -134,7 +134,7 @@ class Emitter:
         """Subscriptions: pairs of X::class and a quoted handler, or all public on* methods for any event."""
         if not any(i.endswith("EventSubscriberInterface") for i in c["implements"]):
             return
-        at = self.text.find("getSubscribedEvents")
+        at = self.text.find("getSubscribedEvents") if any(m["name"] == "getSubscribedEvents" for m in c["methods"]) else -1
         found = []
         if at >= 0 and (r := self.text.find("return", at)) >= 0:
             end = self.text.find(";", r)

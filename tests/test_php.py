@@ -129,3 +129,23 @@ def test_manifests_and_settings(spark, tmp_path):
     (tmp_path / "m" / "p" / "A.unit.php").write_text(LOGGER)
     assert [r.root for r in projects.manifests(spark, [str(tmp_path / "m")]).collect()] == [str(tmp_path / "m" / "p")]
     assert [r.content for r in projects.source_files(spark, [str(tmp_path / "m")]).collect()] == [LOGGER]
+
+
+def test_stream_of_files(spark, tmp_path):
+    from factmill.streaming.facts import stream_facts
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "A.php").write_text(LOGGER)
+    for _ in range(2):  # the second run finds nothing new
+        stream_facts(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.where(F.col("table") == "classes").count() == 1
+
+
+def test_stubs(spark, parsed):
+    from factmill.operators.inherit import with_stubs
+
+    classes = spark.createDataFrame([("Logger", None), ("Lib\\Http", None)], "fqn string, extends string")
+    methods = spark.createDataFrame([("Logger", "x"), ("Lib\\Http", "get")], "owner string, name string")
+    f = with_stubs(resolve_sites(parsed), classes, methods)
+    assert f.classes.where("fqn = 'Logger'").count() == 1 and f.methods.where("name = 'x'").count() == 0 and f.methods.where("name = 'get'").count() == 1
