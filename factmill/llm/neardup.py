@@ -16,11 +16,15 @@ of its partners at another part. A set with more takes part again in the next
 of TRIES dealings of its shingles; after the last one all of its parts are
 keys. So no link is lost.
 
-Sets that meet are candidates. Within a group of equal keys a pivot is compared
-with the others, whose components are joined where the similarity is verified;
-pivots go on, more of them in each round, until no group has members of two
-components that haven't been compared. So a group of copies costs its size,
-not its square.
+Sets that meet are candidates. Each group of equal keys compares its pivot, the
+smallest document, with the others and joins components where the similarity
+is verified. Groups that are then of one component are done: a group of copies
+costs its size, not its square. What is left are sets that are alike, but not
+enough to be linked to the pivot, and they go through a sharper filter: with
+the shingles of all that is left ordered from rare to common, linked sets share
+one of their first (1-t) * size + 1 shingles. Edits make rare shingles, so sets
+with too many of them share none. Groups of equal prefix shingles compare more
+and more pivots with the members of other components until none are left.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, doc_rows, materialize, mix, rolling, signed, slices, text_bytes, tidy, word_hashes
+from .common import components, discard, doc_rows, materialize, mix, rolling, signed, slices, text_bytes, tidy, word_hashes
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -159,6 +163,29 @@ def keys(docs: DataFrame, sim: Similarity) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, n long")
 
 
+def ranked(met: DataFrame) -> DataFrame:
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
+
+
+def prefixes(docs: DataFrame, sim: Similarity, name: str) -> DataFrame:
+    """(key, doc_id, n): the first shingles of every set, from rare to common among docs, as many as linked sets must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=1 << 20):
+            s, n = shingles(batch.column("text").to_pylist(), sim.words)
+            at = np.repeat(np.arange(len(n)), n)
+            ends = np.cumsum(n)
+            total = np.concatenate([[np.uint64(0)], np.cumsum(s)])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(s)), pa.array(batch.column("doc_id").to_numpy()[at]), pa.array(n[at]), pa.array(signed(total[ends] - total[ends - n])[at])], names=["key", "doc_id", "n", "of"])
+
+    rows = materialize(docs.mapInArrow(run, "key long, doc_id long, n long, of long"), f"{name}-shingles")
+    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("doc_id", "of").orderBy("df", "key")
+    need = F.ceil(F.col("n") * sim.percent / 100)
+    first = rows.join(common, "key").withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= F.col("n") - need + 1) & (F.col("df") > 1))
+    return first.select("key", "doc_id", "n").distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, sim: Similarity, name: str) -> DataFrame:
     """Those of pairs(a, b) that are linked, by the sets themselves.
 
@@ -186,7 +213,9 @@ def verify(pairs: DataFrame, docs: DataFrame, sim: Similarity, name: str) -> Dat
     grams = materialize(docs.join(members, "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, grams binary"), f"{name}-sets")
     tidy(spark)
     joined = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean").where("linked").select("a", "b")
+    linked = materialize(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean").where("linked").select("a", "b"), f"{name}-links")
+    discard(grams)
+    return linked
 
 
 def link(docs: DataFrame, sim: Similarity | None = None, name: str = "neardup") -> DataFrame:
@@ -214,34 +243,39 @@ def link(docs: DataFrame, sim: Similarity | None = None, name: str = "neardup")
     met = materialize(met.select("key", "doc_id", "n").distinct(), f"{name}-met")
     tidy(spark)
 
-    nodes = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found: DataFrame | None = None
     done: DataFrame | None = None
+    found: DataFrame | None = None
     component = materialize(met.select("doc_id").distinct().withColumn("component", F.col("doc_id")), f"{name}-component")
-    group = materialize(met.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))), f"{name}-groups")
-    first, width = 1, 1
+    group = materialize(ranked(met), f"{name}-groups")
+    first, width, sharp = 1, 1, False
     while True:
-        by_component = group.join(component, "doc_id")
-        live = Window.partitionBy("key")
-        by_component = by_component.withColumn("lo", F.min("component").over(live)).withColumn("hi", F.max("component").over(live)).withColumn("last", F.max("rank").over(live)).where(f"lo < hi AND last > {first}").drop("lo", "hi", "last")
-        group_now = materialize(by_component, f"{name}-live")
-        if group_now.isEmpty():
+        whole = Window.partitionBy("key")
+        live = group.join(component, "doc_id").withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).withColumn("last", F.max("rank").over(whole))
+        live = materialize(live.where(f"lo < hi AND last > {first}").drop("lo", "hi", "last"), f"{name}-live")
+        if hasattr(group, "scratch_path"):
+            discard(group)
+        if live.isEmpty():
             break
-        pivots = group_now.where(f"rank >= {first} AND rank < {first + width}").select("key", F.col("doc_id").alias("p"), F.col("component").alias("pc"), F.col("rank").alias("pr"), F.col("n").alias("pn"))
+        if first > 1 and not sharp:
+            rest = texts.join(live.select("doc_id").distinct(), "doc_id", "left_semi")
+            group, first, width, sharp = materialize(ranked(prefixes(rest, sim, name)), f"{name}-groups"), 1, 1, True
+            continue
+        pivots = live.where(f"rank >= {first} AND rank < {first + width}").select("key", F.col("doc_id").alias("p"), F.col("component").alias("pc"), F.col("rank").alias("pr"), F.col("n").alias("pn"))
         apart = (F.col("pr") < F.col("rank")) & (F.col("pc") != F.col("component"))
-        alike = (100 * F.least("n", "pn") >= sim.percent * F.greatest("n", "pn"))
-        pairs = group_now.join(pivots, "key").where(apart & alike).select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).where("a < b").distinct()
+        alike = 100 * F.least("n", "pn") >= sim.percent * F.greatest("n", "pn")
+        pairs = live.join(pivots, "key").where(apart & alike).select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).where("a < b").distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, f"{name}-pairs")
-        linked = materialize(verify(pairs, texts, sim, name), f"{name}-links")
-        found = linked if found is None else found.unionByName(linked)
+        linked = verify(pairs, texts, sim, name)
         done = pairs if done is None else done.unionByName(pairs)
-        merged = components(found, f"{name}-cc")
-        component = materialize(component.select("doc_id").join(merged, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), f"{name}-component")
-        group = group_now.select("key", "doc_id", "n", "rank")
-        first, width = first + width, width * 4
+        if not linked.isEmpty():
+            found = linked if found is None else found.unionByName(linked)
+            merged = components(found, f"{name}-cc")
+            component = materialize(component.select("doc_id").join(merged, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), f"{name}-component")
+        group = live.select("key", "doc_id", "n", "rank")
+        first, width = first + width, width * 32
         tidy(spark)
-    edges = nodes if found is None else nodes.unionByName(found)
-    merged = components(edges, f"{name}-cc")
+    edges = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    merged = components(edges if found is None else edges.unionByName(found), f"{name}-cc")
     return sized.select("doc_id", "n_shingles").join(merged, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
