@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import discard, materialize, tidy
 
 MIN_WORDS = 5
 #: Bits of the summed hashes; sums of millions stay far below 2**63.
@@ -55,7 +55,8 @@ def removed_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
 
     first = hashed.groupBy("h", "h2").agg(F.min(F.struct(*_ID)).alias("first"))
     placed = hashed.join(first, ["h", "h2"]).withColumn("is_first", F.struct(*_ID) == F.col("first"))
-    placed = materialize(placed.select(*_ID, "n", "halves", "is_first").distinct(), f"{name}-placed")
+    placed = materialize(placed.select(*_ID, "n", "halves", "is_first"), f"{name}-placed")
+    discard(hashed)
     equal = placed.where("NOT is_first").select(*_ID, F.lit(False).alias("near"))
     tidy(spark)
 
@@ -63,13 +64,17 @@ def removed_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
     half = placed.where(f"is_first AND n >= {MIN_WORDS}").select(*_ID, F.explode("halves").alias("half")).where("half IS NOT NULL")
     common = half.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half")
     some = half.join(common, "half", "left_semi").select(*_ID).distinct()
-    wanted = some.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("wanted"))
+    wanted = materialize(some.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("wanted")), f"{name}-wanted")
+    tidy(spark)
     texts = rows.select("doc_id", "text_hash", "text").distinct().join(wanted, ["doc_id", "text_hash"])
     chosen = texts.withColumn("split", F.split("text", "\n")).select("doc_id", "text_hash", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.element_at("split", i + 1).alias("line")))).alias("x"))
     chosen = materialize(chosen.select("doc_id", "text_hash", "x.line_no", line_words(F.col("x.line")).alias("words")), f"{name}-chosen")
     tidy(spark)
 
-    losers = _near(chosen, name)
+    losers = materialize(_near(chosen, name), f"{name}-near")
+    equal = materialize(equal, f"{name}-equal")
+    discard(placed, wanted, chosen)
+    tidy(spark)
     return equal.unionByName(losers.select(*_ID, F.lit(True).alias("near")))
 
 
