@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, rolling, signed, slices, tidy
+from .common import discard, materialize, mix, rolling, signed, slices, tidy
 
 #: Tokens handled at once in a task; longer documents are handled piece by piece.
 PIECE_TOKENS = 1 << 20
@@ -191,7 +191,10 @@ def shared_spans(docs: DataFrame, scheme: Scheme, name: str) -> DataFrame:
     earliest = checked.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
     single = checked.join(earliest, "h").where("lo < doc_id").select("doc_id", (F.col("place") % 65536).cast("int").alias("tag"), F.expr("place DIV 65536").alias("start"), F.lit(w).cast("long").alias("length"))
     spans = covered.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    return materialize(spans, f"{name}-spans")
+    spans = materialize(spans, f"{name}-spans")
+    discard(met, checked)
+    tidy(spark)
+    return spans
 
 
 def removed(spans, n: int) -> np.ndarray:
