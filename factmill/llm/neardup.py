@@ -45,13 +45,19 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 @dataclass(frozen=True)
 class Similarity:
-    """words in a shingle; percent: linked if 100 * intersection >= percent * union."""
+    """words in a shingle; percent: linked if 100 * intersection >= percent * union.
+
+    ratio: sizes of a band; light and tries: see above; passes: the keys are
+    joined in so many slices of their hash, one after the other, which divides
+    the disk that a shuffle takes and repeats the hashing of shingles.
+    """
 
     words: int = 5
     percent: int = 80
     ratio: float = 1.35
     light: int = 2
     tries: int = 6
+    passes: int = 3
 
     def most_apart(self, a: int) -> int:
         """Largest symmetric difference of a set of a shingles with a linked set that isn't smaller."""
@@ -137,8 +143,8 @@ def part_keys(grams: np.ndarray, band: int, sim: Similarity) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def keys(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """(key, doc_id, n): the join keys of every non-empty set."""
+def keys(docs: DataFrame, sim: Similarity, turn: int = 0) -> DataFrame:
+    """(key, doc_id, n): the join keys of every non-empty set, those of one slice."""
     edges, least = sim.edges, sim.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +160,7 @@ def keys(docs: DataFrame, sim: Similarity) -> DataFrame:
                 low = int(np.searchsorted(edges, -(-int(n[i]) * least // 100), "right")) - 1
                 for b in range(low, band + 1):
                     k = part_keys(grams, b, sim)
+                    k = k[k % np.uint64(sim.passes) == turn]
                     got.append(k)
                     of.append(np.full(len(k), i))
             if got:
@@ -238,10 +245,14 @@ def link(docs: DataFrame, sim: Similarity | None = None, name: str = "neardup")
 
     # The text of each class: its smallest document's rows, those with this very set.
     texts = rows.join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
-    once = Window.partitionBy("key")
-    met = keys(texts, sim).withColumn("lo", F.min("doc_id").over(once)).withColumn("hi", F.max("doc_id").over(once)).where("lo < hi")
-    met = materialize(met.select("key", "doc_id", "n").distinct(), f"{name}-met")
     tidy(spark)
+    once = Window.partitionBy("key")
+    met: DataFrame | None = None
+    for turn in range(sim.passes):
+        part = keys(texts, sim, turn).withColumn("lo", F.min("doc_id").over(once)).withColumn("hi", F.max("doc_id").over(once)).where("lo < hi")
+        part = materialize(part.select("key", "doc_id", "n").distinct(), f"{name}-met")
+        met = part if met is None else met.unionByName(part)
+        tidy(spark)
 
     done: DataFrame | None = None
     found: DataFrame | None = None
