@@ -69,11 +69,12 @@ def removed_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
     texts = rows.select("doc_id", "text_hash", "text").distinct().join(wanted, ["doc_id", "text_hash"])
     chosen = texts.withColumn("split", F.split("text", "\n")).select("doc_id", "text_hash", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.element_at("split", i + 1).alias("line")))).alias("x"))
     chosen = materialize(chosen.select("doc_id", "text_hash", "x.line_no", line_words(F.col("x.line")).alias("words")), f"{name}-chosen")
+    equal = materialize(equal, f"{name}-equal")
+    discard(placed, wanted)
     tidy(spark)
 
-    losers = materialize(_near(chosen, name), f"{name}-near")
-    equal = materialize(equal, f"{name}-equal")
-    discard(placed, wanted, chosen)
+    losers = _near(chosen, name)
+    discard(chosen)
     tidy(spark)
     return equal.unionByName(losers.select(*_ID, F.lit(True).alias("near")))
 
@@ -105,7 +106,9 @@ def _near(chosen: DataFrame, name: str) -> DataFrame:
     a = chosen.select(*_ID, F.col("words").alias("a"))
     b = chosen.select(*(F.col(c).alias(f"w_{c}") for c in _ID), F.col("words").alias("b"))
     both = pairs.join(a, _ID).join(b, [f"w_{c}" for c in _ID])
-    return both.where(within_one_edit("a", "b")).select(*_ID).distinct()
+    losers = materialize(both.where(within_one_edit("a", "b")).select(*_ID).distinct(), f"{name}-near")
+    discard(emitted)
+    return losers
 
 
 def within_one_edit(a: str, b: str) -> Column:
