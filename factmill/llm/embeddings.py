@@ -4,12 +4,15 @@
 2. Centroids are fitted on a bounded sample; each vector joins the shards of its
    OVERLAP nearest centroids. A shard above CAP is dealt to blocks by hash.
 3. Each block builds a graph: from its nearest neighbours a vector keeps those
-   that no kept one is much nearer to (robust pruning). The lists that a vector
+   that no kept one is much nearer to (robust pruning). Edges go both ways, and
+   those of a maximum spanning tree join what the lists leave apart, such as a
+   group of near copies that fills its members' lists. The lists that a vector
    got in its shards are united.
 4. Every vector searches its shards' blocks: greedily with a beam from the
-   medoid, then range-expanding, which goes on from every vector found within
-   the range (and a slack below it) until nothing new turns up. Vectors of an
-   oversized shard search all of its blocks.
+   medoid and from itself, then range-expanding, which goes on from every vector
+   found within the range (and a slack below it) until nothing new turns up.
+   The other blocks of an oversized shard, which have no node of the vector to
+   start from, are compared with it exactly.
 5. Links are verified in double precision. A pair with several common shards
    counts in the first, so links are summed without listing pairs; each task
    gives a spanning forest of what it found, and the forests are contracted.
@@ -108,22 +111,49 @@ def build(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def spanning_tree(x: np.ndarray) -> np.ndarray:
+    """Each unit vector's parent in a maximum spanning tree of the cosines, -1 for the root (Prim's method)."""
+    parent, best = np.full(len(x), -1, dtype=np.int64), np.full(len(x), -9.0)
+    outside = np.ones(len(x), dtype=bool)
+    last = 0
+    for _ in range(len(x) - 1):
+        outside[last] = False
+        s = x @ x[last]
+        nearer = outside & (s > best)
+        best[nearer], parent[nearer] = s[nearer], last
+        last = int(np.where(outside, best, -99.0).argmax())
+    return parent
+
+
+def both_ways(lists: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the lists and the tree in both directions: node i's are ends[starts[i] : starts[i + 1]]."""
+    n = len(lists)
+    i, j = np.nonzero(lists >= 0)
+    child = np.flatnonzero(parent >= 0)
+    a, b = np.concatenate([i, child]), np.concatenate([lists[i, j], parent[child]])
+    a, b = np.divmod(np.unique(np.concatenate([a * n + b, b * n + a])), n)
+    return np.searchsorted(a, np.arange(n + 1)), b
+
+
 def search(q: np.ndarray, x: np.ndarray, lists: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) pairs with cosine >= least that the graph search finds."""
+    """(query, vector) pairs with cosine >= least that the graph search finds; q is x, so that query i starts from node i too."""
     found_q, found_x = [], []
     medoid = int((x @ x.mean(0)).argmax())
+    starts, ends = both_ways(lists, spanning_tree(x))
     for a in range(0, len(q), 128):
         part = q[a : a + 128]
         n = len(part)
         sims = np.full((n, len(x)), -9.0)
         done = np.zeros((n, len(x)), dtype=bool)
         sims[:, medoid] = part @ x[medoid]
+        sims[np.arange(n), np.arange(a, a + n)] = np.einsum("pd,pd->p", part, x[a : a + n])
 
         def visit(who: np.ndarray, nodes: np.ndarray, part=part, sims=sims, done=done) -> None:
             done[who, nodes] = True
-            flat = (who[:, None] * len(x) + lists[nodes])[lists[nodes] >= 0]
-            flat = np.unique(flat)
-            flat = flat[sims.ravel()[flat] < -8]
+            degree = starts[nodes + 1] - starts[nodes]
+            edge = np.arange(degree.sum()) + np.repeat(starts[nodes] - (np.cumsum(degree) - degree), degree)
+            flat = np.repeat(who * len(x), degree) + ends[edge]
+            flat = np.unique(flat[sims.ravel()[flat] < -8])
             for b in range(0, len(flat), 50_000):
                 i, j = np.divmod(flat[b : b + 50_000], len(x))
                 sims[i, j] = np.einsum("pd,pd->p", part[i], x[j])
@@ -151,6 +181,12 @@ def search(q: np.ndarray, x: np.ndarray, lists: np.ndarray, least: float) -> tup
     return np.concatenate(found_q), np.concatenate(found_x)
 
 
+def compare(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, vector) pairs with cosine >= least."""
+    found = [np.nonzero(q[a : a + 256] @ x.T >= least) for a in range(0, len(q), 256)]
+    return np.concatenate([i + 256 * k for k, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes reaches by links i-j."""
     label = np.arange(n)
@@ -196,20 +232,17 @@ def _search_blocks(t: pa.Table, least: float) -> pa.Table:
     t = t.sort_by([("block", "ascending"), ("vec_id", "ascending")])
     ids, weight, block, shard = (t.column(c).to_numpy() for c in ("vec_id", "weight", "block", "shard"))
     x, shards = matrix(t.column("unit")), matrix(t.column("shards"))
-    place = {int(v): k for k, v in enumerate(ids)}
     cut = int(np.searchsorted(block, block[0], "right"))
-    halves = [(slice(0, cut), slice(0, cut))] if cut == len(ids) else [(slice(0, cut), slice(cut, len(ids))), (slice(cut, len(ids)), slice(0, cut))]
-    neighbours = t.column("neighbours").to_pylist()
-    i, j = [], []
-    for qs, xs in halves:
-        inside = [[place[v] - xs.start for v in row if v in place and xs.start <= place[v] < xs.stop] for row in neighbours[xs]]
-        lists = np.full((xs.stop - xs.start, max(1, max(map(len, inside)))), -1, dtype=np.int64)
+    if cut < len(ids):
+        i, j = compare(x[:cut], x[cut:], least)
+        j = j + cut
+    else:
+        place = {int(v): k for k, v in enumerate(ids)}
+        inside = [[place[v] for v in row if v in place] for row in t.column("neighbours").to_pylist()]
+        lists = np.full((len(ids), max(1, max(map(len, inside)))), -1, dtype=np.int64)
         for k, row in enumerate(inside):
             lists[k, : len(row)] = row
-        a, b = search(x[qs], x[xs], lists, least)
-        i.append(a + qs.start)
-        j.append(b + xs.start)
-    i, j = np.concatenate(i), np.concatenate(j)
+        i, j = search(x, x, lists, least)
     i, j = i[i != j], j[i != j]
     pair = np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j))  # found from either side
     i, j = np.divmod(pair, len(ids))

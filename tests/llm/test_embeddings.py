@@ -64,3 +64,20 @@ def test_pruned_graph_search_finds_neighbours(vectors):
     q, n = embeddings.search(x, x, lists, 0.5)
     true = (x @ x.T >= 0.5).sum()
     assert len(q) >= 0.9 * true and len(set(zip(q.tolist(), n.tolist(), strict=True))) == len(q)
+
+
+@pytest.mark.parametrize("size", [100, 300, 600])
+def test_search_leaves_and_enters_groups_larger_than_the_lists(size):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1000, 64))
+    x[:size] = x[0] + rng.normal(size=(size, 64)) * 0.05  # near copies, each with more of them than NEAREST
+    x[size : size + 60] = x[0] + rng.normal(size=64) * 0.35 + rng.normal(size=(60, 64)) * 0.02  # a second group beside it
+    for i in range(900, 1000, 2):
+        x[i + 1] = x[i] + rng.normal(size=64) * 0.1  # unrelated pairs
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, n = embeddings.search(x, x, embeddings.build(x), 0.9)
+    true = x @ x.T >= 0.9
+    found = np.zeros_like(true)
+    found[q, n] = True
+    assert size > embeddings.NEAREST and not (found & ~true).any()
+    assert (found.sum(1) / true.sum(1)).min() == 1
