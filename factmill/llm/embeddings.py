@@ -16,12 +16,15 @@
 5. Links are verified in double precision. A pair with several common shards
    counts in the first, so links are summed without listing pairs; each task
    gives a spanning forest of what it found, and the forests are contracted.
-6. Recall is audited against brute force on a bounded query sample; below
-   RECALL everything is done again with more overlap.
+6. Recall between different vectors is audited against brute force on bounded
+   query samples, as the mean over queries with about equally many links, of
+   which the smallest counts. Below RECALL everything is done again with more
+   overlap, and below it at MOST_OVERLAP all vectors are compared exactly.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,7 @@ SHARD, CAP = 1000, 2500
 OVERLAP, MOST_OVERLAP = 3, 8
 #: Neighbours considered and kept; pruning factor; beam; slack below the range.
 NEAREST, DEGREE, ALPHA, BEAM, SLACK = 64, 24, 1.2, 12, 0.1
-#: Audited queries and the recall asked for.
+#: Audited queries (of each stratum) and the recall asked for.
 QUERIES, RECALL = 400, 0.97
 SEED = 9
 
@@ -200,6 +203,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = low
 
 
+FOUND = "vec_id long, links long, pairs long, root long"
 MEMBER = "shard int, block int, blocks int, vec_id long, weight long, unit array<double>, shards array<int>"
 
 
@@ -249,13 +253,49 @@ def _search_blocks(t: pa.Table, least: float) -> pa.Table:
     common = np.where((shards[i][:, :, None] == shards[j][:, None, :]).any(2), shards[i], 1 << 30).min(1) if len(i) else i
     i, j = i[common == shard[0]], j[common == shard[0]]
     links = np.bincount(i, weights=weight[j], minlength=len(ids)) + np.bincount(j, weights=weight[i], minlength=len(ids))
-    root = forest(len(ids), i, j)
-    some = np.flatnonzero(links > 0)
-    return pa.table({"vec_id": ids[some], "links": links[some].astype(np.int64), "root": ids[root[some]]})
+    pairs = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+    return _found(ids, links, pairs, forest(len(ids), i, j))
+
+
+def _found(ids: np.ndarray, links: np.ndarray, pairs: np.ndarray, root: np.ndarray) -> pa.Table:
+    some = np.flatnonzero(pairs > 0)
+    return pa.table({"vec_id": ids[some], "links": links[some].astype(np.int64), "pairs": pairs[some].astype(np.int64), "root": ids[root[some]]})
+
+
+def _compare_blocks(t: pa.Table, least: float) -> pa.Table:
+    """Like _search_blocks, but of all pairs in one block or between two, a part of the rows at a time."""
+    t = t.sort_by([("block", "ascending"), ("vec_id", "ascending")])
+    ids, weight, block = (t.column(c).to_numpy() for c in ("vec_id", "weight", "block"))
+    x = matrix(t.column("unit"))
+    cut = int(np.searchsorted(block, block[0], "right"))
+    low = cut if cut < len(ids) else 0
+    links, pairs = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
+    root = everyone = np.arange(len(ids))
+    for a in range(0, cut, 256):
+        b = min(cut, a + 256)
+        near = x[a:b] @ x[low:].T >= least
+        if not low:
+            near[np.arange(b - a), np.arange(a, b)] = False
+        links[a:b] += near @ weight[low:]
+        pairs[a:b] += near.sum(1)
+        if low:
+            links[low:] += weight[a:b] @ near
+            pairs[low:] += near.sum(0)
+        i, j = np.nonzero(near)
+        root = forest(len(ids), np.concatenate([i + a, everyone]), np.concatenate([j + low, root]))
+    return _found(ids, links, pairs, root)
+
+
+def exact_pairs(reps: DataFrame, n: int, dim: int, least: float) -> DataFrame:
+    """near_pairs() without a loss: every block of vectors against every other."""
+    blocks = max(1, -(-n // max(1000, 500_000 // dim)))
+    dealt = reps.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED + 3), "vec_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "weight", "unit")
+    return dealt.groupBy("low", "high").applyInArrow(lambda t: _compare_blocks(t, least), FOUND)
 
 
 def near_pairs(reps: DataFrame, n: int, dim: int, overlap: int, least: float, name: str) -> DataFrame:
-    """(vec_id, links, root) as each search task found them; reps(vec_id, weight, unit) has n rows of one dimension."""
+    """(vec_id, links, pairs, root) as each search task found them, links weighted; reps(vec_id, weight, unit) has n rows of one dimension."""
     draw = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / n) * (1 << 40))
     sample = matrix(reps.where(draw).select("vec_id", "unit").orderBy("vec_id").toArrow().column("unit")) if n else np.zeros((0, dim))
     k = max(1, min(MOST_CENTROIDS, -(-n * overlap // SHARD), len(sample)))
@@ -268,7 +308,7 @@ def near_pairs(reps: DataFrame, n: int, dim: int, overlap: int, least: float, na
     lists = materialize(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("lists"))).alias("neighbours")), f"{name}-graph")  # overlap x DEGREE at most
     linked = members.join(lists, "vec_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     linked = linked.select("shard", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "weight", "unit", "shards", "neighbours")
-    return linked.groupBy("shard", "low", "high").applyInArrow(lambda t: _search_blocks(t, least), "vec_id long, links long, root long")
+    return linked.groupBy("shard", "low", "high").applyInArrow(lambda t: _search_blocks(t, least), FOUND)
 
 
 def true_links(units: DataFrame, queries: np.ndarray, ids: np.ndarray, least: float) -> dict[int, int]:
@@ -290,17 +330,31 @@ def true_links(units: DataFrame, queries: np.ndarray, ids: np.ndarray, least: fl
 
 
 def audit(units: DataFrame, links: DataFrame, least: float = COSINE, most: int = QUERIES) -> float:
-    """Share of the true links of about most sampled vectors that links(vec_id, n_links) has."""
-    n = units.count()
-    if not n:
+    """Mean recall of links(vec_id, n_links) between units(vec_id, unit), all different, over sampled vectors that have links.
+
+    About most vectors are sampled of those with no link found and with one digit,
+    two digits, ... of them; means are taken by the digits of the true number,
+    with the samples' weights, and the smallest is returned.
+    """
+    digits = F.when(F.col("n_links") > 0, F.length(F.col("n_links").cast("string"))).otherwise(0)
+    held = units.join(links, "vec_id", "left").select("vec_id", "unit", F.coalesce("n_links", F.lit(0)).alias("n_links")).withColumn("stratum", digits)
+    sizes = {r[0]: r[1] for r in held.groupBy("stratum").count().collect()}  # a row for each number of digits
+    if not sizes:
         return 1.0
-    draw = F.pmod(F.xxhash64(F.lit(SEED + 2), "vec_id"), F.lit(1 << 40)) < int(min(1.0, most / n) * (1 << 40))
-    asked = units.where(draw).join(links, "vec_id").select("vec_id", "unit", "n_links").toArrow()
+    share = F.element_at(F.create_map(*(F.lit(v) for s, m in sizes.items() for v in (s, int(min(1.0, most / m) * (1 << 40))))), F.col("stratum"))
+    asked = held.where(F.pmod(F.xxhash64(F.lit(SEED + 2), "vec_id"), F.lit(1 << 40)) < share).toArrow()
     if not asked.num_rows:
         return 1.0
     true = true_links(units, matrix(asked.column("unit")), asked.column("vec_id").to_numpy(), least)
-    total = sum(true.values())
-    return 1.0 if not total else sum(min(n, true[i]) for i, n in zip(asked.column("vec_id").to_pylist(), asked.column("n_links").to_pylist(), strict=True)) / total
+    strata = asked.column("stratum").to_pylist()
+    drawn = Counter(strata)
+    found, total = Counter(), Counter()
+    for i, n, s in zip(asked.column("vec_id").to_pylist(), asked.column("n_links").to_pylist(), strata, strict=True):
+        if true[i]:
+            weight = sizes[s] / drawn[s]
+            found[len(str(true[i]))] += weight * min(n, true[i]) / true[i]
+            total[len(str(true[i]))] += weight
+    return min((found[k] / total[k] for k in total), default=1.0)
 
 
 def near_duplicates(rows: DataFrame, least: float = COSINE, overlap: int = OVERLAP, name: str = "vectors") -> DataFrame:
@@ -322,13 +376,16 @@ def near_duplicates(rows: DataFrame, least: float = COSINE, overlap: int = OVERL
         while True:
             found = materialize(near_pairs(reps, n, dim, wide, least, name), f"{name}-found")
             tidy(rows.sparkSession)
-            links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-            members = own.select("vec_id", "h", "h2").join(classes.select("h", "h2", "rep", "weight"), ["h", "h2"])
-            counted = members.join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").select("vec_id", "rep", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-            counted = materialize(counted, f"{name}-counted")
-            if wide >= MOST_OVERLAP or audit(own, counted.select("vec_id", "n_links"), least) >= RECALL:
+            if audit(reps, found.groupBy("vec_id").agg(F.sum("pairs").alias("n_links")), least) >= RECALL:
+                break
+            if wide >= MOST_OVERLAP:
+                found = materialize(exact_pairs(reps, n, dim, least), f"{name}-found")
                 break
             wide = min(MOST_OVERLAP, 2 * wide)
+        links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
+        members = own.select("vec_id", "h", "h2").join(classes.select("h", "h2", "rep", "weight"), ["h", "h2"])
+        counted = members.join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").select("vec_id", "rep", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        counted = materialize(counted, f"{name}-counted")
         edges = found.select(F.col("root").alias("a"), F.col("vec_id").alias("b"))
         merged = components(edges, f"{name}-cc")
         done = counted.join(merged, F.col("rep") == F.col("node"), "left").select("vec_id", "n_links", F.coalesce("component", "rep").alias("component_id"))

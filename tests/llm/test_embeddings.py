@@ -81,3 +81,42 @@ def test_search_leaves_and_enters_groups_larger_than_the_lists(size):
     found[q, n] = True
     assert size > embeddings.NEAREST and not (found & ~true).any()
     assert (found.sum(1) / true.sum(1)).min() == 1
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 32))
+    x[:300] = x[0] + rng.normal(size=(300, 32)) * 0.02
+    x[401:500:2] = x[400:500:2] + rng.normal(size=(50, 32)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, unit array<double>")
+    true = (x @ x.T >= 0.9).sum(1) - 1
+    links = lambda n: spark.createDataFrame([(i, int(k)) for i, k in enumerate(n)], "vec_id long, n_links long")
+    assert embeddings.audit(units, links(true)) == 1
+    assert embeddings.audit(units, links(np.where(np.arange(500) < 300, true, 0))) < 0.1
+    assert embeddings.audit(units, links(np.zeros(500))) == 0
+
+
+def test_what_the_search_misses_at_most_overlap_is_completed(spark, vectors, monkeypatch):
+    tried = []
+
+    def nothing(reps, n, dim, overlap, least, name):
+        tried.append(overlap)
+        return spark.createDataFrame([], "vec_id long, links long, pairs long, root long")
+
+    monkeypatch.setattr(embeddings, "near_pairs", nothing)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(vectors)]
+    real = embeddings.exact_pairs
+    monkeypatch.setattr(embeddings, "exact_pairs", lambda reps, n, dim, least: real(reps, n * 3, dim, least))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame([(i, v, 0, 1) for i, v in rows], SCHEMA)).collect()}
+    assert tried == [3, 6, 8] and got == brute(rows)
+
+
+def test_exact_comparison_between_blocks(spark, vectors):
+    x = np.unique(vectors.astype(float), axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    reps = spark.createDataFrame([(i, 2, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, weight long, unit array<double>")
+    got = embeddings.exact_pairs(reps, 200_000, 16, 0.9).groupBy("vec_id").agg({"links": "sum", "pairs": "sum"}).collect()
+    assert {r.vec_id: (r["sum(links)"], r["sum(pairs)"]) for r in got} == {i: (2 * n, n) for i, n in enumerate(near.sum(1).tolist()) if n}
