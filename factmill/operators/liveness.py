@@ -27,7 +27,7 @@ def references(facts: Facts, resolved: DataFrame) -> DataFrame:
     hit = resolved.where("target IS NOT NULL")
     return (
         strong(hit.select("target"), "resolved_call")
-        .unionByName(strong(hit.select(F.col("target_owner").alias("target")), "static_access"))
+        .unionByName(strong(hit.where("target_owner <> target").select(F.col("target_owner").alias("target")), "static_access"))
         .unionByName(resolved.where("target IS NULL").select(F.col("callee_name").alias("target"), F.lit("unresolved_call").alias("reason"), F.lit(True).alias("is_weak")))
         .unionByName(strong(facts.classes.where("extends IS NOT NULL").select(F.col("extends").alias("target")), "inheritance"))
         .unionByName(strong(facts.implements.select(F.col("interface").alias("target")), "interface_impl"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,16 @@ def confidence(kind: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in CONFIDENCE.items() for x in kv)), kind), F.lit(OTHER_CONFIDENCE))
 
 
-def resolve_calls(facts: Facts) -> DataFrame:
-    """calls with target (declaring owner::name), confidence and method; unresolved ones stay, with confidence 0."""
+def resolve_calls(facts: Facts, builtins: Collection[str] = ()) -> DataFrame:
+    """calls with target (declaring owner::name), confidence and method; unresolved ones stay, with confidence 0.
+
+    Where calls have a call_type, a static call of an external class or an
+    unknown method still has a target, with confidence 0.5, and a function call
+    has the function, or else the name of one of builtins, with confidence 1.
+    """
     methods = all_methods(facts).select(F.col("class").alias("receiver"), F.col("name").alias("callee_name"), F.col("owner").alias("target_owner"), F.col("visibility").alias("target_visibility"), F.col("return_type").alias("target_return"), F.col("params").alias("target_params"))
     found = F.col("target_owner").isNotNull()
-    return facts.calls.join(methods, ["receiver", "callee_name"], "left").select(
+    met = facts.calls.join(methods, ["receiver", "callee_name"], "left").select(
         *facts.calls.columns,
         F.when(found, F.concat_ws("::", "target_owner", "callee_name")).alias("target"),
         F.when(found, confidence(F.col("receiver_kind"))).otherwise(F.lit(0.0)).alias("confidence"),
@@ -31,12 +38,30 @@ def resolve_calls(facts: Facts) -> DataFrame:
         "target_return",
         "target_params",
     )
+    return _static_and_functions(facts, met, builtins) if "call_type" in facts.calls.columns else met
 
 
-def resolve_static(calls: DataFrame, methods: DataFrame) -> DataFrame:
-    """Static calls(receiver, callee_name): an unknown class or method still gets a target, with confidence 0.5."""
-    known = methods.select(F.col("class").alias("receiver"), F.col("name").alias("callee_name"), "owner")
-    return calls.join(known, ["receiver", "callee_name"], "left").select(*calls.columns, F.concat_ws("::", F.coalesce("owner", "receiver"), "callee_name").alias("target"), F.when(F.col("owner").isNull(), 0.5).otherwise(1.0).alias("confidence"))
+def _static_and_functions(facts: Facts, met: DataFrame, builtins: Collection[str]) -> DataFrame:
+    declared = facts.functions.columns
+    functions = facts.functions.dropDuplicates(["fqn"]).select(
+        F.col("fqn").alias("callee_name"),
+        F.lit("call").alias("call_type"),
+        F.col("fqn").alias("function"),
+        *((F.col(c) if c in declared else F.lit(None).cast(met.schema[f"target_{t}"].dataType)).alias(f"function_{t}") for c, t in (("return_type", "return"), ("params", "params"))),
+    )
+    met = met.join(functions, ["callee_name", "call_type"], "left")
+    user = F.col("function").isNotNull()
+    builtin = ~user & (F.col("call_type") == "call") & F.col("callee_name").isin(*builtins)
+    external = F.col("target").isNull() & (F.col("call_type") == "static_call") & F.col("receiver").isNotNull()
+    new = {
+        "target": F.when(user, F.col("function")).when(builtin, F.col("callee_name")).when(external, F.concat_ws("::", "receiver", "callee_name")),
+        "confidence": F.when(user | builtin, 1.0).when(external, 0.5),
+        "method": F.when(user | builtin, "explicit_type").when(external, F.col("how")),
+        "target_owner": F.when(user, F.col("function")).when(external, F.col("receiver")),
+        "target_return": F.when(user, F.col("function_return")),
+        "target_params": F.when(user, F.col("function_params")),
+    }
+    return met.select(*(F.coalesce(new[c], F.col(c)).alias(c) if c in new else F.col(c) for c in [*facts.calls.columns, "target", "confidence", "method", "target_owner", "target_visibility", "target_return", "target_params"]))
 
 
 def symbol_stats(facts: Facts) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..facts import Facts
 from ..functions.typing import argument_fits, base, kind, null_fits
-from .boundary import class_project, cross
+from .boundary import class_project, cross, file_project
 from .inherit import all_methods, ancestor_chain
 
 VISIBILITY_RANK = {"public": 3, "protected": 2, "private": 1}
@@ -76,6 +76,34 @@ def interface_compliance(facts: Facts, scope: str = "all") -> DataFrame:
     return pairs.select("class", "interface", "name", F.explode(problems).alias("problem"))
 
 
+def call_site_compliance(facts: Facts, boundary: DataFrame, scope: str = "all") -> DataFrame:
+    """(call_id, target, interface, problem, pos) of calls whose method differs from that of an interface of its class.
+
+    Types are compared by their exact base name, those not declared not at all:
+    return_type, param_count, and param_type at each position. Interfaces and
+    classes outside all projects are left out, and with scope 'cross_project'
+    those of one project.
+    """
+    places = facts.classes.select("fqn", "file_path").unionByName(facts.interfaces.select("fqn", "file_path"))
+    at = places.join(file_project(places, facts.projects), "file_path").select("fqn", "project")
+    own = facts.implements.join(at.select(F.col("fqn").alias("class"), F.col("project").alias("a")), "class").join(at.select(F.col("fqn").alias("interface"), F.col("project").alias("b")), "interface")
+    own = own.where("a <> b") if scope == "cross_project" else own
+    wanted = facts.methods.where("owner_kind = 'interface'").select(F.col("owner").alias("interface"), "name", F.col("params").alias("ip"), F.col("return_type").alias("ir"))
+    calls = cross(boundary).select("call_id", "target", F.col("target_owner").alias("class"), F.substring_index("target", "::", -1).alias("name"), F.col("target_params").alias("cp"), F.col("target_return").alias("cr"))
+    pairs = calls.where("cp IS NOT NULL").join(own, "class").join(wanted, ["interface", "name"])
+    differ = lambda x, y: F.coalesce(base_name(x) != base_name(y), F.lit(False))
+    problem = lambda what, pos=None: F.struct(F.lit(what).alias("problem"), (F.lit(None).cast("int") if pos is None else pos).alias("pos"))
+    shared = F.slice(F.arrays_zip("ip", "cp"), F.lit(1), F.least(F.size("ip"), F.size("cp")))
+    types = F.transform(shared, lambda z, i: F.when(differ(z["ip"]["type"], z["cp"]["type"]), problem("param_type", i)))
+    whole = F.array(F.when(differ(F.col("ir"), F.col("cr")), problem("return_type")), F.when(F.size("ip") != F.size("cp"), problem("param_count")))
+    return pairs.select("call_id", "target", "interface", F.explode(F.array_compact(F.concat(whole, types))).alias("x")).select("call_id", "target", "interface", "x.problem", "x.pos")
+
+
+def base_name(t: Column) -> Column:
+    """base(), but null where nothing is declared, and the text of unions and intersections."""
+    return F.when(t.isNotNull() & (F.trim(t) != ""), F.coalesce(base(t), F.trim(t)))
+
+
 def api_signatures(facts: Facts, surface: DataFrame) -> DataFrame:
     """Signatures of the methods that other projects call."""
     m = facts.methods.select(F.concat_ws("::", "owner", "name").alias("target"), F.array_join(F.transform("params", lambda p: p["type"]), ",").alias("param_types"), "return_type", "visibility", "is_static", F.size("params").alias("n_params"))

@@ -28,7 +28,7 @@ TABLES = {
     "uses": "class string, trait string, use_ord int",
     "methods": f"owner string, owner_kind string, name string, visibility string, is_static boolean, is_abstract boolean, return_type string, params array<{PARAM}>, file_path string, line int",
     "properties": "owner string, name string, type string, visibility string, file_path string, line int",
-    "call_sites": "call_id long, caller string, caller_class string, call_type string, callee_name string, root string, hops array<string>, file_path string, line int, args array<string>",
+    "call_sites": "call_id long, caller string, caller_class string, call_type string, callee_name string, namespace string, root string, hops array<string>, file_path string, line int, args array<string>",
     "returns": "method string, status string, problem string, file_path string, line int",
     "null_accesses": "method string, variable string, access string, state string, file_path string, line int",
     "cfg_edges": "method string, src int, dst int",
@@ -36,8 +36,10 @@ TABLES = {
     "event_maps": "class string, event string, handler string",
     "dispatches": "caller string, event string, file_path string, line int",
 }
-#: Functions that need no definition (fixed values).
-BUILTIN_FUNCTIONS = ("array_filter", "array_key_exists", "array_keys", "array_map", "array_merge", "array_pop", "array_push", "array_shift", "array_values", "count", "explode", "implode", "in_array", "is_array", "is_int", "is_null", "is_string", "isset", "json_decode", "json_encode", "preg_match", "preg_replace", "printf", "sprintf", "str_contains", "str_replace", "strlen", "strpos", "strtolower", "strtoupper", "substr", "trim", "unset", "var_dump")
+#: Functions that need no definition: the reference's 53.
+BUILTIN_FUNCTIONS = ("array_filter", "array_keys", "array_map", "array_merge", "array_pop", "array_push", "array_reduce", "array_values", "class_exists", "count", "date", "die", "echo", "empty", "exit", "explode", "fclose", "file_get_contents", "file_put_contents", "fopen", "fread", "fwrite", "get_class", "get_parent_class", "implode", "is_array", "is_bool", "is_int", "is_null", "is_string", "isset", "json_decode", "json_encode", "method_exists", "preg_match", "preg_match_all", "preg_replace", "print", "print_r", "printf", "property_exists", "sprintf", "str_replace", "strlen", "strpos", "strtolower", "strtotime", "strtoupper", "substr", "throw", "time", "trim", "var_dump")
+#: Others that are global wherever they are called.
+GLOBAL_FUNCTIONS = (*BUILTIN_FUNCTIONS, "array_key_exists", "array_shift", "in_array", "str_contains", "unset")
 
 
 class Emitter:
@@ -178,10 +180,10 @@ class Emitter:
                 root = self.scoped(x["class"], owner, c)
             elif x["name"] is None:
                 continue
-            callee = x["name"] if kind != "call" else (x["name"] if "\\" in x["name"] or not self.namespace or x["name"] in BUILTIN_FUNCTIONS else self.name(x["name"]))
+            callee = x["name"] if kind != "call" else (x["name"] if "\\" in x["name"] or not self.namespace or x["name"] in GLOBAL_FUNCTIONS else self.name(x["name"]))
             self.calls += 1
             args = [None if a["kind"] != "literal" else a["type"] for a in x["args"]]
-            self.emit("call_sites", call_id=hash_id(self.path, self.calls), caller=caller, caller_class=owner, call_type=kind, callee_name=callee.lstrip("\\"), root=root, hops=hops, file_path=self.path, line=x["line"], args=args)
+            self.emit("call_sites", call_id=hash_id(self.path, self.calls), caller=caller, caller_class=owner, call_type=kind, callee_name=callee.lstrip("\\"), namespace=self.namespace if kind == "call" and callee in GLOBAL_FUNCTIONS else None, root=root, hops=hops, file_path=self.path, line=x["line"], args=args)
 
     def typed(self, t: str | None) -> str | None:
         return t if t and not any(ch in t for ch in "|&") else None
@@ -240,7 +242,10 @@ def resolve_sites(t: dict[str, DataFrame], most_hops: int = 20) -> Facts:
     members = all_methods(f).select(F.col("class").alias("root"), F.concat(F.lit("m:"), "name").alias("hop"), clean(F.col("return_type")).alias("next"))
     members = members.unionByName(all_properties(f).select(F.col("class").alias("root"), F.concat(F.lit("p:"), "name").alias("hop"), clean(F.col("type")).alias("next")))
     deepest = min(most_hops, t["call_sites"].agg(F.max(F.size("hops"))).first()[0] or 0)
-    calls = t["call_sites"].withColumn("n_hops", F.size("hops")).withColumn("last", F.try_element_at("hops", F.lit(-1)) if deepest else F.lit(None).cast("string"))
+    shadows = t["functions"].select(F.col("fqn").alias("shadow")).distinct()  # a function of the namespace comes before a built-in one
+    calls = t["call_sites"].join(shadows, F.concat("namespace", F.lit("\\"), "callee_name") == F.col("shadow"), "left")
+    calls = calls.withColumn("callee_name", F.coalesce("shadow", "callee_name")).drop("namespace", "shadow")
+    calls = calls.withColumn("n_hops", F.size("hops")).withColumn("last", F.try_element_at("hops", F.lit(-1)) if deepest else F.lit(None).cast("string"))
     for _ in range(deepest):
         step = calls.withColumn("hop", F.get("hops", F.lit(0))).join(members, ["root", "hop"], "left")
         more = F.size("hops") > 0
@@ -258,4 +263,4 @@ def synthetic_edges(t: dict[str, DataFrame], names) -> DataFrame:
     return met.select("caller", F.concat_ws("::", "class", "handler").alias("target"), "file_path", "line", F.lit(0.95).alias("confidence"), F.lit("plugin_generated").alias("method")).distinct()
 
 
-__all__ = ["TABLES", "confidence", "fact_rows", "resolve_sites", "synthetic_edges", "tables"]
+__all__ = ["BUILTIN_FUNCTIONS", "TABLES", "confidence", "fact_rows", "resolve_sites", "synthetic_edges", "tables"]

@@ -149,3 +149,51 @@ def test_stubs(spark, parsed):
     methods = spark.createDataFrame([("Logger", "x"), ("Lib\\Http", "get")], "owner string, name string")
     f = with_stubs(resolve_sites(parsed), classes, methods)
     assert f.classes.where("fqn = 'Logger'").count() == 1 and f.methods.where("name = 'x'").count() == 0 and f.methods.where("name = 'get'").count() == 1
+
+
+CALLS = {
+    "/a/lib.php": "<?php namespace App; function greet(string $n): string { return $n; } function trim($x) { return $x; }",
+    "/a/Use.php": r"""<?php
+namespace App;
+use Ext\Client;
+class User { public function go() { greet("a"); trim("b"); date("Y"); preg_match_all("a", "b"); unknown(1); Client::send(1); self::none(); } }
+""",
+}
+
+
+def test_functions_builtins_and_external_static_calls(spark):
+    from factmill.operators import liveness
+    from factmill.sources.php.facts import BUILTIN_FUNCTIONS
+
+    t = tables(fact_rows(spark.createDataFrame(list(CALLS.items()), "file_path string, content string")).persist())
+    facts = resolve_sites(t)
+    resolved = resolve_calls(facts, BUILTIN_FUNCTIONS)
+    got = {r.callee_name: (r.target, r.confidence) for r in resolved.where("caller_class = 'App\\\\User'").collect()}
+    assert len(set(BUILTIN_FUNCTIONS)) == 53
+    assert got == {
+        "App\\greet": ("App\\greet", 1.0),
+        "App\\trim": ("App\\trim", 1.0),
+        "date": ("date", 1.0),
+        "preg_match_all": ("preg_match_all", 1.0),
+        "App\\unknown": (None, 0.0),
+        "send": ("Ext\\Client::send", 0.5),
+        "none": ("App\\User::none", 0.5),
+    }
+    assert {"App\\greet", "Ext\\Client", "App\\User"} <= {r.target for r in liveness.references(facts, resolved).collect()}
+
+
+def test_call_site_compliance(spark):
+    from factmill.operators.boundary import boundary_calls
+    from factmill.operators.violations import call_site_compliance
+
+    files = {
+        "/a/I.php": "<?php interface I { public function f(int $x, string $y): int; public function g(int $x): ?int; }",
+        "/b/C.php": "<?php class C implements I { public function f(string $x): string { return ''; } public function g(int $x): int { return 1; } }",
+        "/a/D.php": "<?php class D { public function run(C $c) { $c->f('a'); $c->g(1); } }",
+    }
+    t = tables(fact_rows(spark.createDataFrame(list(files.items()), "file_path string, content string")).persist())
+    facts = resolve_sites(t).with_(projects=spark.createDataFrame([("/a/",), ("/b/",)], "root string"))
+    calls = boundary_calls(facts, resolve_calls(facts))
+    for scope in ("all", "cross_project"):
+        got = sorted((r.target, r.interface, r.problem, r.pos) for r in call_site_compliance(facts, calls, scope).collect())
+        assert got == [("C::f", "I", "param_count", None), ("C::f", "I", "param_type", 0), ("C::f", "I", "return_type", None)]
