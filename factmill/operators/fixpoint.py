@@ -29,9 +29,9 @@ def reach(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame
         new = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut(new.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(frontier))
-    return seen
+    raise RuntimeError(f"not closed after {rounds} rounds")
 
 
 def reach_pairs(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
@@ -42,9 +42,9 @@ def reach_pairs(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> Dat
         new = frontier.join(edges, frontier["node"] == edges["src"]).select("origin", F.col("dst").alias("node")).distinct()
         frontier = cut(new.join(seen, ["origin", "node"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(frontier))
-    return seen
+    raise RuntimeError(f"not closed after {rounds} rounds")
 
 
 def chains(parents: DataFrame) -> DataFrame:
@@ -77,5 +77,5 @@ def simple_paths(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataF
         done = cut(ends if done is None else done.unionByName(ends))
         open_ = cut(step.where("dst IS NOT NULL AND NOT array_contains(path, dst)").select("graph", F.concat("path", F.array("dst")).alias("path")))
         if open_.isEmpty():
-            break
-    return done
+            return done
+    raise RuntimeError(f"paths are open after {most} steps")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ...facts import PARAM, Facts
 from ...functions.typing import BUILTIN
+from ...operators.fixpoint import cut
 from ...operators.inherit import all_methods, all_properties
 from ...operators.resolve import confidence
 from .flow import Flow, NullStates, return_diagnostics
@@ -234,19 +235,21 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
     return {name: rows.where(F.col("table") == name).select(F.from_json("row", schema).alias("r")).select("r.*") for name, schema in TABLES.items()}
 
 
-def resolve_sites(t: dict[str, DataFrame], most_hops: int = 20) -> Facts:
-    """Facts whose calls have receivers: access paths are followed hop by hop, all paths at once, by joins."""
+def resolve_sites(t: dict[str, DataFrame]) -> Facts:
+    """Facts whose calls have receivers: access paths are followed hop by hop to the end of the longest, all paths at once, by joins."""
     empty = t["classes"].sparkSession.createDataFrame([], "root string")
     f = Facts(t["classes"], t["methods"], t["call_sites"], t["implements"], t["uses"], t["interfaces"], t["traits"], t["functions"], t["properties"], empty)
     clean = lambda c: F.when(c.startswith("self") | c.startswith("static"), F.lit("self")).otherwise(F.regexp_replace(c, "^\\?", ""))
     members = all_methods(f).select(F.col("class").alias("root"), F.concat(F.lit("m:"), "name").alias("hop"), clean(F.col("return_type")).alias("next"))
     members = members.unionByName(all_properties(f).select(F.col("class").alias("root"), F.concat(F.lit("p:"), "name").alias("hop"), clean(F.col("type")).alias("next")))
-    deepest = min(most_hops, t["call_sites"].agg(F.max(F.size("hops"))).first()[0] or 0)
+    deepest = t["call_sites"].agg(F.max(F.size("hops"))).first()[0] or 0
     shadows = t["functions"].select(F.col("fqn").alias("shadow")).distinct()  # a function of the namespace comes before a built-in one
     calls = t["call_sites"].join(shadows, F.concat("namespace", F.lit("\\"), "callee_name") == F.col("shadow"), "left")
     calls = calls.withColumn("callee_name", F.coalesce("shadow", "callee_name")).drop("namespace", "shadow")
     calls = calls.withColumn("n_hops", F.size("hops")).withColumn("last", F.try_element_at("hops", F.lit(-1)) if deepest else F.lit(None).cast("string"))
-    for _ in range(deepest):
+    for i in range(deepest):
+        if i % 10 == 9:
+            calls, members = cut(calls), cut(members) if i == 9 else members  # keeps plans of long paths short
         step = calls.withColumn("hop", F.get("hops", F.lit(0))).join(members, ["root", "hop"], "left")
         more = F.size("hops") > 0
         calls = step.select(

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from factmill.functions import names, typing
@@ -63,3 +64,13 @@ def test_compare_and_sinks(spark):
     found = spark.createDataFrame([("r1", "error", "m", "f.php", 3, 1), ("r1", "info", "n", "e.php", 1, 2)], "rule string, severity string, message string, file_path string, line int, ord int")
     assert [r.file_path for r in sinks.checkstyle(found).collect()] == ["f.php", "e.php"]
     assert '"level":"note"' in "".join(r.json for r in sinks.sarif_results(found).collect()) and sinks.sarif_rules(found).count() == 1
+
+
+def test_loops_raise_at_their_bounds(spark):
+    edges = spark.createDataFrame([("g", k, k + 1) for k in range(5)], "graph string, src int, dst int")
+    seeds = spark.createDataFrame([("o", 0)], "origin string, node int")
+    starts = seeds.select(F.lit("g").alias("graph"), "node")
+    for run in (lambda n: fixpoint.reach(edges, seeds, n), lambda n: fixpoint.reach_pairs(edges, seeds, n), lambda n: fixpoint.simple_paths(edges, starts, n)):
+        with pytest.raises(RuntimeError):
+            run(3)
+        assert run(7).count() in (1, 6)  # one path, six nodes

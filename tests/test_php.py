@@ -197,3 +197,10 @@ def test_call_site_compliance(spark):
     for scope in ("all", "cross_project"):
         got = sorted((r.target, r.interface, r.problem, r.pos) for r in call_site_compliance(facts, calls, scope).collect())
         assert got == [("C::f", "I", "param_count", None), ("C::f", "I", "param_type", 0), ("C::f", "I", "return_type", None)]
+
+
+def test_long_access_paths_are_followed_to_their_end(spark):
+    classes = "".join(f"class K{i} {{ public function next(): K{i + 1} {{ return new K{i + 1}(); }} }} " for i in range(26))
+    run = "class Run { public function go(K0 $k) { $k" + "->next()" * 25 + "; } }"
+    t = tables(fact_rows(spark.createDataFrame([("/p/K.php", f"<?php {classes}{run}")], "file_path string, content string")).persist())
+    assert {r.target for r in resolve_calls(resolve_sites(t)).where("caller_class = 'Run'").collect()} == {f"K{i}::next" for i in range(25)}
