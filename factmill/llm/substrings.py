@@ -1,18 +1,12 @@
 """Substring deduplication over bytes and over words.
 
-Bytes: bucket-pointer refinement. Suffixes are bucketed by an initial q-gram;
-a bucket of one document is settled. The others are refined by what stands at
-later (and earlier) offsets: the identifiers of longer strings are built from
-the identifiers of two shorter ones, at i and at i plus their length, and each
-refinement reuses those of the one before it (16 from two 8s, and so on), until
-the identifiers stand for whole windows.
-
-Words: relative Lempel-Ziv parsing. Every document is a reference for all later
-ones, indexed by blocks around content-defined anchors. The parse is greedy:
-the longest unit, a whole block, is matched against every indexed block first,
-and matched neighbours chain to factors. At factor boundaries, where a block
-matches no reference as a whole, each window is looked up by itself, so a span
-is found even if no single reference holds all of it.
+Both are a minimiser window join (shared.py): a window's smallest hash is its
+anchor, windows with one anchor form runs, runs are grouped by anchor, by a
+hash of the whole run and by half contexts, and what is left is looked up
+window by window, by hash. Windows have 50 bytes, or 13 words. This stands in for bucket-pointer
+refinement (bytes) and relative Lempel-Ziv parsing (words), neither of which is
+built: no buckets are refined by identifiers of later offsets, and there is no
+greedy parse, no reference index and no factors.
 """
 
 from __future__ import annotations
