@@ -16,15 +16,24 @@ of its partners at another part. A set with more takes part again in the next
 of TRIES dealings of its shingles; after the last one all of its parts are
 keys. So no link is lost.
 
-Sets that meet are candidates. Each group of equal keys compares its pivot, the
-smallest document, with the others and joins components where the similarity
-is verified. Groups that are then of one component are done: a group of copies
-costs its size, not its square. What is left are sets that are alike, but not
-enough to be linked to the pivot, and they go through a sharper filter: with
-the shingles of all that is left ordered from rare to common, linked sets share
-one of their first (1-t) * size + 1 shingles. Edits make rare shingles, so sets
-with too many of them share none. Groups of equal prefix shingles compare more
-and more pivots with the members of other components until none are left.
+Sets that meet are candidates, and their bit sketches are compared next: a
+sketch holds the parity of the shingles dealt to each of B bits, so its Hamming
+distance is a lower bound of the symmetric difference, and candidates that are
+further apart than D go without their texts being read. Each group of equal
+keys compares its pivot with the others and joins components where the
+similarity is verified on the texts. The pivot is the set that shares the most
+keys with others, which is the one that copies were made of, so few rounds do.
+In the first, each set meets the best of its pivots only. Groups that are then
+of one component are done: a group of copies costs its size, not its square.
+
+What is left are sets that are alike, but not enough to be linked to a pivot,
+and they go through a sharper filter, which isn't part of the sketch method:
+with the shingles of all that is left ordered from rare to common, linked sets
+share one of their first (1-t) * size + 1 shingles, and the first one that they
+share leaves room for the overlap that they need behind it. Groups of equal
+prefix shingles compare more and more pivots with the members of other
+components; positions and sketches are part of that join's condition, so sets
+that can't be linked never become rows.
 """
 
 from __future__ import annotations
@@ -35,7 +44,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, doc_rows, materialize, mix, rolling, signed, slices, text_bytes, tidy, word_hashes
@@ -102,20 +111,50 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.bincount(of[new], minlength=len(n)).astype(np.int64)
 
 
-SET = "doc_id long, n_shingles long, set_hash long, set_hash2 long"
+#: Bits of a sketch: eight for each shingle that may differ, in powers of two between these bounds. Beyond the
+#: larger one, sketches of very long texts tell less apart; what they let through is verified all the same.
+LEAST_BITS, MOST_BITS = 128, 4096
+SET = "doc_id long, n_shingles long, set_hash long, set_hash2 long, sketch array<long>"
+
+
+def set_hashes(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One hash of each set."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(s)])
+    ends = np.cumsum(n)
+    return total[ends] - total[ends - n]
+
+
+def sketches(s: np.ndarray, n: np.ndarray, sim: Similarity) -> pa.Array:
+    """The parity sketch of each set, as an array of 64-bit numbers."""
+    size, of = np.unique(n, return_inverse=True)
+    bits = np.array([min(max(1 << (max(8 * sim.most_apart(int(k)), 1) - 1).bit_length(), LEAST_BITS), MOST_BITS) if k else 0 for k in size], dtype=np.int64)[of]
+    offset = np.cumsum(bits) - bits
+    bit = (mix(s ^ np.uint64(0x3C6EF372FE94F82B)) & (np.repeat(bits, n) - 1).astype(np.uint64)).astype(np.int64)
+    parity = np.bincount(np.repeat(offset, n) + bit, minlength=int(bits.sum())) & 1
+    longs = np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(bits) // 64]), pa.int32()), pa.array(longs))
+
+
+def alike(x: str, nx: str, y: str, ny: str, sim: Similarity) -> Column:
+    """Whether two sets may be linked, by their sizes and the Hamming distance of their sketches x and y.
+
+    The larger sketch of two is folded to the smaller one's bits; folding keeps the parities.
+    """
+    m = F.least(F.size(x), F.size(y))
+    fold = lambda c: F.when(F.size(c) == m, F.col(c)).otherwise(F.zip_with(F.slice(c, F.lit(1), m), F.slice(c, m + 1, m), lambda p, q: p.bitwiseXOR(q)))
+    apart = F.aggregate(F.zip_with(fold(x), fold(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+    near = (100 + sim.percent) * apart <= (100 - sim.percent) * (F.col(nx) + F.col(ny))
+    return (100 * F.least(nx, ny) >= sim.percent * F.greatest(nx, ny)) & ((F.greatest(F.size(x), F.size(y)) > 2 * m) | near)
 
 
 def sets(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """Size and 128-bit fingerprint of every document's set."""
+    """Size, 128-bit fingerprint and sketch of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
             s, n = shingles(batch.column("text").to_pylist(), sim.words)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(s)])
-            again = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(0x5555)))])
-            ends = np.cumsum(n)
-            h, h2 = total[ends] - total[ends - n], again[ends] - again[ends - n]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(signed(h)), pa.array(signed(h2))], names=["doc_id", "n_shingles", "set_hash", "set_hash2"])
+            h, h2 = set_hashes(s, n), set_hashes(mix(s ^ np.uint64(0x5555)), n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(signed(h)), pa.array(signed(h2)), sketches(s, n, sim)], names=["doc_id", "n_shingles", "set_hash", "set_hash2", "sketch"])
 
     return docs.mapInArrow(run, SET)
 
@@ -144,13 +183,13 @@ def part_keys(grams: np.ndarray, band: int, sim: Similarity) -> np.ndarray:
 
 
 def keys(docs: DataFrame, sim: Similarity, turn: int = 0) -> DataFrame:
-    """(key, doc_id, n): the join keys of every non-empty set, those of one slice."""
+    """(key, doc_id, n, set_hash): the join keys of every non-empty set, those of one slice."""
     edges, least = sim.edges, sim.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
             s, n = shingles(batch.column("text").to_pylist(), sim.words)
-            ids = batch.column("doc_id").to_numpy()
+            ids, hashes = batch.column("doc_id").to_numpy(), set_hashes(s, n)
             ends = np.cumsum(n)
             got, of = [], []
             for i in np.flatnonzero(n):
@@ -165,64 +204,56 @@ def keys(docs: DataFrame, sim: Similarity, turn: int = 0) -> DataFrame:
                     of.append(np.full(len(k), i))
             if got:
                 at = np.concatenate(of)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(got))), pa.array(ids[at]), pa.array(n[at])], names=["key", "doc_id", "n"])
-
-    return docs.mapInArrow(run, "key long, doc_id long, n long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(got))), pa.array(ids[at]), pa.array(n[at]), pa.array(signed(hashes[at]))], names=["key", "doc_id", "n", "set_hash"])
 
-def ranked(met: DataFrame) -> DataFrame:
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
+    return docs.mapInArrow(run, "key long, doc_id long, n long, set_hash long")
 
 
 def prefixes(docs: DataFrame, sim: Similarity, name: str) -> DataFrame:
-    """(key, doc_id, n): the first shingles of every set, from rare to common among docs, as many as linked sets must share one of."""
+    """(key, doc_id, n, set_hash, nth): the first shingles of every set, from rare to common among docs, as many as linked sets must share one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
             s, n = shingles(batch.column("text").to_pylist(), sim.words)
             at = np.repeat(np.arange(len(n)), n)
-            ends = np.cumsum(n)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(s)])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(s)), pa.array(batch.column("doc_id").to_numpy()[at]), pa.array(n[at]), pa.array(signed(total[ends] - total[ends - n])[at])], names=["key", "doc_id", "n", "of"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(s)), pa.array(batch.column("doc_id").to_numpy()[at]), pa.array(n[at]), pa.array(signed(set_hashes(s, n))[at])], names=["key", "doc_id", "n", "set_hash"])
 
-    rows = materialize(docs.mapInArrow(run, "key long, doc_id long, n long, of long"), f"{name}-shingles")
+    rows = materialize(docs.mapInArrow(run, "key long, doc_id long, n long, set_hash long").distinct(), f"{name}-shingles")
     common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("doc_id", "of").orderBy("df", "key")
+    order = Window.partitionBy("doc_id", "set_hash").orderBy("df", "key")
     need = F.ceil(F.col("n") * sim.percent / 100)
     first = rows.join(common, "key").withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= F.col("n") - need + 1) & (F.col("df") > 1))
-    return first.select("key", "doc_id", "n").distinct()
+    return first.select("key", "doc_id", "n", "set_hash", "nth")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sim: Similarity, name: str) -> DataFrame:
-    """Those of pairs(a, b) that are linked, by the sets themselves.
+def verify(pairs: DataFrame, texts: DataFrame, sim: Similarity, name: str) -> DataFrame:
+    """Those of pairs(a, b) that are linked, by the sets of their texts.
 
-    Each pair's texts meet by two joins; only documents in a pair are read.
+    Texts go through the shuffle, compressed, and not their shingles; a's text
+    is read and cut once for all of the pairs that follow one another.
     """
-    spark = pairs.sparkSession
-
-    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 << 20):
-            s, n = shingles(batch.column("text").to_pylist(), sim.words)
-            data = s.tobytes()
-            ends = np.cumsum(n) * 8
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([data[e - 8 * k : e] for e, k in zip(ends, n, strict=True)], pa.binary())], names=["doc_id", "grams"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: dict[bytes, np.ndarray] = {}
+        held = 0
+        for batch in slices(batches, text="y", limit=2 << 20):
+            s, n = shingles(batch.column("y").to_pylist(), sim.words)
+            ends = np.cumsum(n)
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= sim.percent * (len(x) + len(y) - both))
+            for x, e, k in zip(batch.column("x"), ends, n, strict=True):
+                x = x.as_py()
+                if x not in seen:
+                    if held > 4 << 20:
+                        seen, held = {}, 0
+                    seen[x], held = shingles([x], sim.words)[0], held + len(x)
+                mine, theirs = seen[x], s[e - k : e]
+                both = int((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).sum()) if len(mine) else 0
+                keep.append(both > 0 and 100 * both >= sim.percent * (len(mine) + int(k) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
-    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    grams = materialize(docs.join(members, "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, grams binary"), f"{name}-sets")
-    tidy(spark)
-    joined = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-    linked = materialize(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean").where("linked").select("a", "b"), f"{name}-links")
-    discard(grams)
-    return linked
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean").where("linked").select("a", "b").distinct(), f"{name}-links")
 
 
 def link(docs: DataFrame, sim: Similarity | None = None, name: str = "neardup") -> DataFrame:
@@ -239,54 +270,100 @@ def link(docs: DataFrame, sim: Similarity | None = None, name: str = "neardup")
     fingerprint = ["n_shingles", "set_hash", "set_hash2"]
     # Equal sets are one class; its smallest document stands for it.
     known = sized.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    member = materialize(known.select("doc_id", *fingerprint).distinct().join(classes, fingerprint).select("doc_id", "rep", *fingerprint), f"{name}-classes")
-    reps = member.where("doc_id = rep").select("doc_id", *fingerprint)
+    classes = known.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"))
+    member = materialize(known.select("doc_id", *fingerprint).distinct().join(classes, fingerprint).select("doc_id", "rep"), f"{name}-classes")
 
-    # The text of each class: its smallest document's rows, those with this very set.
-    texts = rows.join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
+    # The text of each class: its smallest document's rows.
+    texts = materialize(rows.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"), f"{name}-texts")
     tidy(spark)
     once = Window.partitionBy("key")
     met: DataFrame | None = None
+    slices_met = []
     for turn in range(sim.passes):
-        part = keys(texts, sim, turn).withColumn("lo", F.min("doc_id").over(once)).withColumn("hi", F.max("doc_id").over(once)).where("lo < hi")
-        part = materialize(part.select("key", "doc_id", "n").distinct(), f"{name}-met")
-        met = part if met is None else met.unionByName(part)
+        part = keys(texts, sim, turn).withColumn("lo", F.min("doc_id").over(once)).withColumn("hi", F.max("doc_id").over(once)).withColumn("sharing", F.count(F.lit(1)).over(once)).where("lo < hi")
+        slices_met.append(materialize(part.drop("lo", "hi"), f"{name}-met"))
+        met = slices_met[-1] if met is None else met.unionByName(slices_met[-1])
         tidy(spark)
+    sketch = known.select("doc_id", "set_hash", "sketch").distinct()
+    found = _linked(met, sketch, texts, sim, name)
+    discard(*slices_met)
+    edges = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    merged = components(edges if found is None else edges.unionByName(found), f"{name}-cc")
+    discard(texts)
+    return sized.select("doc_id", "n_shingles").join(merged, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
 
+@dataclass
+class _State:
+    """What is known between rounds: nodes(doc_id, component, pop), pairs that were verified, and links."""
+
+    nodes: DataFrame
     done: DataFrame | None = None
     found: DataFrame | None = None
-    component = materialize(met.select("doc_id").distinct().withColumn("component", F.col("doc_id")), f"{name}-component")
-    group = materialize(ranked(met), f"{name}-groups")
-    first, width, sharp = 1, 1, False
+
+    def settle(self, pairs: DataFrame, texts: DataFrame, sim: Similarity, name: str) -> None:
+        """Verify pairs(a, b) and join components."""
+        pairs = pairs.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        pairs = materialize(pairs if self.done is None else pairs.join(self.done, ["lo", "hi"], "left_anti"), f"{name}-pairs")
+        if pairs.isEmpty():
+            return
+        linked = verify(pairs.select("a", "b"), texts, sim, name)
+        self.done = pairs.select("lo", "hi") if self.done is None else self.done.unionByName(pairs.select("lo", "hi"))
+        if not linked.isEmpty():
+            self.found = linked if self.found is None else self.found.unionByName(linked)
+            merged = components(self.found, f"{name}-cc")
+            new = self.nodes.select("doc_id", "pop").join(merged, F.col("doc_id") == F.col("node"), "left")
+            old, self.nodes = self.nodes, materialize(new.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "pop"), f"{name}-nodes")
+            discard(old)
+        tidy(pairs.sparkSession)
+
+    def open(self, group: DataFrame, name: str) -> DataFrame:
+        """The rows of group(key, doc_id, ...) whose key joins several components, with their component and their key's pivot."""
+        live = materialize(group.join(self.nodes, "doc_id"), f"{name}-placed")
+        top = F.struct((-F.col("pop")).alias("order"), "doc_id", "set_hash", "n", "component")
+        span = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(top).alias("pivot")).where("lo < hi").select("key", "pivot")
+        out = materialize(live.join(span, "key"), f"{name}-live")
+        discard(live)
+        return out
+
+
+def _linked(met: DataFrame, sketch: DataFrame, texts: DataFrame, sim: Similarity, name: str) -> DataFrame | None:
+    """Links(a, b) that join all documents which have a link; None if there are none."""
+    nodes = met.groupBy("doc_id").agg(F.sum("sharing").alias("pop")).select("doc_id", F.col("doc_id").alias("component"), "pop")
+    state = _State(materialize(nodes, f"{name}-nodes"))
+    met = met.select("key", "doc_id", "n", "set_hash").distinct()
+    mine = sketch.select("doc_id", "set_hash", F.col("sketch").alias("sk"))
+    theirs = sketch.select(F.col("doc_id").alias("p"), F.col("set_hash").alias("ps"), F.col("sketch").alias("psk"))
+    for best in (True, False):
+        live = state.open(met, name)
+        apart = live.where("component <> pivot.component").select("doc_id", "set_hash", "n", F.col("pivot.doc_id").alias("p"), F.col("pivot.set_hash").alias("ps"), F.col("pivot.n").alias("pn"), F.col("pivot.order").alias("order")).distinct()
+        pairs = apart.join(mine, ["doc_id", "set_hash"]).join(theirs, ["p", "ps"]).where(alike("sk", "n", "psk", "pn", sim))
+        if best:
+            pairs = pairs.groupBy("doc_id").agg(F.min(F.struct("order", "p")).alias("first")).select("doc_id", "first.p")
+        state.settle(pairs.select(F.col("p").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct(), texts, sim, name)
+        discard(live)
+    live = state.open(met, name)
+    rest = materialize(texts.join(live.select("doc_id").distinct(), "doc_id", "left_semi"), f"{name}-rest")
+    discard(live)
+    if rest.isEmpty():
+        return state.found
+    tidy(texts.sparkSession)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pop"), "doc_id", "set_hash"))
+    group = prefixes(rest, sim, name).join(state.nodes.select("doc_id", "pop"), "doc_id").withColumn("rank", rank).drop("pop")
+    held = group = materialize(group.join(mine, ["doc_id", "set_hash"]), f"{name}-groups")
+    first, width = 1, 1
     while True:
-        whole = Window.partitionBy("key")
-        live = group.join(component, "doc_id").withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).withColumn("last", F.max("rank").over(whole))
-        live = materialize(live.where(f"lo < hi AND last > {first}").drop("lo", "hi", "last"), f"{name}-live")
-        if hasattr(group, "scratch_path"):
-            discard(group)
+        placed = group.join(state.nodes.select("doc_id", "component"), "doc_id")
+        span = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("rank").alias("last")).where(f"lo < hi AND last > {first}").select("key")
+        live = materialize(placed.join(span, "key", "left_semi"), f"{name}-live")
+        discard(held)
         if live.isEmpty():
-            break
-        if first > 1 and not sharp:
-            rest = texts.join(live.select("doc_id").distinct(), "doc_id", "left_semi")
-            group, first, width, sharp = materialize(ranked(prefixes(rest, sim, name)), f"{name}-groups"), 1, 1, True
-            continue
-        pivots = live.where(f"rank >= {first} AND rank < {first + width}").select("key", F.col("doc_id").alias("p"), F.col("component").alias("pc"), F.col("rank").alias("pr"), F.col("n").alias("pn"))
-        apart = (F.col("pr") < F.col("rank")) & (F.col("pc") != F.col("component"))
-        alike = 100 * F.least("n", "pn") >= sim.percent * F.greatest("n", "pn")
-        pairs = live.join(pivots, "key").where(apart & alike).select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).where("a < b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, f"{name}-pairs")
-        linked = verify(pairs, texts, sim, name)
-        done = pairs if done is None else done.unionByName(pairs)
-        if not linked.isEmpty():
-            found = linked if found is None else found.unionByName(linked)
-            merged = components(found, f"{name}-cc")
-            component = materialize(component.select("doc_id").join(merged, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), f"{name}-component")
-        group = live.select("key", "doc_id", "n", "rank")
+            return state.found
+        held, group = live, live.drop("component")
+        pivots = live.where(f"rank >= {first} AND rank < {first + width}").select("key", F.col("doc_id").alias("p"), F.col("component").alias("pc"), F.col("rank").alias("pr"), F.col("n").alias("pn"), F.col("nth").alias("pnth"), F.col("sk").alias("psk"))
+        # The first shingle that two sets share leaves at most this overlap.
+        room = 1 + F.least(F.col("n") - F.col("nth"), F.col("pn") - F.col("pnth"))
+        fits = (100 + sim.percent) * room >= sim.percent * (F.col("n") + F.col("pn"))
+        pairs = live.join(pivots, "key").where((F.col("pr") < F.col("rank")) & (F.col("pc") != F.col("component")) & fits & alike("sk", "n", "psk", "pn", sim))
+        state.settle(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).where("a < b").distinct(), texts, sim, name)
         first, width = first + width, width * 32
-        tidy(spark)
-    edges = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    merged = components(edges if found is None else edges.unionByName(found), f"{name}-cc")
-    return sized.select("doc_id", "n_shingles").join(merged, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
