@@ -26,8 +26,10 @@ keys with others, which is the one that copies were made of, so few rounds do.
 In the first, each set meets the best of its pivots only. Groups that are then
 of one component are done: a group of copies costs its size, not its square.
 
-What is left are sets that are alike, but not enough to be linked to a pivot,
-and they go through a sharper filter, which isn't part of the sketch method:
+Groups of up to SMALL members then compare the sketches of all of them, and
+larger ones their pivot with each. Where components are left apart after that
+in a larger group, its members go through a sharper filter, which isn't part of
+the sketch method:
 with the shingles of all that is left ordered from rare to common, linked sets
 share one of their first (1-t) * size + 1 shingles, and the first one that they
 share leaves room for the overlap that they need behind it. Groups of equal
@@ -40,7 +42,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +51,6 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, doc_rows, materialize, mix, rolling, signed, slices, text_bytes, tidy, word_hashes
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
 @dataclass(frozen=True)
 class Similarity:
     """words in a shingle; percent: linked if 100 * intersection >= percent * union.
@@ -81,6 +80,7 @@ class Similarity:
             out.append(max(out[-1] + 1, int(out[-1] * self.ratio)))
         return np.array(out, dtype=np.int64)
 
+    @cache  # noqa: B019  the instances are few and small
     def parts(self, band: int) -> tuple[int, int]:
         """(P, D) of a band."""
         d = self.most_apart(int(self.edges[band + 1]) - 1)
@@ -95,20 +95,19 @@ class Similarity:
 
 def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, text by text, and the size of each set."""
-    h, n = word_hashes([t.translate(_LOWER) for t in texts])
-    text = np.repeat(np.arange(len(n)), n)
+    h, n = word_hashes([t.lower() for t in texts])  # of bytes: A-Z only
     grams = rolling(h, width)
-    at = np.flatnonzero(text[: len(grams)] == text[width - 1 :]) if len(grams) else np.zeros(0, dtype=np.int64)
-    grams, of = grams[at], text[at]
-    short = np.flatnonzero((n > 0) & (n < width))
-    ends = np.cumsum(n)
-    whole = [mix(rolling(h[ends[i] - n[i] : ends[i]], int(n[i])) + np.uint64(n[i])) for i in short]
-    grams, of = np.concatenate([grams, *whole]), np.concatenate([of, short])
-    order = np.lexsort((grams, of))
-    grams, of = grams[order], of[order]
-    new = np.ones(len(grams), dtype=bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
-    return grams[new], np.bincount(of[new], minlength=len(n)).astype(np.int64)
+    out, end = [], 0
+    for k in n.tolist():
+        start, end = end, end + k
+        if k >= width:
+            one = np.sort(grams[start : end - width + 1])
+            new = np.ones(len(one), dtype=bool)
+            np.not_equal(one[1:], one[:-1], out=new[1:])
+            out.append(one[new])
+        else:
+            out.append(mix(rolling(h[start:end], k) + np.uint64(k)) if k else h[:0])
+    return np.concatenate([h[:0], *out]), np.fromiter(map(len, out), dtype=np.int64, count=len(out))
 
 
 #: Bits of a sketch: eight for each shingle that may differ, in powers of two between these bounds. Beyond the
@@ -284,73 +283,105 @@ def link(docs: DataFrame, sim: Similarity | None = None, name: str = "neardup")
         slices_met.append(materialize(part.drop("lo", "hi"), f"{name}-met"))
         met = slices_met[-1] if met is None else met.unionByName(slices_met[-1])
         tidy(spark)
-    sketch = known.select("doc_id", "set_hash", "sketch").distinct()
-    found = _linked(met, sketch, texts, sim, name)
-    discard(*slices_met)
+    nodes = met.groupBy("doc_id").agg(F.sum("sharing").alias("pop")).select("doc_id", F.col("doc_id").alias("component"), "pop")
+    nodes = materialize(nodes, f"{name}-nodes")
+    # From here on only documents that share a key matter.
+    near = materialize(texts.join(nodes.select("doc_id"), "doc_id", "left_semi"), f"{name}-near")
+    sketch = materialize(known.select("doc_id", "set_hash", "sketch").join(nodes.select("doc_id"), "doc_id", "left_semi").distinct(), f"{name}-sketches")
+    discard(texts)
+    tidy(spark)
+    found = _linked(met, _State(nodes, near, sketch, sim, name))
+    discard(*slices_met, near, sketch)
     edges = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     merged = components(edges if found is None else edges.unionByName(found), f"{name}-cc")
-    discard(texts)
     return sized.select("doc_id", "n_shingles").join(merged, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+#: Members of the groups of equal keys that compare all their sketches at once; larger ones go through the prefix filter.
+SMALL = 64
+
+
 @dataclass
 class _State:
-    """What is known between rounds: nodes(doc_id, component, pop), pairs that were verified, and links."""
+    """What is known between rounds: nodes(doc_id, component, pop), texts and sketches of the nodes, verified pairs, links."""
 
     nodes: DataFrame
+    texts: DataFrame
+    sketch: DataFrame
+    sim: Similarity
+    name: str
     done: DataFrame | None = None
     found: DataFrame | None = None
 
-    def settle(self, pairs: DataFrame, texts: DataFrame, sim: Similarity, name: str) -> None:
+    def settle(self, pairs: DataFrame) -> None:
         """Verify pairs(a, b) and join components."""
-        pairs = pairs.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        pairs = materialize(pairs if self.done is None else pairs.join(self.done, ["lo", "hi"], "left_anti"), f"{name}-pairs")
+        pairs = pairs.where("a <> b").select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).dropDuplicates(["lo", "hi"])
+        pairs = materialize(pairs if self.done is None else pairs.join(self.done, ["lo", "hi"], "left_anti"), f"{self.name}-pairs")
         if pairs.isEmpty():
             return
-        linked = verify(pairs.select("a", "b"), texts, sim, name)
+        linked = verify(pairs.select("a", "b"), self.texts, self.sim, self.name)
         self.done = pairs.select("lo", "hi") if self.done is None else self.done.unionByName(pairs.select("lo", "hi"))
         if not linked.isEmpty():
             self.found = linked if self.found is None else self.found.unionByName(linked)
-            merged = components(self.found, f"{name}-cc")
+            merged = components(self.found, f"{self.name}-cc")
             new = self.nodes.select("doc_id", "pop").join(merged, F.col("doc_id") == F.col("node"), "left")
-            old, self.nodes = self.nodes, materialize(new.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "pop"), f"{name}-nodes")
+            old, self.nodes = self.nodes, materialize(new.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "pop"), f"{self.name}-nodes")
             discard(old)
         tidy(pairs.sparkSession)
 
-    def open(self, group: DataFrame, name: str) -> DataFrame:
-        """The rows of group(key, doc_id, ...) whose key joins several components, with their component and their key's pivot."""
-        live = materialize(group.join(self.nodes, "doc_id"), f"{name}-placed")
+    def open(self, group: DataFrame, least: int = 1) -> DataFrame:
+        """The rows of group(key, doc_id, ...) whose key joins several components and more than least rows, with
+        their component, their key's pivot, and the number of its rows."""
+        live = materialize(group.join(self.nodes, "doc_id"), f"{self.name}-placed")
         top = F.struct((-F.col("pop")).alias("order"), "doc_id", "set_hash", "n", "component")
-        span = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(top).alias("pivot")).where("lo < hi").select("key", "pivot")
-        out = materialize(live.join(span, "key"), f"{name}-live")
+        span = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(top).alias("pivot"), F.count(F.lit(1)).alias("members")).where(f"lo < hi AND members > {least}").select("key", "pivot", "members")
+        out = materialize(live.join(span, "key"), f"{self.name}-live")
         discard(live)
         return out
 
+    def with_sketch(self, rows: DataFrame, of: str = "doc_id", set_: str = "set_hash", to: str = "sk") -> DataFrame:
+        return rows.join(self.sketch.select(F.col("doc_id").alias(of), F.col("set_hash").alias(set_), F.col("sketch").alias(to)), [of, set_])
+
+    def to_pivots(self, live: DataFrame) -> DataFrame:
+        """(doc_id, p, order): documents and those of their pivots that they may be linked to."""
+        apart = live.where("component <> pivot.component").select("doc_id", "set_hash", "n", F.col("pivot.doc_id").alias("p"), F.col("pivot.set_hash").alias("ps"), F.col("pivot.n").alias("pn"), F.col("pivot.order").alias("order")).distinct()
+        pairs = self.with_sketch(self.with_sketch(apart), "p", "ps", "psk")
+        return pairs.where(alike("sk", "n", "psk", "pn", self.sim)).select("doc_id", "p", "order")
 
-def _linked(met: DataFrame, sketch: DataFrame, texts: DataFrame, sim: Similarity, name: str) -> DataFrame | None:
+    def within(self, live: DataFrame) -> DataFrame:
+        """(doc_id, p): members of one key's group that may be linked and are of different components."""
+        rows = self.with_sketch(live.select("key", "doc_id", "set_hash", "n", "component"))
+        other = rows.select("key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("sk").alias("psk"))
+        return rows.join(other, "key").where((F.col("p") < F.col("doc_id")) & (F.col("pc") != F.col("component")) & alike("sk", "n", "psk", "pn", self.sim)).select("doc_id", "p")
+
+
+def _linked(met: DataFrame, state: _State) -> DataFrame | None:
     """Links(a, b) that join all documents which have a link; None if there are none."""
-    nodes = met.groupBy("doc_id").agg(F.sum("sharing").alias("pop")).select("doc_id", F.col("doc_id").alias("component"), "pop")
-    state = _State(materialize(nodes, f"{name}-nodes"))
     met = met.select("key", "doc_id", "n", "set_hash").distinct()
-    mine = sketch.select("doc_id", "set_hash", F.col("sketch").alias("sk"))
-    theirs = sketch.select(F.col("doc_id").alias("p"), F.col("set_hash").alias("ps"), F.col("sketch").alias("psk"))
-    for best in (True, False):
-        live = state.open(met, name)
-        apart = live.where("component <> pivot.component").select("doc_id", "set_hash", "n", F.col("pivot.doc_id").alias("p"), F.col("pivot.set_hash").alias("ps"), F.col("pivot.n").alias("pn"), F.col("pivot.order").alias("order")).distinct()
-        pairs = apart.join(mine, ["doc_id", "set_hash"]).join(theirs, ["p", "ps"]).where(alike("sk", "n", "psk", "pn", sim))
-        if best:
-            pairs = pairs.groupBy("doc_id").agg(F.min(F.struct("order", "p")).alias("first")).select("doc_id", "first.p")
-        state.settle(pairs.select(F.col("p").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct(), texts, sim, name)
-        discard(live)
-    live = state.open(met, name)
-    rest = materialize(texts.join(live.select("doc_id").distinct(), "doc_id", "left_semi"), f"{name}-rest")
+    as_pairs = lambda df: df.select(F.col("p").alias("a"), F.col("doc_id").alias("b"))
+    live = state.open(met)
+    best = state.to_pivots(live).groupBy("doc_id").agg(F.min(F.struct("order", "p")).alias("first"))
+    state.settle(as_pairs(best.select("doc_id", "first.p")))
     discard(live)
-    if rest.isEmpty():
-        return state.found
-    tidy(texts.sparkSession)
+    live = state.open(met)
+    large = live.where(f"members > {SMALL}")
+    state.settle(as_pairs(state.within(live.where(f"members <= {SMALL}")).unionByName(state.to_pivots(large).drop("order"))))
+    discard(live)
+    live = state.open(met, SMALL)
+    rest = materialize(state.texts.join(live.select("doc_id").distinct(), "doc_id", "left_semi"), f"{state.name}-rest")
+    discard(live)
+    if not rest.isEmpty():
+        _sharp(rest, state)
+    discard(rest)
+    return state.found
+
+
+def _sharp(rest: DataFrame, state: _State) -> None:
+    """Join the components of documents(doc_id, text) by their prefixes."""
+    sim, name = state.sim, state.name
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pop"), "doc_id", "set_hash"))
     group = prefixes(rest, sim, name).join(state.nodes.select("doc_id", "pop"), "doc_id").withColumn("rank", rank).drop("pop")
-    held = group = materialize(group.join(mine, ["doc_id", "set_hash"]), f"{name}-groups")
+    held = group = materialize(state.with_sketch(group), f"{name}-groups")
     first, width = 1, 1
     while True:
         placed = group.join(state.nodes.select("doc_id", "component"), "doc_id")
@@ -358,12 +389,12 @@ def _linked(met: DataFrame, sketch: DataFrame, texts: DataFrame, sim: Similarity
         live = materialize(placed.join(span, "key", "left_semi"), f"{name}-live")
         discard(held)
         if live.isEmpty():
-            return state.found
+            return
         held, group = live, live.drop("component")
         pivots = live.where(f"rank >= {first} AND rank < {first + width}").select("key", F.col("doc_id").alias("p"), F.col("component").alias("pc"), F.col("rank").alias("pr"), F.col("n").alias("pn"), F.col("nth").alias("pnth"), F.col("sk").alias("psk"))
         # The first shingle that two sets share leaves at most this overlap.
         room = 1 + F.least(F.col("n") - F.col("nth"), F.col("pn") - F.col("pnth"))
         fits = (100 + sim.percent) * room >= sim.percent * (F.col("n") + F.col("pn"))
         pairs = live.join(pivots, "key").where((F.col("pr") < F.col("rank")) & (F.col("pc") != F.col("component")) & fits & alike("sk", "n", "psk", "pn", sim))
-        state.settle(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).where("a < b").distinct(), texts, sim, name)
+        state.settle(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")))
         first, width = first + width, width * 32
