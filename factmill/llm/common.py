@@ -71,6 +71,17 @@ def doc_rows(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*(F.col(c) for c in cols))
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own columns that no column of docs has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def text_bytes() -> Column:
     """UTF-8 bytes of the text; null counts as empty."""
     return F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -18,11 +18,14 @@ is verified on the words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, tidy
+from .common import discard, free, materialize, tidy
 
+#: Words of the shortest lines that are compared within an edit; a default, see removed_lines().
 MIN_WORDS = 5
 #: Bits of the summed hashes; sums of millions stay far below 2**63.
 _MASK = (1 << 40) - 1
@@ -38,48 +41,57 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("words", line_words(F.col("line"))).withColumn("n", F.size("words")).where("n > 0").drop("line")
 
 
-def _half(side: str, shorter: Column) -> Column:
+def _half(side: str, shorter: Column, min_words: int) -> Column:
     """Key of a line's first or last half, as a member of pairs whose shorter line has so many words."""
     k = F.floor(shorter / 2).cast("int")
     part = F.slice("words", F.lit(1), k) if side == "first" else F.slice("words", F.col("n") - k + 1, k)
-    return F.when(shorter >= MIN_WORDS, F.xxhash64(F.lit(side), shorter, part))
+    return F.when(shorter >= min_words, F.xxhash64(F.lit(side), shorter, part))
+
 
+def removed_lines(docs: DataFrame, name: str = "lines", min_words: int = MIN_WORDS, turns: int = 3) -> DataFrame:
+    """(doc_id, text_hash, line_no, near) of the lines to remove from documents(doc_id, text).
 
-def removed_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
-    """(doc_id, text_hash, line_no, near) of the lines to remove from documents(doc_id, text)."""
+    min_words: lines of fewer words are near nothing, only equal. turns: groups
+    of equal variants are gathered in so many slices of their key, one after
+    the other, which divides the disk that their shuffle takes.
+    """
     spark = docs.sparkSession
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     n = F.col("n")
-    halves = F.array(_half("first", n), _half("last", n), _half("first", n - 1), _half("last", n - 1))
-    hashed = materialize(_lines(rows).select(*_ID, "n", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"), halves.alias("halves")), f"{name}-hashed")
+    halves = [_half(side, size, min_words).alias(f"{side}{i}") for i, size in enumerate((n, n - 1)) for side in ("first", "last")]
+    hashed = materialize(_lines(rows).select(*_ID, "n", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"), *halves), f"{name}-hashed")
 
-    first = hashed.groupBy("h", "h2").agg(F.min(F.struct(*_ID)).alias("first"))
-    placed = hashed.join(first, ["h", "h2"]).withColumn("is_first", F.struct(*_ID) == F.col("first"))
-    placed = materialize(placed.select(*_ID, "n", "halves", "is_first"), f"{name}-placed")
+    # Equal lines have equal halves, so any of a group's will do.
+    keys = [f"{side}{i}" for i in (0, 1) for side in ("first", "last")]
+    once = hashed.groupBy("h", "h2").agg(F.min(F.struct(*_ID)).alias("first"), F.count(F.lit(1)).alias("lines"), *(F.any_value(k).alias(k) for k in ("n", *keys)))
+    once = materialize(once, f"{name}-once")
+    tidy(spark)
+    several = once.where("lines > 1").select("h", "h2", "first")
+    equal = hashed.select(*_ID, "h", "h2").join(several, ["h", "h2"]).where(F.struct(*_ID) != F.col("first"))
+    equal = materialize(equal.select(*_ID, F.lit(False).alias("near")), f"{name}-equal")
     discard(hashed)
-    equal = placed.where("NOT is_first").select(*_ID, F.lit(False).alias("near"))
     tidy(spark)
 
     # Lines that share a half with another line.
-    half = placed.where(f"is_first AND n >= {MIN_WORDS}").select(*_ID, F.explode("halves").alias("half")).where("half IS NOT NULL")
+    half = once.where(n >= min_words).select("first.*", F.explode(F.array(*keys)).alias("half")).where("half IS NOT NULL")
     common = half.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half")
     some = half.join(common, "half", "left_semi").select(*_ID).distinct()
     wanted = materialize(some.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("wanted")), f"{name}-wanted")
+    discard(once)
     tidy(spark)
-    texts = rows.select("doc_id", "text_hash", "text").distinct().join(wanted, ["doc_id", "text_hash"])
+    texts = rows.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     chosen = texts.withColumn("split", F.split("text", "\n")).select("doc_id", "text_hash", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.element_at("split", i + 1).alias("line")))).alias("x"))
     chosen = materialize(chosen.select("doc_id", "text_hash", "x.line_no", line_words(F.col("x.line")).alias("words")), f"{name}-chosen")
-    equal = materialize(equal, f"{name}-equal")
-    discard(placed, wanted)
+    discard(wanted)
     tidy(spark)
 
-    losers = _near(chosen, name)
+    losers = _near(chosen, name, turns)
     discard(chosen)
     tidy(spark)
     return equal.unionByName(losers.select(*_ID, F.lit(True).alias("near")))
 
 
-def _near(chosen: DataFrame, name: str) -> DataFrame:
+def _near(chosen: DataFrame, name: str, turns: int) -> DataFrame:
     """Ids of the chosen lines with an earlier one within one edit."""
     # A line's hash is the sum of its words' hashes, each taken with the word's position. Without word
     # number i the words before it keep their positions and those behind it move up by one.
@@ -99,15 +111,21 @@ def _near(chosen: DataFrame, name: str) -> DataFrame:
     tidy(chosen.sparkSession)
 
     me = F.struct(*_ID)
-    group = emitted.groupBy("key").agg(F.min(F.when(F.col("role") == 1, me)).alias("longer"), F.min(F.when(F.col("role") != 1, me)).alias("other"), F.max(me).alias("last")).where("other IS NOT NULL AND (other < last OR longer < last)")
-    met = emitted.join(group, "key").withColumn("winner", F.when(F.col("role") == 0, F.col("longer")).otherwise(F.col("other"))).where("winner IS NOT NULL").where(F.col("winner") < me)
-    pairs = met.select(*_ID, *(F.col(f"winner.{c}").alias(f"w_{c}") for c in _ID)).distinct()
+    found = []
+    for turn in range(turns):
+        some = emitted.where(F.pmod("key", F.lit(turns)) == turn)
+        group = some.groupBy("key").agg(F.min(F.when(F.col("role") == 1, me)).alias("longer"), F.min(F.when(F.col("role") != 1, me)).alias("other"), F.max(me).alias("last")).where("other IS NOT NULL AND (other < last OR longer < last)")
+        met = some.join(group, "key").withColumn("winner", F.when(F.col("role") == 0, F.col("longer")).otherwise(F.col("other"))).where("winner IS NOT NULL").where(F.col("winner") < me)
+        found.append(materialize(met.select(*_ID, *(F.col(f"winner.{c}").alias(f"w_{c}") for c in _ID)).distinct(), f"{name}-pairs"))
+        tidy(chosen.sparkSession)
+    discard(emitted)
+    pairs = reduce(DataFrame.unionByName, found).distinct()
 
     a = chosen.select(*_ID, F.col("words").alias("a"))
     b = chosen.select(*(F.col(c).alias(f"w_{c}") for c in _ID), F.col("words").alias("b"))
     both = pairs.join(a, _ID).join(b, [f"w_{c}" for c in _ID])
     losers = materialize(both.where(within_one_edit("a", "b")).select(*_ID).distinct(), f"{name}-near")
-    discard(emitted)
+    discard(*found)
     return losers
 
 
@@ -123,26 +141,26 @@ def within_one_edit(a: str, b: str) -> Column:
     return F.when(gap == 0, (differ == 0) | replaced).when(gap == 1, cut).otherwise(F.lit(False))
 
 
-def dedup_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
-    """documents with the kept lines as text, and n_lines (lines with a word), n_removed, n_near.
+def dedup_lines(docs: DataFrame, name: str = "lines", min_words: int = MIN_WORDS, counts: tuple[str, str, str] = ("n_lines", "n_removed", "n_near")) -> DataFrame:
+    """documents with the kept lines as text, and three counts: lines with a word, those removed, those of them that were near.
 
     Lines without a word stay. A null text stays null, and a row with a null
     doc_id stays as it is; rows that are equal in id and text count as one, so
     each keeps what the first occurrence keeps. All columns of docs come back;
-    the counts are added under names that docs must not have.
+    a column that has the name of a count gives way to the count.
     """
-    gone = removed_lines(docs.select("doc_id", "text"), name)
+    id_, hash_, gone_, near_, split_, text_ = free(docs, "id", "hash", "gone", "near", "split", "text")
+    gone = removed_lines(docs.select("doc_id", "text"), name, min_words)
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"), F.count_if("near").alias("near"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"), F.col("near").alias("__near"))
-    joined = docs.join(gone, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
-    split = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__split"), i)), "\n"))
-    counted = joined.withColumn("__split", split).withColumn("__text", text)
-    n_lines = F.coalesce(F.size(F.filter("__split", lambda x: F.length(F.translate(x, " \t\u000b\f\r", "")) > 0)), F.lit(0))
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("gone").alias(gone_), F.col("near").alias(near_))
+    joined = docs.join(gone, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(hash_)), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split_) - 1), F.col(gone_))
+    text = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(split_), i)), "\n"))
+    counted = joined.withColumn(split_, F.split("text", "\n")).withColumn(text_, text)
+    n_lines = F.coalesce(F.size(F.filter(split_, lambda x: F.length(F.translate(x, " \t\u000b\f\r", "")) > 0)), F.lit(0))
     return counted.select(
-        *(F.col("__text").alias(c) if c == "text" else docs[c] for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("__near", F.lit(0)).cast("long").alias("n_near"),
+        *(F.col(text_).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in counts),
+        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias(counts[0]),
+        F.coalesce(F.size(gone_), F.lit(0)).cast("long").alias(counts[1]),
+        F.coalesce(near_, F.lit(0)).cast("long").alias(counts[2]),
     )

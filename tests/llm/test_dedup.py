@@ -169,3 +169,19 @@ def test_empty_tables(empty):
     assert substrings.cut_words(empty, substrings.word_spans(empty)).count() == 0
     assert neardup.link(empty).count() == 0
     assert lines.dedup_lines(empty).count() == 0
+
+
+def test_lines_with_clashing_columns(spark):
+    """Columns with the names of counts, and with those that the operator uses itself."""
+    rows = [(1, "a b c d e\nx", 7, 8, "s", "g"), (2, "a b c d f\ny\n", 9, 9, "t", "h"), (3, None, 1, 1, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed long, n_lines long, __split string, __gone string")
+    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert [got[i].text for i in (1, 2, 3)] == ["a b c d e\nx", "y\n", None]
+    assert [(got[i].n_lines, got[i].n_removed, got[i].n_near) for i in (1, 2, 3)] == [(2, 0, 0), (2, 1, 1), (0, 0, 0)]
+    assert [(got[i]["__split"], got[i]["__gone"]) for i in (1, 2, 3)] == [("s", "g"), ("t", "h"), (None, None)]
+
+
+def test_lines_least_words(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd"), (2, "a b x\nd")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}[2] == "a b x"
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs, min_words=3).collect()}[2] == ""
