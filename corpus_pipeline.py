@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factmill.llm import langid, lines, mixing, neardup, packing
-from factmill.llm.common import materialize
+from factmill.llm.common import free, materialize
 
 #: Below this share the nearest codeword is a guess; such documents are rejected.
 LEAST_SCORE = 0.5
@@ -25,8 +25,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their kept lines; one that loses every line goes."""
-    kept = lines.dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
-    return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    counts = free(docs, "n_lines", "n_removed", "n_near")
+    kept = lines.dedup_lines(docs, counts=tuple(counts)).where(F.col(counts[1]) < F.greatest(counts[0], F.lit(1)))
+    return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
