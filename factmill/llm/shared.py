@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,17 @@ Tokens = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 @dataclass(frozen=True)
 class Scheme:
-    """tokens: texts to (a 64-bit value for each token of all texts, tokens in each text); window and anchor sizes."""
+    """tokens: texts to (a 64-bit value for each token of all texts, tokens in each text); window and anchor sizes.
+
+    turns: anchors are gathered in so many slices of their hash, one after the
+    other, which divides the disk that their shuffle takes and repeats the
+    search for anchors.
+    """
 
     tokens: Tokens
     window: int
     anchor: int
+    turns: int = 1
 
 
 def _sums(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +127,9 @@ def tag(text: bytes) -> int:
 RUN = "anchor long, context long, doc_id long, place long"
 
 
-def run_rows(docs: DataFrame, scheme: Scheme) -> DataFrame:
+def run_rows(docs: DataFrame, scheme: Scheme, turn: int = 0) -> DataFrame:
+    """Runs whose anchors are in one slice."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=PIECE_TOKENS):
             texts = batch.column("text").to_pylist()
@@ -128,6 +137,9 @@ def run_rows(docs: DataFrame, scheme: Scheme) -> DataFrame:
             tags = np.array([tag(t) for t in texts], dtype=np.int64)
             for tok, text, position in _pieces(texts, scheme):
                 anchor, context, start, n = runs(tok, text, scheme)
+                if scheme.turns > 1:
+                    mine = (anchor >> np.uint64(8)) % np.uint64(scheme.turns) == turn
+                    anchor, context, start, n = anchor[mine], context[mine], start[mine], n[mine]
                 if len(start):
                     of = text[start]
                     place = (position[start] << 24) + (n << 16) + tags[of]
@@ -146,16 +158,22 @@ def shared_spans(docs: DataFrame, scheme: Scheme, name: str) -> DataFrame:
     w = scheme.window
     docs = docs.where("doc_id IS NOT NULL")
     by = Window.partitionBy("anchor")
-    met = run_rows(docs, scheme).withColumn("lo", F.min("doc_id").over(by)).withColumn("hi", F.max("doc_id").over(by)).where("lo < hi").drop("lo", "hi")
-    first = F.min("doc_id").over(Window.partitionBy("anchor", "context"))
-    met = materialize(met.withColumn("covered", first < F.col("doc_id")), f"{name}-met")
-    tidy(spark)
-    covered = met.where("covered").select("doc_id", (F.col("place") % 65536).cast("int").alias("tag"), F.expr("place DIV 16777216").alias("start"), (F.expr("place DIV 65536") % 256 + (w - 1)).alias("length"))
-
-    left, right = F.expr("shiftrightunsigned(context, 52)"), F.expr("shiftrightunsigned(context, 40) & 4095")
-    firsts = met.where("NOT covered").select("anchor", "doc_id", "place", left.alias("l"), right.alias("r"))
-    spread = lambda c: F.when(F.col(c) > 0, F.max("doc_id").over(Window.partitionBy("anchor", c)) > F.min("doc_id").over(Window.partitionBy("anchor", c)))
-    open_runs = firsts.withColumn("sl", spread("l")).withColumn("sr", spread("r")).where("sl OR sr").select("doc_id", "place")
+    found = []
+    for turn in range(scheme.turns):
+        met = run_rows(docs, scheme, turn).withColumn("lo", F.min("doc_id").over(by)).withColumn("hi", F.max("doc_id").over(by)).where("lo < hi").drop("lo", "hi")
+        first = F.min("doc_id").over(Window.partitionBy("anchor", "context"))
+        met = materialize(met.withColumn("covered", first < F.col("doc_id")), f"{name}-met")
+        tidy(spark)
+        left, right = F.expr("shiftrightunsigned(context, 52)"), F.expr("shiftrightunsigned(context, 40) & 4095")
+        firsts = met.where("NOT covered").select("anchor", "doc_id", "place", left.alias("l"), right.alias("r"))
+        spread = lambda c: F.when(F.col(c) > 0, F.max("doc_id").over(Window.partitionBy("anchor", c)) > F.min("doc_id").over(Window.partitionBy("anchor", c)))
+        open_runs = firsts.withColumn("sl", spread("l")).withColumn("sr", spread("r")).where("sl OR sr").select("doc_id", "place", F.lit(False).alias("covered"))
+        found.append(materialize(met.where("covered").select("doc_id", "place", "covered").unionByName(open_runs), f"{name}-runs"))
+        discard(met)
+        tidy(spark)
+    runs_ = reduce(DataFrame.unionByName, found)
+    covered = runs_.where("covered").select("doc_id", (F.col("place") % 65536).cast("int").alias("tag"), F.expr("place DIV 16777216").alias("start"), (F.expr("place DIV 65536") % 256 + (w - 1)).alias("length"))
+    open_runs = runs_.where("NOT covered").select("doc_id", "place")
     open_runs = open_runs.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +210,7 @@ def shared_spans(docs: DataFrame, scheme: Scheme, name: str) -> DataFrame:
     single = checked.join(earliest, "h").where("lo < doc_id").select("doc_id", (F.col("place") % 65536).cast("int").alias("tag"), F.expr("place DIV 65536").alias("start"), F.lit(w).cast("long").alias("length"))
     spans = covered.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     spans = materialize(spans, f"{name}-spans")
-    discard(met, checked)
+    discard(*found, checked)
     tidy(spark)
     return spans
 

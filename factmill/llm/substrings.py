@@ -53,7 +53,7 @@ def _own(found, text: bytes):
 
 def byte_spans(docs: DataFrame, window: int = BYTE_WINDOW, anchor: int = BYTE_ANCHOR) -> DataFrame:
     """(doc_id, tag, spans) of bytes covered by window-byte strings that also start under a smaller doc_id."""
-    return shared_spans(_rows(docs), Scheme(_bytes, window, anchor), "bytes")
+    return shared_spans(_rows(docs), Scheme(_bytes, window, anchor, turns=2), "bytes")
 
 
 def word_spans(docs: DataFrame, window: int = WORD_WINDOW, anchor: int = WORD_ANCHOR) -> DataFrame:
