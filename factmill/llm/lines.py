@@ -33,7 +33,8 @@ _ID = ["doc_id", "text_hash", "line_no"]
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != "")
+    """Words of a line. One character to split at needs no regular expression, which would be compiled for each line."""
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def removed_lines(docs: DataFrame, name: str = "lines", min_words: int = MIN_WOR
     wanted = materialize(some.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("wanted")), f"{name}-wanted")
     discard(once)
     tidy(spark)
-    texts = rows.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    texts = rows.hint("merge").join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     chosen = texts.withColumn("split", F.split("text", "\n")).select("doc_id", "text_hash", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.element_at("split", i + 1).alias("line")))).alias("x"))
     chosen = materialize(chosen.select("doc_id", "text_hash", "x.line_no", line_words(F.col("x.line")).alias("words")), f"{name}-chosen")
     discard(wanted)
@@ -107,13 +108,13 @@ def _near(chosen: DataFrame, name: str, turns: int) -> DataFrame:
     # Role 0: the line itself among lines that lose a word to become it; 1: such a line; 2: one that differs at pos.
     emitted = whole.select(*_ID, F.lit(0).alias("role"), F.xxhash64(F.lit("cut"), "n", "rest").alias("key"))
     emitted = emitted.unionByName(variants.select(*_ID, F.explode(F.array(F.struct(F.lit(1).alias("role"), F.xxhash64(F.lit("cut"), F.col("n") - 1, F.col("rest")).alias("key")), F.struct(F.lit(2).alias("role"), F.xxhash64(F.lit("same"), "n", "pos", "rest").alias("key")))).alias("x")).select(*_ID, "x.role", "x.key"))
-    emitted = materialize(emitted, f"{name}-variants")
+    emitted = materialize(emitted.withColumn("turn", F.pmod("key", F.lit(turns)).cast("int")), f"{name}-variants", "turn")
     tidy(chosen.sparkSession)
 
     me = F.struct(*_ID)
     found = []
     for turn in range(turns):
-        some = emitted.where(F.pmod("key", F.lit(turns)) == turn)
+        some = emitted.where(F.col("turn") == turn).drop("turn")
         group = some.groupBy("key").agg(F.min(F.when(F.col("role") == 1, me)).alias("longer"), F.min(F.when(F.col("role") != 1, me)).alias("other"), F.max(me).alias("last")).where("other IS NOT NULL AND (other < last OR longer < last)")
         met = some.join(group, "key").withColumn("winner", F.when(F.col("role") == 0, F.col("longer")).otherwise(F.col("other"))).where("winner IS NOT NULL").where(F.col("winner") < me)
         found.append(materialize(met.select(*_ID, *(F.col(f"winner.{c}").alias(f"w_{c}") for c in _ID)).distinct(), f"{name}-pairs"))

@@ -11,10 +11,10 @@ takes part in its own band and, if it may be the larger of a pair, in the band
 below.
 
 Light parts (fewer than LIGHT shingles) are shared by many unrelated sets, so
-they are no join keys. A set with fewer than P - D light parts still meets each
-of its partners at another part. A set with more takes part again in the next
-of TRIES dealings of its shingles; after the last one all of its parts are
-keys. So no link is lost.
+they are no join keys. A set with L light parts still meets each of its
+partners at P - D - L others, its slack. A set with a slack below SPARE takes
+part again in the next of TRIES dealings of its shingles; after the last one
+all of its parts are keys. So no link is lost.
 
 Sets that meet are candidates, and their bit sketches are compared next: a
 sketch holds the parity of the shingles dealt to each of B bits, so its Hamming
@@ -27,9 +27,12 @@ In the first, each set meets the best of its pivots only. Groups that are then
 of one component are done: a group of copies costs its size, not its square.
 
 Groups of up to SMALL members then compare the sketches of all of them, and
-larger ones their pivot with each. Where components are left apart after that
-in a larger group, its members go through a sharper filter, which isn't part of
-the sketch method:
+larger ones their pivot with each. A set that is in fewer large groups of a
+band than its slack there shares a key of a small group with each partner, so
+large groups are needed for the others only, the exposed ones: few of them
+compare their sketches with the whole group's. Where there are more, the
+group's members go through a sharper filter, which isn't part of the sketch
+method:
 with the shingles of all that is left ordered from rare to common, linked sets
 share one of their first (1-t) * size + 1 shingles, and the first one that they
 share leaves room for the overlap that they need behind it. Groups of equal
@@ -55,16 +58,17 @@ from .common import components, discard, doc_rows, materialize, mix, rolling, si
 class Similarity:
     """words in a shingle; percent: linked if 100 * intersection >= percent * union.
 
-    ratio: sizes of a band; light and tries: see above; passes: the keys are
+    ratio: sizes of a band; light, tries and spare: see above; passes: the keys are
     joined in so many slices of their hash, one after the other, which divides
     the disk that a shuffle takes and repeats the hashing of shingles.
     """
 
     words: int = 5
     percent: int = 80
-    ratio: float = 1.35
+    ratio: float = 1.2
     light: int = 2
     tries: int = 6
+    spare: int = 3
     passes: int = 3
 
     def most_apart(self, a: int) -> int:
@@ -84,12 +88,12 @@ class Similarity:
     def parts(self, band: int) -> tuple[int, int]:
         """(P, D) of a band."""
         d = self.most_apart(int(self.edges[band + 1]) - 1)
-        # Room for the light parts to be expected of the band's smallest sets.
-        p = d + 1
+        # Room for the light parts to be expected of the band's smallest sets, and some more for chance.
+        p = d + self.spare
         for _ in range(20):
             mean = max(float(self.edges[band]), 1.0) / p
             light = p * sum(np.exp(-mean) * mean**k / (1, 1, 2, 6, 24)[k] for k in range(self.light))
-            p = max(p, d + 1 + int(min(0.25 * d, light) + 0.5))
+            p = max(p, d + self.spare + int(min(0.5 * d, 1.25 * light) + 0.5))
         return p, d
 
 
@@ -158,8 +162,9 @@ def sets(docs: DataFrame, sim: Similarity) -> DataFrame:
     return docs.mapInArrow(run, SET)
 
 
-def part_keys(grams: np.ndarray, band: int, sim: Similarity) -> np.ndarray:
-    """Join keys of one set in one band."""
+def dealt_keys(grams: np.ndarray, band: int, sim: Similarity) -> tuple[np.ndarray, int]:
+    """Join keys of one set in one band, and its slack: so many of them it shares with each of its partners there,
+    unless the partner's slack sufficed in an earlier dealing, and then the partner does."""
     p, d = sim.parts(band)
     keys = []
     for attempt in range(sim.tries):
@@ -172,17 +177,25 @@ def part_keys(grams: np.ndarray, band: int, sim: Similarity) -> np.ndarray:
         ends = np.cumsum(count)
         value = mix(mix((total[ends] ^ total[ends - count]) + np.arange(p, dtype=np.uint64)) ^ salt)
         heavy = count >= sim.light
+        slack = int(heavy.sum()) - d
         if attempt + 1 == sim.tries:
             keys.append(value)
-            break
+            return np.concatenate(keys), p - d
         keys.append(value[heavy])
-        if p - heavy.sum() < p - d:
+        if slack >= sim.spare:
             break
-    return np.concatenate(keys)
+    return np.concatenate(keys), slack
+
+
+def part_keys(grams: np.ndarray, band: int, sim: Similarity) -> np.ndarray:
+    return dealt_keys(grams, band, sim)[0]
 
 
 def keys(docs: DataFrame, sim: Similarity, turn: int = 0) -> DataFrame:
-    """(key, doc_id, n, set_hash): the join keys of every non-empty set, those of one slice."""
+    """(key, doc_id, place, set_hash): the join keys of every non-empty set, those of one slice.
+
+    place holds the size of the set, the band and the slack there, see placed().
+    """
     edges, least = sim.edges, sim.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,22 +203,28 @@ def keys(docs: DataFrame, sim: Similarity, turn: int = 0) -> DataFrame:
             s, n = shingles(batch.column("text").to_pylist(), sim.words)
             ids, hashes = batch.column("doc_id").to_numpy(), set_hashes(s, n)
             ends = np.cumsum(n)
-            got, of = [], []
+            got, of, places = [], [], []
             for i in np.flatnonzero(n):
                 grams = s[ends[i] - n[i] : ends[i]]
                 band = int(np.searchsorted(edges, n[i], "right")) - 1
                 # The smaller of a linked pair has at least percent of the larger's size.
                 low = int(np.searchsorted(edges, -(-int(n[i]) * least // 100), "right")) - 1
                 for b in range(low, band + 1):
-                    k = part_keys(grams, b, sim)
+                    k, slack = dealt_keys(grams, b, sim)
                     k = k[k % np.uint64(sim.passes) == turn]
                     got.append(k)
                     of.append(np.full(len(k), i))
+                    places.append(np.full(len(k), (int(n[i]) << 20) + (b << 8) + min(slack, 255), dtype=np.int64))
             if got:
                 at = np.concatenate(of)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(got))), pa.array(ids[at]), pa.array(n[at]), pa.array(signed(hashes[at]))], names=["key", "doc_id", "n", "set_hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(got))), pa.array(ids[at]), pa.array(np.concatenate(places)), pa.array(signed(hashes[at]))], names=["key", "doc_id", "place", "set_hash"])
+
+    return docs.mapInArrow(run, "key long, doc_id long, place long, set_hash long")
+
 
-    return docs.mapInArrow(run, "key long, doc_id long, n long, set_hash long")
+def placed(rows: DataFrame) -> DataFrame:
+    """place taken apart: n, band, slack (255: so many or more)."""
+    return rows.withColumn("n", F.expr("place DIV 1048576")).withColumn("band", F.expr("place DIV 256 % 4096").cast("int")).withColumn("slack", F.expr("place % 256").cast("int")).drop("place")
 
 
 def prefixes(docs: DataFrame, sim: Similarity, name: str) -> DataFrame:
@@ -250,8 +269,8 @@ def verify(pairs: DataFrame, texts: DataFrame, sim: Similarity, name: str) -> Da
                 keep.append(both > 0 and 100 * both >= sim.percent * (len(mine) + int(k) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
+    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean").where("linked").select("a", "b").distinct(), f"{name}-links")
 
 
@@ -273,14 +292,14 @@ def link(docs: DataFrame, sim: Similarity | None = None, name: str = "neardup")
     member = materialize(known.select("doc_id", *fingerprint).distinct().join(classes, fingerprint).select("doc_id", "rep"), f"{name}-classes")
 
     # The text of each class: its smallest document's rows.
-    texts = materialize(rows.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"), f"{name}-texts")
+    texts = materialize(rows.hint("merge").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"), f"{name}-texts")
     tidy(spark)
     once = Window.partitionBy("key")
     met: DataFrame | None = None
     slices_met = []
     for turn in range(sim.passes):
         part = keys(texts, sim, turn).withColumn("lo", F.min("doc_id").over(once)).withColumn("hi", F.max("doc_id").over(once)).withColumn("sharing", F.count(F.lit(1)).over(once)).where("lo < hi")
-        slices_met.append(materialize(part.drop("lo", "hi"), f"{name}-met"))
+        slices_met.append(materialize(placed(part.drop("lo", "hi")), f"{name}-met"))
         met = slices_met[-1] if met is None else met.unionByName(slices_met[-1])
         tidy(spark)
     nodes = met.groupBy("doc_id").agg(F.sum("sharing").alias("pop")).select("doc_id", F.col("doc_id").alias("component"), "pop")
@@ -330,9 +349,11 @@ class _State:
         tidy(pairs.sparkSession)
 
     def open(self, group: DataFrame, least: int = 1) -> DataFrame:
-        """The rows of group(key, doc_id, ...) whose key joins several components and more than least rows, with
-        their component, their key's pivot, and the number of its rows."""
-        live = materialize(group.join(self.nodes, "doc_id"), f"{self.name}-placed")
+        """The rows of group whose key joins several components and more than least rows, with their component,
+        their key's pivot, and the number of its rows. group may be what open() returned; it is discarded then."""
+        live = materialize(group.select("key", "doc_id", "n", "set_hash", "band", "slack").join(self.nodes, "doc_id"), f"{self.name}-placed")
+        if hasattr(group, "scratch_path"):
+            discard(group)
         top = F.struct((-F.col("pop")).alias("order"), "doc_id", "set_hash", "n", "component")
         span = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(top).alias("pivot"), F.count(F.lit(1)).alias("members")).where(f"lo < hi AND members > {least}").select("key", "pivot", "members")
         out = materialize(live.join(span, "key"), f"{self.name}-live")
@@ -348,28 +369,35 @@ class _State:
         pairs = self.with_sketch(self.with_sketch(apart), "p", "ps", "psk")
         return pairs.where(alike("sk", "n", "psk", "pn", self.sim)).select("doc_id", "p", "order")
 
-    def within(self, live: DataFrame) -> DataFrame:
-        """(doc_id, p): members of one key's group that may be linked and are of different components."""
-        rows = self.with_sketch(live.select("key", "doc_id", "set_hash", "n", "component"))
-        other = rows.select("key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("sk").alias("psk"))
-        return rows.join(other, "key").where((F.col("p") < F.col("doc_id")) & (F.col("pc") != F.col("component")) & alike("sk", "n", "psk", "pn", self.sim)).select("doc_id", "p")
+    def within(self, live: DataFrame, exposed: bool = False) -> DataFrame:
+        """(doc_id, p): members of one key's group that may be linked and are of different components; with exposed, pairs that have an exposed member."""
+        rows = self.with_sketch(live.select("key", "doc_id", "set_hash", "n", "component", *(["exposed"] if exposed else [])))
+        other = rows.where("exposed") if exposed else rows
+        other = other.select("key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("sk").alias("psk"))
+        each = F.lit(True) if exposed else F.col("p") < F.col("doc_id")
+        return rows.join(other, "key").where(each & (F.col("pc") != F.col("component")) & alike("sk", "n", "psk", "pn", self.sim)).select("doc_id", "p")
 
 
 def _linked(met: DataFrame, state: _State) -> DataFrame | None:
     """Links(a, b) that join all documents which have a link; None if there are none."""
-    met = met.select("key", "doc_id", "n", "set_hash").distinct()
+    met = met.groupBy("key", "doc_id", "n", "set_hash", "band").agg(F.min("slack").alias("slack"))
     as_pairs = lambda df: df.select(F.col("p").alias("a"), F.col("doc_id").alias("b"))
     live = state.open(met)
     best = state.to_pivots(live).groupBy("doc_id").agg(F.min(F.struct("order", "p")).alias("first"))
     state.settle(as_pairs(best.select("doc_id", "first.p")))
-    discard(live)
-    live = state.open(met)
+    live = state.open(live)
     large = live.where(f"members > {SMALL}")
     state.settle(as_pairs(state.within(live.where(f"members <= {SMALL}")).unionByName(state.to_pivots(large).drop("order"))))
+    live = state.open(live, SMALL)
+    one = ["doc_id", "set_hash", "band"]
+    exposed = live.groupBy(*one).agg(F.count(F.lit(1)).alias("large"), F.min("slack").alias("slack")).where("large >= slack").select(*one, F.lit(True).alias("exposed"))
+    live_ = live.join(exposed, one, "left").withColumn("exposed", F.coalesce("exposed", F.lit(False)))
+    some = live_.groupBy("key").agg(F.count_if("exposed").alias("n_exposed")).where("n_exposed > 0")
+    marked = materialize(live_.join(some, "key"), f"{state.name}-exposed")
     discard(live)
-    live = state.open(met, SMALL)
-    rest = materialize(state.texts.join(live.select("doc_id").distinct(), "doc_id", "left_semi"), f"{state.name}-rest")
-    discard(live)
+    state.settle(as_pairs(state.within(marked.where(f"n_exposed <= {SMALL}"), exposed=True)))
+    rest = materialize(state.texts.join(marked.where(f"n_exposed > {SMALL}").select("doc_id").distinct(), "doc_id", "left_semi"), f"{state.name}-rest")
+    discard(marked)
     if not rest.isEmpty():
         _sharp(rest, state)
     discard(rest)

@@ -28,7 +28,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.link(table(spark, sf_dir, "documents"), neardup.Similarity(words=4, percent=85, passes=2))
+    return neardup.link(table(spark, sf_dir, "documents"), neardup.Similarity(words=4, percent=85, ratio=1.35, passes=2))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
