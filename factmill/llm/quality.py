@@ -1,12 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a ratio that is high for bad documents. Labelled rows are the
-holdout: on a fixed grid, from lenient to strict, a cutoff is allowed while the
-exact (Clopper-Pearson) upper bound of the share of good documents it rejects
-stays within the rule's part of the risk. The walk down the grid stops at the
-first cutoff that fails, so a rule needs no correction for its grid; rules and
-strata are corrected by Bonferroni. With confidence 1 - DELTA, no stratum then
-loses more than RISK of its good documents to all rules together.
+Each rule is a ratio that is high for bad documents. Labelled rows that call a
+document good are dealt to two parts by the hash of their id. The first part
+fixes, for each stratum, a path of settings: every rule is measured in units of
+the largest value that these good documents reach, and step k rejects what
+exceeds FIRST * SHRINK**k units by any rule. The second part is the holdout. It
+walks down the path, from lenient to strict, while the exact (Clopper-Pearson)
+upper bound of the share of good documents that a step rejects, by all rules
+together, stays within RISK. As the path doesn't depend on the holdout and the
+walk stops at the first step that fails, the steps need no correction (fixed
+sequence); strata are corrected by Bonferroni. With confidence 1 - DELTA, no
+stratum then loses more than RISK of its good documents. About 100 good
+documents in the holdout suffice for a first step.
 """
 
 from __future__ import annotations
@@ -27,8 +32,11 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 WINDOW = 8
 #: Share of good documents that a stratum may lose to the cutoffs, and the chance that it loses more.
 RISK, DELTA = 0.05, 0.05
-#: Cutoffs of every rule, from lenient to strict.
-GRID = tuple(round(1.15 ** (-k), 6) for k in range(0, 60))
+#: Settings from lenient to strict, in units of the largest value among good documents of the first part.
+FIRST, SHRINK, STEPS = 8.0, 0.93, 96
+GRID = tuple(FIRST * SHRINK**k for k in range(STEPS))
+#: Units are no smaller than this: a rule that no good document of the first part touches still has one.
+LEAST_UNIT = 0.001
 RULES: dict[str, str] = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
@@ -114,44 +122,61 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def cutoffs(rejected: dict[tuple, np.ndarray], good: dict, risk: float = RISK, delta: float = DELTA) -> dict[tuple, float]:
-    """(stratum, rule): the strictest allowed cutoff; none where not even the most lenient is allowed.
+@lru_cache(maxsize=4096)
+def most_rejected(n: int, delta: float, risk: float) -> int:
+    """The largest count of rejected among n whose bound stays within risk; -1 if not even none does."""
+    low, high = -1, n
+    while high - low > 1:
+        k = (low + high) // 2
+        low, high = (k, high) if upper_bound(k, n, delta) <= risk else (low, k)
+    return low
 
-    rejected: good documents above each cutoff of the grid; good: good documents of each stratum.
-    """
-    share, part = risk / len(RULES), delta / max(1, len(RULES) * len(good))
-    out = {}
-    for (stratum, rule), above in rejected.items():
-        n = int(good[stratum])
-        # The bound's largest count that passes, by bisection: it grows with the count.
-        low, high = -1, n
-        while high - low > 1:
-            k = (low + high) // 2
-            low, high = (k, high) if upper_bound(k, n, part) <= share else (low, k)
-        allowed = np.flatnonzero(np.minimum.accumulate(above <= low))
-        if len(allowed):
-            out[stratum, rule] = GRID[allowed[-1]]
-    return out
-
-
-def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple, float]:
-    """Learn cutoffs from measured rows that labels(doc_id, quality) calls good and the base rules keep.
-
-    Null labels and null ids are left out; if a doc_id is labelled twice, the higher label counts.
+
+def walk(rejecting: np.ndarray, n: int, delta: float, risk: float) -> float | None:
+    """The strictest setting reached: rejecting[k] of n good documents are rejected from step k on."""
+    allowed = np.flatnonzero(np.minimum.accumulate(np.cumsum(rejecting) <= most_rejected(n, delta, risk)))
+    return GRID[allowed[-1]] if len(allowed) else None
+
+
+def _unit(rule: str) -> str:
+    return f"unit_{rule}"
+
+
+def excess() -> Column:
+    """The largest of the rules, in units."""
+    return F.greatest(*(F.expr(RULES[r]) / F.col(_unit(r)) for r in RULES))
+
+
+def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, cut, a unit for each rule): what is learned from measured rows that labels(doc_id, quality) calls good and the base rules keep.
+
+    Strata whose holdout doesn't allow the first step are left out. Null labels
+    and null ids are left out; if a doc_id is labelled twice, the higher label
+    counts. One row a stratum, made where its rows are: nothing is collected.
     """
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     rows = measured.where(~base_failed()).join(good, "doc_id", "left_semi")
+    rows = materialize(rows.withColumn("holdout", F.crc32(F.concat(F.lit("part "), F.col("doc_id").cast("string")).cast("binary")) % 3 > 0), "quality-good")
+    strata = rows.select("stratum").distinct().count()
+    units = rows.where("NOT holdout").groupBy("stratum").agg(*(F.greatest(F.max(F.expr(RULES[r])), F.lit(LEAST_UNIT)).alias(_unit(r)) for r in RULES))
     grid = F.array(*map(F.lit, GRID))
-    level = lambda rule: F.size(F.filter(grid, lambda c: F.expr(RULES[rule]) > c))
-    # As the grid falls, the cutoffs exceeded are the last ones: their number tells which.
-    long = rows.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES))).alias("x"))
-    counts: dict[tuple, np.ndarray] = {}
-    for stratum, rule, n_above, n in long.groupBy("stratum", "x.rule", "x.level").count().toLocalIterator():  # strata x rules x grid at most
-        counts.setdefault((stratum, rule), np.zeros(len(GRID) + 1, dtype=np.int64))[n_above] += n
-    strata = {s: int(c.sum()) for (s, r), c in counts.items() if r == next(iter(RULES))}
-    # Cutoff i is exceeded by a row of level v if i >= len(GRID) - v.
-    rejected = {k: np.array([c[len(GRID) - i :].sum() for i in range(len(GRID))]) for k, c in counts.items()}
-    return cutoffs(rejected, strata, risk, delta)
+    held = rows.where("holdout").alias("h").join(units.alias("u"), F.col("h.stratum").eqNullSafe(F.col("u.stratum"))).drop(F.col("u.stratum"))
+    # The grid falls, so what a document exceeds are its last settings: their number tells the first.
+    step = STEPS - F.size(F.filter(grid, lambda c: excess() > c))
+    counts = held.groupBy("stratum", *map(_unit, RULES), step.alias("step")).count()
+    counts = counts.groupBy("stratum", *map(_unit, RULES)).agg(F.collect_list(F.struct("step", "count")).alias("steps"))  # at most STEPS + 1 of them
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = []
+            for steps in batch.column("steps").to_pylist():
+                at = np.zeros(STEPS + 1, dtype=np.int64)
+                for x in steps:
+                    at[x["step"]] += x["count"]
+                cuts.append(walk(at[:STEPS], int(at.sum()), delta / max(strata, 1), risk))
+            yield pa.RecordBatch.from_arrays([batch.column("stratum"), pa.array(cuts, pa.float64()), *(batch.column(_unit(r)) for r in RULES)], names=["stratum", "cut", *map(_unit, RULES)])
+
+    return counts.mapInArrow(run, "stratum string, cut double, " + ", ".join(f"{_unit(r)} double" for r in RULES)).where("cut IS NOT NULL")
 
 
 def rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -162,8 +187,7 @@ def rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     judged one by one.
     """
     measured = materialize(measure(docs), "quality")
-    learned = calibrate(measured, labels, risk, delta)
-    value = F.lit(None).cast("string")
-    for (stratum, rule), cut in sorted(learned.items(), key=repr):
-        value = F.coalesce(value, F.when(F.col("stratum").eqNullSafe(F.lit(stratum)) & (F.expr(RULES[rule]) > cut), F.lit(rule)))
-    return measured.select("doc_id", *COUNTS, base_failed().alias("base_failed"), value.alias("failed_rule")).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+    learned = materialize(calibrate(measured, labels, risk, delta), "quality-cutoffs")
+    judged = measured.alias("m").join(learned.alias("l"), F.col("m.stratum").eqNullSafe(F.col("l.stratum")), "left").drop(F.col("l.stratum"))
+    failed = F.coalesce(*(F.when((excess() > F.col("cut")) & (F.expr(RULES[r]) / F.col(_unit(r)) == excess()), F.lit(r)) for r in RULES))
+    return judged.select("doc_id", *COUNTS, base_failed().alias("base_failed"), failed.alias("failed_rule")).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())

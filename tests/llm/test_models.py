@@ -1,6 +1,7 @@
 """Trained operators: held-out accuracy on given tables, and defined results for odd rows."""
 
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -75,15 +76,68 @@ def test_exact_bound(k, n):
     assert binomial(k, n, quality.upper_bound(k, n, 0.01)) == pytest.approx(0.01, rel=1e-3)
 
 
-def test_cutoffs_keep_the_risk():
-    grid = len(quality.GRID)
-    rejected = {("s", r): np.minimum(np.arange(grid), 60) for r in quality.RULES} | {("few", r): np.zeros(grid, dtype=int) for r in quality.RULES}
-    got = quality.cutoffs(rejected, {"s": 5000, "few": 20})
-    assert not any(s == "few" for s, _ in got)  # 20 good documents prove nothing
-    for (s, r), cut in got.items():
-        above = rejected[s, r][quality.GRID.index(cut)]
-        assert quality.upper_bound(int(above), 5000, quality.DELTA / 12) <= quality.RISK / 6
-        assert quality.upper_bound(int(above) + 1, 5000, quality.DELTA / 12) > quality.RISK / 6
+def test_walk_keeps_the_risk():
+    rejecting = np.zeros(quality.STEPS, dtype=int)
+    rejecting[10:] = 1
+    assert quality.walk(rejecting, 20, 0.01, 0.05) is None  # 20 good documents prove nothing
+    got = quality.GRID.index(quality.walk(rejecting, 500, 0.01, 0.05))
+    assert quality.upper_bound(got - 9, 500, 0.01) <= 0.05 < quality.upper_bound(got - 8, 500, 0.01)
+    rejecting[3] = 400  # nothing behind a step that fails counts
+    assert quality.walk(rejecting, 500, 0.01, 0.05) == quality.GRID[2]
+
+
+def brute_kept(rows, labels):
+    """kept by the definition, in plain Python, from measured rows."""
+    best = {}
+    for doc, q in labels:
+        if doc is not None and q is not None:
+            best[doc] = max(q, best.get(doc, 0))
+    values = lambda r: [r.n_symbols / max(r.word_chars, 1), r.n_dup_lines / max(r.n_lines, 1), r.n_repeat_words / max(r.n_words, 1), r.n_upper / max(r.word_chars, 1), r.n_marks / max(r.word_chars, 1), r.n_digits / max(r.word_chars, 1)]
+    base = lambda r: r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
+    good = [r for r in rows if not base(r) and best.get(r.doc_id) == 1]
+    held = lambda r: zlib.crc32(f"part {r.doc_id}".encode()) % 3 > 0
+    strata = {r.stratum for r in good}
+    cuts = {}
+    for s in strata:
+        first, second = ([values(r) for r in good if r.stratum == s and held(r) == h] for h in (False, True))
+        if not first:
+            continue
+        unit = [max(*(v[i] for v in first), 0.001) if len(first) > 1 else max(first[0][i], 0.001) for i in range(6)]
+        over = [max(x / u for x, u in zip(v, unit, strict=True)) for v in second]
+        for cut in quality.GRID:
+            k, n = sum(x > cut for x in over), len(over)
+            if not n or k == n or binomial(k, n, quality.RISK) > quality.DELTA / len(strata):
+                break
+            cuts[s] = (cut, unit)
+    kept = []
+    for r in rows:
+        cut = cuts.get(r.stratum)
+        kept.append((r.doc_id, not base(r) and (cut is None or max(x / u for x, u in zip(values(r), cut[1], strict=True)) <= cut[0])))
+    return cuts, sorted(kept, key=repr)
+
+
+def test_quality_kept_by_brute_force(real):
+    rows, labels = real
+    measured = quality.measure(rows).collect()
+    cuts, want = brute_kept(measured, [(r.doc_id, r.quality) for r in labels.collect()])
+    assert cuts  # the method acts
+    got = quality.rules(rows, labels)
+    assert sorted(((r.doc_id, r.kept) for r in got.collect()), key=repr) == want
+    assert got.where("failed_rule IS NOT NULL AND NOT base_failed").count() > 0
+
+
+def test_quality_guarantee_on_fresh_rows(spark):
+    """Thirty strata with cutoffs learned from a part of their rows: none loses more of the others than the risk."""
+    rng = np.random.default_rng(5)
+    zero = dict.fromkeys(quality.COUNTS, 0)
+    rows = [{"doc_id": i, "stratum": f"s{i % 30}", **zero, "n_words": 100, "word_chars": 500, "n_lines": 10, "n_symbols": int(rng.geometric(0.05)), "n_digits": int(rng.geometric(0.02))} for i in range(30 * 1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    learned = {r.stratum: r for r in quality.calibrate(frame, spark.createDataFrame([(i, 1) for i in range(30 * 500)], "doc_id long, quality int")).collect()}
+    assert len(learned) == 30
+    for s, cut in learned.items():
+        fresh = [r for r in rows[30 * 500 :] if r["stratum"] == s]
+        lost = np.mean([max(r["n_symbols"] / 500 / cut.unit_symbols, r["n_digits"] / 500 / cut.unit_digits) > cut.cut for r in fresh])
+        assert 0 < lost <= quality.RISK
 
 
 def test_quality_rules(spark, real, docs, corpus, empty):
