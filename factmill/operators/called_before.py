@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import reach_pairs
+from .fixpoint import reach
 
 
 def local_checks(calls: DataFrame, before: Column, after: Column) -> DataFrame:
@@ -37,10 +37,11 @@ def interprocedural(calls: DataFrame, before: Column, after: Column) -> DataFram
     """
     local = calls.where(before).select("caller").distinct()
     origins = calls.where(after).select("caller").distinct().join(local, "caller", "left_anti")
-    edges = unguarded_edges(calls, before).select(F.col("target").alias("src"), F.col("caller").alias("dst"))
-    met = reach_pairs(edges, origins.select(F.col("caller").alias("origin"), F.col("caller").alias("node")))
+    edges = unguarded_edges(calls, before).select(F.col("caller").alias("src"), F.col("target").alias("dst"))
     called = calls.where("target IS NOT NULL").select(F.col("target").alias("node")).distinct()
-    open_ = met.join(called, "node", "left_anti").select(F.col("origin").alias("caller")).distinct().withColumn("open", F.lit(True))
+    roots = calls.select(F.col("caller").alias("node")).distinct().join(called, "node", "left_anti")
+    # One set for all origins: what is reached from the functions that nobody calls, along the same edges forwards.
+    open_ = reach(edges, roots).select(F.col("node").alias("caller"), F.lit(True).alias("open"))
     return origins.join(open_, "caller", "left").select("caller", F.col("open").isNull().alias("satisfied"))
 
 

@@ -1,49 +1,64 @@
 """Reachability by semi-naive iteration, and closures by doubling.
 
 Every round joins only the newest rows and drops what is known, so each pair is
-derived once. Rounds are cut with checkpoint(), whose files are in the shared
-folder of spark.checkpoint.dir.
+derived once. Rounds are cut by writing their rows to the shared folder of
+spark.checkpoint.dir; a round's files are kept until the end and read together.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: spark.checkpoint.dir. Only a local session may do without, in a folder of its machine."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="factmill-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/factmill-{sc.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage replaced by files that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="factmill-"))  # only where nothing is configured: tests
-    return df.checkpoint()
+    """df, computed once, with its lineage replaced by files that all executors share."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node) reachable from seeds(node) over edges(src, dst), seeds included."""
-    seen = frontier = cut(seeds.select("node").distinct())
-    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    for _ in range(rounds):
-        new = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(new.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
-    raise RuntimeError(f"not closed after {rounds} rounds")
+def reach(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000, known: DataFrame | None = None) -> DataFrame:
+    """(node) reachable from seeds(node) over edges(src, dst), seeds included; nodes of known(node) are neither returned nor walked."""
+    return _closed(edges, seeds if known is None else seeds.join(known, "node", "left_anti"), ["node"], rounds, known)
 
 
 def reach_pairs(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(origin, node): reach() from each row of seeds(origin, node), kept apart by origin."""
-    seen = frontier = cut(seeds.select("origin", "node").distinct())
-    edges = cut(edges.select("src", "dst").distinct())
+    return _closed(edges, seeds, ["origin", "node"], rounds)
+
+
+def _closed(edges: DataFrame, seeds: DataFrame, columns: list[str], rounds: int, known: DataFrame | None = None) -> DataFrame:
+    """Raises if the frontier isn't empty after so many rounds: a partial closure is never returned."""
+    frontier = cut(seeds.select(*columns).distinct())
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    parts = [frontier]
     for _ in range(rounds):
-        new = frontier.join(edges, frontier["node"] == edges["src"]).select("origin", F.col("dst").alias("node")).distinct()
-        frontier = cut(new.join(seen, ["origin", "node"], "left_anti"))
+        new = frontier.join(edges, frontier["node"] == edges["src"]).select(*columns[:-1], F.col("dst").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, parts if known is None else [*parts, known.select(*columns)])
+        frontier = cut(new.join(seen, columns, "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(frontier)
+        if len(parts) > 32:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
     raise RuntimeError(f"not closed after {rounds} rounds")
 
 

@@ -10,7 +10,12 @@ from .fixpoint import chains
 
 
 def ancestor_chain(facts: Facts) -> DataFrame:
-    """(class, ancestor, dist): nearest first; an unknown external parent ends a chain, and is part of it."""
+    """(class, ancestor, dist): nearest first; an unknown external parent ends a chain, and is part of it.
+
+    Computed once: facts.extra may hold the table as "ancestors".
+    """
+    if "ancestors" in facts.extra:
+        return facts.extra["ancestors"]
     return chains(facts.classes.select(F.col("fqn").alias("node"), F.col("extends").alias("parent"))).withColumnRenamed("node", "class")
 
 

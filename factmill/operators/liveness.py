@@ -71,7 +71,7 @@ def alive(facts: Facts, resolved: DataFrame) -> DataFrame:
     candidates = known.where("kind IN ('function', 'method') AND visibility <> 'private'").withColumn("short", F.when(F.col("kind") == "method", F.substring_index("fqn", "::", -1)).otherwise(F.substring_index("fqn", "\\", -1)))
     marked = cut(candidates.join(names, "short", "left_semi").join(strong.select(F.col("node").alias("fqn")), "fqn", "left_anti").select("fqn", "kind"))
     weak = marked.where("kind = 'method'").select("fqn")
-    more = reach(links, marked.select(F.col("fqn").alias("node")))
+    more = reach(links, marked.select(F.col("fqn").alias("node")), known=strong)
     all_strong = strong.unionByName(more.join(weak.select(F.col("fqn").alias("node")), "node", "left_anti")).distinct()
     out = all_strong.select(F.col("node").alias("fqn"), F.lit("strong").alias("mark")).unionByName(weak.select("fqn", F.lit("weak").alias("mark")))
     return out.join(known.select("fqn").distinct(), "fqn", "left_semi")

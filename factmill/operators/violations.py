@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..facts import Facts
-from ..functions.typing import argument_fits, base, kind, null_fits
+from ..functions.typing import argument_fits, base, is_builtin, kind, null_fits
 from .boundary import class_project, cross, file_project
 from .inherit import all_methods, ancestor_chain
 
@@ -38,10 +38,14 @@ def argument_types(facts: Facts, boundary: DataFrame, min_confidence: float = 0.
     calls = cross(boundary).where(F.col("confidence") >= min_confidence)
     pairs = calls.select("call_id", "target", F.posexplode(F.arrays_zip("args", "target_params")).alias("pos", "x")).where("x.args IS NOT NULL AND x.target_params.type IS NOT NULL")
     pairs = pairs.select("call_id", "target", "pos", F.col("x.args").alias("arg"), F.col("x.target_params.type").alias("param"))
+    fits = lambda is_sub: F.when(F.col("arg") == "null", null_fits(F.col("param"))).otherwise(argument_fits(F.col("arg"), F.col("param"), is_sub))
+    # What fits without knowing classes, and what only a class could mend, need no join: only names of classes meet the hierarchy.
+    pairs = pairs.where(~fits(F.lit(False)))
+    classes = ~is_builtin(base(F.col("arg"))) & ~is_builtin(base(F.col("param")))
+    alone = pairs.where(~F.coalesce(classes, F.lit(False)))
     ups = ancestor_chain(facts).select("class", F.col("ancestor").alias("up")).unionByName(facts.implements.select("class", F.col("interface").alias("up"))).distinct().withColumn("is_sub", F.lit(True))
-    pairs = pairs.join(ups, (base(F.col("arg")) == ups["class"]) & (base(F.col("param")) == ups["up"]), "left")
-    fits = F.when(F.col("arg") == "null", null_fits(F.col("param"))).otherwise(argument_fits(F.col("arg"), F.col("param"), F.col("is_sub")))
-    return pairs.where(~fits).select("call_id", "target", "pos", "arg", "param")
+    met = pairs.where(classes).join(ups, (base(F.col("arg")) == ups["class"]) & (base(F.col("param")) == ups["up"]), "left").where(~fits(F.col("is_sub")))
+    return alone.unionByName(met.select(*alone.columns)).select("call_id", "target", "pos", "arg", "param")
 
 
 def third_project_returns(facts: Facts, boundary: DataFrame) -> DataFrame:

@@ -69,13 +69,14 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
     )
     visibility = F.when(p % 7 == 0, "private").when(p % 7 == 1, "protected").otherwise("public")
     common = [visibility.alias("visibility"), (p % 11 == 0).alias("is_static"), _type(p).alias("return_type"), params.alias("params"), p.cast("int").alias("line"), p.alias("ord")]
-    name = F.concat(F.lit("m"), ((p * 7 + F.col("p_size")) % 41).cast("string"))
+    # Nobody calls a method whose name begins with u.
+    name = F.concat(F.when(p % 9 == 4, "u").otherwise("m"), ((p * 7 + F.col("p_size")) % 41).cast("string"))
     parts = t("part").select("p_partkey", "p_size")
     own = parts.where("p_size % 3 = 0").crossJoin(F.broadcast(n)).select((p % F.col("n")).alias("k"), name.alias("name"), *common).join(names, "k").select(F.col("fqn").alias("owner"), F.lit("class").alias("owner_kind"), "name", *[c.alias(a) for c, a in [(F.col(x), x) for x in ("visibility", "is_static", "return_type", "params", "line", "ord")]])
-    of_traits = parts.where("p_size % 3 = 1 AND p_partkey % 20 = 0").select(F.concat(F.lit("T"), (p % 7).cast("string")).alias("owner"), F.lit("trait").alias("owner_kind"), name.alias("name"), *common)
-    of_interfaces = parts.where("p_size % 3 = 2 AND p_partkey % 10 = 0").select(interface(p % 25).alias("owner"), F.lit("interface").alias("owner_kind"), name.alias("name"), F.lit("public").alias("visibility"), *common[1:])
+    of_traits = parts.where("p_size % 3 = 1").select(F.concat(F.lit("T"), (p % 7).cast("string")).alias("owner"), F.lit("trait").alias("owner_kind"), name.alias("name"), *common)
+    of_interfaces = parts.where("p_size % 3 = 2").select(interface(p % 25).alias("owner"), F.lit("interface").alias("owner_kind"), name.alias("name"), F.lit("public").alias("visibility"), *common[1:])
     methods = last_write_wins(own.unionByName(of_traits).unionByName(of_interfaces), ["owner", "name"], ["ord"])
-    properties = parts.where("p_partkey % 6 = 0").crossJoin(F.broadcast(n)).select((p % F.col("n")).alias("k"), F.concat(F.lit("v"), (p % 9).cast("string")).alias("name"), _type(p).alias("type"), p.cast("int").alias("line"), p.alias("ord")).join(names, "k").select(F.col("fqn").alias("owner"), "name", "type", F.lit("private").alias("visibility"), "line", "ord")
+    properties = parts.crossJoin(F.broadcast(n)).select((p % F.col("n")).alias("k"), F.concat(F.lit("v"), (p % 9).cast("string")).alias("name"), _type(p).alias("type"), p.cast("int").alias("line"), p.alias("ord")).join(names, "k").select(F.col("fqn").alias("owner"), "name", "type", F.lit("private").alias("visibility"), "line", "ord")
     properties = last_write_wins(properties, ["owner", "name"], ["ord"])
 
     o, ln = F.col("l_orderkey"), F.col("l_linenumber")
@@ -123,17 +124,17 @@ traits AS (SELECT 'T' || n_nationkey AS fqn FROM nation WHERE n_nationkey < 7),
 uses AS (SELECT fqn AS class, 'T' || (k % 7) AS trait, 0 AS use_ord FROM names WHERE k % 4 = 0),
 method_rows AS (
   SELECT fqn AS owner, 'class' AS owner_kind, p_partkey, p_size FROM part CROSS JOIN size_n JOIN names ON names.k = p_partkey % n WHERE p_size % 3 = 0
-  UNION ALL SELECT 'T' || (p_partkey % 7), 'trait', p_partkey, p_size FROM part WHERE p_size % 3 = 1 AND p_partkey % 20 = 0
-  UNION ALL SELECT 'I' || (p_partkey % 25), 'interface', p_partkey, p_size FROM part WHERE p_size % 3 = 2 AND p_partkey % 10 = 0
+  UNION ALL SELECT 'T' || (p_partkey % 7), 'trait', p_partkey, p_size FROM part WHERE p_size % 3 = 1
+  UNION ALL SELECT 'I' || (p_partkey % 25), 'interface', p_partkey, p_size FROM part WHERE p_size % 3 = 2
 ),
 methods AS (
-  SELECT owner, owner_kind, 'm' || ((p_partkey * 7 + p_size) % 41) AS name,
+  SELECT owner, owner_kind, CASE WHEN p_partkey % 9 = 4 THEN 'u' ELSE 'm' END || ((p_partkey * 7 + p_size) % 41) AS name,
     CASE WHEN owner_kind = 'interface' THEN 'public' WHEN p_partkey % 7 = 0 THEN 'private' WHEN p_partkey % 7 = 1 THEN 'protected' ELSE 'public' END AS visibility,
     p_partkey % 11 = 0 AS is_static, {_T}[(p_partkey % 8 + 1)::INT] AS return_type, {_PARAMS} AS params, p_partkey AS ord
   FROM method_rows QUALIFY row_number() OVER (PARTITION BY owner, name ORDER BY p_partkey DESC) = 1
 ),
 properties AS (
-  SELECT fqn AS owner, 'v' || (p_partkey % 9) AS name, {_T}[(p_partkey % 8 + 1)::INT] AS type FROM part CROSS JOIN size_n JOIN names ON names.k = p_partkey % n WHERE p_partkey % 6 = 0
+  SELECT fqn AS owner, 'v' || (p_partkey % 9) AS name, {_T}[(p_partkey % 8 + 1)::INT] AS type FROM part CROSS JOIN size_n JOIN names ON names.k = p_partkey % n
   QUALIFY row_number() OVER (PARTITION BY owner, name ORDER BY p_partkey DESC) = 1
 ),
 calls AS (
@@ -157,7 +158,7 @@ all_methods AS (
   ) QUALIFY row_number() OVER (PARTITION BY class, name ORDER BY rank, near, use_ord) = 1
 ),
 resolved AS (
-  SELECT c.*, m.owner || '::' || m.name AS target, CASE WHEN m.owner IS NULL THEN 0.0 ELSE CASE receiver_kind WHEN 'simple' THEN 1.0 WHEN 'nullable' THEN 0.9 ELSE 0.5 END END AS confidence,
+  SELECT c.*, m.owner || '::' || m.name AS target, CASE WHEN m.owner IS NULL THEN 0.0 ELSE CASE receiver_kind WHEN 'simple' THEN 1.0 WHEN 'nullable' THEN 0.9 ELSE 0.5 END END::DOUBLE AS confidence,
     CASE WHEN m.owner IS NULL THEN 'unresolved' ELSE how END AS method
   FROM calls c LEFT JOIN all_methods m ON m.class = c.receiver AND m.name = c.callee_name
 ),

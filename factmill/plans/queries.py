@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import names, typing
 from ..operators import boundary, called_before, compare, inherit, liveness, resolve, violations
+from ..operators.fixpoint import shared_folder
 from .bridge import CTES, TYPES, facts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,14 +29,36 @@ def query(sql: str | None = None, ctes: bool = True) -> Callable[[Query], Query]
     return register
 
 
-def _resolved(spark: SparkSession, sf_dir: str):
+#: Tables that a session writes once and all its queries read: (application, folder, name) to path and schema.
+_KEPT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written to the shared folder when it is first asked for. The tables in sf_dir mustn't change meanwhile."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        df = make()
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _KEPT[key] = path, df.schema
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def _hierarchy(spark: SparkSession, sf_dir: str):
+    """Facts whose chains of ancestors are known."""
     f = facts(spark, sf_dir)
-    return f, resolve.resolve_calls(f)
+    return f.with_(extra=f.extra | {"ancestors": kept(spark, sf_dir, "ancestors", lambda: inherit.ancestor_chain(f))})
+
+
+def _resolved(spark: SparkSession, sf_dir: str):
+    f = _hierarchy(spark, sf_dir)
+    return f, kept(spark, sf_dir, "resolved", lambda: resolve.resolve_calls(f))
 
 
 def _boundary(spark: SparkSession, sf_dir: str):
     f, r = _resolved(spark, sf_dir)
-    return f, boundary.boundary_calls(f, r)
+    return f, kept(spark, sf_dir, "boundary", lambda: boundary.boundary_calls(f, r))
 
 
 # ---------------------------------------------------------------- symbols and inheritance
@@ -46,18 +71,18 @@ def symbol_stats(spark, sf_dir):
 
 @query("SELECT class, ancestor, dist FROM ancestors")
 def ancestor_chain(spark, sf_dir):
-    return inherit.ancestor_chain(facts(spark, sf_dir))
+    return inherit.ancestor_chain(_hierarchy(spark, sf_dir))
 
 
 @query("SELECT class, name, owner, visibility, return_type FROM all_methods")
 def all_methods(spark, sf_dir):
-    return inherit.all_methods(facts(spark, sf_dir)).select("class", "name", "owner", "visibility", "return_type")
+    return inherit.all_methods(_hierarchy(spark, sf_dir)).select("class", "name", "owner", "visibility", "return_type")
 
 
 @query("""SELECT class, name, owner, type FROM (
   SELECT l.class, p.*, 0 AS r, dist AS near FROM lineage l JOIN properties p ON p.owner = l.ancestor) QUALIFY row_number() OVER (PARTITION BY class, name ORDER BY r, near) = 1""")
 def all_properties(spark, sf_dir):
-    return inherit.all_properties(facts(spark, sf_dir)).select("class", "name", "owner", "type")
+    return inherit.all_properties(_hierarchy(spark, sf_dir)).select("class", "name", "owner", "type")
 
 
 _OVERRIDES = """overrides AS (
@@ -68,17 +93,17 @@ _OVERRIDES = """overrides AS (
 
 @query(f", {_OVERRIDES} SELECT * FROM overrides")
 def method_overrides(spark, sf_dir):
-    return inherit.method_overrides(facts(spark, sf_dir))
+    return inherit.method_overrides(_hierarchy(spark, sf_dir))
 
 
 @query("SELECT DISTINCT class, up AS supertype FROM (SELECT class, ancestor AS up FROM ancestors UNION ALL SELECT class, interface FROM implements)")
 def subtype_pairs(spark, sf_dir):
-    return inherit.subtype_pairs(facts(spark, sf_dir))
+    return inherit.subtype_pairs(_hierarchy(spark, sf_dir))
 
 
 @query("SELECT fqn, coalesce(max(dist), 0)::INT AS depth FROM classes LEFT JOIN ancestors ON class = fqn GROUP BY fqn")
 def topo_order(spark, sf_dir):
-    return inherit.topological_order(facts(spark, sf_dir)).orderBy("depth", "fqn")
+    return inherit.topological_order(_hierarchy(spark, sf_dir)).orderBy("depth", "fqn")
 
 
 @query("SELECT owner, name, ord FROM methods")
@@ -253,12 +278,12 @@ _COMPLIANCE = f""", w AS (
 
 @query(f"{_COMPLIANCE} SELECT class, interface, name FROM problems WHERE problem = 'missing'")
 def interface_missing(spark, sf_dir):
-    return violations.interface_compliance(facts(spark, sf_dir)).where("problem = 'missing'").drop("problem")
+    return violations.interface_compliance(_hierarchy(spark, sf_dir)).where("problem = 'missing'").drop("problem")
 
 
 @query(f"{_COMPLIANCE} SELECT * FROM problems WHERE problem <> 'missing'")
 def interface_signature(spark, sf_dir):
-    return violations.interface_compliance(facts(spark, sf_dir)).where("problem <> 'missing'")
+    return violations.interface_compliance(_hierarchy(spark, sf_dir)).where("problem <> 'missing'")
 
 
 _API = ", api AS (SELECT DISTINCT target FROM boundary WHERE caller_project <> callee_project), sig AS (SELECT target, array_to_string(list_transform(params, lambda p: p.type), ',') AS param_types, return_type, visibility, is_static, len(params)::INT AS n_params, ord FROM api JOIN methods ON owner || '::' || name = target)"
@@ -361,18 +386,10 @@ def called_before_interproc(spark, sf_dir):
 # ---------------------------------------------------------------- liveness
 
 
-def _sliced(spark, sf_dir):
-    """A slice of the calls, so that something is dead."""
-    f = facts(spark, sf_dir)
-    few = f.with_(calls=f.calls.where("call_id % 8 = 1 AND call_id % 31 = 0"))
-    return few, resolve.resolve_calls(few)
-
-
-_LIVE = f""", {_OVERRIDES}, few AS (SELECT * FROM resolved WHERE call_id % 8 = 1 AND call_id % 31 = 0),
-refs AS (
-  SELECT target, 'resolved_call' AS reason, false AS is_weak FROM few WHERE target IS NOT NULL
-  UNION SELECT split_part(target, '::', 1), 'static_access', false FROM few WHERE target IS NOT NULL
-  UNION SELECT callee_name, 'unresolved_call', true FROM few WHERE target IS NULL
+_LIVE = f""", {_OVERRIDES}, refs AS (
+  SELECT target, 'resolved_call' AS reason, false AS is_weak FROM resolved WHERE target IS NOT NULL
+  UNION SELECT split_part(target, '::', 1), 'static_access', false FROM resolved WHERE target IS NOT NULL
+  UNION SELECT callee_name, 'unresolved_call', true FROM resolved WHERE target IS NULL
   UNION SELECT extends, 'inheritance', false FROM classes WHERE extends IS NOT NULL
   UNION SELECT interface, 'interface_impl', false FROM implements
   UNION SELECT trait, 'trait_use', false FROM uses
@@ -396,22 +413,26 @@ dead AS (SELECT * FROM symbols WHERE fqn NOT IN (SELECT fqn FROM alive_s) AND fq
 
 @query(f"{_LIVE} SELECT target, reason, is_weak FROM refs")
 def liveness_refs(spark, sf_dir):
-    return liveness.references(*_sliced(spark, sf_dir))
+    return liveness.references(*_resolved(spark, sf_dir))
 
 
 @query(f"{_LIVE} SELECT fqn FROM alive_s")
 def alive_strong(spark, sf_dir):
-    return liveness.alive(*_sliced(spark, sf_dir)).where("mark = 'strong'").select("fqn")
+    return _alive(spark, sf_dir)[1].where("mark = 'strong'").select("fqn")
 
 
 @query(f"{_LIVE} SELECT fqn FROM weak")
 def alive_weak(spark, sf_dir):
-    return liveness.alive(*_sliced(spark, sf_dir)).where("mark = 'weak'").select("fqn")
+    return _alive(spark, sf_dir)[1].where("mark = 'weak'").select("fqn")
+
+
+def _alive(spark, sf_dir):
+    f, r = _resolved(spark, sf_dir)
+    return f, kept(spark, sf_dir, "alive", lambda: liveness.alive(f, r))
 
 
 def _dead(spark, sf_dir):
-    f, r = _sliced(spark, sf_dir)
-    return liveness.dead(f, liveness.alive(f, r))
+    return liveness.dead(*_alive(spark, sf_dir))
 
 
 @query(f"{_LIVE} SELECT fqn, kind, visibility FROM dead")

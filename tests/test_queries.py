@@ -2,6 +2,7 @@
 
 import glob
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,7 +23,7 @@ def duck():
 def rows(columns, data):
     """Comparable rows: columns by name, numbers alike whatever their type."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    plain = lambda v: round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    plain = lambda v: round(float(v), 6) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else v
     return [columns[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
