@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.fixpoint import shared_folder
+
 #: ASCII white space separates words; the same set that bytes.split() uses.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once inside a task, so that numpy scratch space stays small.
@@ -25,12 +26,8 @@ SLICE_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="factmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/factmill-{spark.sparkContext.applicationId}"
+    """The shared folder for intermediate tables, of spark.checkpoint.dir."""
+    return shared_folder(spark)
 
 
 def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
