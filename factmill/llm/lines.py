@@ -37,9 +37,15 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
 
 
+def has_word(line: Column) -> Column:
+    """Whether a line has a word; told by its first character that is no space, without cutting it."""
+    return line.rlike("[^ \\t\\x0B\\f\\r]")
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     """Every line with a word: id, words and their number n."""
-    return rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("words", line_words(F.col("line"))).withColumn("n", F.size("words")).where("n > 0").drop("line")
+    each = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(has_word(F.col("line")))
+    return each.withColumn("words", line_words(F.col("line"))).withColumn("n", F.size("words")).drop("line")
 
 
 def _half(side: str, shorter: Column, min_words: int) -> Column:
@@ -158,7 +164,7 @@ def dedup_lines(docs: DataFrame, name: str = "lines", min_words: int = MIN_WORDS
     kept = F.array_except(F.sequence(F.lit(0), F.size(split_) - 1), F.col(gone_))
     text = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(split_), i)), "\n"))
     counted = joined.withColumn(split_, F.split("text", "\n")).withColumn(text_, text)
-    n_lines = F.coalesce(F.size(F.filter(split_, lambda x: F.length(F.translate(x, " \t\u000b\f\r", "")) > 0)), F.lit(0))
+    n_lines = F.coalesce(F.size(F.filter(split_, has_word)), F.lit(0))
     return counted.select(
         *(F.col(text_).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in counts),
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias(counts[0]),
