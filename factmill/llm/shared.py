@@ -40,9 +40,9 @@ Tokens = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 class Scheme:
     """tokens: texts to (a 64-bit value for each token of all texts, tokens in each text); window and anchor sizes.
 
-    turns: anchors are gathered in so many slices of their hash, one after the
-    other, which divides the disk that their shuffle takes and repeats the
-    search for anchors.
+    turns: anchors, and then windows, are gathered in so many slices of their
+    hash, one after the other, which divides the disk that their shuffle takes
+    and repeats the search for anchors.
     """
 
     tokens: Tokens
@@ -204,13 +204,19 @@ def shared_spans(docs: DataFrame, scheme: Scheme, name: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(ids[text[at]]), pa.array((position[at] << 16) + np.array(tags)[text[at]])], names=["h", "doc_id", "place"])
 
     checked = docs.join(open_runs, "doc_id").select("doc_id", "text", "places").mapInArrow(windows, "h long, doc_id long, place long")
-    checked = materialize(checked, f"{name}-windows")
+    checked = materialize(checked.withColumn("turn", F.pmod("h", F.lit(scheme.turns)).cast("int")), f"{name}-windows", "turn")
     tidy(spark)
-    earliest = checked.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
-    single = checked.join(earliest, "h").where("lo < doc_id").select("doc_id", (F.col("place") % 65536).cast("int").alias("tag"), F.expr("place DIV 65536").alias("start"), F.lit(w).cast("long").alias("length"))
+    singles = []
+    for turn in range(scheme.turns):
+        some = checked.where(F.col("turn") == turn).drop("turn")
+        earliest = some.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
+        singles.append(materialize(some.join(earliest, "h").where("lo < doc_id").select("doc_id", "place"), f"{name}-later"))
+        tidy(spark)
+    discard(checked)
+    single = reduce(DataFrame.unionByName, singles).select("doc_id", (F.col("place") % 65536).cast("int").alias("tag"), F.expr("place DIV 65536").alias("start"), F.lit(w).cast("long").alias("length"))
     spans = covered.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     spans = materialize(spans, f"{name}-spans")
-    discard(*found, checked)
+    discard(*found, *singles)
     tidy(spark)
     return spans
 
