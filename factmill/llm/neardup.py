@@ -389,9 +389,8 @@ def _linked(met: DataFrame, state: _State) -> DataFrame | None:
     large = live.where(f"members > {SMALL}")
     state.settle(as_pairs(state.within(live.where(f"members <= {SMALL}")).unionByName(state.to_pivots(large).drop("order"))))
     live = state.open(live, SMALL)
-    one = ["doc_id", "set_hash", "band"]
-    exposed = live.groupBy(*one).agg(F.count(F.lit(1)).alias("large"), F.min("slack").alias("slack")).where("large >= slack").select(*one, F.lit(True).alias("exposed"))
-    live_ = live.join(exposed, one, "left").withColumn("exposed", F.coalesce("exposed", F.lit(False)))
+    mine = Window.partitionBy("doc_id", "set_hash", "band")  # as many rows as a set has keys in a band
+    live_ = live.withColumn("exposed", F.count(F.lit(1)).over(mine) >= F.min("slack").over(mine))
     some = live_.groupBy("key").agg(F.count_if("exposed").alias("n_exposed")).where("n_exposed > 0")
     marked = materialize(live_.join(some, "key"), f"{state.name}-exposed")
     discard(live)
