@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..facts import Facts
 
 
-def file_project(files: DataFrame, projects: DataFrame, most: int = 100_000) -> DataFrame:
+def file_project(files: DataFrame, projects: DataFrame, most: int = 500) -> DataFrame:
     """(file_path, project): the longest root that is a prefix of the path, without a separator test.
 
     Projects are broadcast if there are at most so many; beyond that, paths are

@@ -110,39 +110,44 @@ def base_name(t: Column) -> Column:
 
 def api_signatures(facts: Facts, surface: DataFrame) -> DataFrame:
     """Signatures of the methods that other projects call."""
-    m = facts.methods.select(F.concat_ws("::", "owner", "name").alias("target"), F.array_join(F.transform("params", lambda p: p["type"]), ",").alias("param_types"), "return_type", "visibility", "is_static", F.size("params").alias("n_params"))
+    m = facts.methods.select(F.concat_ws("::", "owner", "name").alias("target"), F.array_join(F.transform("params", lambda p: p["type"]), ",").alias("param_types"), F.transform("params", lambda p: p["type"]).alias("types"), "return_type", "visibility", "is_static", F.size("params").alias("n_params"))
     return surface.select("target").join(m, "target")
 
 
-#: Rules of breaking changes by kind; old and new are signature columns.
 def breaking_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(target, change) between signatures(target, param_types, return_type, visibility, is_static, n_params)."""
-    n = new.select("target", *(F.col(c).alias(f"new_{c}") for c in new.columns if c != "target"))
+    """(target, change) between signatures(target, types, return_type, visibility).
+
+    A result changes only where both are declared; more parameters count as
+    added and required, whatever their defaults; types are compared position by
+    position as far as both lists go, one row for each that differs.
+    """
+    n = new.select("target", *(F.col(c).alias(f"new_{c}") for c in ("types", "return_type", "visibility")))
     both = old.join(n, "target", "left")
-    changes = F.when(F.col("new_visibility").isNull(), F.array(F.lit("method_removed"))).otherwise(
-        F.array_compact(
-            F.array(
-                F.when(F.col("n_params") != F.col("new_n_params"), "parameter_count_changed"),
-                F.when((F.col("n_params") == F.col("new_n_params")) & (F.col("param_types") != F.col("new_param_types")), "parameter_type_changed"),
-                F.when(~F.col("return_type").eqNullSafe(F.col("new_return_type")), "return_type_changed"),
-                F.when(rank(F.col("new_visibility")) < rank(F.col("visibility")), "visibility_reduced"),
-                F.when(F.col("is_static") != F.col("new_is_static"), "static_changed"),
-            )
-        )
+    size, new_size = F.size("types"), F.size("new_types")
+    shared = F.slice(F.arrays_zip("types", "new_types"), F.lit(1), F.least(size, new_size))
+    retyped = F.transform(F.filter(shared, lambda z: F.coalesce(z["types"] != z["new_types"], F.lit(False))), lambda z: F.lit("parameter_type_changed"))
+    one = F.array(
+        F.when(F.col("return_type") != F.col("new_return_type"), "return_type_changed"),
+        F.when(new_size > size, "parameter_added_required").when(new_size < size, "parameter_removed"),
+        F.when(rank(F.col("new_visibility")) < rank(F.col("visibility")), "visibility_reduced"),
     )
+    changes = F.when(F.col("new_visibility").isNull(), F.array(F.lit("method_removed"))).otherwise(F.concat(F.array_compact(one), retyped))
     return both.select("target", F.explode(changes).alias("change"))
 
 
 def stability_scores(boundary: DataFrame, violations: DataFrame, breaking: DataFrame | None = None) -> DataFrame:
-    """Score of each pair of projects with calls: 1 - 0.1 * violations - 0.2 * breaking changes, not below 0."""
+    """Score of each pair of projects with calls: 1 - 0.1 * violations - 0.2 * breaking changes, not below 0.
+
+    Violations are those of the pair's calls; breaking changes all those of the called project.
+    """
     pair = ["caller_project", "callee_project"]
     calls = cross(boundary)
     of = calls.select("call_id", "target", *pair)
     v = violations.select("call_id").join(of.select("call_id", *pair), "call_id").groupBy(*pair).agg(F.count(F.lit(1)).alias("v"))
     out = calls.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_calls")).join(v, pair, "left")
     if breaking is not None:
-        b = breaking.join(of.select("target", *pair).distinct(), "target").groupBy(*pair).agg(F.count(F.lit(1)).alias("b"))
-        out = out.join(b, pair, "left")
+        b = breaking.join(of.select("target", "callee_project").distinct(), "target").groupBy("callee_project").agg(F.count(F.lit(1)).alias("b"))
+        out = out.join(b, "callee_project", "left")
     else:
         out = out.withColumn("b", F.lit(0))
     score = F.greatest(F.lit(0.0), 1 - 0.1 * F.coalesce("v", F.lit(0)) - 0.2 * F.coalesce("b", F.lit(0)))

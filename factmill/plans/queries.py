@@ -236,7 +236,10 @@ def visibility_violations(spark, sf_dir):
     return violations.visibility_violations(_boundary(spark, sf_dir)[1])
 
 
-@query(f"{_CROSS} SELECT * FROM (SELECT call_id, target, len(args)::INT AS n_args, len(list_filter(tp, lambda p: NOT p.has_default))::INT AS n_required, len(tp)::INT AS n_most FROM x) WHERE n_args < n_required OR n_args > n_most")
+_COUNTS = ", ac AS (SELECT * FROM (SELECT call_id, target, len(args)::INT AS n_args, len(list_filter(tp, lambda p: NOT p.has_default))::INT AS n_required, len(tp)::INT AS n_most FROM x) WHERE n_args < n_required OR n_args > n_most)"
+
+
+@query(f"{_CROSS}{_COUNTS} SELECT * FROM ac")
 def argument_count(spark, sf_dir):
     return violations.argument_counts(_boundary(spark, sf_dir)[1])
 
@@ -248,9 +251,12 @@ def _fits(arg: str, param: str) -> str:
     return f"({param} IN ('mixed') OR {arg} = 'mixed' AND {param} = 'mixed' OR (NOT contains({arg}, '|') AND {b} = {p}) OR (contains({param}, '|') AND NOT contains({arg}, '|') AND list_contains(string_split({param}, '|'), {b})) OR (NOT contains({arg}, '|') AND {b} = 'int' AND {p} = 'float'))"
 
 
-@query(f"""{_CROSS} SELECT call_id, target, pos::INT AS pos, arg, param FROM (
+_ARGUMENTS = f""", ats AS (SELECT call_id, target, pos::INT AS pos, arg, param FROM (
   SELECT call_id, target, i AS pos, args[(i + 1)::INT] AS arg, tp[(i + 1)::INT].type AS param FROM (SELECT *, unnest(range(0, least(len(args), len(tp)))) AS i FROM x))
-  WHERE arg IS NOT NULL AND param IS NOT NULL AND NOT CASE WHEN arg = 'null' THEN starts_with(param, '?') OR param = 'mixed' ELSE {_fits('arg', 'param')} END""")
+  WHERE arg IS NOT NULL AND param IS NOT NULL AND NOT CASE WHEN arg = 'null' THEN starts_with(param, '?') OR param = 'mixed' ELSE {_fits('arg', 'param')} END)"""
+
+
+@query(f"{_CROSS}{_ARGUMENTS} SELECT * FROM ats")
 def argument_types(spark, sf_dir):
     return violations.argument_types(*_boundary(spark, sf_dir))
 
@@ -296,28 +302,28 @@ def _signatures(spark, sf_dir):
 
 @query(f"{_API} SELECT target, param_types, return_type, visibility, is_static, n_params FROM sig")
 def api_signatures(spark, sf_dir):
-    return _signatures(spark, sf_dir)[0]
+    return _signatures(spark, sf_dir)[0].drop("types")
 
 
 def _changed(sig: DataFrame) -> DataFrame:
-    """A later state: methods m0 are gone, m1 private, m2 return void, m3 static, m4 lose their parameters."""
+    """A later state: methods m0 are gone, m1 private, m2 return void, m3 have one more parameter, m4 none, m5 another first one, m6 return nothing declared."""
     is_ = lambda m: F.col("target").endswith(f"::{m}")
+    t = F.col("types")
     return sig.where(~is_("m0")).select(
         "target",
-        F.when(is_("m4"), "").otherwise(F.col("param_types")).alias("param_types"),
-        F.when(is_("m2"), "void").otherwise(F.col("return_type")).alias("return_type"),
+        F.when(is_("m3"), F.concat(t, F.array(F.lit("int")))).when(is_("m4"), F.slice(t, 1, 0)).when(is_("m5"), F.transform(t, lambda x, i: F.when(i == 0, "resource").otherwise(x))).otherwise(t).alias("types"),
+        F.when(is_("m2"), "void").when(~is_("m6"), F.col("return_type")).alias("return_type"),
         F.when(is_("m1"), "private").otherwise(F.col("visibility")).alias("visibility"),
-        F.when(is_("m3"), True).otherwise(F.col("is_static")).alias("is_static"),
-        F.when(is_("m4"), 0).otherwise(F.col("n_params")).alias("n_params"),
     )
 
 
 _BREAKING = f"""{_API}, breaking AS (
   SELECT target, 'method_removed' AS change FROM sig WHERE ends_with(target, '::m0')
-  UNION ALL SELECT target, 'parameter_count_changed' FROM sig WHERE ends_with(target, '::m4') AND n_params <> 0
+  UNION ALL SELECT target, 'parameter_added_required' FROM sig WHERE ends_with(target, '::m3')
+  UNION ALL SELECT target, 'parameter_removed' FROM sig WHERE ends_with(target, '::m4') AND n_params > 0
+  UNION ALL SELECT target, 'parameter_type_changed' FROM sig WHERE ends_with(target, '::m5') AND n_params > 0
   UNION ALL SELECT target, 'return_type_changed' FROM sig WHERE ends_with(target, '::m2') AND return_type <> 'void'
   UNION ALL SELECT target, 'visibility_reduced' FROM sig WHERE ends_with(target, '::m1') AND visibility <> 'private'
-  UNION ALL SELECT target, 'static_changed' FROM sig WHERE ends_with(target, '::m3') AND NOT is_static
 )"""
 
 
@@ -327,14 +333,17 @@ def breaking_changes(spark, sf_dir):
     return violations.breaking_changes(sig, _changed(sig))
 
 
-@query(f"""{_CROSS}{_VISIBILITY}{_BREAKING}, pairs AS (SELECT caller_project, callee_project, count(*) AS n_calls FROM x GROUP BY ALL),
-  pv AS (SELECT caller_project, callee_project, count(*) AS n FROM v JOIN x USING (call_id) GROUP BY ALL),
-  pb AS (SELECT caller_project, callee_project, count(*) AS n FROM breaking JOIN (SELECT DISTINCT target, caller_project, callee_project FROM x) USING (target) GROUP BY ALL)
+@query(f"""{_CROSS}{_VISIBILITY}{_COUNTS}{_ARGUMENTS}{_BREAKING}, pairs AS (SELECT caller_project, callee_project, count(*) AS n_calls FROM x GROUP BY ALL),
+  bad AS (SELECT call_id FROM v UNION ALL SELECT call_id FROM ac UNION ALL SELECT call_id FROM ats),
+  pv AS (SELECT caller_project, callee_project, count(*) AS n FROM bad JOIN x USING (call_id) GROUP BY ALL),
+  pb AS (SELECT callee_project, count(*) AS n FROM breaking JOIN (SELECT DISTINCT target, callee_project FROM x) USING (target) GROUP BY ALL)
   SELECT caller_project, callee_project, n_calls, coalesce(pv.n, 0) AS n_violations, round(greatest(0.0, 1 - 0.1 * coalesce(pv.n, 0) - 0.2 * coalesce(pb.n, 0)), 6)::DOUBLE AS score
-  FROM pairs LEFT JOIN pv USING (caller_project, callee_project) LEFT JOIN pb USING (caller_project, callee_project)""")
+  FROM pairs LEFT JOIN pv USING (caller_project, callee_project) LEFT JOIN pb USING (callee_project)""")
 def stability_scores(spark, sf_dir):
-    sig, b = _signatures(spark, sf_dir)
-    out = violations.stability_scores(b, violations.visibility_violations(b), violations.breaking_changes(sig, _changed(sig)))
+    f, b = _boundary(spark, sf_dir)
+    sig, _ = _signatures(spark, sf_dir)
+    bad = violations.visibility_violations(b).select("call_id").unionByName(violations.argument_counts(b).select("call_id")).unionByName(violations.argument_types(f, b).select("call_id"))
+    out = violations.stability_scores(b, bad, violations.breaking_changes(sig, _changed(sig)))
     return out.withColumn("score", F.col("score").cast("double"))
 
 
