@@ -23,6 +23,22 @@ def visibility_violations(boundary: DataFrame) -> DataFrame:
     return bad.select("call_id", "caller", "target", F.col("target_visibility").alias("visibility"), F.when(F.col("target_visibility") == "private", "error").otherwise("warning").alias("severity"))
 
 
+def severity_counts(violations: DataFrame) -> DataFrame:
+    return violations.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def null_counters(accesses: DataFrame) -> DataFrame:
+    """One row: guarded accesses, unguarded ones, and how many of these are surely of null. Unknown states count nowhere."""
+    state = F.col("state")
+    return accesses.agg(F.count_if(state == "definitely_not_null").alias("guarded"), F.count_if(state.isin("possibly_null", "definitely_null")).alias("unguarded"), F.count_if(state == "definitely_null").alias("definite"))
+
+
+def return_counters(returns: DataFrame) -> DataFrame:
+    """One row: methods that were checked, and how many of each status."""
+    methods = returns.groupBy("method").agg(F.min("status").alias("status"))  # a method's rows have one status
+    return methods.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("verified", "failed", "uncertain")))
+
+
 def argument_counts(boundary: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     """Calls with fewer arguments than required, or more than there are parameters (unless the last is variadic)."""
     params = F.col("target_params")

@@ -236,6 +236,11 @@ def visibility_violations(spark, sf_dir):
     return violations.visibility_violations(_boundary(spark, sf_dir)[1])
 
 
+@query(f"{_CROSS}{_VISIBILITY} SELECT severity, count(*) AS n FROM v GROUP BY 1")
+def severity_counts(spark, sf_dir):
+    return violations.severity_counts(violations.visibility_violations(_boundary(spark, sf_dir)[1]))
+
+
 _COUNTS = ", ac AS (SELECT * FROM (SELECT call_id, target, len(args)::INT AS n_args, len(list_filter(tp, lambda p: NOT p.has_default))::INT AS n_required, len(tp)::INT AS n_most FROM x) WHERE n_args < n_required OR n_args > n_most)"
 
 
@@ -558,6 +563,89 @@ def null_states(spark, sf_dir):
     return _parsed(spark)["null_accesses"].where("method LIKE 'Nulls%'").select("method", "state", "line")
 
 
+# One file a supplier, so that SQL derives the rows: supplier k has the (k % n)-th of each.
+
+#: Body of f(?X $r, $n), what it accesses $r as, and in which state.
+_BODIES = (
+    ("$r->g();", "method", "possibly_null"),
+    ("if ($r !== null) { $r->g(); }", "method", "definitely_not_null"),
+    ("if ($r === null) { return; } $n = $r->p;", "property", "definitely_not_null"),
+    ("$r = null; $r->g();", "method", "definitely_null"),
+    ("$n = $r[0];", "array", "possibly_null"),
+    ("if ($r instanceof X) { $n = 1; } else { $r->g(); }", "method", "possibly_null"),
+    ("if ($n) { $r = new X(); } $r->g();", "method", "definitely_not_null"),
+    ("if ($r === null) { throw new E(); } $r->g();", "method", "definitely_not_null"),
+)
+#: Declared result and body of g(), its status and problem.
+_RESULTS = (
+    (": int", "return 1;", "verified", None),
+    (": int", "return 'a';", "failed", "return_type_mismatch"),
+    (": void", "return 1;", "failed", "void_with_value"),
+    (": int", "$n = 1;", "failed", "missing_return"),
+    (": ?int", "return null;", "verified", None),
+    ("", "return 1;", "uncertain", None),
+)
+#: Body of h(), the target of its call, confidence and method; @ is k.
+_CALLS = (
+    ("strlen('a');", "strlen", 1.0, "explicit_type"),
+    ("self::f(null, 1);", "S@::f", 1.0, "static_call"),
+    ("Ext::make();", "Ext::make", 0.5, "static_call"),
+    ("$x = new S@(); $x->f(null, 1);", "S@::f", 1.0, "assignment_tracking"),
+    ("helper@();", "helper@", 1.0, "explicit_type"),
+)
+
+
+def _generated(spark, sf_dir):
+    """The fact tables of those files, parsed once a session."""
+    from ..sources.php.facts import fact_rows, tables
+
+    own = F.col("s_suppkey").cast("string")
+    pick = lambda rows, i: F.replace(F.element_at(F.array(*(F.lit(r[i]) for r in rows)), (F.col("s_suppkey") % len(rows) + 1).cast("int")), F.lit("@"), own)
+    parts = ["<?php class S", own, " { public function f(?X $r, $n) { ", pick(_BODIES, 0), " } public function g()", pick(_RESULTS, 0), " { ", pick(_RESULTS, 1), " } public function h() { ", pick(_CALLS, 0), " } } function helper", own, "() { return 1; }"]
+    content = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/gen/S"), own, F.lit(".php")).alias("file_path"), content.alias("content"))
+    return tables(kept(spark, sf_dir, "generated", lambda: fact_rows(files)))
+
+
+def _case(rows, i: int) -> str:
+    """The SQL of the i-th field."""
+    value = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}"
+    return f"CASE s_suppkey % {len(rows)} " + " ".join(f"WHEN {k} THEN {value(r[i])}" for k, r in enumerate(rows)) + " END"
+
+
+_ACCESSES = f"SELECT 'S' || s_suppkey || '::f' AS method, {_case(_BODIES, 1)} AS access, {_case(_BODIES, 2)} AS state FROM supplier UNION ALL SELECT 'S' || s_suppkey || '::h', 'method', 'definitely_not_null' FROM supplier WHERE s_suppkey % {len(_CALLS)} = 3"  # h() calls f() of a new object
+_CHECKS = f"SELECT 'S' || s_suppkey || '::g' AS method, {_case(_RESULTS, 2)} AS status, {_case(_RESULTS, 3)} AS problem FROM supplier UNION ALL SELECT 'S' || s_suppkey || m, 'uncertain', NULL FROM supplier CROSS JOIN (VALUES ('::f'), ('::h')) v(m)"
+
+
+@query(_ACCESSES, ctes=False)
+def null_accesses(spark, sf_dir):
+    return _generated(spark, sf_dir)["null_accesses"].select("method", "access", "state")
+
+
+@query(f"SELECT count(*) FILTER (state = 'definitely_not_null') AS guarded, count(*) FILTER (state IN ('possibly_null', 'definitely_null')) AS unguarded, count(*) FILTER (state = 'definitely_null') AS definite FROM ({_ACCESSES})", ctes=False)
+def null_counters(spark, sf_dir):
+    return violations.null_counters(_generated(spark, sf_dir)["null_accesses"])
+
+
+@query(_CHECKS, ctes=False)
+def return_checks(spark, sf_dir):
+    return _generated(spark, sf_dir)["returns"].select("method", "status", "problem")
+
+
+@query(f"SELECT count(DISTINCT method) AS total, count(DISTINCT method) FILTER (status = 'verified') AS verified, count(DISTINCT method) FILTER (status = 'failed') AS failed, count(DISTINCT method) FILTER (status = 'uncertain') AS uncertain FROM ({_CHECKS})", ctes=False)
+def return_counters(spark, sf_dir):
+    return violations.return_counters(_generated(spark, sf_dir)["returns"])
+
+
+@query(f"SELECT 'S' || s_suppkey || '::h' AS caller, replace({_case(_CALLS, 1)}, '@', s_suppkey::VARCHAR) AS target, ({_case(_CALLS, 2)})::DOUBLE AS confidence, {_case(_CALLS, 3)} AS method FROM supplier", ctes=False)
+def parsed_calls(spark, sf_dir):
+    """Calls from source text to their targets: built-in, own and external static, tracked and user functions."""
+    from ..sources.php.facts import BUILTIN_FUNCTIONS, resolve_sites
+
+    resolved = resolve.resolve_calls(resolve_sites(_generated(spark, sf_dir)), BUILTIN_FUNCTIONS)
+    return resolved.where("caller LIKE '%::h'").select("caller", "target", F.col("confidence").cast("double").alias("confidence"), "method")
+
+
 @query("""SELECT * FROM (VALUES ('Shop::sell', 'Mailer::onSold'), ('Shop::sell', 'Audit::onAnything'), ('Shop::stock', 'Audit::onAnything')) v(caller, target)""", ctes=False)
 def event_edges(spark, sf_dir):
     from ..sources.php.facts import synthetic_edges

@@ -237,9 +237,13 @@ class NullStates:
     """Follows what is known of variables, statement by statement, and records accesses.
 
     Loops and other constructs are walked once. What a guarded branch learns
-    ends with it, but for an early exit after a null test.
+    ends with it, but for a return or throw in the branch of a null test. An if
+    without a null test shares its state with what follows; its condition and
+    its elseif branches aren't looked at, nor are those of a guarded one.
     """
 
+    ACCESS = {"member_call": "method", "property": "property", "index": "array"}
+
     def __init__(self, method: dict, returns: dict[str, str | None] | None = None):
         self.accesses: list[tuple[str, str, int, str]] = []  # variable, kind, line, state
         self.returns = returns or {}
@@ -270,13 +274,19 @@ class NullStates:
         return None
 
     def scan(self, e, state: dict[str, str]) -> None:
+        """Record accesses; what stands inside a subscript access isn't looked at."""
+        inside: set[int] = set()
         for x in walk(e):
-            if x["kind"] in ("member_call", "property") and not x.get("null_safe") and (k := self.key(x["object"])) and k != "$this":
-                self.accesses.append((k, "method" if x["kind"] == "member_call" else "property", x["line"], state.get(k, UNKNOWN)))
+            if id(x) in inside:
+                continue
+            if x["kind"] == "index":
+                inside.update(id(y) for y in walk([x["object"], x["args"]]))
+            if x["kind"] in self.ACCESS and not x.get("null_safe") and (k := self.key(x["object"])) and k != "$this":
+                self.accesses.append((k, self.ACCESS[x["kind"]], x["line"], state.get(k, UNKNOWN)))
 
     def assigned(self, e: dict, state: dict[str, str]) -> str:
         if e["kind"] == "literal":
-            return NULL if e["type"] == "null" else NOT_NULL
+            return NULL if e["type"] == "null" else UNKNOWN
         if e["kind"] == "new":
             return NOT_NULL
         if k := self.key(e):
@@ -286,12 +296,12 @@ class NullStates:
             return UNKNOWN if not t else MAYBE if t.startswith("?") or "null" in t.split("|") else NOT_NULL
         return UNKNOWN
 
-    def guard(self, c: dict | None) -> tuple[str, str, str] | None:
-        """(variable, state if the condition holds, state if not)."""
+    def guard(self, c: dict | None) -> tuple[str, str, str | None] | None:
+        """(variable, state if the condition holds, state if not; None: as before)."""
         if c is None or c["kind"] != "binary":
             return None
         if c["op"] == "instanceof" and (k := self.key(c["left"])):
-            return k, NOT_NULL, MAYBE
+            return k, NOT_NULL, None
         a, b = c["left"], c["right"]
         if b["kind"] == "literal" and b["type"] == "null":
             k = self.key(a)
@@ -315,18 +325,14 @@ class NullStates:
         if s["kind"] == "if":
             g = self.guard(s["cond"])
             if g is None:
-                self.scan(s["cond"], state)
                 self.run(s["body"], state)
-                for c, body in s["elseifs"]:
-                    self.scan(c, state)
-                    self.run(body, state)
                 self.run(s["else"] or [], state)
                 return
             k, yes, no = g
             self.run(s["body"], state | {k: yes})
             if s["else"] is not None:
-                self.run(s["else"], state | {k: no})
-            if yes == NULL and s["body"] and s["body"][-1]["kind"] in ("return", "throw", "continue", "break"):
+                self.run(s["else"], state | ({k: no} if no else {}))
+            if yes == NULL and any(x["kind"] in ("return", "throw") for x in s["body"]):
                 state[k] = NOT_NULL
             return
         if s["kind"] in ("block", "while", "for", "foreach", "do", "try"):

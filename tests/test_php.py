@@ -99,6 +99,15 @@ def test_return_diagnostics(body, declared, want):
         ("$a = new X; $a->p;", ["definitely_not_null"]),
         ("$b->x();", ["unknown"]),
         ("$a?->x();", []),
+        ("$a[0];", ["possibly_null"]),
+        ("$a[$a->x()];", ["possibly_null"]),
+        ("$b = $a[0][1];", []),
+        ("if ($a === null) { return; $b = 1; } $a->x();", ["definitely_not_null"]),
+        ("foreach ($b as $c) { if ($a === null) { continue; } $a->x(); }", ["possibly_null"]),
+        ("if ($a->x()) { $b = 1; } elseif ($a->y()) { $a->z(); } else { $a->w(); }", ["possibly_null"]),
+        ("if ($b) { $a = new X; } $a->x();", ["definitely_not_null"]),
+        ("if ($b instanceof X) { $b->x(); } else { $b->y(); }", ["definitely_not_null", "unknown"]),
+        ("$a = 5; $a->x();", ["unknown"]),
     ],
 )
 def test_null_states(body, want):
