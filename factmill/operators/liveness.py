@@ -84,3 +84,30 @@ def dead(facts: Facts, living: DataFrame) -> DataFrame:
 def dead_counts(dead_symbols: DataFrame) -> DataFrame:
     kind = F.when(F.col("kind") == "method", F.when(F.col("visibility") == "private", "private_method").otherwise("other_method")).otherwise(F.col("kind"))
     return dead_symbols.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def located(facts: Facts, dead_symbols: DataFrame) -> DataFrame:
+    """dead_symbols with file_path and line: a member's file is its owner's, and properties of traits have no place.
+
+    Declarations without a line stand at the first.
+    """
+    line = lambda df: F.col("line").cast("int") if "line" in df.columns else F.lit(None).cast("int")
+    declared = {"class": facts.classes, "interface": facts.interfaces, "trait": facts.traits, "function": facts.functions}
+    one = lambda df, kind: df.select("fqn", F.lit(kind).alias("kind"), "file_path", line(df).alias("line"))
+    places = [one(df, kind) for kind, df in declared.items()]
+    owners = [df.select(F.col("fqn").alias("owner"), F.lit(kind).alias("owner_kind"), F.col("file_path").alias("owner_file")) for kind, df in declared.items() if kind != "function"]
+    m = facts.methods.join(owners[0].unionByName(owners[1]).unionByName(owners[2]), ["owner", "owner_kind"])
+    places.append(m.select(F.concat_ws("::", "owner", "name").alias("fqn"), F.lit("method").alias("kind"), F.col("owner_file").alias("file_path"), line(m).alias("line")))
+    v = facts.properties.join(owners[0], "owner")
+    places.append(v.select(F.concat(F.col("owner"), F.lit("::$"), F.col("name")).alias("fqn"), F.lit("property").alias("kind"), F.col("owner_file").alias("file_path"), line(v).alias("line")))
+    where = places[0]
+    for more in places[1:]:
+        where = where.unionByName(more)
+    first = where.groupBy("fqn", "kind").agg(F.min(F.struct("file_path", "line")).alias("x"))
+    return dead_symbols.join(first, ["fqn", "kind"], "left").select(*dead_symbols.columns, F.col("x.file_path").alias("file_path"), F.coalesce("x.line", F.lit(1)).alias("line"))
+
+
+def dead_filter(dead_symbols: DataFrame, methods: bool = False, properties: bool = False) -> DataFrame:
+    """Without methods that aren't private and without properties, unless they are asked for."""
+    left = dead_symbols if methods else dead_symbols.where("kind <> 'method' OR visibility = 'private'")
+    return left if properties else left.where("kind <> 'property'")

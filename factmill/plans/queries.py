@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions import names, typing
 from ..operators import boundary, called_before, compare, inherit, liveness, resolve, violations
 from ..operators.fixpoint import shared_folder
+from ..sources import sinks
 from .bridge import CTES, TYPES, facts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,6 +465,94 @@ def dead_top50(spark, sf_dir):
     return _dead(spark, sf_dir).select("fqn", "kind").orderBy("fqn", "kind").limit(50)
 
 
+# ---------------------------------------------------------------- documents
+
+
+def _quote(c: str) -> str:
+    """The SQL of a quoted name."""
+    return f"'\"' || replace({c}, chr(92), chr(92) || chr(92)) || '\"'"
+
+
+def _document(head: str, parts: list[str]) -> str:
+    """The SQL of a document: its parts give lines."""
+    rows = [f"SELECT 0 AS section, '{head}' AS line", *(f"SELECT {i + 1}, line FROM ({part})" for i, part in enumerate(parts)), f"SELECT {len(parts) + 1}, '}}'"]
+    return " UNION ALL ".join(rows)
+
+
+_EDGE = f"{_quote('caller')} || ' -> ' || {_quote('target')} || ' [color=\"' || CASE WHEN confidence >= 0.9 THEN '#4caf50' WHEN confidence >= 0.5 THEN '#ff9800' ELSE '#f44336' END || '\"];'"
+
+
+@query(_document("digraph CallGraph { rankdir=LR; node [shape=box];", [
+    f"SELECT DISTINCT {_quote('caller')} || ' [style=filled, fillcolor=\"#e1f5fe\"];' AS line FROM resolved",
+    f"SELECT DISTINCT {_quote('target')} || ' [style=filled, fillcolor=\"#fff3e0\"];' AS line FROM resolved WHERE target IS NOT NULL AND target NOT IN (SELECT caller FROM resolved)",
+    f"SELECT DISTINCT {_EDGE} AS line FROM resolved WHERE target IS NOT NULL",
+]))
+def call_graph_dot(spark, sf_dir):
+    return sinks.call_graph_dot(_resolved(spark, sf_dir)[1])
+
+
+_PAIRS = "(SELECT caller_project AS a, callee_project AS b, count(*) AS n FROM boundary WHERE caller_project <> callee_project GROUP BY 1, 2)"
+_SHORT = "string_split({}, '/')[-1]"
+
+
+@query(_document("digraph ProjectDependencies { rankdir=LR; node [shape=box];", [
+    f"SELECT DISTINCT {_quote(_SHORT.format('p'))} || ';' AS line FROM (SELECT a AS p FROM {_PAIRS} UNION SELECT b FROM {_PAIRS})",
+    f"SELECT {_quote(_SHORT.format('a'))} || ' -> ' || {_quote(_SHORT.format('b'))} || ' [label=\"' || n || ' calls\"];' AS line FROM {_PAIRS}",
+]))
+def boundary_dot(spark, sf_dir):
+    return sinks.boundary_dot(boundary.project_dependencies(_boundary(spark, sf_dir)[1]))
+
+
+@query(f"""SELECT 'dependencies' AS section, json_object('from', a, 'to', b, 'call_count', n)::VARCHAR AS json FROM {_PAIRS} UNION ALL
+  SELECT 'api_surface', json_object('fqn', target, 'class', split_part(target, '::', 1), 'method', split_part(target, '::', 2), 'used_by', list_transform(p, lambda x: {_SHORT.format('x')}))::VARCHAR
+  FROM (SELECT target, list_sort(list(DISTINCT caller_project)) AS p FROM boundary WHERE caller_project <> callee_project GROUP BY target)""")
+def boundary_json(spark, sf_dir):
+    b = _boundary(spark, sf_dir)[1]
+    return sinks.boundary_json(boundary.project_dependencies(b), boundary.api_surface(b))
+
+
+_PLACED = f"""{_LIVE}, place_of AS (
+  SELECT fqn, 'class' AS kind, file_path, 1 AS line FROM classes UNION ALL SELECT fqn, 'interface', '/lib/interfaces.php', 1 FROM interfaces UNION ALL SELECT fqn, 'trait', '/lib/traits.php', 1 FROM traits
+  UNION ALL SELECT fqn, 'function', '/mono/AFRICA/functions.php', 1 FROM functions
+  UNION ALL SELECT owner || '::' || name, 'method', CASE owner_kind WHEN 'interface' THEN '/lib/interfaces.php' WHEN 'trait' THEN '/lib/traits.php' ELSE file_path END, ord FROM methods LEFT JOIN classes ON fqn = owner
+  UNION ALL SELECT fqn || '::$v' || (p_partkey % 9), 'property', any_value(file_path), max(p_partkey) FROM part CROSS JOIN size_n JOIN classes ON k = p_partkey % n GROUP BY 1
+), placed AS (SELECT dead.*, file_path, line FROM dead LEFT JOIN place_of USING (fqn, kind))
+"""
+
+
+def _placed(spark, sf_dir):
+    f, living = _alive(spark, sf_dir)
+    return liveness.located(f, liveness.dead(f, living))
+
+
+@query(f"{_PLACED} SELECT fqn, '  [DEAD] ' || fqn || ' (' || kind || ')' || chr(10) || '    at ' || file_path || ':' || line AS line FROM placed")
+def dead_text(spark, sf_dir):
+    return sinks.dead_text(_placed(spark, sf_dir))
+
+
+@query(f"{_PLACED} SELECT json_object('fqn', fqn, 'kind', kind, 'file', file_path, 'line', line)::VARCHAR AS json FROM placed")
+def dead_json(spark, sf_dir):
+    return sinks.dead_json(_placed(spark, sf_dir))
+
+
+@query(f"""{_PLACED} SELECT json_object('ruleId', 'dead-code', 'level', 'warning', 'message', json_object('text', 'Dead ' || kind || ': ' || fqn), 'locations', json_array(json_object('physicalLocation',
+  json_object('artifactLocation', json_object('uri', file_path), 'region', json_object('startLine', line)))))::VARCHAR AS json FROM placed""")
+def dead_sarif(spark, sf_dir):
+    return sinks.sarif_results(sinks.dead_violations(_placed(spark, sf_dir)))
+
+
+@query(f"""{_PLACED} SELECT file_path, min(fqn) AS first, '<file name="' || file_path || '">' || string_agg('<error line="' || line || '" severity="warning" message="Dead ' || kind || ': ' || fqn || '" source="dead-code"/>', '' ORDER BY fqn) || '</file>' AS xml
+  FROM placed GROUP BY file_path""")
+def dead_checkstyle(spark, sf_dir):
+    return sinks.checkstyle(sinks.dead_violations(_placed(spark, sf_dir)))
+
+
+@query(f"{_PLACED} SELECT fqn, kind FROM placed WHERE kind <> 'property' AND (kind <> 'method' OR visibility = 'private')")
+def dead_reported(spark, sf_dir):
+    """What is reported unless flags ask for more."""
+    return liveness.dead_filter(_dead(spark, sf_dir)).select("fqn", "kind")
+
+
 # ---------------------------------------------------------------- reports and comparisons
 
 
