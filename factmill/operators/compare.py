@@ -18,6 +18,11 @@ def symbol_diff(ours: DataFrame, truth: DataFrame, compared: list[str]) -> DataF
     return both.select("fqn", F.explode(problems).alias("problem"))
 
 
+def diff_summary(diff: DataFrame) -> DataFrame:
+    """(problem, n) of a symbol_diff."""
+    return diff.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 def golden_compare(actual: DataFrame, golden: DataFrame) -> DataFrame:
     """(metric, actual, expected, ok) from (metric, value) and (metric, value, rule)."""
     g = golden.select("metric", F.col("value").alias("expected"), "rule")

@@ -64,6 +64,18 @@ def _static_and_functions(facts: Facts, met: DataFrame, builtins: Collection[str
     return met.select(*(F.coalesce(new[c], F.col(c)).alias(c) if c in new else F.col(c) for c in [*facts.calls.columns, "target", "confidence", "method", "target_owner", "target_visibility", "target_return", "target_params"]))
 
 
+#: Confidence of an edge that a mapping of events gives (fixed value).
+SYNTHETIC_CONFIDENCE = 0.95
+
+
+def with_synthetic(resolved: DataFrame, edges: DataFrame) -> DataFrame:
+    """resolved with one more call for each edge (caller, target) that a plugin found; other columns of these are null."""
+    t = F.col("target")
+    owner = F.when(t.contains("::"), F.substring_index("target", "::", 1)).otherwise(t)
+    new = edges.select("caller", "target", F.substring_index("target", "::", -1).alias("callee_name"), F.substring_index("caller", "::", 1).alias("caller_class"), owner.alias("target_owner"), F.lit(SYNTHETIC_CONFIDENCE).alias("confidence"), F.lit("plugin_generated").alias("method"))
+    return resolved.unionByName(new.select(*(c for c in new.columns if c in resolved.columns)), allowMissingColumns=True)
+
+
 def symbol_stats(facts: Facts) -> DataFrame:
     """One row of counts: classes, interfaces, traits, functions, methods, properties."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))

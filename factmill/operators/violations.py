@@ -27,6 +27,12 @@ def severity_counts(violations: DataFrame) -> DataFrame:
     return violations.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def fails(violations: DataFrame, strict: bool = False) -> DataFrame:
+    """One row (errors, warnings, failed): errors fail a run, warnings only if strict."""
+    counts = violations.agg(*(F.count_if(F.col("severity") == s).alias(f"{s}s") for s in ("error", "warning")))
+    return counts.withColumn("failed", (F.col("errors") > 0) | (F.lit(strict) & (F.col("warnings") > 0)))
+
+
 def null_counters(accesses: DataFrame) -> DataFrame:
     """One row: guarded accesses, unguarded ones, and how many of these are surely of null. Unknown states count nowhere."""
     state = F.col("state")

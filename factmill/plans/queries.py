@@ -465,6 +465,26 @@ def dead_top50(spark, sf_dir):
     return _dead(spark, sf_dir).select("fqn", "kind").orderBy("fqn", "kind").limit(50)
 
 
+_EVENT = "SELECT class || '::onEvent' AS caller, interface || '::handle' AS target FROM implements"
+
+
+@query(f"SELECT method, count(*) AS n, round(sum(confidence), 2) AS confidence, count(DISTINCT target) AS targets FROM (SELECT method, confidence, target FROM resolved UNION ALL SELECT 'plugin_generated', 0.95, target FROM ({_EVENT})) GROUP BY 1")
+def merged_edges(spark, sf_dir):
+    """The call graph with edges of a plugin: here every class dispatches to its interface."""
+    f, r = _resolved(spark, sf_dir)
+    edges = f.implements.select(F.concat("class", F.lit("::onEvent")).alias("caller"), F.concat("interface", F.lit("::handle")).alias("target"))
+    return resolve.with_synthetic(r, edges).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 2).alias("confidence"), F.countDistinct("target").alias("targets"))
+
+
+_BAD = "SELECT count(*) FILTER (v = 'private') AS errors, count(*) FILTER (v = 'protected') AS warnings FROM (SELECT m.visibility AS v FROM boundary b JOIN methods m ON b.target = m.owner || '::' || m.name WHERE caller_project <> callee_project)"
+
+
+@query(f"SELECT errors, warnings, errors > 0 OR warnings > 0 AS failed FROM ({_BAD})")
+def visibility_verdict(spark, sf_dir):
+    """Whether a strict check of visibility fails."""
+    return violations.fails(violations.visibility_violations(_boundary(spark, sf_dir)[1]), strict=True)
+
+
 # ---------------------------------------------------------------- documents
 
 
@@ -574,6 +594,14 @@ def symbol_diff(spark, sf_dir):
     return compare.symbol_diff(c.where("k % 10 <> 1"), truth, ["extends"])
 
 
+_DIFF = ORACLES["symbol_diff"]
+
+
+@query(f"{_DIFF.replace('SELECT fqn, problem FROM (', 'SELECT problem, count(*) AS n FROM (', 1)} GROUP BY 1", ctes=False)
+def diff_summary(spark, sf_dir):
+    return compare.diff_summary(symbol_diff(spark, sf_dir))
+
+
 @query("""SELECT metric, actual, expected, CASE rule WHEN 'no_drop' THEN actual >= expected WHEN 'ten_percent' THEN abs(actual - expected) <= 0.1 * abs(expected) ELSE actual <= 2 * expected END AS ok FROM (
   SELECT 'calls' AS metric, count(*)::DOUBLE AS actual, 1000000::DOUBLE AS expected, 'no_drop' AS rule FROM resolved
   UNION ALL SELECT 'resolved', count(target)::DOUBLE, count(*)::DOUBLE * 0.36, 'ten_percent' FROM resolved

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factmill.facts import SCHEMAS, Facts
 from factmill.functions import names, typing
-from factmill.operators import called_before, compare, fixpoint
+from factmill.operators import called_before, compare, fixpoint, liveness, violations
 from factmill.operators.resolve import resolution_rate
 from factmill.sources import sinks
 
@@ -66,6 +67,26 @@ def test_compare_and_sinks(spark):
     assert '"level":"note"' in "".join(r.json for r in sinks.sarif_results(found).collect()) and sinks.sarif_rules(found).count() == 1
 
 
+def test_places_of_dead_symbols(spark):
+    empty = lambda t: spark.createDataFrame([], SCHEMAS[t])
+    tables = {t: empty(t) for t in SCHEMAS}
+    tables["traits"] = spark.createDataFrame([("T", "t.php")], SCHEMAS["traits"])
+    tables["classes"] = spark.createDataFrame([("C", "c.php", None, False, False)], SCHEMAS["classes"])
+    tables["properties"] = spark.createDataFrame([("T", "a", None, "private", 3), ("C", "b", None, "private", 4)], SCHEMAS["properties"])
+    dead = spark.createDataFrame([("C", "class", "public"), ("T::$a", "property", "private"), ("C::$b", "property", "private"), ("C::m", "method", "public")], "fqn string, kind string, visibility string")
+    got = {r.fqn: (r.file_path, r.line) for r in liveness.located(Facts(**tables), dead).collect()}
+    assert got == {"C": ("c.php", 1), "T::$a": (None, 1), "C::$b": ("c.php", 4), "C::m": (None, 1)}
+    assert {r.fqn for r in liveness.dead_filter(dead).collect()} == {"C"}
+    assert {r.fqn for r in liveness.dead_filter(dead, methods=True).collect()} == {"C", "C::m"}
+    assert "    at ?:1" in "".join(r.line for r in sinks.dead_text(liveness.located(Facts(**tables), dead)).collect())
+
+
+def test_fails(spark):
+    found = spark.createDataFrame([("warning",)], "severity string")
+    assert [violations.fails(found, strict).first().failed for strict in (False, True)] == [False, True]
+    assert violations.fails(found.limit(0), True).first().failed is False
+
+
 def test_loops_raise_at_their_bounds(spark):
     edges = spark.createDataFrame([("g", k, k + 1) for k in range(5)], "graph string, src int, dst int")
     seeds = spark.createDataFrame([("o", 0)], "origin string, node int")
