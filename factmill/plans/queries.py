@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions import names, typing
 from ..operators import boundary, called_before, compare, inherit, liveness, resolve, violations
 from ..operators.fixpoint import shared_folder
-from ..sources import sinks
+from ..sources import projects, sinks
 from .bridge import CTES, TYPES, facts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -465,6 +465,15 @@ def dead_top50(spark, sf_dir):
     return _dead(spark, sf_dir).select("fqn", "kind").orderBy("fqn", "kind").limit(50)
 
 
+@query("SELECT root, 'psr-4' AS kind, file_path FROM projects JOIN classes ON starts_with(file_path, root || '/') UNION ALL SELECT 'extra', 'files', file_path FROM classes")
+def discovered_files(spark, sf_dir):
+    """Source files by autoload entries: each project's folder, and every file once more by its path."""
+    f = facts(spark, sf_dir)
+    folders = f.projects.select("root", F.lit("psr-4").alias("kind"), F.col("root").alias("path"))
+    single = f.classes.select(F.lit("extra").alias("root"), F.lit("files").alias("kind"), F.col("file_path").alias("path"))
+    return projects.discover(folders.unionByName(single), f.classes)
+
+
 _EVENT = "SELECT class || '::onEvent' AS caller, interface || '::handle' AS target FROM implements"
 
 

@@ -47,6 +47,29 @@ def autoload(manifests: DataFrame) -> DataFrame:
     return manifests.select("root", "content").mapInArrow(run, "root string, kind string, namespace string, path string")
 
 
+def discover(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """(root, kind, file_path): the sources among files that each row of autoload() names, as often as rows name them.
+
+    Folders of psr-4, psr-0 and classmap are taken with all below them, single
+    files of classmap and files by their path. Every folder above a file is a
+    key, so that the join is on equal paths.
+    """
+    path = F.col("file_path")
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("path"), (n < F.size(parts)).alias("below")))
+    keys = files.select("file_path").distinct().where(path.endswith(".php")).select("file_path", F.explode(above).alias("x")).select("file_path", "x.path", "x.below")
+    met = keys.join(entries.select("root", "kind", "path"), "path")
+    folder = F.col("below") & (F.col("kind") != "files") & wanted(path)
+    single = ~F.col("below") & F.col("kind").isin("classmap", "files")
+    return met.where(folder | single).select("root", "kind", "file_path")
+
+
+def project_info(manifests: DataFrame) -> DataFrame:
+    """(root, name, description, language): what manifests(root, content) say; null where they don't, or aren't JSON."""
+    get = lambda key: F.get_json_object("content", f"$.{key}")
+    return manifests.select("root", get("name").alias("name"), get("description").alias("description"), get("require.php").alias("language"))
+
+
 def manifests(spark: SparkSession, scan_paths: list[str]) -> DataFrame:
     """(root, content) of composer.json one level below each scanned folder."""
     read = spark.read.option("wholetext", True).option("ignoreMissingFiles", True)

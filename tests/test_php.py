@@ -126,6 +126,16 @@ def test_parser_never_fails(text):
     parse("<?php " + text)
 
 
+def test_discover(spark):
+    named = [("p", "psr-4", "App\\", "p/src"), ("p", "psr-0", "", "p/src/a"), ("p", "classmap", "", "p/old.php"), ("p", "files", "", "p/f.php"), ("p", "files", "", "p/src"), ("p", "psr-4", "X\\", "p/f.php")]
+    entries = spark.createDataFrame(named, "root string, kind string, namespace string, path string")
+    paths = ["p/src/a/x.php", "p/src/a/x.unit.php", "p/srcs/y.php", "p/old.php", "p/f.php", "p/src/readme.md", None]
+    got = sorted(tuple(r)[1:] for r in projects.discover(entries, spark.createDataFrame([(x,) for x in paths], "file_path string")).collect())
+    assert got == [("classmap", "p/old.php"), ("files", "p/f.php"), ("psr-0", "p/src/a/x.php"), ("psr-4", "p/src/a/x.php")]
+    rows = spark.createDataFrame([("p", '{"name": "v/p", "require": {"php": "^8"}}'), ("q", "no")], "root string, content string")
+    assert [tuple(r) for r in projects.project_info(rows).orderBy("root").collect()] == [("p", "v/p", None, "^8"), ("q", None, None, None)]
+
+
 def test_manifests_and_settings(spark, tmp_path):
     doc = {"autoload": {"psr-4": {"App\\": ["src/", "lib"], "X\\": "x"}, "classmap": ["old"]}, "autoload-dev": {"classmap": ["new", 3], "files": ["f.php"]}}
     rows = spark.createDataFrame([("/r", json.dumps(doc)), ("/bad", "{"), ("/none", None)], "root string, content string")
