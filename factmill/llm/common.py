@@ -200,5 +200,8 @@ def tidy(spark: SparkSession) -> None:
     between the steps of one operator that is too rare for its disk.
     """
     gc.collect()  # Python's handles keep the driver's objects alive
+    time.sleep(1.1)  # and are let go by a thread that looks for them once a second
     spark.sparkContext._jvm.System.gc()
-    time.sleep(1)  # the cleaner works in a thread of its own
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()  # the last job's shuffles outlive one collection
+    time.sleep(0.5)  # the cleaner works in a thread of its own

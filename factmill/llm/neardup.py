@@ -291,9 +291,14 @@ def link(docs: DataFrame, sim: Similarity | None = None, name: str = "neardup")
     classes = known.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"))
     member = materialize(known.select("doc_id", *fingerprint).distinct().join(classes, fingerprint).select("doc_id", "rep"), f"{name}-classes")
 
-    # The text of each class: its smallest document's rows.
-    texts = materialize(rows.hint("merge").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"), f"{name}-texts")
-    tidy(spark)
+    # The text of each class: its smallest document's rows. All texts are shuffled here, so this goes in slices as well.
+    reps = member.where("doc_id = rep").select("doc_id").distinct()
+    slices_read = []
+    for turn in range(sim.passes):
+        mine = F.pmod(F.xxhash64("doc_id"), F.lit(sim.passes)) == turn
+        slices_read.append(materialize(rows.where(mine).hint("merge").join(reps.where(mine), "doc_id", "left_semi"), f"{name}-texts"))
+        tidy(spark)
+    texts = spark.read.schema(slices_read[0].schema).parquet(*(part.scratch_path for part in slices_read))
     once = Window.partitionBy("key")
     met: DataFrame | None = None
     slices_met = []
@@ -307,7 +312,7 @@ def link(docs: DataFrame, sim: Similarity | None = None, name: str = "neardup")
     # From here on only documents that share a key matter.
     near = materialize(texts.join(nodes.select("doc_id"), "doc_id", "left_semi"), f"{name}-near")
     sketch = materialize(known.select("doc_id", "set_hash", "sketch").join(nodes.select("doc_id"), "doc_id", "left_semi").distinct(), f"{name}-sketches")
-    discard(texts)
+    discard(*slices_read)
     tidy(spark)
     found = _linked(met, _State(nodes, near, sketch, sim, name))
     discard(*slices_met, near, sketch)
@@ -356,7 +361,7 @@ class _State:
             discard(group)
         top = F.struct((-F.col("pop")).alias("order"), "doc_id", "set_hash", "n", "component")
         span = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(top).alias("pivot"), F.count(F.lit(1)).alias("members")).where(f"lo < hi AND members > {least}").select("key", "pivot", "members")
-        out = materialize(live.join(span, "key"), f"{self.name}-live")
+        out = materialize(live.hint("merge").join(span, "key"), f"{self.name}-live")
         discard(live)
         return out
 
@@ -371,7 +376,9 @@ class _State:
 
     def within(self, live: DataFrame, exposed: bool = False) -> DataFrame:
         """(doc_id, p): members of one key's group that may be linked and are of different components; with exposed, pairs that have an exposed member."""
-        rows = self.with_sketch(live.select("key", "doc_id", "set_hash", "n", "component", *(["exposed"] if exposed else [])))
+        rows = self.with_sketch(live.select("key", "doc_id", "set_hash", "n", "component", *(["exposed"] if exposed else []))).drop("set_hash")
+        if not exposed:
+            rows = rows.repartition("key")  # once for both sides
         other = rows.where("exposed") if exposed else rows
         other = other.select("key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("sk").alias("psk"))
         each = F.lit(True) if exposed else F.col("p") < F.col("doc_id")
