@@ -58,9 +58,9 @@ from .common import components, discard, doc_rows, materialize, mix, rolling, si
 class Similarity:
     """words in a shingle; percent: linked if 100 * intersection >= percent * union.
 
-    ratio: sizes of a band; light, tries and spare: see above; passes: the keys are
-    joined in so many slices of their hash, one after the other, which divides
-    the disk that a shuffle takes and repeats the hashing of shingles.
+    ratio: sizes of a band; light, tries and spare: see above; passes: the texts are
+    picked and the keys joined in so many slices of their hash, one after the other,
+    which divides the disk that a shuffle takes and repeats the hashing of shingles.
     """
 
     words: int = 5
