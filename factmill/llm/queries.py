@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, lines, mixing, neardup, oracles, packing, quality, substrings, toxicity
+from . import bpe, embeddings, langid, lines, mixing, neardup, oracles, packing, phrases, quality, substrings, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut_words(docs, substrings.word_spans(docs)).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_source_mixing, op4_jaccard_join, op5_toxicity, op6_suffix_dedup, op7_line_dedup, op8_quality_rules, op9_embedding_dedup, op10_substring_dedup)}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_source_mixing, op4_jaccard_join, op5_toxicity, op6_suffix_dedup, op7_line_dedup, op8_quality_rules, op9_embedding_dedup, op10_substring_dedup, op11_phrase_collocations, op12_byte_bpe, op13_embedding_whitening)}
 
 ORACLES: dict[str, str] = {
     "op4_jaccard_join": oracles.OP4,
@@ -67,4 +81,5 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": oracles.OP7,
     "op9_embedding_dedup": oracles.OP9,
     "op10_substring_dedup": oracles.OP10,
+    "op11_phrase_collocations": oracles.OP11,
 }
