@@ -8,8 +8,9 @@ first word isn't frequent either, nothing is listed. The lengths of lists, summe
 over blocks, are the exact frequencies; lists of infrequent phrases go.
 
 Positions never leave their block. What is shuffled between levels are a
-block's different candidates with their counts, so the commonest word has one row
-a block, like any other, and no key is hot. Blocks overlap by the longest phrase
+block's different candidates with their counts, packed into one row for each group
+of keys, so the commonest word has one entry a block, like any other, and no key
+is hot. Blocks overlap by the longest phrase
 less one word: a phrase counts in the block that owns its first slot. So a long
 text needs no more memory than a block.
 
@@ -18,106 +19,240 @@ names them: ids are exact within a number of words, no hashes are compared.
 
 Defined results. A null text is empty; a null lang is `und`, together with rows
 that say so. Repeated rows count as often as they are there. doc_id and other
-columns aren't looked at. Words that aren't UTF-8 are shown with U+FFFD. An empty
+columns aren't looked at. Words that aren't UTF-8 are shown with U+FFFD, and
+bytes FE and FF, which UTF-8 lacks, count as the same. An empty
 table, or one without a frequent phrase, gives no rows.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_bytes
+from .common import discard, materialize, mix, partitions, text_bytes
 
 #: Slots that a block owns, and the bits of a candidate's place in its block.
-BLOCK, PLACE = 1 << 20, 21
+BLOCK, PLACE = 1 << 19, 21
 #: A long text is split into words so many bytes at a time.
 WINDOW = 1 << 20
+#: Candidates that meet in a group; groups are as many as that takes.
+GROUP = 1 << 19
 #: Parts into which a language's phrases are dealt for the first ranking.
 PARTS = 64
 UNDETERMINED = "und"
 
-#: Ends of pieces become line feeds, space and tab spaces; A-Z are lowered.
-_PLAIN = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b in b" \t" else b + 32 if 65 <= b <= 90 else b for b in range(256))
-
+#: Ends of pieces become FF, a byte that UTF-8 doesn't have; tabs become spaces; A-Z are lowered.
+END = b"\xff"
+_PLAIN = bytes(255 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b in b" \t" else b + 32 if 65 <= b <= 90 else min(b, 254) for b in range(256))
 
 def slots(text: bytes) -> Iterator[list[bytes]]:
-    """Words of a text, and a line feed where a piece ends, in bounded lists."""
+    """Words of a text, and END where a piece ends, in bounded lists."""
     at = 0
     while at < len(text):
         end = at + WINDOW
-        while end < len(text) and _PLAIN[text[end]] not in (10, 32):
+        while end < len(text) and _PLAIN[text[end]] not in (255, 32):
             end += 1
-        part = text[at:end].translate(_PLAIN).replace(b"\n", b" \n ")
-        yield [w for w in part.split(b" ") if w]
+        yield text[at:end].translate(_PLAIN).replace(END, b" \xff ").split()
         at = end
 
 
 class _Block:
     """Slots in order as codes of words of this block; -1 ends a piece."""
 
-    def __init__(self, codes: list[int] = (), words: list[tuple[str, bytes]] = ()) -> None:
-        self.codes, self.number = [], count()
+    def __init__(self) -> None:
+        self.codes, self.number = array("i"), count()
         self.coded: dict[str, dict[bytes, int]] = {}
-        for c in codes:  # slots that the block before has looked ahead at
-            self.codes.append(c if c < 0 else self.of(words[c][0])[words[c][1]])
 
     def of(self, lang: str) -> dict[bytes, int]:
         if lang not in self.coded:
-            self.coded[lang] = defaultdict(self.number.__next__, {b"\n": -1})
+            self.coded[lang] = defaultdict(self.number.__next__, {END: -1})
         return self.coded[lang]
 
     def words(self) -> list[tuple[str, bytes]]:
-        pairs = ((c, lang, w) for lang, d in self.coded.items() for w, c in d.items() if c >= 0)
-        return [(lang, w) for _, lang, w in sorted(pairs)]
+        out: list = [None] * sum(len(d) - 1 for d in self.coded.values())
+        for lang, d in self.coded.items():
+            for w, c in d.items():
+                if c >= 0:
+                    out[c] = lang, w
+        return out
+
+    def rest(self, at: int) -> _Block:
+        """A block that begins with the slots from at on."""
+        out, words = _Block(), self.words()
+        out.codes.extend(c if c < 0 else out.of(words[c][0])[words[c][1]] for c in self.codes[at:])
+        return out
 
 
 def blocks(docs: DataFrame, longest: int, size: int = BLOCK) -> DataFrame:
-    """(block, own, codes, langs, words, counts): codes of slots as int32; slots from own on are looked ahead at."""
+    """(block, own, codes, langs, words, counts, sums): codes of slots as int32; slots from own on are looked ahead at. counts are those of words, sums those of languages."""
 
     def row(number: int, own: int, block: _Block) -> pa.RecordBatch:
-        codes = np.array(block.codes, dtype=np.int32)
+        codes = np.array(block.codes[: own + longest - 1], dtype=np.int32)
         words = block.words()[: codes.max(initial=-1) + 1]  # words come in order of their first slot
         owned = codes[:own]
         counts = np.bincount(owned[owned >= 0], minlength=len(words))
-        text = [w.decode("utf-8", "replace") for _, w in words]
-        columns = [pa.array([number]), pa.array([own], pa.int32()), pa.array([codes.tobytes()], pa.binary()), pa.array([[lang for lang, _ in words]], pa.list_(pa.string())), pa.array([text], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["block", "own", "codes", "langs", "words", "counts"])
+        langs, at = np.unique(np.array([lang for lang, _ in words], dtype=object), return_inverse=True) if words else ([], [])
+        sums = [{"lang": lang, "n": int(n)} for lang, n in zip(langs, np.bincount(at, counts, len(langs)))] if words else []
+        values = [[number], [own], [codes.tobytes()], [[lang for lang, _ in words]], [[w.decode("utf-8", "replace") for _, w in words]], [counts.astype(np.int64).tobytes()], [len(words)], [sums]]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
+
+    names = ["block", "own", "codes", "langs", "words", "counts", "n", "sums"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.int64(), pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, nth, block = TaskContext.get().partitionId() << 20, 0, _Block()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 for words in slots(text.as_py()):
-                    block.codes += map(block.of(lang).__getitem__, words)
+                    block.codes.extend(map(block.of(lang).__getitem__, words))
                     while len(block.codes) >= size + longest:
-                        rest, full = block.codes[size:], block
-                        full.codes = full.codes[: size + longest - 1]
-                        yield row(first + nth, size, full)
-                        nth, block = nth + 1, _Block(rest, full.words())
+                        yield row(first + nth, size, block)
+                        nth, block = nth + 1, block.rest(size)
                 block.codes.append(-1)
         if block.codes:
             yield row(first + nth, len(block.codes), block)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNDETERMINED)).alias("lang"), text_bytes().alias("text"))
-    return rows.mapInArrow(run, "block long, own int, codes binary, langs array<string>, words array<string>, counts array<long>")
+    return rows.mapInArrow(run, "block long, own int, codes binary, langs array<string>, words array<string>, counts binary, n long, sums array<struct<lang:string,n:long>>")
 
 
-def frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """rows(block, place, c, key) of keys whose c sum to least or more, with that sum f and the key's id.
+# ---------------------------------------------------------------- what meets between levels
+#
+# A block deals its different candidates over groups by a hash of their key: one row for each
+# group, with arrays. A group sums the counts of a key, which has one entry a block at most, and
+# sends the numbers of frequent ones back to their blocks, again as one row for each.
+
+
+def _groups(spark, total: int) -> int:
+    return max(partitions(spark), total // GROUP)
+
+
+def _int64(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64)
+
+
+def _dealt(bucket: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]:
+    """(order, groups, their bounds, values of each group as packed int64) of one block's candidates."""
+    order = np.argsort(bucket, kind="stable")
+    groups, at = np.unique(bucket[order], return_index=True)
+    bounds = np.append(at, len(bucket)).astype(np.int32)
+    return order, groups, bounds, [_packed(v[order], bounds) for v in values]
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(values, dtype=np.int64)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _met(key: np.ndarray, c: np.ndarray, number: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates with key indexes from 0 on: (rows of frequent keys, the ids of those rows, the first row of each frequent key, ids, frequencies)."""
+    f = np.zeros(int(key.max(initial=-1)) + 1, dtype=np.int64)
+    np.add.at(f, key, c)
+    order = np.lexsort((number, key))
+    first = order[np.searchsorted(key[order], np.arange(len(f)))]
+    good = f >= least
+    rows = np.flatnonzero(good[key])
+    return rows, number[first][key[rows]], first[good], number[first[good]], f[good]
+
+
+def _sent(block: np.ndarray, place: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(blocks, places, ids): one packed row for each block."""
+    order = np.argsort(block, kind="stable")
+    each, at = np.unique(block[order], return_index=True)
+    bounds = np.append(at, len(block)).astype(np.int32)
+    return each, _packed(place[order], bounds), _packed(ids[order], bounds)
+
+
+def frequent_words(text: DataFrame, least: int) -> DataFrame:
+    """What groups of words say: rows of a block (block, places, ids), and rows without one, of lists (id, f, lang, word)."""
+    groups = _groups(text.sparkSession, text.agg(F.sum("n")).head()[0] or 0)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                block, langs, words, counts = b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].values, np.frombuffer(b.column(3)[i].as_py(), dtype=np.int64)
+                if len(words):
+                    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
+                    order, each, bounds, packed = _dealt((hashes % np.uint64(groups)).astype(np.int64), counts, np.arange(len(words)))
+                    lists = [pa.ListArray.from_arrays(pa.array(bounds), x.take(pa.array(order))) for x in (langs, words)]
+                    yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), block)), *lists, *packed], ["bucket", "block", "langs", "words", "c", "place"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        langs, words = (t.column(x).chunk(0).flatten() for x in ("langs", "words"))
+        c, place = _int64(t.column("c")), _int64(t.column("place"))
+        block = np.repeat(t.column("block").to_numpy(), pc.list_value_length(t.column("words")).to_numpy())
+        key = pc.binary_join_element_wise(langs, words, "\n").dictionary_encode().indices.to_numpy()
+        rows, row_ids, first, ids, f = _met(key, c, (block << PLACE) + place, least)
+        each, places, sent = _sent(block[rows], place[rows], row_ids)
+        at, n = pa.array(first), len(each)
+        named = [ids.tolist(), f.tolist(), langs.take(at).to_pylist(), words.take(at).to_pylist()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.table([pa.array([*each.tolist(), None], pa.int64()), pa.concat_arrays([places, pa.nulls(1, pa.binary())]), pa.concat_arrays([sent, pa.nulls(1, pa.binary())]), *(pa.array([None] * n + [x], pa.list_(k)) for x, k in zip(named, kinds))], ["block", "places", "ids", "id", "f", "lang", "word"])
+
+    dealt = text.select("block", "langs", "words", "counts").mapInArrow(deal, "bucket long, block long, langs array<string>, words array<string>, c binary, place binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "block long, places binary, ids binary, id array<long>, f array<long>, lang array<string>, word array<string>")
+
+
+def frequent_phrases(lists: DataFrame, k: int, least: int) -> DataFrame:
+    """The same for candidates of k + 1 words: lists (id, f, prefix, word, suffix)."""
+    groups = _groups(lists.sparkSession, lists.agg(F.sum("n_p")).head()[0] or 0)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            at, candidate, prefix, word, suffix = _grown(row, k)
+            if len(prefix):
+                owned = np.bincount(candidate[at < row["own"]], minlength=len(prefix))
+                p_ids, w_ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("p_ids" if row["p_ids"] else "w_ids", "w_ids"))
+                prefix, word, suffix = p_ids[prefix], w_ids[word], p_ids[suffix]
+                bucket = (mix(prefix.astype(np.uint64) * np.uint64(3) + mix(word.astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
+                _, each, _, packed = _dealt(bucket, prefix, word, suffix, owned, np.arange(len(prefix)))
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), row["block"])), *packed], names)
+
+    def meet(t: pa.Table) -> pa.Table:
+        prefix, word, suffix, c, place = (_int64(t.column(x)) for x in names[2:])
+        block = np.repeat(t.column("block").to_numpy(), pc.divide(pc.binary_length(t.column("c")), 8).to_numpy())
+        order = np.lexsort((word, prefix))
+        new = np.append(True, (np.diff(prefix[order]) != 0) | (np.diff(word[order]) != 0))
+        key = np.empty(len(order), dtype=np.int64)
+        key[order] = np.cumsum(new) - 1
+        rows, row_ids, first, ids, f = _met(key, c, (block << PLACE) + place, least)
+        each, places, sent = _sent(block[rows], place[rows], row_ids)
+        named = [ids, f, prefix[first], word[first], suffix[first]]
+        return pa.table([pa.array([*each.tolist(), None], pa.int64()), pa.concat_arrays([places, pa.nulls(1, pa.binary())]), pa.concat_arrays([sent, pa.nulls(1, pa.binary())]), *(pa.array([None] * len(each) + [x.tolist()], pa.list_(pa.int64())) for x in named)], ["block", "places", "ids", "id", "f", "prefix", "word", "suffix"])
+
+    names = ["bucket", "block", "prefix", "word", "suffix", "c", "place"]
+    dealt = lists.mapInArrow(deal, "bucket long, block long, prefix binary, word binary, suffix binary, c binary, place binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "block long, places binary, ids binary, id array<long>, f array<long>, prefix array<long>, word array<long>, suffix array<long>")
+
+
+def _listed(found: DataFrame, *columns: str) -> DataFrame:
+    """The rows of lists that groups give."""
+    return found.where("block IS NULL").select(F.explode(F.arrays_zip("id", "f", *columns)).alias("x")).select("x.*")
+
+
+def _by_block(found: DataFrame) -> DataFrame:
+    """What all groups say of a block, in one row; a block bounds it."""
+    return found.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("places", "ids")).alias("found"))
 
-    A key has one row a block at most, so no key holds more of the rows than 1 in the different keys of a block.
-    """
-    whole = Window.partitionBy(*key)
-    number = F.shiftleft("block", PLACE) + F.col("place")
-    return rows.select("*", F.sum("c").over(whole).alias("f"), F.min(number).over(whole).alias("id"), number.alias("row")).where(F.col("f") >= least)
+
+# ---------------------------------------------------------------- inverted lists of a block
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {name: b.column(name)[i].as_py() for name in b.schema.names}
 
 
 def _lists(ids: np.ndarray, which: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -126,48 +261,42 @@ def _lists(ids: np.ndarray, which: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [ids.astype(np.int64).tobytes(), np.bincount(which, minlength=len(ids)).astype(np.int32).tobytes(), at[order].astype(np.int32).tobytes()]
 
 
-def _postings(lengths: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The lists merged by position: positions, and the index of the list of each."""
+def _merged(lengths: bytes, at: bytes, size: int) -> np.ndarray:
+    """The lists merged by position: the index of the list that has it, for each slot of the block; -1 for none."""
     lengths, at = np.frombuffer(lengths, dtype=np.int32), np.frombuffer(at, dtype=np.int32)
-    which = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    order = np.argsort(at, kind="stable")
-    return at[order].astype(np.int64), which[order]
-
-
-def _meet(at: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Where each of ascending positions at is in ascending other; -1 where it isn't."""
-    i = np.searchsorted(other, at)
-    i[i == len(other)] = -1
-    if len(other):
-        i[other[i] != at] = -1
-    return i if len(other) else np.full(len(at), -1)
+    out = np.full(size, -1, dtype=np.int64)
+    out[at] = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    return out
 
 
 def _grown(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidates of k + 1 words in a block: start positions, the candidate of each, and the candidates' prefix, word and suffix as indexes."""
-    at, which = _postings(row["p_len"], row["p_at"])
-    words_at, words = _postings(row["w_len"], row["w_at"])
-    word, suffix = _meet(at + k, words_at), _meet(at + 1, at)
-    both = (word >= 0) & (suffix >= 0)
-    at, prefix, word, suffix = at[both], which[both], words[word[both]], which[suffix[both]]
+    size = row["size"] + k + 1
+    words = _merged(row["w_len"], row["w_at"], size)
+    starts = words if row["p_ids"] is None else _merged(row["p_len"], row["p_at"], size)
+    at = np.flatnonzero(starts[: row["size"]] >= 0)
+    at = at[(words[at + k] >= 0) & (starts[at + 1] >= 0)]
+    prefix, word, suffix = starts[at], words[at + k], starts[at + 1]
     wide = np.int64(max(1, len(row["w_len"]) // 4))
     different, first, candidate = np.unique(prefix * wide + word, return_index=True, return_inverse=True)
     return at, candidate, different // wide, different % wide, suffix[first]
 
 
 _COLUMNS = ["w_ids", "w_len", "w_at", "p_ids", "p_len", "p_at"]
-_STORED = "block long, own int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+_STORED = "block long, own int, size int, n_p long, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
-def _stored(row: dict, lists: list[bytes], words: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["own"]], pa.int32()), *(pa.array([x], pa.binary()) for x in [*words, *lists])], ["block", "own", *_COLUMNS])
+def _stored(row: dict, words: list[bytes], lists: list[bytes | None]) -> pa.RecordBatch:
+    n = len(lists[2] if lists[2] is not None else words[2]) // 4
+    head = [pa.array([row["block"]]), pa.array([row["own"]], pa.int32()), pa.array([row["size"]], pa.int32()), pa.array([n], pa.int64())]
+    return pa.RecordBatch.from_arrays([*head, *(pa.array([x], pa.binary()) for x in [*words, *lists])], ["block", "own", "size", "n_p", *_COLUMNS])
 
 
 def _numbered(row: dict, n: int) -> np.ndarray:
     """The id of each of a block's n candidates; -1 for infrequent ones."""
     out = np.full(n, -1, dtype=np.int64)
     for x in row["found"]:
-        out[x["place"]] = x["id"]
+        out[np.frombuffer(x["places"], dtype=np.int64)] = np.frombuffer(x["ids"], dtype=np.int64)
     return out
 
 
@@ -179,52 +308,34 @@ def _kept(ids: np.ndarray, which: np.ndarray, at: np.ndarray) -> list[bytes]:
     return _lists(ids[some], number[which[stay]], at[stay])
 
 
-def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(b.num_rows):
-            row = b.slice(i, 1).to_pylist()[0]
-            codes = np.frombuffer(row["codes"], dtype=np.int32)
-            at = np.flatnonzero(codes >= 0)
-            ids = _numbered(row, int(codes.max(initial=-1)) + 1)
-            lists = _kept(ids, codes[at].astype(np.int64), at)
-            yield _stored(row, lists, lists)
-
-
-def candidates(lists: DataFrame, k: int) -> DataFrame:
-    """(block, place, prefix, word, suffix, c): a block's candidates of k + 1 words by id, and how many it owns."""
+def word_lists(text: DataFrame, found: DataFrame) -> DataFrame:
+    """A block's lists of frequent words, which are its phrases of one word as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                at, candidate, prefix, word, suffix = _grown(row, k)
-                if len(prefix):
-                    p_ids, w_ids = np.frombuffer(row["p_ids"], dtype=np.int64), np.frombuffer(row["w_ids"], dtype=np.int64)
-                    owned = np.bincount(candidate[at < row["own"]], minlength=len(prefix))
-                    columns = [np.full(len(prefix), row["block"]), np.arange(len(prefix), dtype=np.int32), p_ids[prefix], w_ids[word], p_ids[suffix], owned]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "place", "prefix", "word", "suffix", "c"])
+        for row in _rows(batches):
+            codes = np.frombuffer(row["codes"], dtype=np.int32)
+            at = np.flatnonzero(codes >= 0)
+            ids = _numbered(row, row["n"])
+            yield _stored(row | {"size": len(codes)}, _kept(ids, codes[at].astype(np.int64), at), [None] * 3)
 
-    return lists.mapInArrow(run, "block long, place int, prefix long, word long, suffix long, c long")
+    return text.select("block", "own", "codes", "n").join(_by_block(found), "block").mapInArrow(run, _STORED)
 
 
 def extended(lists: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """The lists of frequent phrases of k + 1 words in place of those of k words; blocks without one go."""
+    """The lists of frequent phrases of k + 1 words in place of those of k words, and the postings that may follow them; blocks without one go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                at, candidate, prefix, _, _ = _grown(row, k)
-                yield _stored(row, _kept(_numbered(row, len(prefix)), candidate, at), [row[c] for c in _COLUMNS[:3]])
+        for row in _rows(batches):
+            at, candidate, prefix, _, _ = _grown(row, k)
+            ids = _numbered(row, len(prefix))
+            words = _merged(row["w_len"], row["w_at"], row["size"] + k + 2)
+            follow = at[ids[candidate] >= 0] + k + 1
+            follow = follow[words[follow] >= 0]
+            yield _stored(row, _lists(np.frombuffer(row["w_ids"], dtype=np.int64), words[follow], follow), _kept(ids, candidate, at))
 
     return lists.join(_by_block(found), "block").mapInArrow(run, _STORED)
 
 
-def _by_block(found: DataFrame) -> DataFrame:
-    """A block's frequent candidates in one row; a block bounds their number."""
-    return found.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("found"))
-
-
 def phrases(docs: DataFrame, least: int = 100, longest: int = 5, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """All frequent phrases of 2 to longest words, and the words of each language.
 
@@ -233,21 +344,16 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, size: int = BLO
     phrase holds it that is as frequent. The second has lang and n, all its words.
     """
     text = materialize(blocks(docs, longest, size), "phrases-blocks")
-    each = text.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("place", "x"))
-    each = each.select("block", "place", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    totals = each.groupBy("lang").agg(F.sum("c").alias("n"))
-    totals = materialize(totals, "phrases-totals")
-    found = materialize(frequent(each, ["lang", "word"], least), "phrases-1")
+    totals = materialize(text.select(F.explode("sums").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n")), "phrases-totals")
+    found = materialize(frequent_words(text, least), "phrases-1")
     none = F.array().cast("array<long>")
-    words = found.where("row = id").select("id", "lang", F.col("word").alias("phrase"), "f", none.alias("lefts"), none.alias("rights"))
+    words = _listed(found, "lang", "word").select("id", "lang", F.col("word").alias("phrase"), "f", none.alias("lefts"), none.alias("rights"))
     known, out = words, []
-    lists = materialize(text.select("block", "own", "codes").join(_by_block(found), "block").mapInArrow(_word_lists, _STORED), "phrases-lists-1")
+    lists = materialize(word_lists(text, found), "phrases-lists-1")
     discard(text)
     for k in range(1, longest):
-        rows = candidates(lists, k)
-        found = materialize(frequent(rows, ["prefix", "word"], least), f"phrases-{k + 1}")
-        new = found.where("row = id").select("id", "prefix", "word", "suffix", "f")
-        known = materialize(_named(new, known, words), f"phrases-named-{k + 1}")
+        found = materialize(frequent_phrases(lists, k, least), f"phrases-{k + 1}")
+        known = materialize(_named(_listed(found, "prefix", "word", "suffix"), known, words), f"phrases-named-{k + 1}")
         out.append(known.withColumn("m", F.lit(k + 1)))
         if k + 1 < longest:
             longer = materialize(extended(lists, found, k), f"phrases-lists-{k + 1}")
