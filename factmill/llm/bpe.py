@@ -28,9 +28,9 @@ from .common import slices, text_bytes
 from .pretokens import boundaries
 
 #: Code points in a window of a long text, and of many short texts together.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 #: Pre-tokens that a generation of a Python worker's cache holds (there are two), and the longest of them in bytes.
-CACHED, CACHED_BYTES = 1 << 18, 64
+CACHED, CACHED_BYTES = 1 << 17, 64
 #: Stands for a pair that doesn't merge.
 NO_RANK = 1 << 60
 #: From this length on pairs wait in a heap.
@@ -186,7 +186,7 @@ def _utf8(points: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, file: str) -> DataFrame:
-    """(doc_id, ids, starts) of docs(doc_id, text): ids as little-endian unsigned 32-bit values, starts as 64-bit byte offsets of each.
+    """(doc_id, ids, starts) of docs(doc_id, text): ids as little-endian unsigned 32-bit values, starts as 32-bit byte offsets of each (no value of Spark is longer).
 
     file: a rank file, at the same path on every executor.
     """
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, file: str) -> DataFrame:
         for b in slices(batches):
             ids = encoder.texts([t.decode("utf-8", "replace") for t in b.column("text").to_pylist()])
             starts = [np.cumsum(n := encoder.lengths[x]) - n for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.astype("<i8").tobytes() for x in starts], pa.binary())], ["doc_id", "ids", "starts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in starts], pa.binary())], ["doc_id", "ids", "starts"])
 
     rows = docs.select("doc_id", text_bytes().alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, starts binary")
@@ -213,7 +213,7 @@ def decode(tokens: DataFrame, file: str) -> DataFrame:
         for b in slices(batches, "ids"):
             out = []
             for ids, starts in zip(b.column("ids").to_pylist(), b.column("starts").to_pylist()):
-                ids, starts = np.frombuffer(ids, dtype="<u4"), np.frombuffer(starts, dtype="<i8")
+                ids, starts = np.frombuffer(ids, dtype="<u4"), np.frombuffer(starts, dtype="<u4").astype(np.int64)
                 n = lengths[ids]
                 ends = starts + n
                 if len(ids) and (starts[0] or not np.array_equal(starts[1:], ends[:-1])):
