@@ -6,10 +6,16 @@ Within a caller only lines count; where no local A exists the callers decide.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import reach
+from ..functions.names import same_function
+from .fixpoint import cut, nearest, reach
+
+#: Calls up a chain after which a constraint counts as not kept (fixed value).
+DEEPEST = 100
 
 
 def local_checks(calls: DataFrame, before: Column, after: Column) -> DataFrame:
@@ -51,3 +57,107 @@ def verdict(calls: DataFrame, before: Column, after: Column) -> DataFrame:
     a = local.agg(F.count_if(F.col("status") == "wrong_order").alias("wrong_order"), F.count_if(F.col("status") == "matched").alias("matched"))
     b = interprocedural(calls, before, after).agg(F.count_if(~F.col("satisfied")).alias("missing"))
     return a.crossJoin(b).select((F.col("wrong_order") + F.col("missing") == 0).alias("satisfied"), "wrong_order", "missing", "matched")
+
+
+@dataclass(frozen=True)
+class Findings:
+    """What an analysis of "A before B" found, in four tables.
+
+    violations: context_function, file_path, after_line, before_line, kind (wrong_order
+    or missing_before), and the caller by which the nearest function that nobody
+    calls leads here without A: missing_caller, missing_line, missing_file, n_steps.
+    All null where nobody calls the context itself, or its callers go too deep.
+    matches: context_function, file_path, after_line, after_callee, before_line,
+    before_callee, via_caller, caller_context.
+    satisfied_in: context_function.
+    missing_paths: context_function, caller, call_line, file_path: every caller that brings no A.
+    """
+
+    violations: DataFrame
+    matches: DataFrame
+    satisfied_in: DataFrame
+    missing_paths: DataFrame
+
+
+_CALL = ["caller", "callee", "line", "file_path"]
+
+
+def marked_calls(calls: DataFrame, before: Column, after: Column) -> DataFrame:
+    """calls with callee (the target, or the name of an unresolved call), is_before, is_after and before: the closest (line, callee) of
+    an A on a smaller line of the caller, and the first A's line. before and after are conditions on callee."""
+    c = calls.select("caller", F.coalesce("target", "callee_name").alias("callee"), "line", "file_path")
+    c = c.withColumn("is_before", F.coalesce(before, F.lit(False))).withColumn("is_after", F.coalesce(after, F.lit(False)))
+    by = Window.partitionBy("caller")  # the calls of one function, so of one file
+    closest = by.orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    return c.select("*", F.max(F.when(F.col("is_before"), F.struct("line", "callee"))).over(closest).alias("before"), F.min(F.when(F.col("is_before"), F.col("line"))).over(by).alias("first"))
+
+
+def caller_edges(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes(node), edges(src, dst, line, file_path, before)): functions from which calls of B can be reached, and their calls.
+
+    Where no call names a function exactly, calls whose names fit it count: see
+    names.same_function. The names that are looked at are those from which B is reached.
+    """
+    sites = marked.select("caller", "callee").distinct()
+    scope = reach(sites.select(F.col("callee").alias("src"), F.col("caller").alias("dst")), marked.where("is_after").select(F.col("callee").alias("node")).distinct())
+    scope = cut(scope)
+    nodes = cut(sites.select(F.col("caller").alias("node")).distinct().join(scope, "node", "left_semi"))
+    into = marked.join(scope.withColumnRenamed("node", "callee"), "callee", "left_semi").select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "line", "file_path", "before")
+    keys = into.select(F.col("dst").alias("callee")).distinct()
+    alone = nodes.join(keys.select(F.col("callee").alias("node")), "node", "left_anti").select(F.col("node").alias("function"))
+    like = same_function(keys, alone).select(F.col("callee").alias("dst"), F.col("function").alias("to"))
+    fuzzy = into.join(like, "dst").select("src", F.col("to").alias("dst"), "line", "file_path", "before")
+    return nodes, cut(into.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*fuzzy.columns).unionByName(fuzzy))
+
+
+def analyse(calls: DataFrame, before: Column, after: Column, deepest: int = DEEPEST) -> Findings:
+    """Whether A is called before B wherever B is called, with witnesses, from calls(caller, target, callee_name, line, file_path).
+
+    A caller of B with an A of its own is judged by lines. Without one, its
+    callers decide: each must call an A on a smaller line, or be called only by
+    such. A function that nobody calls breaks the constraint for all that it leads
+    to; so does one whose calls, all without A, go up deepest steps even on the
+    shortest way; closed cycles don't. All contexts share one walk: it goes down
+    from where the verdict is known, and each function is met once, at its least
+    depth, with the least (caller, line) that leads there. The reference walks up
+    anew from every context, depth first; which of several witnesses it names, and
+    chains over the bound that a shorter one spares, depend on its order of visits.
+    """
+    marked = cut(marked_calls(calls, before, after))
+    nodes, edges = caller_edges(marked)
+    free = edges.where("before IS NULL").groupBy("src", "dst").agg(F.min(F.struct("line", "file_path")).alias("x")).select("src", "dst", "x.line", "x.file_path")
+    free = cut(free)
+    zero = F.lit(0).alias("depth")
+    # What functions lead to that nobody calls.
+    open_ = cut(nearest(free, nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", zero)))
+    closed = nodes.join(open_.select("node"), "node", "left_anti")
+    inner = free.join(closed.select(F.col("node").alias("dst")), "dst", "left_semi").select(*free.columns)
+    # How far up calls without A go among the others, from functions that are only called after an A.
+    tops = closed.join(inner.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", zero)
+    steps = nearest(inner, tops).select("node", "depth")
+    deep = cut(steps.where(F.col("depth") >= deepest))
+    # The nearest caller that brings an A.
+    kept = edges.where("before IS NOT NULL").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct(F.col("src").alias("caller_context"), "line", "before")).alias("w"))
+    seeds = kept.join(closed, "node", "left_semi").select("node", zero, "w.caller_context", F.col("w.before.line").alias("before_line"), F.col("w.before.callee").alias("before_callee"))
+    witness = nearest(inner, seeds).select(F.col("node").alias("caller"), "caller_context", F.col("before_line").alias("w_line"), F.col("before_callee").alias("w_callee"))
+
+    after_calls = marked.where("is_after")
+    local = after_calls.where("first IS NOT NULL")
+    wrong = local.where("line < first")
+    apart = after_calls.where("first IS NULL")
+    bad = open_.select(F.col("node").alias("caller"), F.col("depth").alias("n_steps"), "via").unionByName(deep.select(F.col("node").alias("caller"), F.lit(None).cast("int").alias("n_steps"), F.lit(None).cast(open_.schema["via"].dataType).alias("via")))
+    missing = apart.join(bad, "caller")
+    none = lambda kind: F.lit(None).cast(kind)
+    violations = wrong.select(F.col("caller").alias("context_function"), "file_path", F.col("line").alias("after_line"), F.col("first").alias("before_line"), F.lit("wrong_order").alias("kind"), none("string").alias("missing_caller"), none("int").alias("missing_line"), none("string").alias("missing_file"), none("int").alias("n_steps")).unionByName(
+        missing.select(F.col("caller").alias("context_function"), "file_path", F.col("line").alias("after_line"), none("int").alias("before_line"), F.lit("missing_before").alias("kind"), F.col("via.src").alias("missing_caller"), F.col("via.line").cast("int").alias("missing_line"), F.col("via.file_path").alias("missing_file"), "n_steps")
+    )
+    good = apart.join(bad.select("caller"), "caller", "left_anti")
+    matches = local.where("line >= first AND before IS NOT NULL").select(F.col("caller").alias("context_function"), "file_path", F.col("line").alias("after_line"), F.col("callee").alias("after_callee"), F.col("before.line").alias("before_line"), F.col("before.callee").alias("before_callee"), F.lit(False).alias("via_caller"), none("string").alias("caller_context")).unionByName(
+        good.join(witness, "caller").select(F.col("caller").alias("context_function"), "file_path", F.col("line").alias("after_line"), F.col("callee").alias("after_callee"), F.col("w_line").alias("before_line"), F.col("w_callee").alias("before_callee"), F.lit(True).alias("via_caller"), "caller_context")
+    )
+    ordered = local.select("caller").distinct().join(wrong.select("caller").distinct(), "caller", "left_anti")
+    satisfied_in = ordered.unionByName(good.select("caller").distinct()).select(F.col("caller").alias("context_function"))
+    leads = open_.select(F.col("node").alias("src")).unionByName(steps.where(F.col("depth") >= deepest - 1).select(F.col("node").alias("src")))
+    contexts = missing.select(F.col("caller").alias("dst")).distinct()
+    paths = free.join(contexts, "dst", "left_semi").join(leads, "src", "left_semi").select(F.col("dst").alias("context_function"), F.col("src").alias("caller"), F.col("line").alias("call_line"), "file_path")
+    return Findings(violations, matches, satisfied_in, paths)

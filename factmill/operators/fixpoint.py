@@ -15,22 +15,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Roots of local sessions that name no folder, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: spark.checkpoint.dir. Only a local session may do without, in a folder of its machine."""
+    """This application's folder under spark.checkpoint.dir. Only a local session may do without, in a folder of its machine."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or _LOCAL.get(sc.applicationId)
     if not root:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="factmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="factmill-"))
     return f"{root.rstrip('/')}/factmill-{sc.applicationId}"
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where intermediate tables of running operators go; release() deletes it."""
+    return f"{shared_folder(spark)}/scratch"
+
+
+def hadoop(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that holds it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = hadoop(spark, path)
+    return fs.exists(p)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Call it once what was computed with them is written."""
+    delete(spark, scratch_folder(spark))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once, with its lineage replaced by files that all executors share."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,6 +91,46 @@ def _closed(edges: DataFrame, seeds: DataFrame, columns: list[str], rounds: int,
     raise RuntimeError(f"not closed after {rounds} rounds")
 
 
+def nearest(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """seeds(node, depth, *payload) and what they reach over edges(src, dst, *rank), each node at its least depth.
+
+    A node's payload is its predecessor's; via is the least struct (src, *rank)
+    among edges from nodes one step nearer, null for seeds. Seeds may have
+    different depths. One set for all seeds: rows grow with nodes, not with paths.
+    """
+    rank = [c for c in edges.columns if c != "dst"]
+    payload = [c for c in seeds.columns if c not in ("node", "depth")]
+    edges = cut(edges.where("src <> dst"))
+    kind = edges.select(F.struct(*rank).alias("via")).schema["via"].dataType
+    waiting = cut(seeds.withColumn("via", F.lit(None).cast(kind)))
+    starts = sorted(r[0] for r in waiting.select("depth").distinct().collect())  # as many as there are depths, not nodes
+    depth = starts[0] if starts else None
+    done: list[DataFrame] = []
+    frontier = None
+    for _ in range(rounds):
+        if depth is None:
+            break
+        new = waiting.where(F.col("depth") == depth)
+        if frontier is not None:
+            step = frontier.select(F.col("node").alias("src"), *payload).join(edges, "src").select(F.col("dst").alias("node"), F.lit(depth).cast(seeds.schema["depth"].dataType).alias("depth"), *payload, F.struct(*rank).alias("via"))
+            new = new.unionByName(step)
+        first = new.groupBy("node").agg(F.min(F.struct("depth", F.col("via").isNotNull().alias("stepped"), "via", *payload)).alias("x"))
+        new = first.select("node", "x.depth", *(F.col(f"x.{c}").alias(c) for c in payload), "x.via")
+        for known in done:
+            new = new.join(known.select("node"), "node", "left_anti")
+        frontier = cut(new)
+        if frontier.isEmpty():
+            depth, frontier = next((d for d in starts if d > depth), None), None
+            continue
+        done.append(frontier)
+        if len(done) > 16:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+        depth += 1
+    else:
+        raise RuntimeError(f"not closed after {rounds} rounds")
+    return reduce(DataFrame.unionByName, done) if done else waiting.where("false")
+
+
 def chains(parents: DataFrame) -> DataFrame:
     """(node, ancestor, dist) from parents(node, parent), one parent a node; a chain stops where it would repeat a node.
 

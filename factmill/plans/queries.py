@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import names, typing
 from ..operators import boundary, called_before, compare, inherit, liveness, resolve, violations
-from ..operators.fixpoint import shared_folder
+from ..operators.fixpoint import delete, exists, shared_folder
 from ..sources import projects, sinks
 from .bridge import CTES, TYPES, facts, table
 
@@ -30,22 +30,34 @@ def query(sql: str | None = None, ctes: bool = True) -> Callable[[Query], Query]
     return register
 
 
-#: Tables that a session writes once and all its queries read: (application, folder, name) to path and schema.
-_KEPT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+#: Tables that a session writes once and all its queries read: (application, folder, name) to the state of the folder's files, path and schema.
+_KEPT: dict[tuple[str, str, str], tuple[tuple, str, StructType]] = {}
+
+
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Number, and a sum of hashes of the names, lengths and times, of the files in a folder; listed and summed by Spark."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir).select("path", "length", "modificationTime")
+    return tuple(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).head())
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table, written to the shared folder when it is first asked for. The tables in sf_dir mustn't change meanwhile."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
+    """A derived table, written to the shared folder when it is first asked for, and again once a file in sf_dir has changed or its own is gone."""
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), state(spark, sf_dir)
+    before = _KEPT.get(key)
+    if before is None or before[0] != now or not exists(spark, before[1]):
         df = make()
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/kept/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        _KEPT[key] = path, df.schema
-    path, schema = _KEPT[key]
+        _KEPT[key] = now, path, df.schema
+    _, path, schema = _KEPT[key]
     return spark.read.schema(schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that this session's queries share."""
+    delete(spark, f"{shared_folder(spark)}/kept")
+
+
 def _hierarchy(spark: SparkSession, sf_dir: str):
     """Facts whose chains of ancestors are known."""
     f = facts(spark, sf_dir)
@@ -189,7 +201,7 @@ def pattern_match(spark, sf_dir):
 def fuzzy_callee(spark, sf_dir):
     callees = _resolved(spark, sf_dir)[1].where("target IS NOT NULL").select(F.col("target").alias("callee")).distinct()
     patterns = spark.createDataFrame([("S4::m3",), ("m7",), ("N0\\S9::m1",)], "pattern string")
-    return callees.join(F.broadcast(patterns), names.same_callee(F.col("callee"), F.col("pattern")))
+    return names.fuzzy_pairs(callees, patterns)
 
 
 # ---------------------------------------------------------------- projects
@@ -398,6 +410,73 @@ def called_before_interproc(spark, sf_dir):
     return called_before.interprocedural(r, c == "m1", c == "m2")
 
 
+#: "m1 before m2" with witnesses; every function is met at its least depth from where its verdict is known.
+_FINDINGS = """, c AS (SELECT caller, coalesce(target, callee_name) AS callee, line, file_path FROM resolved JOIN classes ON fqn = caller_class),
+f AS (SELECT *, callee = 'm1' OR ends_with(callee, '::m1') AS is_b, callee = 'm2' OR ends_with(callee, '::m2') AS is_a FROM c),
+g AS (SELECT *, max({'line': line, 'callee': callee}) FILTER (is_b) OVER (PARTITION BY caller ORDER BY line RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, min(line) FILTER (is_b) OVER (PARTITION BY caller) AS first FROM f),
+scope(node) AS (SELECT DISTINCT callee FROM g WHERE is_a UNION SELECT caller FROM scope JOIN c ON callee = node),
+fn AS (SELECT DISTINCT caller AS node FROM c WHERE caller IN (SELECT node FROM scope)),
+key AS (SELECT DISTINCT callee FROM c WHERE callee IN (SELECT node FROM scope)),
+alone AS (SELECT node, string_split(node, '::')[1] AS k, string_split(node, '::')[2] AS m FROM fn WHERE node NOT IN (SELECT callee FROM key)),
+likely AS (SELECT callee, node FROM key JOIN alone ON ends_with(callee, chr(92) || node) OR callee = m OR (contains(callee, '::') AND split_part(callee, '::', 2) = m AND (ends_with(split_part(callee, '::', 1), chr(92) || k) OR ends_with(k, chr(92) || split_part(callee, '::', 1))))),
+e AS (SELECT caller AS src, callee AS dst, line, file_path, b FROM g WHERE callee IN (SELECT node FROM fn) UNION ALL SELECT caller, node, line, file_path, b FROM g JOIN likely USING (callee)),
+fr AS (SELECT src, dst, min({'line': line, 'file': file_path}) AS x FROM e WHERE b IS NULL GROUP BY ALL),
+walk(node, depth) AS (SELECT node, 0 FROM fn WHERE node NOT IN (SELECT dst FROM e) UNION SELECT dst, depth + 1 FROM walk JOIN fr ON src = node WHERE depth < 30),
+opened AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
+via AS (SELECT o.node, o.depth, min({'src': src, 'line': x.line, 'file': x.file}) AS v FROM opened o LEFT JOIN (SELECT fr.*, p.depth AS d FROM fr JOIN opened p ON p.node = src) q ON q.dst = o.node AND q.d = o.depth - 1 GROUP BY ALL),
+closed AS (SELECT node FROM fn WHERE node NOT IN (SELECT node FROM opened)),
+seen AS (SELECT dst AS node, min({'ctx': src, 'line': line, 'b': b}) AS w FROM e WHERE b IS NOT NULL AND dst IN (SELECT node FROM closed) GROUP BY dst),
+led(node, depth, w) AS (SELECT node, 0, w FROM seen UNION SELECT dst, depth + 1, w FROM led JOIN fr ON src = node WHERE depth < 30 AND dst IN (SELECT node FROM closed) AND dst NOT IN (SELECT node FROM seen)),
+witness AS (SELECT node, arg_min(w, {'depth': depth, 'w': w}) AS w FROM led GROUP BY node),
+after_call AS (SELECT * FROM g WHERE is_a),
+violation AS (
+  SELECT caller AS context_function, file_path, line AS after_line, first AS before_line, 'wrong_order' AS kind, NULL::VARCHAR AS missing_caller, NULL::INT AS missing_line, NULL::VARCHAR AS missing_file, NULL::INT AS n_steps FROM after_call WHERE line < first
+  UNION ALL SELECT caller, file_path, line, NULL, 'missing_before', v.src, v.line, v.file, depth FROM after_call JOIN via ON node = caller WHERE first IS NULL
+), match AS (
+  SELECT caller AS context_function, file_path, line AS after_line, callee AS after_callee, b.line AS before_line, b.callee AS before_callee, false AS via_caller, NULL::VARCHAR AS caller_context FROM after_call WHERE line >= first AND b IS NOT NULL
+  UNION ALL SELECT caller, file_path, line, callee, w.b.line, w.b.callee, true, w.ctx FROM after_call JOIN witness ON node = caller WHERE first IS NULL
+)"""
+
+
+def _findings(spark, sf_dir):
+    """The findings of "m1 before m2", each table written once a session."""
+    f, r = _resolved(spark, sf_dir)
+    calls = r.drop("file_path").join(f.classes.select(F.col("fqn").alias("caller_class"), "file_path"), "caller_class")
+    c = F.col("callee")
+    found = []
+
+    def part(name: str) -> Callable[[], DataFrame]:
+        def make() -> DataFrame:
+            found[:] = found or [called_before.analyse(calls, names.matches(c, "m1"), names.matches(c, "m2"))]
+            return getattr(found[0], name)
+
+        return make
+
+    return called_before.Findings(*(kept(spark, sf_dir, f"before-{name}", part(name)) for name in ("violations", "matches", "satisfied_in", "missing_paths")))
+
+
+@query(f"{_FINDINGS} SELECT * FROM violation")
+def called_before_violations(spark, sf_dir):
+    """Violations with the caller through which the nearest uncalled function leads there."""
+    return _findings(spark, sf_dir).violations
+
+
+@query(f"{_FINDINGS} SELECT * FROM match")
+def called_before_witnesses(spark, sf_dir):
+    """Matches, local and by callers."""
+    return _findings(spark, sf_dir).matches
+
+
+@query(f"{_FINDINGS} SELECT dst AS context_function, src AS caller, x.line AS call_line, x.file AS file_path FROM fr WHERE dst IN (SELECT context_function FROM violation WHERE kind = 'missing_before') AND src IN (SELECT node FROM opened)")
+def called_before_missing_paths(spark, sf_dir):
+    return _findings(spark, sf_dir).missing_paths
+
+
+@query(f"{_FINDINGS} SELECT DISTINCT caller AS context_function FROM after_call WHERE (first IS NOT NULL AND caller NOT IN (SELECT context_function FROM violation)) OR (first IS NULL AND caller IN (SELECT node FROM closed))")
+def called_before_satisfied(spark, sf_dir):
+    return _findings(spark, sf_dir).satisfied_in
+
+
 # ---------------------------------------------------------------- liveness
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...facts import PARAM, Facts
+from ...functions.names import event_pairs
 from ...functions.typing import BUILTIN
 from ...operators.fixpoint import cut
 from ...operators.inherit import all_methods, all_properties
@@ -235,35 +237,57 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
     return {name: rows.where(F.col("table") == name).select(F.from_json("row", schema).alias("r")).select("r.*") for name, schema in TABLES.items()}
 
 
+def solve_paths(paths: DataFrame, members: DataFrame) -> DataFrame:
+    """(root, hops, type, kind) of paths(root, hops) that can be followed over members(root, hop, next, kind).
+
+    Paths form a trie: a prefix of hops from a root is one node, whatever the number
+    of paths and calls through it. Levels are solved in turn, each by a join of
+    its nodes with those above, and written, so the plan doesn't grow with the
+    longest path; what has no type ends its paths.
+    """
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.size("hops")), lambda n: F.slice("hops", 1, n)))
+    nodes = cut(paths.where("root IS NOT NULL AND size(hops) > 0").select("root", prefixes.alias("hops")).distinct().withColumn("depth", F.size("hops")))
+    above = nodes.select("root", F.col("root").alias("type")).distinct().withColumn("up", F.array().cast("array<string>"))
+    steps = members.select(F.col("root").alias("type"), "hop", "next", "kind")
+    done: list[DataFrame] = []
+    depth = 1
+    while True:
+        level = nodes.where(F.col("depth") == depth).select("root", "hops", F.slice("hops", 1, F.size("hops") - 1).alias("up"), F.element_at("hops", -1).alias("hop"))
+        level = level.join(above, ["root", "up"]).join(steps, ["type", "hop"]).where("next IS NOT NULL")
+        solved = cut(level.select("root", "hops", F.when(F.col("next") == "self", F.col("type")).otherwise(F.col("next")).alias("type"), "kind"))
+        done.append(solved)
+        if solved.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        if len(done) > 16:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+        above, depth = solved.select("root", "type", F.col("hops").alias("up")), depth + 1
+
+
 def resolve_sites(t: dict[str, DataFrame]) -> Facts:
-    """Facts whose calls have receivers: access paths are followed hop by hop to the end of the longest, all paths at once, by joins."""
+    """Facts whose calls have receivers: access paths are followed in a trie that all calls share. Tables of plugins are extras."""
     empty = t["classes"].sparkSession.createDataFrame([], "root string")
-    f = Facts(t["classes"], t["methods"], t["call_sites"], t["implements"], t["uses"], t["interfaces"], t["traits"], t["functions"], t["properties"], empty)
+    extra = {name: t[name] for name in ("dispatches", "event_maps") if name in t}
+    f = Facts(t["classes"], t["methods"], t["call_sites"], t["implements"], t["uses"], t["interfaces"], t["traits"], t["functions"], t["properties"], empty, extra)
     clean = lambda c: F.when(c.startswith("self") | c.startswith("static"), F.lit("self")).otherwise(F.regexp_replace(c, "^\\?", ""))
-    members = all_methods(f).select(F.col("class").alias("root"), F.concat(F.lit("m:"), "name").alias("hop"), clean(F.col("return_type")).alias("next"))
-    members = members.unionByName(all_properties(f).select(F.col("class").alias("root"), F.concat(F.lit("p:"), "name").alias("hop"), clean(F.col("type")).alias("next")))
-    deepest = t["call_sites"].agg(F.max(F.size("hops"))).first()[0] or 0
+    kind = lambda c: F.when(c.startswith("?"), "nullable").otherwise("simple")
+    part = lambda df, mark, c: df.select(F.col("class").alias("root"), F.concat(F.lit(mark), "name").alias("hop"), clean(F.col(c)).alias("next"), kind(F.col(c)).alias("kind"))
+    members = cut(part(all_methods(f), "m:", "return_type").unionByName(part(all_properties(f), "p:", "type")))
     shadows = t["functions"].select(F.col("fqn").alias("shadow")).distinct()  # a function of the namespace comes before a built-in one
     calls = t["call_sites"].join(shadows, F.concat("namespace", F.lit("\\"), "callee_name") == F.col("shadow"), "left")
     calls = calls.withColumn("callee_name", F.coalesce("shadow", "callee_name")).drop("namespace", "shadow")
-    calls = calls.withColumn("n_hops", F.size("hops")).withColumn("last", F.try_element_at("hops", F.lit(-1)) if deepest else F.lit(None).cast("string"))
-    for i in range(deepest):
-        if i % 10 == 9:
-            calls, members = cut(calls), cut(members) if i == 9 else members  # keeps plans of long paths short
-        step = calls.withColumn("hop", F.get("hops", F.lit(0))).join(members, ["root", "hop"], "left")
-        more = F.size("hops") > 0
-        calls = step.select(
-            *(F.when(more, F.when(F.col("next") == "self", F.col("root")).otherwise(F.col("next"))).otherwise(F.col("root")).alias("root") if c == "root" else F.when(more, F.slice("hops", 2, F.greatest(F.size("hops") - 1, F.lit(0)))).otherwise(F.col("hops")).alias("hops") if c == "hops" else F.col(c) for c in calls.columns)
-        )
-    how = F.when(F.col("call_type") == "static_call", "static_call").when(F.col("n_hops") == 0, "assignment_tracking").when(F.col("last").startswith("p:"), "property_type").otherwise("return_type_chain")
-    calls = calls.select(*[c for c in calls.columns if c not in ("n_hops", "last")], F.col("root").alias("receiver"), F.lit("simple").alias("receiver_kind"), how.alias("how"))
-    return f.with_(calls=calls)
-
-
-def synthetic_edges(t: dict[str, DataFrame], names) -> DataFrame:
-    """Dispatched events to their handlers: (caller, target, confidence, method)."""
-    met = t["dispatches"].withColumnRenamed("event", "sent").join(F.broadcast(t["event_maps"]) if t["event_maps"].count() <= 100_000 else t["event_maps"], names.event_matches(F.col("sent"), F.col("event")))
+    solved = solve_paths(t["call_sites"].select("root", "hops"), members)
+    calls = calls.join(solved, ["root", "hops"], "left")
+    far, last = F.size("hops") > 0, F.try_element_at("hops", F.lit(-1))
+    how = F.when(F.col("call_type") == "static_call", "static_call").when(~far, "assignment_tracking").when(last.startswith("p:"), "property_type").otherwise("return_type_chain")
+    receiver = F.when(far, F.col("type")).otherwise(F.col("root"))
+    return f.with_(calls=calls.select(*[c for c in calls.columns if c not in ("type", "kind", "root", "hops")], receiver.alias("receiver"), F.coalesce("kind", F.lit("simple")).alias("receiver_kind"), how.alias("how")))
+
+
+def synthetic_edges(t: dict[str, DataFrame]) -> DataFrame:
+    """Dispatched events to their handlers: (caller, target, file_path, line, confidence, method). Names meet by their tails, in equi-joins."""
+    pairs = event_pairs(t["dispatches"].select("event"), t["event_maps"].select(F.col("event").alias("mapped")))
+    met = t["dispatches"].join(pairs, "event").join(t["event_maps"].withColumnRenamed("event", "mapped"), "mapped")
     return met.select("caller", F.concat_ws("::", "class", "handler").alias("target"), "file_path", "line", F.lit(0.95).alias("confidence"), F.lit("plugin_generated").alias("method")).distinct()
 
 
-__all__ = ["BUILTIN_FUNCTIONS", "TABLES", "confidence", "fact_rows", "resolve_sites", "synthetic_edges", "tables"]
+__all__ = ["BUILTIN_FUNCTIONS", "TABLES", "confidence", "fact_rows", "resolve_sites", "solve_paths", "synthetic_edges", "tables"]

@@ -56,7 +56,7 @@ def test_call_resolution(parsed):
 
 
 def test_events(parsed):
-    assert [(r.caller, r.target) for r in synthetic_edges(parsed, names).collect()] == [("Service::run", "Listener::onSaved")]
+    assert [(r.caller, r.target) for r in synthetic_edges(parsed).collect()] == [("Service::run", "Listener::onSaved")]
 
 
 def test_returns_and_nulls(parsed):
