@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,7 +95,7 @@ class _Block:
 
 
 def blocks(docs: DataFrame, longest: int, size: int = BLOCK) -> DataFrame:
-    """(block, own, codes, langs, words, counts, sums): codes of slots as int32; slots from own on are looked ahead at. counts are those of words, sums those of languages."""
+    """(block, own, codes, langs, words, counts, sums): codes of slots as compressed int32; slots from own on are looked ahead at. counts are those of words, sums those of languages."""
 
     def row(number: int, own: int, block: _Block) -> pa.RecordBatch:
         codes = np.array(block.codes[: own + longest - 1], dtype=np.int32)
@@ -103,7 +104,7 @@ def blocks(docs: DataFrame, longest: int, size: int = BLOCK) -> DataFrame:
         counts = np.bincount(owned[owned >= 0], minlength=len(words))
         langs, at = np.unique(np.array([lang for lang, _ in words], dtype=object), return_inverse=True) if words else ([], [])
         sums = [{"lang": lang, "n": int(n)} for lang, n in zip(langs, np.bincount(at, counts, len(langs)))] if words else []
-        values = [[number], [own], [codes.tobytes()], [[lang for lang, _ in words]], [[w.decode("utf-8", "replace") for _, w in words]], [counts.astype(np.int64).tobytes()], [len(words)], [sums]]
+        values = [[number], [own], [zstandard.compress(codes.tobytes(), 1)], [[lang for lang, _ in words]], [[w.decode("utf-8", "replace") for _, w in words]], [counts.astype(np.int32).tobytes()], [len(words)], [sums]]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
     names = ["block", "own", "codes", "langs", "words", "counts", "n", "sums"]
@@ -137,12 +138,12 @@ def _groups(spark, total: int) -> int:
     return max(partitions(spark), total // GROUP)
 
 
-def _int64(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64)
+def _values(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
 
 def _dealt(bucket: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]:
-    """(order, groups, their bounds, values of each group as packed int64) of one block's candidates."""
+    """(order, groups, their bounds, values of each group, packed) of one block's candidates."""
     order = np.argsort(bucket, kind="stable")
     groups, at = np.unique(bucket[order], return_index=True)
     bounds = np.append(at, len(bucket)).astype(np.int32)
@@ -150,19 +151,20 @@ def _dealt(bucket: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(values, dtype=np.int64)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(data)])
+    data = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
 
 
-def _met(key: np.ndarray, c: np.ndarray, number: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of candidates with key indexes from 0 on: (rows of frequent keys, the ids of those rows, the first row of each frequent key, ids, frequencies)."""
-    f = np.zeros(int(key.max(initial=-1)) + 1, dtype=np.int64)
+def _met(key: np.ndarray, c: np.ndarray, bucket: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates with key indexes from 0 on: (rows of frequent keys, the ids of those rows, one row of each frequent key, ids, frequencies)."""
+    n = int(key.max(initial=-1)) + 1
+    f, some = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     np.add.at(f, key, c)
-    order = np.lexsort((number, key))
-    first = order[np.searchsorted(key[order], np.arange(len(f)))]
+    some[key] = np.arange(len(key))
     good = f >= least
+    ids = (bucket << 32) + np.cumsum(good) - 1
     rows = np.flatnonzero(good[key])
-    return rows, number[first][key[rows]], first[good], number[first[good]], f[good]
+    return rows, ids[key[rows]], some[good], ids[good], f[good]
 
 
 def _sent(block: np.ndarray, place: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
@@ -180,60 +182,65 @@ def frequent_words(text: DataFrame, least: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                block, langs, words, counts = b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].values, np.frombuffer(b.column(3)[i].as_py(), dtype=np.int64)
+                block, langs, words = b.column(0)[i].as_py(), b.column(1)[i].values.dictionary_encode(), b.column(2)[i].values
                 if len(words):
                     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
-                    order, each, bounds, packed = _dealt((hashes % np.uint64(groups)).astype(np.int64), counts, np.arange(len(words)))
-                    lists = [pa.ListArray.from_arrays(pa.array(bounds), x.take(pa.array(order))) for x in (langs, words)]
-                    yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), block)), *lists, *packed], ["bucket", "block", "langs", "words", "c", "place"])
+                    bucket, wide = (hashes % np.uint64(groups)).astype(np.int64), len(langs.dictionary)
+                    counts, places = np.frombuffer(b.column(3)[i].as_py(), dtype=np.int32), np.arange(len(words), dtype=np.int32)
+                    order, each, bounds, packed = _dealt(bucket * wide + langs.indices.to_numpy(), counts, places)  # a row for each language of a group
+                    lists = pa.ListArray.from_arrays(pa.array(bounds), words.take(pa.array(order)))
+                    yield pa.RecordBatch.from_arrays([pa.array(each // wide), pa.array(np.full(len(each), block)), langs.dictionary.take(pa.array(each % wide)), lists, *packed], ["bucket", "block", "lang", "words", "c", "place"])
 
     def meet(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        langs, words = (t.column(x).chunk(0).flatten() for x in ("langs", "words"))
-        c, place = _int64(t.column("c")), _int64(t.column("place"))
-        block = np.repeat(t.column("block").to_numpy(), pc.list_value_length(t.column("words")).to_numpy())
+        words, c, place = t.column("words").chunk(0).flatten(), _values(t.column("c"), np.int32), _values(t.column("place"), np.int32)
+        row = np.repeat(np.arange(len(t)), pc.list_value_length(t.column("words")).to_numpy())
+        block, langs = t.column("block").to_numpy()[row], t.column("lang").chunk(0).take(pa.array(row))
         key = pc.binary_join_element_wise(langs, words, "\n").dictionary_encode().indices.to_numpy()
-        rows, row_ids, first, ids, f = _met(key, c, (block << PLACE) + place, least)
-        each, places, sent = _sent(block[rows], place[rows], row_ids)
-        at, n = pa.array(first), len(each)
-        named = [ids.tolist(), f.tolist(), langs.take(at).to_pylist(), words.take(at).to_pylist()]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table([pa.array([*each.tolist(), None], pa.int64()), pa.concat_arrays([places, pa.nulls(1, pa.binary())]), pa.concat_arrays([sent, pa.nulls(1, pa.binary())]), *(pa.array([None] * n + [x], pa.list_(k)) for x, k in zip(named, kinds))], ["block", "places", "ids", "id", "f", "lang", "word"])
-
-    dealt = text.select("block", "langs", "words", "counts").mapInArrow(deal, "bucket long, block long, langs array<string>, words array<string>, c binary, place binary")
+        rows, row_ids, some, ids, f = _met(key, c, t.column("bucket")[0].as_py(), least)
+        at = pa.array(some)
+        return _said(*_sent(block[rows], place[rows], row_ids), {"id": ids.tolist(), "f": f.tolist(), "lang": langs.take(at).to_pylist(), "word": words.take(at).to_pylist()})
+
+    dealt = text.select("block", "langs", "words", "counts").mapInArrow(deal, "bucket long, block long, lang string, words array<string>, c binary, place binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "block long, places binary, ids binary, id array<long>, f array<long>, lang array<string>, word array<string>")
 
 
+def _said(blocks: np.ndarray, places: pa.Array, ids: pa.Array, lists: dict[str, list]) -> pa.Table:
+    """A group's rows: one for each block, and one of lists."""
+    n = len(blocks)
+    none = pa.nulls(1, pa.binary())
+    text = ("lang", "word") if "lang" in lists else ()
+    named = [pa.array([None] * n + [x], pa.list_(pa.string() if name in text else pa.int64())) for name, x in lists.items()]
+    return pa.table([pa.array([*blocks.tolist(), None], pa.int64()), pa.concat_arrays([places, none]), pa.concat_arrays([ids, none]), *named], ["block", "places", "ids", *lists])
+
+
 def frequent_phrases(lists: DataFrame, k: int, least: int) -> DataFrame:
-    """The same for candidates of k + 1 words: lists (id, f, prefix, word, suffix)."""
+    """The same for candidates of k + 1 words: lists (id, f, prefix, word)."""
     groups = _groups(lists.sparkSession, lists.agg(F.sum("n_p")).head()[0] or 0)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            at, candidate, prefix, word, suffix = _grown(row, k)
+            at, candidate, prefix, word = _grown(row, k)
             if len(prefix):
-                owned = np.bincount(candidate[at < row["own"]], minlength=len(prefix))
+                owned = np.bincount(candidate[at < row["own"]], minlength=len(prefix)).astype(np.int32)
                 p_ids, w_ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("p_ids" if row["p_ids"] else "w_ids", "w_ids"))
-                prefix, word, suffix = p_ids[prefix], w_ids[word], p_ids[suffix]
+                prefix, word = p_ids[prefix], w_ids[word]
                 bucket = (mix(prefix.astype(np.uint64) * np.uint64(3) + mix(word.astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
-                _, each, _, packed = _dealt(bucket, prefix, word, suffix, owned, np.arange(len(prefix)))
-                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), row["block"])), *packed], names)
+                _, each, _, packed = _dealt(bucket, prefix, word, owned, np.arange(len(prefix), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), row["block"])), *packed], ["bucket", "block", "prefix", "word", "c", "place"])
 
     def meet(t: pa.Table) -> pa.Table:
-        prefix, word, suffix, c, place = (_int64(t.column(x)) for x in names[2:])
-        block = np.repeat(t.column("block").to_numpy(), pc.divide(pc.binary_length(t.column("c")), 8).to_numpy())
+        prefix, word, c, place = (_values(t.column(x), kind) for x, kind in (("prefix", np.int64), ("word", np.int64), ("c", np.int32), ("place", np.int32)))
+        block = np.repeat(t.column("block").to_numpy(), pc.divide(pc.binary_length(t.column("c")), 4).to_numpy())
         order = np.lexsort((word, prefix))
         new = np.append(True, (np.diff(prefix[order]) != 0) | (np.diff(word[order]) != 0))
         key = np.empty(len(order), dtype=np.int64)
         key[order] = np.cumsum(new) - 1
-        rows, row_ids, first, ids, f = _met(key, c, (block << PLACE) + place, least)
-        each, places, sent = _sent(block[rows], place[rows], row_ids)
-        named = [ids, f, prefix[first], word[first], suffix[first]]
-        return pa.table([pa.array([*each.tolist(), None], pa.int64()), pa.concat_arrays([places, pa.nulls(1, pa.binary())]), pa.concat_arrays([sent, pa.nulls(1, pa.binary())]), *(pa.array([None] * len(each) + [x.tolist()], pa.list_(pa.int64())) for x in named)], ["block", "places", "ids", "id", "f", "prefix", "word", "suffix"])
+        rows, row_ids, some, ids, f = _met(key, c, t.column("bucket")[0].as_py(), least)
+        return _said(*_sent(block[rows], place[rows], row_ids), {"id": ids.tolist(), "f": f.tolist(), "prefix": prefix[some].tolist(), "word": word[some].tolist()})
 
-    names = ["bucket", "block", "prefix", "word", "suffix", "c", "place"]
-    dealt = lists.mapInArrow(deal, "bucket long, block long, prefix binary, word binary, suffix binary, c binary, place binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "block long, places binary, ids binary, id array<long>, f array<long>, prefix array<long>, word array<long>, suffix array<long>")
+    dealt = lists.mapInArrow(deal, "bucket long, block long, prefix binary, word binary, c binary, place binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "block long, places binary, ids binary, id array<long>, f array<long>, prefix array<long>, word array<long>")
 
 
 def _listed(found: DataFrame, *columns: str) -> DataFrame:
@@ -258,28 +265,36 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _lists(ids: np.ndarray, which: np.ndarray, at: np.ndarray) -> list[bytes]:
     """Inverted lists: ids, their lengths and positions in order, from the index of an id at each of some ascending positions."""
     order = np.argsort(which, kind="stable")
-    return [ids.astype(np.int64).tobytes(), np.bincount(which, minlength=len(ids)).astype(np.int32).tobytes(), at[order].astype(np.int32).tobytes()]
+    return [ids.astype(np.int64).tobytes(), np.bincount(which, minlength=len(ids)).astype(np.int32).tobytes(), _squeezed(at[order])]
+
+
+def _squeezed(at: np.ndarray) -> bytes:
+    """Ascending runs of numbers as compressed steps."""
+    return zstandard.compress(np.diff(at, prepend=0).astype(np.int32).tobytes(), 1)
+
+
+def _positions(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), dtype=np.int32), dtype=np.int64)
 
 
 def _merged(lengths: bytes, at: bytes, size: int) -> np.ndarray:
     """The lists merged by position: the index of the list that has it, for each slot of the block; -1 for none."""
-    lengths, at = np.frombuffer(lengths, dtype=np.int32), np.frombuffer(at, dtype=np.int32)
+    lengths, at = np.frombuffer(lengths, dtype=np.int32), _positions(at)
     out = np.full(size, -1, dtype=np.int64)
     out[at] = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
     return out
 
 
-def _grown(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of k + 1 words in a block: start positions, the candidate of each, and the candidates' prefix, word and suffix as indexes."""
+def _grown(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of k + 1 words in a block: start positions, the candidate of each, and the candidates' prefix and word as indexes."""
     size = row["size"] + k + 1
     words = _merged(row["w_len"], row["w_at"], size)
     starts = words if row["p_ids"] is None else _merged(row["p_len"], row["p_at"], size)
     at = np.flatnonzero(starts[: row["size"]] >= 0)
     at = at[(words[at + k] >= 0) & (starts[at + 1] >= 0)]
-    prefix, word, suffix = starts[at], words[at + k], starts[at + 1]
     wide = np.int64(max(1, len(row["w_len"]) // 4))
-    different, first, candidate = np.unique(prefix * wide + word, return_index=True, return_inverse=True)
-    return at, candidate, different // wide, different % wide, suffix[first]
+    different, candidate = np.unique(starts[at] * wide + words[at + k], return_inverse=True)
+    return at, candidate, different // wide, different % wide
 
 
 _COLUMNS = ["w_ids", "w_len", "w_at", "p_ids", "p_len", "p_at"]
@@ -287,7 +302,7 @@ _STORED = "block long, own int, size int, n_p long, " + ", ".join(f"{c} binary"
 
 
 def _stored(row: dict, words: list[bytes], lists: list[bytes | None]) -> pa.RecordBatch:
-    n = len(lists[2] if lists[2] is not None else words[2]) // 4
+    n = int(np.frombuffer(words[1] if lists[1] is None else lists[1], dtype=np.int32).sum())
     head = [pa.array([row["block"]]), pa.array([row["own"]], pa.int32()), pa.array([row["size"]], pa.int32()), pa.array([n], pa.int64())]
     return pa.RecordBatch.from_arrays([*head, *(pa.array([x], pa.binary()) for x in [*words, *lists])], ["block", "own", "size", "n_p", *_COLUMNS])
 
@@ -296,7 +311,7 @@ def _numbered(row: dict, n: int) -> np.ndarray:
     """The id of each of a block's n candidates; -1 for infrequent ones."""
     out = np.full(n, -1, dtype=np.int64)
     for x in row["found"]:
-        out[np.frombuffer(x["places"], dtype=np.int64)] = np.frombuffer(x["ids"], dtype=np.int64)
+        out[np.frombuffer(x["places"], dtype=np.int32)] = np.frombuffer(x["ids"], dtype=np.int64)
     return out
 
 
@@ -313,7 +328,7 @@ def word_lists(text: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            codes = np.frombuffer(row["codes"], dtype=np.int32)
+            codes = np.frombuffer(zstandard.decompress(row["codes"]), dtype=np.int32)
             at = np.flatnonzero(codes >= 0)
             ids = _numbered(row, row["n"])
             yield _stored(row | {"size": len(codes)}, _kept(ids, codes[at].astype(np.int64), at), [None] * 3)
@@ -326,7 +341,7 @@ def extended(lists: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            at, candidate, prefix, _, _ = _grown(row, k)
+            at, candidate, prefix, _ = _grown(row, k)
             ids = _numbered(row, len(prefix))
             words = _merged(row["w_len"], row["w_at"], row["size"] + k + 2)
             follow = at[ids[candidate] >= 0] + k + 1
@@ -347,13 +362,13 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, size: int = BLO
     totals = materialize(text.select(F.explode("sums").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n")), "phrases-totals")
     found = materialize(frequent_words(text, least), "phrases-1")
     none = F.array().cast("array<long>")
-    words = _listed(found, "lang", "word").select("id", "lang", F.col("word").alias("phrase"), "f", none.alias("lefts"), none.alias("rights"))
+    words = _listed(found, "lang", "word").select("id", F.lit(0).cast("long").alias("suffix"), F.lit(0).cast("long").alias("prefix"), F.col("id").alias("word"), "lang", F.col("word").alias("phrase"), "f", none.alias("lefts"), none.alias("rights"))
     known, out = words, []
     lists = materialize(word_lists(text, found), "phrases-lists-1")
     discard(text)
     for k in range(1, longest):
         found = materialize(frequent_phrases(lists, k, least), f"phrases-{k + 1}")
-        known = materialize(_named(_listed(found, "prefix", "word", "suffix"), known, words), f"phrases-named-{k + 1}")
+        known = materialize(_named(_listed(found, "prefix", "word"), known, words), f"phrases-named-{k + 1}")
         out.append(known.withColumn("m", F.lit(k + 1)))
         if k + 1 < longest:
             longer = materialize(extended(lists, found, k), f"phrases-lists-{k + 1}")
@@ -371,11 +386,16 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, size: int = BLO
 
 
 def _named(new: DataFrame, known: DataFrame, words: DataFrame) -> DataFrame:
-    """new(id, prefix, word, suffix, f) with language, phrase and the frequencies of first and last parts."""
-    first = known.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("start"), F.array_append("lefts", F.col("f")).alias("lefts"))
-    last = known.select(F.col("id").alias("suffix"), F.array_append("rights", F.col("f")).alias("rights"))
+    """new(id, prefix, word, f) with language, phrase, the frequencies of first and last parts, and the id of the phrase without its first word.
+
+    That one has the same last word, and for its own prefix what the new one's
+    prefix has for a suffix. Before one word stands the empty phrase, 0.
+    """
+    first = known.select(F.col("id").alias("prefix"), F.col("suffix").alias("before"), "lang", F.col("phrase").alias("start"), F.array_append("lefts", F.col("f")).alias("lefts"))
+    last = known.select(F.col("prefix").alias("before"), "word", F.col("id").alias("suffix"), F.array_append("rights", F.col("f")).alias("rights"))
     one = words.select(F.col("id").alias("word"), F.col("phrase").alias("end"))
-    return new.join(first, "prefix").join(last, "suffix").join(one, "word").select("id", "prefix", "suffix", "lang", F.concat_ws(" ", "start", "end").alias("phrase"), "f", "lefts", "rights")
+    met = new.join(first, "prefix").join(last, ["before", "word"]).join(one, "word")
+    return met.select("id", "prefix", "suffix", "word", "lang", F.concat_ws(" ", "start", "end").alias("phrase"), "f", "lefts", "rights")
 
 
 def scored(whole: DataFrame, totals: DataFrame) -> DataFrame:
