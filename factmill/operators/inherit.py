@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..facts import Facts
-from .fixpoint import chains
+from .fixpoint import chains, cut
 
 
 def ancestor_chain(facts: Facts) -> DataFrame:
@@ -25,18 +25,29 @@ def lineage(facts: Facts, ancestors: DataFrame | None = None) -> DataFrame:
     return facts.classes.select(F.col("fqn").alias("class"), F.col("fqn").alias("ancestor"), F.lit(0).alias("dist")).unionByName(ancestors)
 
 
-def _members(facts: Facts, members: DataFrame) -> DataFrame:
-    """For each class and member name one owner: own, then the nearest ancestor's, then traits, the farthest first.
+def sources(facts: Facts) -> DataFrame:
+    """(class, owner, rank): where a class has members from, least rank first: itself, ancestors from the nearest on, then traits, those of the farthest first.
 
     A trait fills a hole only after the parent's members were copied, so an
-    inherited member beats one of the class's own trait.
+    inherited member beats one of the class's own trait. Ranks of one class differ.
     """
     lines = lineage(facts)
-    own = lines.join(members, lines["ancestor"] == members["owner"]).select("class", *members.columns, F.lit(0).alias("r"), F.col("dist").alias("near"), F.lit(0).alias("use_ord"))
-    traits = lines.join(facts.uses.withColumnRenamed("class", "ancestor"), "ancestor").join(members, F.col("trait") == members["owner"])
-    traits = traits.select("class", *members.columns, F.lit(1).alias("r"), (-F.col("dist")).alias("near"), "use_ord")
-    first = Window.partitionBy("class", "name").orderBy("r", "near", "use_ord", "owner")
-    return own.unionByName(traits).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("r", "near", "use_ord", "nth")
+    own = lines.select("class", F.col("ancestor").alias("owner"), F.col("dist").cast("long").alias("rank"))
+    used = lines.join(facts.uses.withColumnRenamed("class", "ancestor"), "ancestor").groupBy("class", "trait").agg(F.min(F.struct((-F.col("dist")).alias("near"), "use_ord")).alias("x"))
+    nth = F.row_number().over(Window.partitionBy("class").orderBy("x.near", "x.use_ord", "trait"))  # as many as a class and its ancestors use
+    return own.unionByName(used.select("class", F.col("trait").alias("owner"), (F.lit(1 << 32) + nth).alias("rank")))
+
+
+def member_owners(facts: Facts, members: DataFrame) -> DataFrame:
+    """(class, name, owner) of every member that a class has: the least rank of each name, a number that is combined before the shuffle."""
+    ranked = cut(sources(facts))
+    least = members.select("owner", "name").join(ranked, "owner").groupBy("class", "name").agg(F.min("rank").alias("rank"))
+    return least.join(ranked, ["class", "rank"]).select("class", "name", "owner")
+
+
+def _members(facts: Facts, members: DataFrame) -> DataFrame:
+    """Each class's members, one of each name: owners are decided on keys alone, the rest is joined to them."""
+    return member_owners(facts, members).join(members, ["owner", "name"]).select("class", *members.columns)
 
 
 def all_methods(facts: Facts) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..facts import Facts
 from ..functions.typing import argument_fits, base, is_builtin, kind, null_fits
 from .boundary import class_project, cross, file_project
+from .fixpoint import cut
 from .inherit import all_methods, ancestor_chain
 
 VISIBILITY_RANK = {"public": 3, "protected": 2, "private": 1}
@@ -45,29 +46,49 @@ def return_counters(returns: DataFrame) -> DataFrame:
     return methods.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("verified", "failed", "uncertain")))
 
 
-def argument_counts(boundary: DataFrame, min_confidence: float = 0.0) -> DataFrame:
-    """Calls with fewer arguments than required, or more than there are parameters (unless the last is variadic)."""
+def _bounds() -> tuple[Column, Column]:
+    """The least and most arguments that target_params take."""
     params = F.col("target_params")
     required = F.size(F.filter(params, lambda p: ~p["has_default"] & ~F.coalesce(p["is_variadic"], F.lit(False))))
-    most = F.when(F.exists(params, lambda p: F.coalesce(p["is_variadic"], F.lit(False))), F.lit(2**31 - 1)).otherwise(F.size(params))
+    return required, F.when(F.exists(params, lambda p: F.coalesce(p["is_variadic"], F.lit(False))), F.lit(2**31 - 1)).otherwise(F.size(params))
+
+
+def argument_counts(boundary: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+    """Calls with fewer arguments than required, or more than there are parameters (unless the last is variadic)."""
+    required, most = _bounds()
     n = F.size("args")
     calls = cross(boundary).where(F.col("confidence") >= min_confidence)
     return calls.select("call_id", "target", n.alias("n_args"), required.alias("n_required"), most.alias("n_most")).where("n_args < n_required OR n_args > n_most")
 
 
 def argument_types(facts: Facts, boundary: DataFrame, min_confidence: float = 0.0) -> DataFrame:
-    """Arguments whose type doesn't fit the parameter at their position; unresolved arguments are skipped."""
-    calls = cross(boundary).where(F.col("confidence") >= min_confidence)
-    pairs = calls.select("call_id", "target", F.posexplode(F.arrays_zip("args", "target_params")).alias("pos", "x")).where("x.args IS NOT NULL AND x.target_params.type IS NOT NULL")
-    pairs = pairs.select("call_id", "target", "pos", F.col("x.args").alias("arg"), F.col("x.target_params.type").alias("param"))
-    fits = lambda is_sub: F.when(F.col("arg") == "null", null_fits(F.col("param"))).otherwise(argument_fits(F.col("arg"), F.col("param"), is_sub))
-    # What fits without knowing classes, and what only a class could mend, need no join: only names of classes meet the hierarchy.
-    pairs = pairs.where(~fits(F.lit(False)))
-    classes = ~is_builtin(base(F.col("arg"))) & ~is_builtin(base(F.col("param")))
-    alone = pairs.where(~F.coalesce(classes, F.lit(False)))
-    ups = ancestor_chain(facts).select("class", F.col("ancestor").alias("up")).unionByName(facts.implements.select("class", F.col("interface").alias("up"))).distinct().withColumn("is_sub", F.lit(True))
-    met = pairs.where(classes).join(ups, (base(F.col("arg")) == ups["class"]) & (base(F.col("param")) == ups["up"]), "left").where(~fits(F.col("is_sub")))
-    return alone.unionByName(met.select(*alone.columns)).select("call_id", "target", "pos", "arg", "param")
+    """Arguments whose type doesn't fit the parameter at their position; unresolved arguments are skipped.
+
+    Types are few and calls many: every different pair of types is judged once,
+    those of two classes with the hierarchy, and the pairs that don't fit are
+    joined back, by broadcast only where Spark finds them small.
+    """
+    return _misfits(facts, cross(boundary).where(F.col("confidence") >= min_confidence).select("call_id", "target", "args", "target_params"))
+
+
+def _misfits(facts: Facts, calls: DataFrame) -> DataFrame:
+    """(other columns of calls, pos, arg, param) of calls(args, target_params, ...)."""
+    others = [c for c in calls.columns if c not in ("args", "target_params")]
+    zipped = F.arrays_zip("args", F.col("target_params.type").alias("params"))
+    pairs = calls.select(*others, F.posexplode(F.slice(zipped, F.lit(1), F.least(F.size("args"), F.size("target_params")))).alias("pos", "x")).where("x.args IS NOT NULL AND x.params IS NOT NULL")
+    pairs = pairs.select(*others, "pos", F.col("x.args").alias("arg"), F.col("x.params").alias("param"))
+    return pairs.join(_bad_pairs(facts, cut(pairs.select("arg", "param").distinct())), ["arg", "param"]).select(*others, "pos", "arg", "param")
+
+
+def _bad_pairs(facts: Facts, pairs: DataFrame) -> DataFrame:
+    """(arg, param) of different pairs that don't fit."""
+    arg, param = F.col("arg"), F.col("param")
+    pairs = pairs.withColumn("a", base(arg)).withColumn("p", base(param))
+    classes = F.coalesce(~is_builtin(F.col("a")) & ~is_builtin(F.col("p")), F.lit(False))
+    ups = ancestor_chain(facts).select(F.col("class").alias("a"), F.col("ancestor").alias("p")).unionByName(facts.implements.select(F.col("class").alias("a"), F.col("interface").alias("p"))).distinct()
+    subtypes = cut(pairs.where(classes).select("a", "p").distinct().join(ups, ["a", "p"], "left_semi")).withColumn("is_sub", F.lit(True))
+    fits = F.when(arg == "null", null_fits(param)).otherwise(argument_fits(arg, param, F.col("is_sub")))
+    return pairs.join(subtypes, ["a", "p"], "left").where(~fits).select("arg", "param")
 
 
 def third_project_returns(facts: Facts, boundary: DataFrame) -> DataFrame:
@@ -157,6 +178,42 @@ def breaking_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("target", F.explode(changes).alias("change"))
 
 
+def pair_counts(facts: Facts, boundary: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+    """(caller_project, callee_project, target, n_calls, n_violations).
+
+    Violations are calls of what isn't visible, wrong argument counts, and
+    arguments that don't fit. They are summed for each call_id and then meet the
+    calls of that id, which need not be one; both sides of this join are narrow.
+    """
+    place = ["caller_project", "callee_project", "target"]
+    calls = cross(boundary)
+    judged = F.col("confidence") >= min_confidence
+    required, most = _bounds()
+    n = F.size("args")
+    wrong = F.when(F.col("target_visibility").isin("private", "protected"), 1).otherwise(0) + F.when(judged & ((n < required) | (n > most)), 1).otherwise(0)
+    bad = calls.select("call_id", wrong.alias("v")).where("v > 0").unionByName(_misfits(facts, calls.where(judged).select("call_id", "args", "target_params")).select("call_id", F.lit(1).alias("v")))
+    sums = bad.groupBy("call_id").agg(F.sum("v").alias("v"))
+    met = calls.select("call_id", *place).join(sums, "call_id", "left")
+    return met.groupBy(*place).agg(F.count(F.lit(1)).alias("n_calls"), F.coalesce(F.sum("v"), F.lit(0)).alias("n_violations"))
+
+
+def stability(counts: DataFrame, breaking: DataFrame | None = None) -> DataFrame:
+    """stability_scores() of what pair_counts() summed."""
+    pair = ["caller_project", "callee_project"]
+    out = counts.groupBy(*pair).agg(F.sum("n_calls").alias("n_calls"), F.sum("n_violations").alias("v"))
+    if breaking is not None:
+        b = breaking.join(counts.select("target", "callee_project").distinct(), "target").groupBy("callee_project").agg(F.count(F.lit(1)).alias("b"))
+        out = out.join(b, "callee_project", "left")
+    else:
+        out = out.withColumn("b", F.lit(0))
+    return _scored(out)
+
+
+def _scored(out: DataFrame) -> DataFrame:
+    score = F.greatest(F.lit(0.0), 1 - 0.1 * F.coalesce("v", F.lit(0)) - 0.2 * F.coalesce("b", F.lit(0)))
+    return out.select("caller_project", "callee_project", "n_calls", F.coalesce("v", F.lit(0)).cast("long").alias("n_violations"), F.round(score, 6).alias("score"))
+
+
 def stability_scores(boundary: DataFrame, violations: DataFrame, breaking: DataFrame | None = None) -> DataFrame:
     """Score of each pair of projects with calls: 1 - 0.1 * violations - 0.2 * breaking changes, not below 0.
 
@@ -172,5 +229,4 @@ def stability_scores(boundary: DataFrame, violations: DataFrame, breaking: DataF
         out = out.join(b, "callee_project", "left")
     else:
         out = out.withColumn("b", F.lit(0))
-    score = F.greatest(F.lit(0.0), 1 - 0.1 * F.coalesce("v", F.lit(0)) - 0.2 * F.coalesce("b", F.lit(0)))
-    return out.select(*pair, "n_calls", F.coalesce("v", F.lit(0)).cast("long").alias("n_violations"), F.round(score, 6).alias("score"))
+    return _scored(out)

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import names, typing
 from ..operators import boundary, called_before, compare, inherit, liveness, resolve, violations
-from ..operators.fixpoint import delete, exists, shared_folder
+from ..operators.fixpoint import cut, delete, exists, shared_folder
 from ..sources import projects, sinks
 from .bridge import CTES, TYPES, facts, table
 
@@ -360,8 +360,7 @@ def breaking_changes(spark, sf_dir):
 def stability_scores(spark, sf_dir):
     f, b = _boundary(spark, sf_dir)
     sig, _ = _signatures(spark, sf_dir)
-    bad = violations.visibility_violations(b).select("call_id").unionByName(violations.argument_counts(b).select("call_id")).unionByName(violations.argument_types(f, b).select("call_id"))
-    out = violations.stability_scores(b, bad, violations.breaking_changes(sig, _changed(sig)))
+    out = violations.stability(cut(violations.pair_counts(f, b)), violations.breaking_changes(sig, _changed(sig)))
     return out.withColumn("score", F.col("score").cast("double"))
 
 
