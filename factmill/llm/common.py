@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.fixpoint import shared_folder
+from ..operators.fixpoint import delete, scratch_folder
 
 #: ASCII white space separates words; the same set that bytes.split() uses.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,19 +25,14 @@ SLICE_BYTES = 4 << 20
 # ---------------------------------------------------------------- scratch tables
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, of spark.checkpoint.dir."""
-    return shared_folder(spark)
-
-
 def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write df as Parquet in the shared folder, one folder for each value of by, and read it back.
 
     This cuts the lineage: a lost executor costs a re-read of a file and not a
-    recomputation of everything before it. release() removes the files.
+    recomputation of everything before it. operators.fixpoint.release() removes the files.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -47,16 +42,7 @@ def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote and that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch tables. Call it once the results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.scratch_path)
 
 
 def partitions(spark: SparkSession) -> int:

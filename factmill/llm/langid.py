@@ -146,14 +146,14 @@ def decode(m: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
     return loss.argmin(1), share.max(1), (two[:, 1] - two[:, 0] < MARGIN) if loss.shape[1] > 1 else np.zeros(len(m), dtype=bool)
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __lang_pred, __score and __ambiguous for every whole text (column text).
+def annotate(docs: DataFrame, model: Model, columns: tuple[str, str, str] = ("__lang_pred", "__score", "__ambiguous")) -> DataFrame:
+    """docs with the language, score and ambiguity of every whole text (column text), in columns of these names, which docs mustn't have.
 
     A text that is null or has no letter is und with score 0 and not ambiguous;
     so is every text if nothing was learned. All other columns come back as they are.
     """
     learned = docs.sparkSession.sparkContext.broadcast(model)
-    added = T.StructType([T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__ambiguous", T.BooleanType())])
+    added = T.StructType([T.StructField(c, kind) for c, kind in zip(columns, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = learned.value

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, doc_rows, materialize, partitions
+from .common import WORD, doc_rows, free, materialize, partitions
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -165,16 +165,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COP
     return result.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as its copies say, with the columns of docs.
+    """The mix itself: each document as often as its copies say, with the columns of docs, whatever their names.
 
-    Rows that share id, source and size are told apart by their rank.
+    Rows that share id, source and size are told apart by their rank: by text,
+    then by all columns, so rows that differ anywhere have one order in any layout.
     """
-    key = ["doc_id", "source", "size"]
-    counts = mixed.select(*(F.col(k).alias(f"__{k}") for k in key), "copies").withColumn("__rank", F.row_number().over(Window.partitionBy(*(f"__{k}" for k in key)).orderBy(F.desc("copies"))))
-    rows = docs.withColumn("__words", words(F.col("text")))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64("text"))))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__nth") == F.col("__rank"))
-    joined = rows.join(counts, same).where("copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+    id_, source_, size_, copies_, rank_, words_, nth_, copy_ = free(docs, "id", "source", "size", "copies", "rank", "words", "nth", "copy")
+    counts = mixed.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_), F.col("copies").alias(copies_))
+    counts = counts.withColumn(rank_, F.row_number().over(Window.partitionBy(id_, source_, size_).orderBy(F.desc(copies_))))
+    rows = docs.withColumn(words_, words(F.col("text")))
+    rows = rows.withColumn(nth_, F.row_number().over(Window.partitionBy("doc_id", "source", words_).orderBy(F.xxhash64("text"), *(F.col(f"`{c}`") for c in sorted(docs.columns)))))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_)) & (F.col(words_) == F.col(size_)) & (F.col(nth_) == F.col(rank_))
+    joined = rows.join(counts, same).where(F.col(copies_) > 0)
+    return joined.withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(copies_).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
