@@ -19,8 +19,9 @@ LEAST_SCORE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter or without a clear codeword go."""
-    told = langid.annotate(docs, langid.train(docs))
-    return told.where((F.col("__lang_pred") != langid.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score, ambiguous = free(docs, "lang_pred", "score", "ambiguous")
+    told = langid.annotate(docs, langid.train(docs), (lang, score, ambiguous))
+    return told.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +34,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
-    Rows equal in id and text are one document; rows without an id stay.
+    Rows equal in id and text are one document, of which the row least in all
+    columns stays, in any layout; rows without an id stay.
     """
     linked = neardup.link(docs).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(linked, "doc_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    once = kept.where("doc_id IS NOT NULL").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
-    return once.unionByName(kept.where("doc_id IS NULL").select(*docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    (nth,) = free(docs, "nth")
+    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(F.col(f"`{c}`") for c in sorted(docs.columns))))
+    once = kept.where("doc_id IS NOT NULL").withColumn(nth, first).where(F.col(nth) == 1).select(*columns)
+    return once.unionByName(kept.where("doc_id IS NULL").select(*columns))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
