@@ -139,7 +139,9 @@ def _groups(spark, total: int) -> int:
 
 
 def _values(column: pa.Array, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+    """What _packed() has packed, of all rows in a row."""
+    parts = [np.cumsum(np.frombuffer(zstandard.decompress(x), dtype=kind), dtype=kind) for x in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
 def _dealt(bucket: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]:
@@ -151,8 +153,8 @@ def _dealt(bucket: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(values)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+    """One compressed value for each part: steps from number to number, which are small where numbers ascend."""
+    return pa.array([zstandard.compress(np.diff(values[a:b], prepend=values.dtype.type(0)).tobytes(), 1) for a, b in zip(bounds, bounds[1:])], pa.binary())
 
 
 def _met(key: np.ndarray, c: np.ndarray, bucket: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -226,12 +228,12 @@ def frequent_phrases(lists: DataFrame, k: int, least: int) -> DataFrame:
                 p_ids, w_ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("p_ids" if row["p_ids"] else "w_ids", "w_ids"))
                 prefix, word = p_ids[prefix], w_ids[word]
                 bucket = (mix(prefix.astype(np.uint64) * np.uint64(3) + mix(word.astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
-                _, each, _, packed = _dealt(bucket, prefix, word, owned, np.arange(len(prefix), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), row["block"])), *packed], ["bucket", "block", "prefix", "word", "c", "place"])
+                _, each, bounds, packed = _dealt(bucket, prefix, word, owned, np.arange(len(prefix), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), row["block"])), pa.array(np.diff(bounds)), *packed], ["bucket", "block", "n", "prefix", "word", "c", "place"])
 
     def meet(t: pa.Table) -> pa.Table:
         prefix, word, c, place = (_values(t.column(x), kind) for x, kind in (("prefix", np.int64), ("word", np.int64), ("c", np.int32), ("place", np.int32)))
-        block = np.repeat(t.column("block").to_numpy(), pc.divide(pc.binary_length(t.column("c")), 4).to_numpy())
+        block = np.repeat(t.column("block").to_numpy(), t.column("n").to_numpy())
         order = np.lexsort((word, prefix))
         new = np.append(True, (np.diff(prefix[order]) != 0) | (np.diff(word[order]) != 0))
         key = np.empty(len(order), dtype=np.int64)
@@ -239,7 +241,7 @@ def frequent_phrases(lists: DataFrame, k: int, least: int) -> DataFrame:
         rows, row_ids, some, ids, f = _met(key, c, t.column("bucket")[0].as_py(), least)
         return _said(*_sent(block[rows], place[rows], row_ids), {"id": ids.tolist(), "f": f.tolist(), "prefix": prefix[some].tolist(), "word": word[some].tolist()})
 
-    dealt = lists.mapInArrow(deal, "bucket long, block long, prefix binary, word binary, c binary, place binary")
+    dealt = lists.mapInArrow(deal, "bucket long, block long, n int, prefix binary, word binary, c binary, place binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "block long, places binary, ids binary, id array<long>, f array<long>, prefix array<long>, word array<long>")
 
 
@@ -311,16 +313,18 @@ def _numbered(row: dict, n: int) -> np.ndarray:
     """The id of each of a block's n candidates; -1 for infrequent ones."""
     out = np.full(n, -1, dtype=np.int64)
     for x in row["found"]:
-        out[np.frombuffer(x["places"], dtype=np.int32)] = np.frombuffer(x["ids"], dtype=np.int64)
+        out[_values(pa.array([x["places"]]), np.int32)] = _values(pa.array([x["ids"]]), np.int64)
     return out
 
 
 def _kept(ids: np.ndarray, which: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Lists of those whose id isn't -1."""
-    some = ids >= 0
-    number = np.cumsum(some) - 1
-    stay = some[which]
-    return _lists(ids[some], number[which[stay]], at[stay])
+    """Lists of those whose id isn't -1, by ascending id."""
+    order = np.argsort(ids, kind="stable")
+    order = order[np.searchsorted(ids[order], 0) :]
+    number = np.full(len(ids), -1, dtype=np.int64)
+    number[order] = np.arange(len(order))
+    stay = ids[which] >= 0
+    return _lists(ids[order], number[which[stay]], at[stay])
 
 
 def word_lists(text: DataFrame, found: DataFrame) -> DataFrame:
