@@ -30,7 +30,7 @@ def base(t: Column) -> Column:
 
 def parts(t: Column) -> Column:
     """Members of a union or intersection; nothing for other types."""
-    return F.when(kind(t).isin("union_type", "intersection"), F.transform(F.split(F.trim(t), "[|&]"), F.trim)).otherwise(F.array().cast("array<string>"))
+    return F.when(kind(t).isin("union_type", "intersection"), F.transform(F.split(F.trim(t), "[|&]"), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
 
 
 def is_builtin(t: Column) -> Column:

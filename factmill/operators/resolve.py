@@ -95,6 +95,32 @@ def confidence_histogram(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def confidence_shares(resolved: DataFrame) -> DataFrame:
+    """One row: percentages of calls by confidence, rounded to a tenth, and their numbers; zero without calls."""
+    c, hit = F.col("confidence"), F.col("target").isNotNull()
+    of = {"exact": c >= 0.9, "likely": (c >= 0.5) & (c < 0.9), "possible": (c < 0.5) & hit, "unresolved": (c < 0.5) & ~hit}
+    n = resolved.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(x).alias(name) for name, x in of.items()))
+    share = lambda name: F.round(F.coalesce(100.0 * F.col(name) / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0)), 1)
+    return n.select(*(share(name).alias(name) for name in of), *(F.col(name).alias(f"{name}_count") for name in of))
+
+
+#: What a resolved call passes, by how it was resolved (fixed values).
+CHECKS = {
+    "interface_compliance": ("native_type", "explicit_type", "plugin_generated"),
+    "call_site_args": ("this_reference", "self_reference", "static_reference", "parent_reference", "phpdoc", "static_call", "this_call"),
+    "property_types": ("assignment", "assignment_tracking", "constructor_call", "constructor_injection", "property_type"),
+    "return_types": ("return_type_chain",),
+}
+
+
+def type_checks(resolved: DataFrame) -> DataFrame:
+    """One row: (passed, failed, unchecked) of each of four checks; unresolved calls are unchecked arguments."""
+    hit = F.col("target").isNotNull()
+    counts = resolved.agg(*(F.count_if(hit & F.col("method").isin(*methods)).alias(name) for name, methods in CHECKS.items()), F.count_if(~hit).alias("open"))
+    zero = F.lit(0).cast("long")
+    return counts.select(*(F.struct(F.col(name).alias("pass"), zero.alias("fail"), (F.col("open") if name == "call_site_args" else zero).alias("unchecked")).alias(name) for name in CHECKS))
+
+
 def type_check_buckets(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("method").agg(F.count("target").alias("passed"), F.count_if(F.col("target").isNull()).alias("unchecked"))
 

@@ -91,6 +91,18 @@ def _bad_pairs(facts: Facts, pairs: DataFrame) -> DataFrame:
     return pairs.join(subtypes, ["a", "p"], "left").where(~fits).select("arg", "param")
 
 
+def first_matches(boundary: DataFrame, calls: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+    """boundary(target, file_path, line, ...) with first_call: of the calls(call_id, target, file_path, line, confidence) of the same
+    target on the same line of the same file, the one that comes first; null where none is sure enough.
+
+    Such a line may hold several calls. The least call_id of each (target, file,
+    line) is found before the join, so a key meets its rows once.
+    """
+    key = ["target", "file_path", "line"]
+    first = calls.where(F.col("target").isNotNull() & (F.col("confidence") >= min_confidence)).groupBy(*key).agg(F.min("call_id").alias("first_call"))
+    return boundary.join(first, key, "left")
+
+
 def third_project_returns(facts: Facts, boundary: DataFrame) -> DataFrame:
     """Calls whose result is a class of a third project."""
     at = class_project(facts).select(F.col("fqn").alias("result"), F.col("project").alias("third"))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import names, typing
-from ..operators import boundary, called_before, compare, inherit, liveness, resolve, violations
-from ..operators.fixpoint import cut, delete, exists, shared_folder
-from ..sources import projects, sinks
+from ..functions import docs, names, typing
+from ..operators import boundary, called_before, compare, generics, inherit, liveness, plugins, resolve, violations
+from ..operators.fixpoint import cut, delete, exists, reach_pairs, shared_folder, simple_paths
+from ..sources import documents, projects, sinks
+from ..sources.php.facts import synthetic_edges
 from .bridge import CTES, TYPES, facts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -743,29 +744,7 @@ def source_scan(spark, sf_dir):
 assert set(_KINDS) == set(TYPES)
 
 
-# ---------------------------------------------------------------- sources: small fixtures, expected rows as SQL
-
-
-def _parsed(spark):
-    from ..sources.php.facts import fact_rows, tables
-    from .fixtures import SOURCES
-
-    return tables(fact_rows(spark.createDataFrame(sorted(SOURCES.items()), "file_path string, content string")))
-
-
-@query(
-    """SELECT * FROM (VALUES ('Returns::mismatch', 'return_type_mismatch', 3), ('Returns::missing', 'missing_return', 4), ('Returns::nothing', 'return_type_mismatch', 5),
-  ('Returns::nothing', 'return_null_non_nullable', 5), ('Returns::extra', 'void_with_value', 6), ('Returns::branch', 'return_type_mismatch', 7)) v(method, problem, line)""",
-    ctes=False,
-)
-def return_diagnostics(spark, sf_dir):
-    return _parsed(spark)["returns"].where("problem IS NOT NULL").select("method", "problem", "line")
-
-
-@query("""SELECT * FROM (VALUES ('Nulls::open', 'possibly_null', 3), ('Nulls::guarded', 'definitely_not_null', 4), ('Nulls::early', 'definitely_not_null', 5), ('Nulls::set', 'definitely_null', 6)) v(method, state, line)""", ctes=False)
-def null_states(spark, sf_dir):
-    return _parsed(spark)["null_accesses"].where("method LIKE 'Nulls%'").select("method", "state", "line")
-
+# ---------------------------------------------------------------- sources
 
 # One file a supplier, so that SQL derives the rows: supplier k has the (k % n)-th of each.
 
@@ -850,39 +829,251 @@ def parsed_calls(spark, sf_dir):
     return resolved.where("caller LIKE '%::h'").select("caller", "target", F.col("confidence").cast("double").alias("confidence"), "method")
 
 
-@query("""SELECT * FROM (VALUES ('Shop::sell', 'Mailer::onSold'), ('Shop::sell', 'Audit::onAnything'), ('Shop::stock', 'Audit::onAnything')) v(caller, target)""", ctes=False)
+@query(f"SELECT method, problem, 1 AS line FROM ({_CHECKS}) WHERE problem IS NOT NULL", ctes=False)
+def return_diagnostics(spark, sf_dir):
+    return _generated(spark, sf_dir)["returns"].where("problem IS NOT NULL").select("method", "problem", "line")
+
+
+@query(f"SELECT method, state, 1 AS line FROM ({_ACCESSES})", ctes=False)
+def null_states(spark, sf_dir):
+    return _generated(spark, sf_dir)["null_accesses"].select("method", "state", "line")
+
+
+#: Suppliers dispatch events, parts map them to handlers; names are whole, short or of another namespace.
+_DISPATCHES = "SELECT fqn || '::m' || (k % 41) AS caller, CASE k % 3 WHEN 0 THEN fqn WHEN 1 THEN 'S' || k ELSE 'N9' || chr(92) || 'S' || k END AS event, file_path, (k % 9)::INT AS line FROM classes"
+_MAPS = "SELECT fqn AS class, CASE WHEN p_partkey % 500 = 0 THEN '*' WHEN p_partkey % 2 = 0 THEN fqn ELSE 'S' || k END AS mapped, 'm' || (p_partkey % 41) AS handler FROM part CROSS JOIN size_n JOIN names ON k = p_partkey % n"
+_EVENT_EDGES = f"SELECT DISTINCT caller, class || '::' || handler AS target, file_path, line FROM ({_DISPATCHES}) JOIN ({_MAPS}) ON mapped = '*' OR event = mapped OR ends_with(event, chr(92) || mapped) OR ends_with(mapped, chr(92) || event)"
+
+
+def _dispatched(spark, sf_dir):
+    """Facts with events: see _DISPATCHES and _MAPS."""
+    f = facts(spark, sf_dir)
+    k, fqn = F.col("k"), F.col("fqn")
+    short = F.concat(F.lit("S"), k.cast("string"))
+    sent = f.classes.select(F.concat(fqn, F.lit("::m"), (k % 41).cast("string")).alias("caller"), F.when(k % 3 == 0, fqn).when(k % 3 == 1, short).otherwise(F.concat(F.lit("N9\\"), short)).alias("event"), "file_path", (k % 9).cast("int").alias("line"))
+    p = F.col("p_partkey")
+    n = f.classes.agg(F.count(F.lit(1)).alias("n"))
+    maps = table(spark, sf_dir, "part").select("p_partkey").crossJoin(F.broadcast(n)).withColumn("k", p % F.col("n")).join(f.classes.select("k", "fqn"), "k")
+    maps = maps.select(fqn.alias("class"), F.when(p % 500 == 0, "*").when(p % 2 == 0, fqn).otherwise(short).alias("event"), F.concat(F.lit("m"), (p % 41).cast("string")).alias("handler"))
+    return f.with_(extra=f.extra | {"dispatches": sent, "event_maps": maps})
+
+
+@query(f"SELECT DISTINCT caller, target FROM ({_EVENT_EDGES})")
 def event_edges(spark, sf_dir):
-    from ..sources.php.facts import synthetic_edges
+    """What the plugin for events adds to the call graph."""
+    return plugins.run(_dispatched(spark, sf_dir), ["events"])[0].select("caller", "target")
 
-    return synthetic_edges(_parsed(spark), names).select("caller", "target")
 
+@query("SELECT 'none' AS plugin, 'unknown plugin ' || chr(39) || 'none' || chr(39) AS message FROM (SELECT count(*) FROM supplier)", ctes=False)
+def plugin_warnings(spark, sf_dir):
+    return plugins.run(_dispatched(spark, sf_dir), ["events", "none"])[1]
 
-@query("""SELECT * FROM (VALUES ('Returns::branch', '0,2'), ('Returns::branch', '0,3'), ('Returns::fine', '0,2'), ('Returns::missing', '0,1,3')) v(method, path)""", ctes=False)
-def cfg_paths(spark, sf_dir):
-    from ..operators.fixpoint import simple_paths
 
-    edges = _parsed(spark)["cfg_edges"].where("method LIKE 'Returns%'").select(F.col("method").alias("graph"), "src", "dst")
-    paths = simple_paths(edges, edges.select("graph", F.lit(0).alias("node")).distinct())
-    return paths.select(F.col("graph").alias("method"), F.array_join("path", ",").alias("path"))
+@query(_FINDINGS.replace("FROM resolved JOIN classes ON fqn = caller_class)", f"FROM resolved JOIN classes ON fqn = caller_class UNION ALL SELECT caller, target, line, file_path FROM ({_EVENT_EDGES}))", 1) + " SELECT * FROM violation")
+def called_before_merged(spark, sf_dir):
+    """Violations of "m1 before m2" once the plugin's edges have joined the graph."""
+    f, r = _resolved(spark, sf_dir)
+    calls = r.drop("file_path").join(f.classes.select(F.col("fqn").alias("caller_class"), "file_path"), "caller_class").select("caller", "target", "callee_name", "line", "file_path")
+    added = synthetic_edges(_dispatched(spark, sf_dir).extra).select("caller", "target", F.substring_index("target", "::", -1).alias("callee_name"), "line", "file_path")
+    c = F.col("callee")
+    return called_before.analyse(calls.unionByName(added), names.matches(c, "m1"), names.matches(c, "m2")).violations
+
 
+_TREE = ", kin AS (SELECT c.k AS dst, p.k AS src FROM classes c JOIN classes p ON c.extends = p.fqn)"
+
+
+@query(f"""{_TREE}, way(root, node, path) AS (SELECT k, k, k::VARCHAR FROM classes WHERE extends IS NULL UNION ALL SELECT root, dst, path || ',' || dst FROM way JOIN kin ON src = node)
+SELECT root::VARCHAR AS method, path FROM way WHERE node NOT IN (SELECT src FROM kin)""")
+def cfg_paths(spark, sf_dir):
+    """All paths through branching graphs: trees of classes, from each root to its leaves."""
+    edges, starts = _trees(spark, sf_dir)
+    return simple_paths(edges, starts).select(F.col("graph").alias("method"), F.array_join("path", ",").alias("path"))
 
-@query("""SELECT * FROM (VALUES ('Returns::branch', 3), ('Returns::fine', 2), ('Returns::missing', 4)) v(method, n_blocks)""", ctes=False)
-def cfg_reachability(spark, sf_dir):
-    """Reachable blocks of methods with branches."""
-    from ..operators.fixpoint import reach_pairs
 
-    edges = _parsed(spark)["cfg_edges"].where("method LIKE 'Returns%'")
-    node = lambda c: F.concat_ws("#", "method", c)
-    met = reach_pairs(edges.select(node("src").alias("src"), node("dst").alias("dst")), edges.select(F.col("method").alias("origin"), F.concat("method", F.lit("#0")).alias("node")))
+@query(f"""{_TREE}, below(root, node) AS (SELECT k, k FROM classes WHERE extends IS NULL UNION SELECT root, dst FROM below JOIN kin ON src = node)
+SELECT root::VARCHAR AS method, count(*)::INT AS n_blocks FROM below GROUP BY root""")
+def cfg_reachability(spark, sf_dir):
+    """Nodes that each root reaches."""
+    edges, starts = _trees(spark, sf_dir)
+    met = reach_pairs(edges.select("src", "dst"), starts.select(F.col("graph").alias("origin"), "node"))
     return met.groupBy(F.col("origin").alias("method")).agg(F.count(F.lit(1)).cast("int").alias("n_blocks"))
 
 
-@query("""SELECT * FROM (VALUES ('rows', 'array<int, string>', 'List<Base>'), ('one', '?T', 'List<Base>')) v(name, type, result)""", ctes=False)
+def _trees(spark, sf_dir):
+    """Trees of classes as graphs of their own, named by their roots: (edges(graph, src, dst), starts(graph, node))."""
+    c = facts(spark, sf_dir).classes
+    kin = c.select(F.col("k").alias("dst"), F.col("extends").alias("fqn")).join(c.select("fqn", F.col("k").alias("src")), "fqn").select("src", "dst")
+    starts = c.where("extends IS NULL").select(F.col("k").cast("string").alias("graph"), F.col("k").alias("node"))
+    graphs = reach_pairs(kin, starts.select(F.col("graph").alias("origin"), "node"))
+    return cut(kin.join(graphs.select(F.col("origin").alias("graph"), F.col("node").alias("src")), "src").select("graph", "src", "dst")), starts
+
+
+@query("""SELECT s_suppkey AS k, name, replace(type, '@', s_suppkey::VARCHAR) AS type, 'List<B' || s_suppkey || '>' AS result FROM supplier CROSS JOIN (VALUES ('rows', 'array<int, X@>'), ('one', '?T')) v(name, type)""", ctes=False)
 def doc_params(spark, sf_dir):
-    """Parameters of a doc comment, and its result with the template bound."""
-    from ..functions import docs
-    from .fixtures import DOC
+    """Parameters of doc comments, and their result with the template bound."""
+    c, own = F.col("doc"), F.col("s_suppkey").cast("string")
+    doc = F.concat(F.lit("/**\n * Does it.\n * @template T of B"), own, F.lit("\n * @param array<int, X"), own, F.lit("> $rows\n * @param ?T $one some text\n * @return List<T>\n * @throws Failure\n */"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), doc.alias("doc"))
+    rows = rows.select("k", F.explode(docs.params(c)).alias("p"), docs.tag_type(c, "return").alias("r"), F.map_from_entries(F.transform(docs.templates(c), lambda t: F.struct(t["name"], t["bound"]))).alias("b"))
+    return rows.select("k", "p.name", "p.type", docs.substitute(F.col("r"), F.col("b")).alias("result"))
+
+
+# ---------------------------------------------------------------- generics
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), use AS (
+  SELECT DISTINCT p_partkey % n AS k, 'E' || (p_partkey % 7) AS e, p_partkey % 5 = 0 AS few FROM part CROSS JOIN n
+), bound AS (
+  SELECT CASE k % 3 WHEN 0 THEN 'R' || k || '<Box<' || e || '>>' WHEN 1 THEN 'R' || k || '<int' || CASE WHEN few THEN '' ELSE ', ' || e END || '>' ELSE 'R' || k END AS type,
+    'R' || (k - k % 3) AS owner, CASE k % 3 WHEN 0 THEN 'Box<' || e || '>' WHEN 1 THEN CASE WHEN few THEN 'V' ELSE e END ELSE 'List<int, D' || k || '>' END AS x, string_split(CASE k % 3 WHEN 0 THEN 'Box' WHEN 1 THEN CASE WHEN few THEN 'V' ELSE e END ELSE 'List' END, '<')[1] AS h FROM use
+)
+SELECT DISTINCT type, owner, name, CASE name WHEN 'get' THEN '?' || x WHEN 'all' THEN 'List<' || x || '>' WHEN 'map' THEN 'Map<string, List<' || x || '>>' WHEN 'either' THEN h || '|null' ELSE 'int' END AS result
+FROM bound CROSS JOIN (VALUES ('get'), ('all'), ('map'), ('either'), ('size')) v(name)""", ctes=False)
+def generic_returns(spark, sf_dir):
+    """What methods of generic ancestors return: class k of each three has T, K and V, or none, and the last two extend the first with arguments."""
+    k = F.col("s_suppkey")
+    name = lambda x: F.concat(F.lit("R"), x.cast("string"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    given = F.when(k % 3 == 0, F.array(F.lit("T"))).when(k % 3 == 1, F.array(F.lit("K"), F.lit("V"))).otherwise(F.array().cast("array<string>"))
+    templates = s.select(name(k).alias("owner"), F.posexplode(given).alias("pos", "name"))
+    parent = F.concat(name(k - k % 3), F.when(k % 3 == 1, "<V>").otherwise(F.concat(F.lit("<List<int, D"), k.cast("string"), F.lit(">>"))))
+    extends = s.where("s_suppkey % 3 > 0").select(name(k).alias("class"), parent.alias("type"))
+    declared = (("get", "?T"), ("all", "List<T>"), ("map", "Map<string, List<T>>"), ("either", "T|null"), ("size", "int"))
+    methods = s.where("s_suppkey % 3 = 0").select(name(k).alias("owner"), F.explode(F.array(*(F.struct(F.lit(a).alias("name"), F.lit(b).alias("return_type")) for a, b in declared))).alias("m")).select("owner", "m.*")
+    p = F.col("p_partkey")
+    used = table(spark, sf_dir, "part").select("p_partkey").crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))).select((p % F.col("n")).alias("k"), F.concat(F.lit("E"), (p % 7).cast("string")).alias("e"), (p % 5 == 0).alias("few"))
+    k = F.col("k")
+    arguments = F.when(k % 3 == 0, F.concat(F.lit("<Box<"), "e", F.lit(">>"))).when(k % 3 == 1, F.when(F.col("few"), "<int>").otherwise(F.concat(F.lit("<int, "), "e", F.lit(">")))).otherwise("")
+    receivers = used.select(F.concat(name(k), arguments).alias("type")).distinct()
+    return generics.method_returns(receivers, methods, templates, extends).select("type", "owner", "name", "result")
+
+
+# ---------------------------------------------------------------- first matches, dumps, whole reports
+
+
+@query("""SELECT b.call_id, (SELECT min(c.call_id) FROM placed c WHERE c.target = b.target AND c.file_path = b.file_path AND c.line = b.line) AS first_call FROM (SELECT boundary.*, file_path FROM boundary JOIN classes ON fqn = caller_class) b WHERE caller_project <> callee_project""".replace("FROM placed c", "FROM (SELECT resolved.*, file_path FROM resolved JOIN classes ON fqn = caller_class) c"))
+def first_matches(spark, sf_dir):
+    """For calls across projects the first call of the same target on the same line of the same file."""
+    f, b = _boundary(spark, sf_dir)
+    at = f.classes.select(F.col("fqn").alias("caller_class"), "file_path")
+    placed = lambda df: df.drop("file_path").join(at, "caller_class")
+    return violations.first_matches(placed(boundary.cross(b)), placed(_resolved(spark, sf_dir)[1])).select("call_id", "first_call")
+
+
+_THEIRS = """, tc AS (SELECT k, fqn, CASE WHEN k % 7 = 3 THEN 'other' ELSE extends END AS extends, is_abstract, is_final <> (k % 11 = 5) AS is_final FROM classes WHERE k % 10 <> 2),
+oc AS (SELECT * FROM classes WHERE k % 10 <> 1), shared AS (SELECT fqn FROM oc JOIN tc USING (fqn)),
+kinds AS (
+  SELECT fqn AS class, NULL AS member, 'class_missing_in_ours' AS kind FROM tc WHERE fqn NOT IN (SELECT fqn FROM oc)
+  UNION ALL SELECT fqn, NULL, 'class_missing_in_theirs' FROM oc WHERE fqn NOT IN (SELECT fqn FROM tc)
+  UNION ALL SELECT fqn, NULL, 'class_field_mismatch' FROM oc JOIN tc USING (fqn) WHERE oc.extends IS DISTINCT FROM tc.extends
+  UNION ALL SELECT fqn, NULL, 'class_field_mismatch' FROM oc JOIN tc USING (fqn) WHERE oc.is_final <> tc.is_final
+  UNION ALL SELECT owner, name, CASE WHEN ord % 23 = 1 THEN 'method_missing_in_theirs' WHEN ord % 23 = 2 THEN 'method_missing_in_ours' ELSE 'method_field_mismatch' END FROM methods JOIN shared ON fqn = owner
+    WHERE ord % 23 IN (1, 2) OR (ord % 23 = 3 AND visibility <> 'private') OR (ord % 23 = 4 AND len(params) > 0)
+  UNION ALL SELECT owner, name, 'method_field_mismatch' FROM methods JOIN shared ON fqn = owner WHERE ord % 23 = 4 AND len(params) > 0
+  UNION ALL SELECT owner, name, CASE WHEN type = 'float' THEN 'property_missing_in_theirs' WHEN type = 'array' THEN 'property_missing_in_ours' ELSE 'property_field_mismatch' END FROM properties JOIN shared ON fqn = owner WHERE type IN ('float', 'array', 'bool')
+  UNION ALL SELECT fqn, NULL, 'implements_mismatch' FROM classes JOIN shared USING (fqn) WHERE k % 6 = 4
+)"""
+
+
+@query(f"{_THEIRS} SELECT class, member, kind FROM kinds")
+def reflection_diff(spark, sf_dir):
+    """Ten kinds of differences between a dump and a changed one: types in other order, repeated and added interfaces among them."""
+    f = facts(spark, sf_dir)
+    k, o, t = F.col("k"), F.col("ord") % 23, F.col("type")
+    number = f.classes.select(F.col("fqn").alias("class"), "k")
+    flipped = F.when(t == "int|string", "string|int").when(t == "?int", "null|int")
+    ours = compare.Dump(f.classes.where("k % 10 <> 1"), f.methods.where(o != 2), f.properties.where(t != "array"), f.implements)
+    params = F.when(o == 4, F.slice("params", 1, F.greatest(F.size("params") - 1, F.lit(0)))).otherwise(F.col("params"))
+    their_methods = f.methods.where(o != 1).withColumn("visibility", F.when(o == 3, "private").otherwise(F.col("visibility"))).withColumn("params", params)
+    their_properties = f.properties.where(t != "float").withColumn("type", F.when(t == "bool", "callable").otherwise(F.coalesce(flipped, t)))
+    added = number.where(k % 6 == 4).select("class", F.lit("Countable").alias("interface"))
+    again = f.implements.join(number.where(k % 6 == 2), "class").select("class", "interface")
+    their_classes = f.classes.where("k % 10 <> 2").withColumn("extends", F.when(k % 7 == 3, "other").otherwise(F.col("extends"))).withColumn("is_final", F.col("is_final") != (k % 11 == 5))
+    theirs = compare.Dump(their_classes, their_methods, their_properties, f.implements.unionByName(added).unionByName(again))
+    return compare.reflection_diff(ours, theirs).select("class", "member", "kind")
+
+
+_BUCKET = {"interface_compliance": "'explicit_type'", "call_site_args": "'static_call'", "property_types": "'property_type'", "return_types": "'return_type_chain'"}
+_SHARES = {"exact": "confidence >= 0.9", "likely": "confidence >= 0.5 AND confidence < 0.9", "possible": "confidence < 0.5 AND target IS NOT NULL", "unresolved": "target IS NULL"}
+_KINDS_OF_DEAD = {"dead_classes": "kind = 'class'", "dead_interfaces": "kind = 'interface'", "dead_traits": "kind = 'trait'", "dead_functions": "kind = 'function'", "dead_private_methods": "kind = 'method' AND visibility = 'private'", "dead_other_methods": "kind = 'method' AND visibility <> 'private'", "dead_properties": "kind = 'property'"}
+_VIOLATION = "SELECT 'visibility' AS rule, CASE tv WHEN 'private' THEN 'error' ELSE 'warning' END AS severity, 'Call of ' || tv || ' ' || target AS message, file_path, line FROM x JOIN classes ON fqn = caller_class WHERE tv IN ('private', 'protected')"
+
+
+def _items(section: int, rows: str, key: str, json: str) -> str:
+    """The SQL of a part with commas."""
+    one = f"SELECT {key} AS key, ({json})::VARCHAR AS j, count(*) AS n FROM ({rows}) GROUP BY ALL"
+    return f"SELECT {section} AS section, key, CASE WHEN row_number() OVER (ORDER BY key, j) > 1 THEN ',' ELSE '' END || array_to_string(list_transform(range(n), lambda i: j), ',' || chr(10)) AS line FROM ({one})"
 
-    c = F.col("doc")
-    one = spark.createDataFrame([(DOC,)], "doc string").select(F.explode(docs.params(c)).alias("p"), docs.tag_type(c, "return").alias("r"), F.map_from_entries(F.transform(docs.templates(c), lambda t: F.struct(t["name"], t["bound"]))).alias("b"))
-    return one.select("p.name", "p.type", docs.substitute(F.col("r"), F.col("b")).alias("result"))
+
+def _member(section: int, name: str, rows: str, comma: str = ",") -> str:
+    return f"SELECT {section}, '', '\"{name}\": ' || ({rows})::VARCHAR || '{comma}'"
+
+
+_KEY = "file_path || chr(31) || lpad(line::VARCHAR, 12, '0') || chr(31) || rule"
+
+
+@query(f"{_PLACED}{_CROSS} " + " UNION ALL ".join([
+    "SELECT 0 AS section, '' AS key, '{' AS line",
+    _member(1, "coverage", "SELECT json_object('classes', (SELECT count(*) FROM classes), 'methods', (SELECT count(*) FROM methods), 'calls', count(*), 'resolution_rate', round(100.0 * count(target) / count(*), 1)::DOUBLE) FROM resolved"),
+    _member(2, "type_checks", "SELECT json_object(" + ", ".join(f"'{b}', json_object('pass', count(*) FILTER (target IS NOT NULL AND method = {m}), 'fail', 0, 'unchecked', {'count(*) - count(target)' if b == 'call_site_args' else 0})" for b, m in _BUCKET.items()) + ") FROM resolved"),
+    _member(3, "dead_code", "SELECT json_object(" + ", ".join(f"'{n}', count(*) FILTER ({c})" for n, c in _KINDS_OF_DEAD.items()) + ", 'top_dead_candidates', (SELECT to_json(list({'fqn': fqn, 'kind': kind, 'file': file_path, 'line': line} ORDER BY fqn, kind)) FROM (SELECT * FROM placed ORDER BY fqn, kind LIMIT 50))) FROM dead"),
+    _member(4, "confidence", "SELECT json_object(" + ", ".join(f"'{n}', round(100.0 * count(*) FILTER ({c}) / count(*), 1)::DOUBLE" for n, c in _SHARES.items()) + ", " + ", ".join(f"'{n}_count', count(*) FILTER ({c})" for n, c in _SHARES.items()) + ") FROM resolved"),
+    "SELECT 5, '', '\"violations\": ['",
+    _items(6, _VIOLATION, _KEY, "json_object('severity', severity, 'file', file_path, 'line', line, 'message', message)"),
+    "SELECT 7, '', ']'", "SELECT 8, '', '}'",
+]))
+def report_json(spark, sf_dir):
+    """A whole report as one JSON document."""
+    return documents.report_json(_report(spark, sf_dir))
+
+
+def _report(spark, sf_dir):
+    f, r = _resolved(spark, sf_dir)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    rate = r.agg(F.count(F.lit(1)).alias("calls"), F.round(100.0 * F.count("target") / F.count(F.lit(1)), 1).alias("resolution_rate"))
+    coverage = n(f.classes, "classes").crossJoin(n(f.methods, "methods")).crossJoin(rate)
+    top = _placed(spark, sf_dir).orderBy("fqn", "kind").limit(50)
+    return documents.Report(coverage, r, liveness.dead_counts(_dead(spark, sf_dir)), top, _visible(spark, sf_dir))
+
+
+def _visible(spark, sf_dir):
+    """Violations of visibility with their places."""
+    f, b = _boundary(spark, sf_dir)
+    v = F.col("target_visibility")
+    bad = boundary.cross(b).where(v.isin("private", "protected")).drop("file_path").join(f.classes.select(F.col("fqn").alias("caller_class"), "file_path"), "caller_class")
+    return bad.select(F.lit("visibility").alias("rule"), F.when(v == "private", "error").otherwise("warning").alias("severity"), F.concat(F.lit("Call of "), v, F.lit(" "), "target").alias("message"), "file_path", "line")
+
+
+@query(f"{_CROSS} " + " UNION ALL ".join([
+    f"SELECT 0 AS section, '' AS key, '{{\"$schema\": \"{documents.SARIF_SCHEMA}\", \"version\": \"2.1.0\", \"runs\": [{{\"tool\": {{\"driver\": {{\"name\": \"{documents.TOOL}\", \"rules\": [' AS line",
+    _items(1, f"SELECT rule, min(severity) AS level FROM ({_VIOLATION}) GROUP BY rule", "rule", "json_object('id', rule, 'defaultConfiguration', json_object('level', level))"),
+    "SELECT 2, '', ']}}, \"results\": ['",
+    _items(3, _VIOLATION, _KEY, "json_object('ruleId', rule, 'level', severity, 'message', json_object('text', message), 'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', file_path), 'region', json_object('startLine', line)))))"),
+    "SELECT 4, '', ']}]}'",
+]))
+def report_sarif(spark, sf_dir):
+    """Violations as one SARIF log."""
+    return documents.report_sarif(_visible(spark, sf_dir))
+
+
+@query(f"{_CROSS} , v AS ({_VIOLATION}) SELECT 0 AS section, '' AS key, '<?xml version=\"1.0\" encoding=\"UTF-8\"?>' AS line UNION ALL SELECT 1, '', '<checkstyle version=\"8.0\">' UNION ALL SELECT 3, '', '</checkstyle>' UNION ALL SELECT 2, key, line FROM ("
+       "SELECT DISTINCT file_path || chr(31) || '0' AS key, '<file name=\"' || file_path || '\">' AS line FROM v UNION ALL SELECT DISTINCT file_path || chr(31) || '2', '</file>' FROM v UNION ALL "
+       "SELECT file_path || chr(31) || '1' || lpad(line::VARCHAR, 12, '0') || chr(31) || rule, '<error line=\"' || line || '\" severity=\"' || severity || '\" message=\"' || message || '\" source=\"' || rule || '\"/>' FROM v)")
+def report_checkstyle(spark, sf_dir):
+    """Violations as one Checkstyle document."""
+    return documents.report_checkstyle(_visible(spark, sf_dir))
+
+
+@query(f"{_FINDINGS} " + " UNION ALL ".join([
+    "SELECT 0 AS section, '' AS key, '{' AS line", "SELECT 1, '', '\"constraint\": {\"before\": \"m1\", \"after\": \"m2\"},'",
+    "SELECT 2, '', '\"satisfied\": ' || (SELECT count(*) = 0 FROM violation)::VARCHAR || ','", "SELECT 3, '', '\"violations\": ['",
+    _items(4, "SELECT * FROM violation", "context_function || chr(31) || lpad(after_line::VARCHAR, 12, '0')", "json_object('context_function', context_function, 'file', file_path, 'after_line', after_line, 'before_line', before_line, 'kind', kind)"),
+    "SELECT 5, '', '],'", "SELECT 6, '', '\"matches\": ['",
+    _items(7, "SELECT * FROM match", "context_function || chr(31) || lpad(after_line::VARCHAR, 12, '0')", "json_object('context_function', context_function, 'file', file_path, 'after_line', after_line, 'after_callee', after_callee, 'before_line', before_line, 'before_callee', before_callee)"),
+    "SELECT 8, '', '],'",
+    _member(9, "summary", "SELECT json_object('violations', (SELECT count(*) FROM violation), 'matches', (SELECT count(*) FROM match), 'satisfied_functions', (SELECT count(DISTINCT caller) FROM after_call WHERE (first IS NOT NULL AND caller NOT IN (SELECT context_function FROM violation)) OR (first IS NULL AND caller IN (SELECT node FROM closed))))", ""),
+    "SELECT 10, '', '}'",
+]))
+def called_before_json(spark, sf_dir):
+    """The findings as one JSON document."""
+    return documents.called_before_json(_findings(spark, sf_dir), "m1", "m2")

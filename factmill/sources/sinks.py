@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.names import short_project
 from ..operators.resolve import callee_only
 
-VERSION = "0.4.0"
 #: SARIF levels by severity (fixed values).
 LEVELS = {"error": "error", "warning": "warning", "info": "note"}
 
@@ -87,11 +86,11 @@ def call_graph_json(resolved: DataFrame) -> DataFrame:
     return resolved.select(F.to_json(F.struct("caller", F.col("callee_name").alias("callee"), F.col("target").alias("resolved_target"), F.round("confidence", 2).alias("confidence"), "line")).alias("json"))
 
 
-def sarif_results(violations: DataFrame) -> DataFrame:
-    """(json) of violations(rule, severity, message, file_path, line)."""
+def sarif_results(violations: DataFrame, *kept: str) -> DataFrame:
+    """(json) of violations(rule, severity, message, file_path, line), and columns that are kept."""
     level = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv)), F.col("severity")), F.lit("note"))
     place = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation"))
-    return violations.select(F.to_json(F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("json"))
+    return violations.select(*kept, F.to_json(F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("json"))
 
 
 def sarif_rules(violations: DataFrame) -> DataFrame:
