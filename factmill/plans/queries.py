@@ -864,11 +864,6 @@ def event_edges(spark, sf_dir):
     return plugins.run(_dispatched(spark, sf_dir), ["events"])[0].select("caller", "target")
 
 
-@query("SELECT 'none' AS plugin, 'unknown plugin ' || chr(39) || 'none' || chr(39) AS message FROM (SELECT count(*) FROM supplier)", ctes=False)
-def plugin_warnings(spark, sf_dir):
-    return plugins.run(_dispatched(spark, sf_dir), ["events", "none"])[1]
-
-
 @query(_FINDINGS.replace("FROM resolved JOIN classes ON fqn = caller_class)", f"FROM resolved JOIN classes ON fqn = caller_class UNION ALL SELECT caller, target, line, file_path FROM ({_EVENT_EDGES}))", 1) + " SELECT * FROM violation")
 def called_before_merged(spark, sf_dir):
     """Violations of "m1 before m2" once the plugin's edges have joined the graph."""
@@ -1077,3 +1072,33 @@ def report_checkstyle(spark, sf_dir):
 def called_before_json(spark, sf_dir):
     """The findings as one JSON document."""
     return documents.called_before_json(_findings(spark, sf_dir), "m1", "m2")
+
+
+# ---------------------------------------------------------------- call sites against interfaces, dumps
+
+
+@query(f"""{_CROSS}, placed_at AS (SELECT 'I' || n_nationkey AS interface FROM place), w AS (
+  SELECT x.call_id, x.target, i.interface, m.params AS ip, m.return_type AS ir, x.tp AS cp, x.tr AS cr FROM x JOIN implements i ON i.class = split_part(x.target, '::', 1) JOIN class_project ON fqn = i.class
+  JOIN placed_at USING (interface) JOIN methods m ON m.owner = i.interface AND m.owner_kind = 'interface' AND m.name = split_part(x.target, '::', 2)
+) SELECT call_id, target, interface, 'return_type' AS problem, NULL::INT AS pos FROM w WHERE ltrim(ir, '?') <> ltrim(cr, '?')
+  UNION ALL SELECT call_id, target, interface, 'param_count', NULL FROM w WHERE len(ip) <> len(cp)
+  UNION ALL SELECT call_id, target, interface, 'param_type', (i - 1)::INT FROM (SELECT *, unnest(range(1, least(len(ip), len(cp)) + 1)) AS i FROM w) WHERE ltrim(ip[i::INT].type, '?') <> ltrim(cp[i::INT].type, '?')""")
+def call_site_compliance(spark, sf_dir):
+    """Calls whose method differs from that of an interface; interface j is in the project of nation j's region."""
+    f, b = _boundary(spark, sf_dir)
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.concat(F.lit("I"), F.col("n_nationkey").cast("string"))
+    placed = nations.select(name.alias("fqn"), F.concat(F.lit("/mono/"), "r_name", F.lit("/"), name, F.lit(".php")).alias("file_path"))
+    return violations.call_site_compliance(f.with_(interfaces=placed), b)
+
+
+@query("""SELECT CASE WHEN target IS NULL THEN json_object('caller', caller, 'callee', callee_name, 'confidence', confidence, 'line', line)
+  ELSE json_object('caller', caller, 'callee', callee_name, 'resolved_target', target, 'confidence', confidence, 'line', line) END::VARCHAR AS json FROM resolved""")
+def call_graph_json(spark, sf_dir):
+    return sinks.call_graph_json(_resolved(spark, sf_dir)[1])
+
+
+@query("""SELECT fqn, '{"fqcn":' || to_json(fqn)::VARCHAR || ',"is_abstract":' || is_abstract || ',"is_final":' || is_final || coalesce(',"extends":' || to_json(extends)::VARCHAR, '') || coalesce(',"methods":' || to_json(methods)::VARCHAR, '') || '}' AS json
+  FROM classes LEFT JOIN (SELECT owner, list({'name': name, 'visibility': visibility, 'is_static': is_static, 'return_type': return_type} ORDER BY name) AS methods FROM methods GROUP BY owner) ON owner = fqn""")
+def symbol_dump(spark, sf_dir):
+    return sinks.symbol_dump(facts(spark, sf_dir))
