@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, partitions, text_bytes
+from .common import discard, materialize, mix, partitions, text_bytes, tidy
 
 #: Slots that a block owns, and the bits of a candidate's place in its block.
 BLOCK, PLACE = 1 << 19, 21
@@ -362,14 +362,16 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, size: int = BLO
     its first and last 1, 2 ... m - 1 words), and inner: whether a longer frequent
     phrase holds it that is as frequent. The second has lang and n, all its words.
     """
+    spark = docs.sparkSession
     text = materialize(blocks(docs, longest, size), "phrases-blocks")
     totals = materialize(text.select(F.explode("sums").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n")), "phrases-totals")
     found = materialize(frequent_words(text, least), "phrases-1")
     none = F.array().cast("array<long>")
-    words = _listed(found, "lang", "word").select("id", F.lit(0).cast("long").alias("suffix"), F.lit(0).cast("long").alias("prefix"), F.col("id").alias("word"), "lang", F.col("word").alias("phrase"), "f", none.alias("lefts"), none.alias("rights"))
+    words = materialize(_listed(found, "lang", "word"), "phrases-words").select("id", F.lit(0).cast("long").alias("suffix"), F.lit(0).cast("long").alias("prefix"), F.col("id").alias("word"), "lang", F.col("word").alias("phrase"), "f", none.alias("lefts"), none.alias("rights"))
     known, out = words, []
     lists = materialize(word_lists(text, found), "phrases-lists-1")
-    discard(text)
+    discard(text, found)
+    tidy(spark)
     for k in range(1, longest):
         found = materialize(frequent_phrases(lists, k, least), f"phrases-{k + 1}")
         known = materialize(_named(_listed(found, "prefix", "word"), known, words), f"phrases-named-{k + 1}")
@@ -378,6 +380,8 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, size: int = BLO
             longer = materialize(extended(lists, found, k), f"phrases-lists-{k + 1}")
             discard(lists)
             lists = longer
+        discard(found)
+        tidy(spark)
     discard(lists)
     whole = out[0]
     for x in out[1:]:
