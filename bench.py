@@ -1,4 +1,4 @@
-"""Times headline queries over $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Times headline queries over $BENCH_SF_DIR on local[$BENCH_CPUS], and apart from them the tables that they share; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from factmill.plans.queries import QUERIES
+from factmill.plans.queries import QUERIES, SHARED
 from factmill.session import session
 
 HEADLINE = ["symbol_stats", "all_methods", "resolve_calls", "resolution_rate", "project_dependencies", "stability_scores", "argument_types", "interface_missing", "called_before_local", "called_before_interproc", "alive_strong", "dead_counts"]
@@ -19,6 +19,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()  # the session's own start isn't a query's
     took = {}
+    for name, build in SHARED.items():  # else the first query that reads one would pay for it
+        began = time.perf_counter()
+        build(spark, sf_dir)
+        took[name] = round(time.perf_counter() - began, 3)
     for name in HEADLINE:
         began = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

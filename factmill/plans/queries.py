@@ -75,6 +75,10 @@ def _boundary(spark: SparkSession, sf_dir: str):
     return f, kept(spark, sf_dir, "boundary", lambda: boundary.boundary_calls(f, r))
 
 
+#: What builds the tables that queries share, in order, for those who time them apart.
+SHARED = {"shared_ancestors": _hierarchy, "shared_resolved": _resolved, "shared_boundary": _boundary}
+
+
 # ---------------------------------------------------------------- symbols and inheritance
 
 
