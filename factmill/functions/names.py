@@ -107,13 +107,17 @@ def fuzzy_pairs(names: DataFrame, patterns: DataFrame) -> DataFrame:
     return a.join(b, "key").where(rule).select("callee", "pattern").distinct()
 
 
-def event_pairs(events: DataFrame, mapped: DataFrame) -> DataFrame:
-    """(event, mapped) of distinct events(event) and mapped(mapped) for which event_matches() holds, by equi-joins; * stands for every event."""
+def tail_pairs(events: DataFrame, mapped: DataFrame) -> DataFrame:
+    """event_pairs() but for *."""
     a = suffix_index(events, "event").where(F.col("how") != BARE).withColumnRenamed("how", "event_how")
     b = suffix_index(mapped.where("mapped <> '*'"), "mapped").where(F.col("how") != BARE).withColumnRenamed("how", "mapped_how")
-    pairs = a.join(b, "key").where((F.col("event_how") == WHOLE) | (F.col("mapped_how") == WHOLE)).select("event", "mapped").distinct()
+    return a.join(b, "key").where((F.col("event_how") == WHOLE) | (F.col("mapped_how") == WHOLE)).select("event", "mapped").distinct()
+
+
+def event_pairs(events: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(event, mapped) of distinct events(event) and mapped(mapped) for which event_matches() holds, by equi-joins; * stands for every event."""
     every = mapped.where("mapped = '*'").select("mapped").distinct()  # one row at most
-    return pairs.unionByName(events.select("event").distinct().crossJoin(F.broadcast(every)))
+    return tail_pairs(events, mapped).unionByName(events.select("event").distinct().crossJoin(F.broadcast(every)))
 
 
 def same_callee(a: Column, b: Column) -> Column:

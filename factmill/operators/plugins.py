@@ -21,29 +21,45 @@ Plugin = Callable[[Facts], DataFrame]
 PLUGINS: dict[str, Plugin] = {}
 
 
-def plugin(name: str) -> Callable[[Plugin], Plugin]:
-    """Register a plugin; a later one of the same name replaces it."""
+#: Plugins whose edges are different and have no nulls, so that run() need not shuffle them.
+_DISTINCT: set[Plugin] = set()
+
+
+def plugin(name: str, distinct: bool = False) -> Callable[[Plugin], Plugin]:
+    """Register a plugin; a later one of the same name replaces it. distinct: it gives no edge twice, and none with a null."""
 
     def register(f: Plugin) -> Plugin:
         PLUGINS[name] = f
+        if distinct:
+            _DISTINCT.add(f)
         return f
 
     return register
 
 
-@plugin("events")
+@plugin("events", distinct=True)
 def events(facts: Facts) -> DataFrame:
-    """From where an event is dispatched to its handlers, by the extra tables dispatches and event_maps."""
-    from ..sources.php.facts import synthetic_edges
+    """From where an event is dispatched to its handlers, by the extra tables dispatches and event_maps.
+
+    Those of * are each caller with each handler, as many as there are results; they are made last and not shuffled.
+    """
+    from ..sources.php.facts import event_sites, spread
+
+    edges, sites, every = event_sites(facts.extra)
+    callers = sites.where("caller IS NOT NULL").select("caller").distinct()
+    return edges.where("caller IS NOT NULL").select("caller", "target").distinct().unionByName(spread(callers, every))
+
 
-    return synthetic_edges(facts.extra).select("caller", "target")
+def _edges(f: Plugin, facts: Facts) -> DataFrame:
+    found = f(facts).select("caller", "target")
+    return found if f in _DISTINCT else found.where("caller IS NOT NULL AND target IS NOT NULL").distinct()
 
 
 def run(facts: Facts, wanted: Iterable[str]) -> tuple[DataFrame, DataFrame]:
     """(edges(plugin, caller, target), warnings(plugin, message)) of the plugins of these names, in any order, each once."""
     spark = facts.classes.sparkSession
     wanted = sorted(set(wanted))
-    made = [PLUGINS[name](facts).select(F.lit(name).alias("plugin"), "caller", "target").where("caller IS NOT NULL AND target IS NOT NULL").distinct() for name in wanted if name in PLUGINS]
+    made = [_edges(PLUGINS[name], facts).select(F.lit(name).alias("plugin"), "caller", "target") for name in wanted if name in PLUGINS]
     none = spark.createDataFrame([], "plugin string, caller string, target string")
     warnings = spark.createDataFrame([(name, f"unknown plugin '{name}'") for name in wanted if name not in PLUGINS], "plugin string, message string")
     return reduce(DataFrame.unionByName, made, none), warnings

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...facts import PARAM, Facts
-from ...functions.names import event_pairs
+from ...functions.names import tail_pairs
 from ...functions.typing import BUILTIN
 from ...operators.fixpoint import cut
 from ...operators.inherit import all_methods, all_properties
@@ -283,11 +283,32 @@ def resolve_sites(t: dict[str, DataFrame]) -> Facts:
     return f.with_(calls=calls.select(*[c for c in calls.columns if c not in ("type", "kind", "root", "hops")], receiver.alias("receiver"), F.coalesce("kind", F.lit("simple")).alias("receiver_kind"), how.alias("how")))
 
 
+def event_sites(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Dispatched events and their handlers in three tables of different rows: (edges(caller, target, file_path, line), sites(caller, file_path, line), all_handlers(target)).
+
+    Handlers of * take every event, so each site leads to each of them; these
+    edges aren't made here, and the others are without them. Names meet by their
+    tails, in equi-joins.
+    """
+    target = F.concat_ws("::", "class", "handler").alias("target")
+    sent, maps = t["dispatches"].where("event IS NOT NULL"), t["event_maps"].withColumnRenamed("event", "mapped")
+    every = maps.where("mapped = '*'").select(target).distinct()
+    pairs = tail_pairs(sent.select("event"), maps.select("mapped"))
+    met = sent.join(pairs, "event").join(maps, "mapped").select("caller", target, "file_path", "line").distinct()
+    return met.join(every, "target", "left_anti").select("caller", "target", "file_path", "line"), sent.select("caller", "file_path", "line").distinct(), every
+
+
+def spread(sites: DataFrame, handlers: DataFrame) -> DataFrame:
+    """Each of sites with each of handlers(target). Few rows become many here, so both sides are dealt over all cores first,
+    whichever of them Spark streams; it broadcasts the other only if that is small."""
+    n = 4 * sites.sparkSession.sparkContext.defaultParallelism
+    return sites.repartition(n).crossJoin(handlers.repartition(n))
+
+
 def synthetic_edges(t: dict[str, DataFrame]) -> DataFrame:
-    """Dispatched events to their handlers: (caller, target, file_path, line, confidence, method). Names meet by their tails, in equi-joins."""
-    pairs = event_pairs(t["dispatches"].select("event"), t["event_maps"].select(F.col("event").alias("mapped")))
-    met = t["dispatches"].join(pairs, "event").join(t["event_maps"].withColumnRenamed("event", "mapped"), "mapped")
-    return met.select("caller", F.concat_ws("::", "class", "handler").alias("target"), "file_path", "line", F.lit(0.95).alias("confidence"), F.lit("plugin_generated").alias("method")).distinct()
+    """Dispatched events to their handlers: (caller, target, file_path, line, confidence, method), different rows."""
+    edges, sites, every = event_sites(t)
+    return edges.unionByName(spread(sites, every)).select("caller", "target", "file_path", "line", F.lit(0.95).alias("confidence"), F.lit("plugin_generated").alias("method"))
 
 
-__all__ = ["BUILTIN_FUNCTIONS", "TABLES", "confidence", "fact_rows", "resolve_sites", "solve_paths", "synthetic_edges", "tables"]
+__all__ = ["BUILTIN_FUNCTIONS", "TABLES", "confidence", "event_sites", "fact_rows", "resolve_sites", "solve_paths", "spread", "synthetic_edges", "tables"]

@@ -174,3 +174,26 @@ def test_unknown_plugins_warn(spark):
         assert plugins.run(facts, ["mine"])[0].head().target == "X::y"
     finally:
         del plugins.PLUGINS["mine"]
+
+
+def test_events_that_all_handlers_take_are_not_shuffled(spark):
+    from factmill.facts import SCHEMAS, Facts
+    from factmill.sources.php.facts import synthetic_edges
+
+    sent = [(f"C{i % 7}::f", e, "s.php", i % 3) for i, e in enumerate(["App\\Sold", "Sold", "X\\Sold", "Lost", "*"] * 5)]
+    maps = [("Mail", "Sold", "on"), ("Log", "*", "all"), ("Log", "*", "all"), ("Log", "Lost", "all"), ("Log", "Sold", "on"), ("Tab", "*", "on"), ("Mail", "App\\Sold", "on")]
+    extra = {"dispatches": spark.createDataFrame(sent, "caller string, event string, file_path string, line int"), "event_maps": spark.createDataFrame(maps, "class string, event string, handler string")}
+    fits = lambda e, m: m in ("*", e) or e.endswith("\\" + m) or m.endswith("\\" + e)
+    want = {(a, f"{k}::{h}", p, n) for a, e, p, n in sent for k, m, h in maps if fits(e, m)}
+    assert sorted(map(tuple, synthetic_edges(extra).select("caller", "target", "file_path", "line").collect())) == sorted(want)
+    found = plugins.run(Facts(**{t: spark.createDataFrame([], SCHEMAS[t]) for t in SCHEMAS}, extra=extra), ["events"])[0]
+    assert sorted((r.caller, r.target) for r in found.collect()) == sorted({w[:2] for w in want})
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(lines) if "Join Cross" in line or "Join Inner" in line and "(" not in line)
+    above, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            above.append(line)
+    assert above and not any("Aggregate" in line for line in above)
