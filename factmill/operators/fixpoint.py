@@ -131,6 +131,54 @@ def nearest(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFra
     return reduce(DataFrame.unionByName, done) if done else waiting.where("false")
 
 
+def nearest_by(sites: DataFrame, means: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """nearest() over the edges that sites(src, key, *rank) and means(key, dst) stand for: from each src of a key to each of its dst.
+
+    The edges are never made. A round brings a key its least predecessor, then
+    every dst of the key that one; a key is passed once, since all it means is known
+    afterwards. So rows grow with both tables, not with the product of a key's.
+    """
+    rank = [c for c in sites.columns if c != "key"]
+    payload = [c for c in seeds.columns if c not in ("node", "depth")]
+    sites = cut(sites.join(means.select("key").distinct(), "key", "left_semi"))
+    means = cut(means.select("key", F.col("dst").alias("node")).distinct())
+    via = F.struct(*rank).alias("via")
+    waiting = cut(seeds.withColumn("via", F.lit(None).cast(sites.select(via).schema["via"].dataType)))
+    starts = sorted(r[0] for r in waiting.select("depth").distinct().collect())  # as many as there are depths, not nodes
+    depth = starts[0] if starts else None
+    done: list[DataFrame] = []
+    passed: list[DataFrame] = []
+    frontier = None
+    for _ in range(rounds):
+        if depth is None:
+            break
+        new = waiting.where(F.col("depth") == depth)
+        if frontier is not None:
+            met = frontier.select(F.col("node").alias("src"), *payload).join(sites, "src").groupBy("key").agg(F.min(F.struct(via, *payload)).alias("x"))
+            for known in passed:
+                met = met.join(known.select("key"), "key", "left_anti")
+            met = cut(met)
+            passed.append(met)
+            if len(passed) > 16:
+                passed = [cut(reduce(DataFrame.unionByName, [k.select("key") for k in passed]))]
+            new = new.unionByName(met.join(means, "key").select("node", F.lit(depth).cast(seeds.schema["depth"].dataType).alias("depth"), *(F.col(f"x.{c}").alias(c) for c in payload), "x.via"))
+        first = new.groupBy("node").agg(F.min(F.struct("depth", F.col("via").isNotNull().alias("stepped"), "via", *payload)).alias("x"))
+        new = first.select("node", "x.depth", *(F.col(f"x.{c}").alias(c) for c in payload), "x.via")
+        for known in done:
+            new = new.join(known.select("node"), "node", "left_anti")
+        frontier = cut(new)
+        if frontier.isEmpty():
+            depth, frontier = next((d for d in starts if d > depth), None), None
+            continue
+        done.append(frontier)
+        if len(done) > 16:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+        depth += 1
+    else:
+        raise RuntimeError(f"not closed after {rounds} rounds")
+    return reduce(DataFrame.unionByName, done) if done else waiting.where("false")
+
+
 def chains(parents: DataFrame) -> DataFrame:
     """(node, ancestor, dist) from parents(node, parent), one parent a node; a chain stops where it would repeat a node.
 

@@ -13,7 +13,7 @@ from ..functions import docs, names, typing
 from ..operators import boundary, called_before, compare, generics, inherit, liveness, plugins, resolve, violations
 from ..operators.fixpoint import cut, delete, exists, reach_pairs, shared_folder, simple_paths
 from ..sources import documents, projects, sinks
-from ..sources.php.facts import synthetic_edges
+from ..sources.php.facts import event_sites
 from .bridge import CTES, TYPES, facts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -873,9 +873,11 @@ def called_before_merged(spark, sf_dir):
     """Violations of "m1 before m2" once the plugin's edges have joined the graph."""
     f, r = _resolved(spark, sf_dir)
     calls = r.drop("file_path").join(f.classes.select(F.col("fqn").alias("caller_class"), "file_path"), "caller_class").select("caller", "target", "callee_name", "line", "file_path")
-    added = synthetic_edges(_dispatched(spark, sf_dir).extra).select("caller", "target", F.substring_index("target", "::", -1).alias("callee_name"), "line", "file_path")
+    edges, sites, every = event_sites(_dispatched(spark, sf_dir).extra)
+    added = edges.select("caller", "target", F.substring_index("target", "::", -1).alias("callee_name"), "line", "file_path")
+    sets = called_before.Sets(sites.withColumn("set", F.lit("*")), every.select(F.lit("*").alias("set"), F.col("target").alias("callee")))
     c = F.col("callee")
-    return called_before.analyse(calls.unionByName(added), names.matches(c, "m1"), names.matches(c, "m2")).violations
+    return called_before.analyse(calls.unionByName(added), names.matches(c, "m1"), names.matches(c, "m2"), sets=sets).violations
 
 
 _TREE = ", kin AS (SELECT c.k AS dst, p.k AS src FROM classes c JOIN classes p ON c.extends = p.fqn)"

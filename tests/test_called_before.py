@@ -176,6 +176,44 @@ def test_unknown_plugins_warn(spark):
         del plugins.PLUGINS["mine"]
 
 
+def test_edges_between_callers_and_like_names_are_never_made(spark, monkeypatch):
+    """Each of many callers of an unresolved name may call each of many functions: no table grows with their product."""
+    n, sizes = 60, []
+    rows = [(f"Up{i}::a", "log", 2) for i in range(n)] + [(f"In{i}::log", "X::log", 3) for i in range(n)] + [("Up0::a", "setup", 1)]
+    write = fixpoint.cut
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(fixpoint, "cut", counted)
+    monkeypatch.setattr(called_before, "cut", counted)
+    got = analyse(spark, rows)
+    assert max(sizes) <= 4 * n
+    assert len(got["violations"]) == 2 * n - 1 and {v[5] for v in got["violations"] if v[0].startswith("In")} == {"Up10::a"}  # the least in byte order
+    assert len(got["missing_paths"]) == n * (n - 1)  # results, of callers without setup
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_sets_are_the_calls_that_they_stand_for(spark, seed):
+    rng = random.Random(seed)
+    functions = [f"K{i}::{m}" for i in range(9) for m in ("f", "log", "setup")]
+    rows = [(rng.choice(functions), rng.choice([*functions, "log", "setup"]), rng.randint(1, 9)) for _ in range(25)]
+    members = {"x": rng.sample(functions, 4), "y": rng.sample([f for f in functions if "setup" not in f], 5), "z": ["Q::setup", "R::setup"]}
+    sites = {(f"{c.split('::')[0]}::{c.split('::')[1]}", rng.choice("xyz"), rng.randint(1, 9)) for c in rng.sample(functions, 8)}
+    call = lambda a, b, n: (a, b if "::" in b else None, b.split("::")[-1], n, f"{a.split('::')[0]}.php")
+    c = F.col("callee")
+    found = lambda calls, **more: called_before.analyse(spark.createDataFrame([call(*r) for r in calls], CALLS), names.matches(c, "setup"), names.matches(c, "log"), **more)
+    sets = called_before.Sets(
+        spark.createDataFrame([(a, s, n, f"{a.split('::')[0]}.php") for a, s, n in sites], "caller string, set string, line int, file_path string"),
+        spark.createDataFrame([(s, m) for s in members for m in members[s]], "set string, callee string"),
+    )
+    got, want = found(rows, sets=sets), found([*rows, *((a, m, n) for a, s, n in sites for m in members[s])])
+    for table in ("violations", "matches", "satisfied_in", "missing_paths"):
+        assert sorted(map(tuple, getattr(got, table).collect()), key=repr) == sorted(map(tuple, getattr(want, table).collect()), key=repr), table
+
+
 def test_events_that_all_handlers_take_are_not_shuffled(spark):
     from factmill.facts import SCHEMAS, Facts
     from factmill.sources.php.facts import synthetic_edges
