@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..facts import Facts
+from .fixpoint import cut
 
 
 def file_project(files: DataFrame, projects: DataFrame, most: int = 500) -> DataFrame:
@@ -31,8 +32,13 @@ def class_project(facts: Facts) -> DataFrame:
 
 
 def boundary_calls(facts: Facts, resolved: DataFrame) -> DataFrame:
-    """Resolved calls with caller_project and callee_project; calls that lack either are left out."""
-    at = class_project(facts)
+    """Resolved calls with caller_project and callee_project; calls that lack either are left out.
+
+    Owners are written first, so that Spark knows their size: calls are wide, and
+    are shuffled, most to the few traits that own what they call, only if there
+    are too many classes for a broadcast.
+    """
+    at = cut(class_project(facts))
     mine, theirs = at.select(F.col("fqn").alias("caller_class"), F.col("project").alias("caller_project")), at.select(F.col("fqn").alias("target_owner"), F.col("project").alias("callee_project"))
     return resolved.where("target IS NOT NULL").join(mine, "caller_class").join(theirs, "target_owner")
 

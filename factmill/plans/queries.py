@@ -75,6 +75,11 @@ def _boundary(spark: SparkSession, sf_dir: str):
     return f, kept(spark, sf_dir, "boundary", lambda: boundary.boundary_calls(f, r))
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(caller_class, file_path), written so that Spark knows how small it is beside the calls that are joined with it."""
+    return kept(spark, sf_dir, "files", lambda: facts(spark, sf_dir).classes.select(F.col("fqn").alias("caller_class"), "file_path"))
+
+
 #: What builds the tables that queries share, in order, for those who time them apart.
 SHARED = {"shared_ancestors": _hierarchy, "shared_resolved": _resolved, "shared_boundary": _boundary}
 
@@ -445,7 +450,7 @@ violation AS (
 def _findings(spark, sf_dir):
     """The findings of "m1 before m2", each table written once a session."""
     f, r = _resolved(spark, sf_dir)
-    calls = r.drop("file_path").join(f.classes.select(F.col("fqn").alias("caller_class"), "file_path"), "caller_class")
+    calls = r.drop("file_path").join(_files(spark, sf_dir), "caller_class")
     c = F.col("callee")
     found = []
 
@@ -872,7 +877,7 @@ def event_edges(spark, sf_dir):
 def called_before_merged(spark, sf_dir):
     """Violations of "m1 before m2" once the plugin's edges have joined the graph."""
     f, r = _resolved(spark, sf_dir)
-    calls = r.drop("file_path").join(f.classes.select(F.col("fqn").alias("caller_class"), "file_path"), "caller_class").select("caller", "target", "callee_name", "line", "file_path")
+    calls = r.drop("file_path").join(_files(spark, sf_dir), "caller_class").select("caller", "target", "callee_name", "line", "file_path")
     edges, sites, every = event_sites(_dispatched(spark, sf_dir).extra)
     added = edges.select("caller", "target", F.substring_index("target", "::", -1).alias("callee_name"), "line", "file_path")
     sets = called_before.Sets(sites.withColumn("set", F.lit("*")), every.select(F.lit("*").alias("set"), F.col("target").alias("callee")))
@@ -955,8 +960,8 @@ def generic_returns(spark, sf_dir):
 @query("""SELECT b.call_id, (SELECT min(c.call_id) FROM placed c WHERE c.target = b.target AND c.file_path = b.file_path AND c.line = b.line) AS first_call FROM (SELECT boundary.*, file_path FROM boundary JOIN classes ON fqn = caller_class) b WHERE caller_project <> callee_project""".replace("FROM placed c", "FROM (SELECT resolved.*, file_path FROM resolved JOIN classes ON fqn = caller_class) c"))
 def first_matches(spark, sf_dir):
     """For calls across projects the first call of the same target on the same line of the same file."""
-    f, b = _boundary(spark, sf_dir)
-    at = f.classes.select(F.col("fqn").alias("caller_class"), "file_path")
+    _, b = _boundary(spark, sf_dir)
+    at = _files(spark, sf_dir)
     placed = lambda df: df.drop("file_path").join(at, "caller_class")
     return violations.first_matches(placed(boundary.cross(b)), placed(_resolved(spark, sf_dir)[1])).select("call_id", "first_call")
 
@@ -1041,7 +1046,7 @@ def _visible(spark, sf_dir):
     """Violations of visibility with their places."""
     f, b = _boundary(spark, sf_dir)
     v = F.col("target_visibility")
-    bad = boundary.cross(b).where(v.isin("private", "protected")).drop("file_path").join(f.classes.select(F.col("fqn").alias("caller_class"), "file_path"), "caller_class")
+    bad = boundary.cross(b).where(v.isin("private", "protected")).drop("file_path").join(_files(spark, sf_dir), "caller_class")
     return bad.select(F.lit("visibility").alias("rule"), F.when(v == "private", "error").otherwise("warning").alias("severity"), F.concat(F.lit("Call of "), v, F.lit(" "), "target").alias("message"), "file_path", "line")
 
 

@@ -95,3 +95,12 @@ def test_loops_raise_at_their_bounds(spark):
         with pytest.raises(RuntimeError):
             run(3)
         assert run(7).count() in (1, 6)  # one path, six nodes
+
+
+def test_calls_are_not_shuffled_to_find_their_projects(spark):
+    from factmill.operators import boundary
+    from factmill.plans.queries import _resolved
+
+    f, r = _resolved(spark, "/root/testdata/sf0.001")
+    plan = boundary.boundary_calls(f, r)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
