@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..facts import Facts
-from .inherit import all_methods
+from .inherit import all_methods, member_owners
 
 #: Confidence by the kind of the receiver's type (fixed values).
 CONFIDENCE = {"simple": 1.0, "nullable": 0.9, "union_type": 0.5, "mixed": 0.1, "self_type": 0.95, "static_type": 0.95, "parent_type": 0.9}
@@ -27,6 +27,34 @@ def resolve_calls(facts: Facts, builtins: Collection[str] = ()) -> DataFrame:
     has the function, or else the name of one of builtins, with confidence 1.
     """
     methods = all_methods(facts).select(F.col("class").alias("receiver"), F.col("name").alias("callee_name"), F.col("owner").alias("target_owner"), F.col("visibility").alias("target_visibility"), F.col("return_type").alias("target_return"), F.col("params").alias("target_params"))
+    return _resolved(facts, methods, builtins)
+
+
+#: Columns of calls on which their target, confidence and method depend.
+NAMED_BY = ("receiver", "callee_name", "receiver_kind", "how", "call_type")
+
+
+def resolve_names(facts: Facts, builtins: Collection[str] = ()) -> DataFrame:
+    """What calls mean, for those who ask for no single one: resolve_calls() of their different names, with n_calls, the number of calls of each.
+
+    Calls are counted by name before they are shuffled, and only names meet the
+    methods, of which nothing but the owner is joined. Columns: NAMED_BY as far as
+    calls have them, target, target_owner, confidence, method, n_calls.
+    """
+    by = [c for c in NAMED_BY if c in facts.calls.columns]
+    named = facts.with_(calls=facts.calls.groupBy(*by).agg(F.count(F.lit(1)).alias("n_calls")))
+    none = [F.lit(None).cast(facts.methods.schema[c].dataType).alias(a) for c, a in (("visibility", "target_visibility"), ("return_type", "target_return"), ("params", "target_params"))]
+    owners = member_owners(facts, facts.methods).select(F.col("class").alias("receiver"), F.col("name").alias("callee_name"), F.col("owner").alias("target_owner"), *none)
+    return _resolved(named, owners, builtins).select(*by, "target", "target_owner", "confidence", "method", "n_calls")
+
+
+def n_calls(resolved: DataFrame, where: Column | None = None) -> Column:
+    """How many calls there are, or those where something holds: rows of resolve_names() stand for n_calls each."""
+    n = F.col("n_calls") if "n_calls" in resolved.columns else F.lit(1)
+    return F.coalesce(F.sum(n if where is None else F.when(where, n)), F.lit(0).cast("long"))
+
+
+def _resolved(facts: Facts, methods: DataFrame, builtins: Collection[str]) -> DataFrame:
     found = F.col("target_owner").isNotNull()
     met = facts.calls.join(methods, ["receiver", "callee_name"], "left").select(
         *facts.calls.columns,
@@ -86,13 +114,13 @@ def symbol_stats(facts: Facts) -> DataFrame:
 
 
 def resolution_rate(resolved: DataFrame) -> DataFrame:
-    n, hit = F.count(F.lit(1)), F.count("target")
+    n, hit = n_calls(resolved), n_calls(resolved, F.col("target").isNotNull())
     return resolved.agg(n.alias("total_calls"), hit.alias("resolved_calls"), (n - hit).alias("unresolved_calls"), F.coalesce(F.round(100.0 * hit / F.when(n > 0, n), 4), F.lit(0.0)).alias("resolution_rate"))
 
 
 def confidence_histogram(resolved: DataFrame) -> DataFrame:
     bucket = F.when(F.col("target").isNull(), "unresolved").when(F.col("confidence") >= 0.9, "exact").when(F.col("confidence") >= 0.5, "likely").otherwise("possible")
-    return resolved.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return resolved.groupBy(bucket.alias("bucket")).agg(n_calls(resolved).alias("n"))
 
 
 def confidence_shares(resolved: DataFrame) -> DataFrame:
@@ -122,13 +150,13 @@ def type_checks(resolved: DataFrame) -> DataFrame:
 
 
 def type_check_buckets(resolved: DataFrame) -> DataFrame:
-    return resolved.groupBy("method").agg(F.count("target").alias("passed"), F.count_if(F.col("target").isNull()).alias("unchecked"))
+    return resolved.groupBy("method").agg(n_calls(resolved, F.col("target").isNotNull()).alias("passed"), n_calls(resolved, F.col("target").isNull()).alias("unchecked"))
 
 
 def unresolved_calls(facts: Facts, resolved: DataFrame) -> DataFrame:
     """Unresolved calls by reason: the method exists somewhere, or nowhere."""
     names = facts.methods.select(F.col("name").alias("callee_name")).distinct().withColumn("known", F.lit(True))
-    return resolved.where("target IS NULL").join(names, "callee_name", "left").groupBy("callee_name", F.when(F.col("known"), "method of another class").otherwise("unknown name").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return resolved.where("target IS NULL").join(names, "callee_name", "left").groupBy("callee_name", F.when(F.col("known"), "method of another class").otherwise("unknown name").alias("reason")).agg(n_calls(resolved).alias("n"))
 
 
 def by_caller(resolved: DataFrame) -> DataFrame:

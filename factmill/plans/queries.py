@@ -70,6 +70,12 @@ def _resolved(spark: SparkSession, sf_dir: str):
     return f, kept(spark, sf_dir, "resolved", lambda: resolve.resolve_calls(f))
 
 
+def _named(spark: SparkSession, sf_dir: str):
+    """Facts and what the names of calls mean, for queries on which no single call has a bearing."""
+    f = _hierarchy(spark, sf_dir)
+    return f, kept(spark, sf_dir, "named", lambda: resolve.resolve_names(f))
+
+
 def _boundary(spark: SparkSession, sf_dir: str):
     f, r = _resolved(spark, sf_dir)
     return f, kept(spark, sf_dir, "boundary", lambda: boundary.boundary_calls(f, r))
@@ -81,7 +87,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What builds the tables that queries share, in order, for those who time them apart.
-SHARED = {"shared_ancestors": _hierarchy, "shared_resolved": _resolved, "shared_boundary": _boundary}
+SHARED = {"shared_ancestors": _hierarchy, "shared_named": _named, "shared_resolved": _resolved, "shared_boundary": _boundary}
 
 
 # ---------------------------------------------------------------- symbols and inheritance
@@ -149,22 +155,22 @@ def resolve_calls(spark, sf_dir):
 
 @query("SELECT count(*) AS total_calls, count(target) AS resolved_calls, count(*) - count(target) AS unresolved_calls, round(100.0 * count(target) / count(*), 4) AS resolution_rate FROM resolved")
 def resolution_rate(spark, sf_dir):
-    return resolve.resolution_rate(_resolved(spark, sf_dir)[1])
+    return resolve.resolution_rate(_named(spark, sf_dir)[1])
 
 
 @query("SELECT CASE WHEN target IS NULL THEN 'unresolved' WHEN confidence >= 0.9 THEN 'exact' WHEN confidence >= 0.5 THEN 'likely' ELSE 'possible' END AS bucket, count(*) AS n FROM resolved GROUP BY 1")
 def confidence_histogram(spark, sf_dir):
-    return resolve.confidence_histogram(_resolved(spark, sf_dir)[1])
+    return resolve.confidence_histogram(_named(spark, sf_dir)[1])
 
 
 @query("SELECT method, count(target) AS passed, count(*) - count(target) AS unchecked FROM resolved GROUP BY 1")
 def type_check_buckets(spark, sf_dir):
-    return resolve.type_check_buckets(_resolved(spark, sf_dir)[1])
+    return resolve.type_check_buckets(_named(spark, sf_dir)[1])
 
 
 @query("SELECT callee_name, CASE WHEN callee_name IN (SELECT name FROM methods) THEN 'method of another class' ELSE 'unknown name' END AS reason, count(*) AS n FROM resolved WHERE target IS NULL GROUP BY 1, 2")
 def unresolved_calls(spark, sf_dir):
-    return resolve.unresolved_calls(*_resolved(spark, sf_dir))
+    return resolve.unresolved_calls(*_named(spark, sf_dir))
 
 
 @query("SELECT caller, count(*) AS n_calls, count(target) AS n_resolved, count(DISTINCT callee_name) AS n_callees FROM resolved GROUP BY caller")
@@ -516,7 +522,7 @@ dead AS (SELECT * FROM symbols WHERE fqn NOT IN (SELECT fqn FROM alive_s) AND fq
 
 @query(f"{_LIVE} SELECT target, reason, is_weak FROM refs")
 def liveness_refs(spark, sf_dir):
-    return liveness.references(*_resolved(spark, sf_dir))
+    return liveness.references(*_named(spark, sf_dir))
 
 
 @query(f"{_LIVE} SELECT fqn FROM alive_s")
@@ -530,7 +536,7 @@ def alive_weak(spark, sf_dir):
 
 
 def _alive(spark, sf_dir):
-    f, r = _resolved(spark, sf_dir)
+    f, r = _named(spark, sf_dir)
     return f, kept(spark, sf_dir, "alive", lambda: liveness.alive(f, r))
 
 
@@ -675,8 +681,9 @@ def dead_reported(spark, sf_dir):
 
 @query("""SELECT json_object('total', count(*), 'resolved', count(target)) AS coverage, count(*) FILTER (confidence >= 0.9) AS exact, count(*) FILTER (target IS NULL) AS unresolved FROM resolved""")
 def report_summary(spark, sf_dir):
-    _, r = _resolved(spark, sf_dir)
-    counts = r.agg(F.count(F.lit(1)).alias("total"), F.count("target").alias("hit"), F.count_if((F.col("confidence") >= 0.9) & F.col("target").isNotNull()).alias("exact"), F.count_if(F.col("target").isNull()).alias("unresolved"))
+    _, r = _named(spark, sf_dir)
+    hit = F.col("target").isNotNull()
+    counts = r.agg(resolve.n_calls(r).alias("total"), resolve.n_calls(r, hit).alias("hit"), resolve.n_calls(r, (F.col("confidence") >= 0.9) & hit).alias("exact"), resolve.n_calls(r, ~hit).alias("unresolved"))
     return counts.select(F.to_json(F.struct("total", F.col("hit").alias("resolved"))).alias("coverage"), "exact", "unresolved")
 
 

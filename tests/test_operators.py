@@ -104,3 +104,22 @@ def test_calls_are_not_shuffled_to_find_their_projects(spark):
     f, r = _resolved(spark, "/root/testdata/sf0.001")
     plan = boundary.boundary_calls(f, r)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_names_of_calls_are_resolved_without_the_calls(spark):
+    from factmill.operators import resolve
+    from factmill.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    summary = queries.report_summary(spark, sf).first()
+    queries.alive_strong(spark, sf)
+    assert ("named" in {name for _, folder, name in queries._KEPT if folder == sf}) and '"total"' in summary.coverage
+    f, r = queries._resolved(spark, sf)
+    named = resolve.resolve_names(f)
+    columns = ["receiver", "callee_name", "receiver_kind", "how", "target", "target_owner", "confidence", "method"]
+    each = {tuple(x) for x in r.groupBy(*columns).count().collect()}
+    assert each == {tuple(x) for x in named.select(*columns, "n_calls").collect()} and named.count() == len(each) < r.count()
+    for f_ in (resolve.resolution_rate, resolve.confidence_histogram, resolve.type_check_buckets):
+        assert sorted(f_(named).collect()) == sorted(f_(r).collect())
+    static = f.with_(calls=spark.createDataFrame([("X", "go", "static_call"), ("X", "go", "static_call"), (None, "strlen", "call")], "receiver string, callee_name string, call_type string").selectExpr("*", "'simple' AS receiver_kind", "'explicit' AS how"))
+    assert {(x.target, x.confidence, x.n_calls) for x in resolve.resolve_names(static, ["strlen"]).collect()} == {("X::go", 0.5, 2), ("strlen", 1.0, 1)}
