@@ -64,9 +64,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """df for the side of a join where a set grows with the input: it meets the other by key among the executors, and never goes through the driver for a broadcast."""
+    return df.hint("merge")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000, known: DataFrame | None = None) -> DataFrame:
     """(node) reachable from seeds(node) over edges(src, dst), seeds included; nodes of known(node) are neither returned nor walked."""
-    return _closed(edges, seeds if known is None else seeds.join(known, "node", "left_anti"), ["node"], rounds, known)
+    return _closed(edges, seeds if known is None else seeds.join(grown(known), "node", "left_anti"), ["node"], rounds, known)
 
 
 def reach_pairs(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
@@ -82,7 +87,7 @@ def _closed(edges: DataFrame, seeds: DataFrame, columns: list[str], rounds: int,
     for _ in range(rounds):
         new = frontier.join(edges, frontier["node"] == edges["src"]).select(*columns[:-1], F.col("dst").alias("node")).distinct()
         seen = reduce(DataFrame.unionByName, parts if known is None else [*parts, known.select(*columns)])
-        frontier = cut(new.join(seen, columns, "left_anti"))
+        frontier = cut(new.join(grown(seen), columns, "left_anti"))
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, parts)
         parts.append(frontier)
@@ -189,8 +194,8 @@ def chains(parents: DataFrame) -> DataFrame:
     while True:
         a = known.where(F.col("dist") == reached).select("node", F.col("ancestor").alias("via"), F.col("dist").alias("d"))
         b = known.select(F.col("node").alias("via"), "ancestor", "dist")
-        new = a.join(b, "via").where("node <> ancestor").groupBy("node", "ancestor").agg(F.min(F.col("d") + F.col("dist")).alias("dist"))
-        new = cut(new.join(known, ["node", "ancestor"], "left_anti"))
+        new = a.join(grown(b), "via").where("node <> ancestor").groupBy("node", "ancestor").agg(F.min(F.col("d") + F.col("dist")).alias("dist"))
+        new = cut(new.join(grown(known), ["node", "ancestor"], "left_anti"))
         if new.isEmpty():
             return known
         known = cut(known.unionByName(new))

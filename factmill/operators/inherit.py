@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..facts import Facts
-from .fixpoint import chains, cut
+from .fixpoint import chains, cut, grown
 
 
 def ancestor_chain(facts: Facts) -> DataFrame:
@@ -67,7 +67,7 @@ def method_overrides(facts: Facts) -> DataFrame:
     )
     base = facts.methods.select(F.col("owner").alias("base_owner"), "name")
     below = facts.methods.select(F.col("owner").alias("class"), "name")
-    pairs = ups.join(base, "base_owner").join(below, ["class", "name"])
+    pairs = grown(ups).join(base, "base_owner").join(below, ["class", "name"])
     return pairs.select(F.concat_ws("::", "base_owner", "name").alias("base"), F.concat_ws("::", "class", "name").alias("override")).distinct()
 
 

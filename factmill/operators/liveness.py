@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..facts import Facts
-from .fixpoint import cut, reach
+from .fixpoint import cut, grown, reach
 from .inherit import method_overrides
 
 #: Methods that live with their class (fixed values).
@@ -65,20 +65,20 @@ def alive(facts: Facts, resolved: DataFrame) -> DataFrame:
     known = cut(symbols(facts))
     refs = cut(references(facts, resolved))
     links = cut(edges(facts))
-    seeds = refs.where("NOT is_weak").select(F.col("target").alias("node")).join(known.select(F.col("fqn").alias("node")), "node", "left_semi")
+    seeds = refs.where("NOT is_weak").select(F.col("target").alias("node")).join(grown(known.select(F.col("fqn").alias("node"))), "node", "left_semi")
     strong = reach(links, seeds)
     names = refs.where("is_weak").select(F.col("target").alias("short")).distinct()
     candidates = known.where("kind IN ('function', 'method') AND visibility <> 'private'").withColumn("short", F.when(F.col("kind") == "method", F.substring_index("fqn", "::", -1)).otherwise(F.substring_index("fqn", "\\", -1)))
-    marked = cut(candidates.join(names, "short", "left_semi").join(strong.select(F.col("node").alias("fqn")), "fqn", "left_anti").select("fqn", "kind"))
+    marked = cut(candidates.join(names, "short", "left_semi").join(grown(strong.select(F.col("node").alias("fqn"))), "fqn", "left_anti").select("fqn", "kind"))
     weak = marked.where("kind = 'method'").select("fqn")
     more = reach(links, marked.select(F.col("fqn").alias("node")), known=strong)
     all_strong = strong.unionByName(more.join(weak.select(F.col("fqn").alias("node")), "node", "left_anti")).distinct()
     out = all_strong.select(F.col("node").alias("fqn"), F.lit("strong").alias("mark")).unionByName(weak.select("fqn", F.lit("weak").alias("mark")))
-    return out.join(known.select("fqn").distinct(), "fqn", "left_semi")
+    return out.join(grown(known.select("fqn")), "fqn", "left_semi")
 
 
 def dead(facts: Facts, living: DataFrame) -> DataFrame:
-    return symbols(facts).join(living.select("fqn"), "fqn", "left_anti")
+    return symbols(facts).join(grown(living.select("fqn")), "fqn", "left_anti")
 
 
 def dead_counts(dead_symbols: DataFrame) -> DataFrame:

@@ -123,3 +123,14 @@ def test_names_of_calls_are_resolved_without_the_calls(spark):
         assert sorted(f_(named).collect()) == sorted(f_(r).collect())
     static = f.with_(calls=spark.createDataFrame([("X", "go", "static_call"), ("X", "go", "static_call"), (None, "strlen", "call")], "receiver string, callee_name string, call_type string").selectExpr("*", "'simple' AS receiver_kind", "'explicit' AS how"))
     assert {(x.target, x.confidence, x.n_calls) for x in resolve.resolve_names(static, ["strlen"]).collect()} == {("X::go", 0.5, 2), ("strlen", 1.0, 1)}
+
+
+def test_growing_sets_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    cut = fixpoint.cut
+    monkeypatch.setattr(fixpoint, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(5)], "src int, dst int")
+    assert fixpoint.reach(edges, spark.createDataFrame([(0,)], "node int")).count() == 6
+    assert fixpoint.chains(edges.selectExpr("src AS node", "dst AS parent")).count() == 15
+    known = [line for plan in plans for line in plan.splitlines() if "LeftAnti" in line]
+    assert known and not [line for line in known if "Broadcast" in line]
