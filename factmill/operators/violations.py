@@ -9,7 +9,7 @@ from ..facts import Facts
 from ..functions.typing import argument_fits, base, is_builtin, kind, null_fits
 from .boundary import class_project, cross, file_project
 from .fixpoint import cut
-from .inherit import all_methods, ancestor_chain
+from .inherit import ancestor_chain, member_owners
 
 VISIBILITY_RANK = {"public": 3, "protected": 2, "private": 1}
 
@@ -114,25 +114,43 @@ def interface_compliance(facts: Facts, scope: str = "all") -> DataFrame:
     """(class, interface, name, problem) of declarations: missing, param_count, param_type, return_type, visibility.
 
     scope 'cross_project' leaves out interfaces and classes of one project.
+    A method is judged once for each interface, however many classes inherit it,
+    and its types once for each different pair of signatures. Classes meet only names.
     """
-    wanted = facts.methods.where("owner_kind = 'interface'").select(F.col("owner").alias("interface"), "name", F.col("params").alias("ip"), F.col("return_type").alias("ir"))
-    have = all_methods(facts).select("class", "name", F.col("params").alias("cp"), F.col("return_type").alias("cr"), F.col("visibility").alias("cv"))
-    pairs = facts.implements.join(wanted, "interface").join(have, ["class", "name"], "left")
+    key = ["interface", "name", "owner"]
+    wanted = facts.methods.where("owner_kind = 'interface'").select(F.col("owner").alias("interface"), "name", _types("params").alias("ip"), F.col("return_type").alias("ir"))
+    have = facts.methods.select("owner", "name", _types("params").alias("cp"), F.col("return_type").alias("cr"), F.col("visibility").alias("cv"))
+    pairs = facts.implements.join(wanted.select("interface", "name").distinct(), "interface").join(member_owners(facts, facts.methods), ["class", "name"], "left")
     if scope == "cross_project":
         at = class_project(facts)
         pairs = pairs.join(at.select(F.col("fqn").alias("class"), F.col("project").alias("a")), "class", "left").join(at.select(F.col("fqn").alias("interface"), F.col("project").alias("b")), "interface", "left").where("NOT (a <=> b)")
-    types = F.exists(F.slice(F.arrays_zip("ip", "cp"), F.lit(1), F.least(F.size("ip"), F.size("cp"))), lambda z: ~argument_fits(z["ip"]["type"], z["cp"]["type"]))
+    pairs = cut(pairs.select("class", *key))
+    met = cut(pairs.select(*key).distinct().join(wanted, ["interface", "name"]).join(have, ["owner", "name"], "left"))
+    signature = ["ip", "ir", "cp", "cr"]
+    misfit = F.exists(F.slice(F.arrays_zip("ip", "cp"), F.lit(1), F.least(F.size("ip"), F.size("cp"))), lambda z: ~argument_fits(z["ip"], z["cp"]))
+    judged = cut(met.select(*signature).distinct().select(*signature, misfit.alias("param_type"), (~argument_fits(F.col("cr"), F.col("ir"))).alias("return_type")))
     problems = F.when(F.col("cv").isNull(), F.array(F.lit("missing"))).otherwise(
         F.array_compact(
             F.array(
                 F.when(F.size("ip") != F.size("cp"), "param_count"),
-                F.when(types, "param_type"),
-                F.when(~argument_fits(F.col("cr"), F.col("ir")), "return_type"),
+                F.when(F.col("param_type"), "param_type"),
+                F.when(F.col("return_type"), "return_type"),
                 F.when(rank(F.col("cv")) < 3, "visibility"),
             )
         )
     )
-    return pairs.select("class", "interface", "name", F.explode(problems).alias("problem"))
+    found = _same(met, judged, signature).select(*key, problems.alias("problems")).where("size(problems) > 0")
+    return _same(pairs, found, key).select("class", "interface", "name", F.explode("problems").alias("problem"))
+
+
+def _types(params: str) -> Column:
+    return F.transform(params, lambda p: p["type"])
+
+
+def _same(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """left joined with right where all columns of key agree, nulls with nulls."""
+    other = right.select(*(F.col(c).alias(f"{c}_") if c in key else F.col(c) for c in right.columns))
+    return left.join(other, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key]).drop(*(f"{c}_" for c in key))
 
 
 def call_site_compliance(facts: Facts, boundary: DataFrame, scope: str = "all") -> DataFrame:

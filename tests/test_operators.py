@@ -134,3 +134,17 @@ def test_growing_sets_are_not_broadcast(spark, monkeypatch):
     assert fixpoint.chains(edges.selectExpr("src AS node", "dst AS parent")).count() == 15
     known = [line for plan in plans for line in plan.splitlines() if "LeftAnti" in line]
     assert known and not [line for line in known if "Broadcast" in line]
+
+
+def test_compliance_judges_inherited_methods_once(spark, monkeypatch):
+    classes = [(f"C{k}", "c.php", None if k == 0 else "C0", False, False) for k in range(20)]
+    method = lambda owner, kind, name, visibility, returns, *types: (owner, kind, name, visibility, False, returns, [(f"p{i}", t, False, False, False) for i, t in enumerate(types)], "c.php", 1)
+    methods = [method("I", "interface", "a", "public", "int", "int", "string"), method("I", "interface", "b", "public", None), method("I", "interface", "gone", "public", "int"), method("C0", "class", "a", "private", "string", "string"), method("C0", "class", "b", "public", None), method("C1", "class", "a", "public", "int", "int", None)]
+    tables = {t: spark.createDataFrame([], schema) for t, schema in SCHEMAS.items()}
+    tables |= {"classes": spark.createDataFrame(classes, SCHEMAS["classes"]), "methods": spark.createDataFrame(methods, SCHEMAS["methods"]), "implements": spark.createDataFrame([(c[0], "I") for c in classes], SCHEMAS["implements"])}
+    sizes, cut = [], violations.cut
+    monkeypatch.setattr(violations, "cut", lambda df: sizes.append((df.columns, df.count())) or cut(df))
+    got = {tuple(r) for r in violations.interface_compliance(Facts(**tables)).collect()}
+    want = {(c[0], "I", "gone", "missing") for c in classes} | {(c[0], "I", "a", p) for c in classes if c[0] != "C1" for p in ("param_count", "param_type", "return_type", "visibility")}
+    assert got - want <= {("C1", "I", "a", "param_type")} and want <= got
+    assert [n for columns, n in sizes if "cp" in columns] == [4, 4]  # a of C0 and C1, b, and the one that is missing; not one for each class
