@@ -138,9 +138,21 @@ def _groups(spark, total: int) -> int:
     return max(partitions(spark), total // GROUP)
 
 
+def _steps(values: np.ndarray) -> bytes:
+    """Numbers as compressed steps, which are small where they ascend: all lowest bytes first, all highest last, so that zeros stand together."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes(), 1)
+
+
+def _unsteps(data: bytes, kind: type) -> np.ndarray:
+    """What _steps() has compressed."""
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+
+
 def _values(column: pa.Array, kind: type) -> np.ndarray:
     """What _packed() has packed, of all rows in a row."""
-    parts = [np.cumsum(np.frombuffer(zstandard.decompress(x), dtype=kind), dtype=kind) for x in column.to_pylist()]
+    parts = [_unsteps(x, kind) for x in column.to_pylist()]
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
@@ -153,8 +165,8 @@ def _dealt(bucket: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """One compressed value for each part: steps from number to number, which are small where numbers ascend."""
-    return pa.array([zstandard.compress(np.diff(values[a:b], prepend=values.dtype.type(0)).tobytes(), 1) for a, b in zip(bounds, bounds[1:])], pa.binary())
+    """One value for each part, by _steps()."""
+    return pa.array([_steps(values[a:b]) for a, b in zip(bounds, bounds[1:])], pa.binary())
 
 
 def _met(key: np.ndarray, c: np.ndarray, bucket: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +237,7 @@ def frequent_phrases(lists: DataFrame, k: int, least: int) -> DataFrame:
             at, candidate, prefix, word = _grown(row, k)
             if len(prefix):
                 owned = np.bincount(candidate[at < row["own"]], minlength=len(prefix)).astype(np.int32)
-                p_ids, w_ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("p_ids" if row["p_ids"] else "w_ids", "w_ids"))
+                p_ids, w_ids = (_unsteps(row[c], np.int64) for c in ("p_ids" if row["p_ids"] else "w_ids", "w_ids"))
                 prefix, word = p_ids[prefix], w_ids[word]
                 bucket = (mix(prefix.astype(np.uint64) * np.uint64(3) + mix(word.astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
                 _, each, bounds, packed = _dealt(bucket, prefix, word, owned, np.arange(len(prefix), dtype=np.int32))
@@ -265,23 +277,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _lists(ids: np.ndarray, which: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Inverted lists: ids, their lengths and positions in order, from the index of an id at each of some ascending positions."""
+    """Inverted lists by _steps(): ids, their lengths and positions in order, from the index of an id at each of some ascending positions."""
     order = np.argsort(which, kind="stable")
-    return [ids.astype(np.int64).tobytes(), np.bincount(which, minlength=len(ids)).astype(np.int32).tobytes(), _squeezed(at[order])]
-
-
-def _squeezed(at: np.ndarray) -> bytes:
-    """Ascending runs of numbers as compressed steps."""
-    return zstandard.compress(np.diff(at, prepend=0).astype(np.int32).tobytes(), 1)
-
-
-def _positions(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(data), dtype=np.int32), dtype=np.int64)
+    return [_steps(ids.astype(np.int64)), _steps(np.bincount(which, minlength=len(ids)).astype(np.int32)), _steps(at[order].astype(np.int32))]
 
 
 def _merged(lengths: bytes, at: bytes, size: int) -> np.ndarray:
     """The lists merged by position: the index of the list that has it, for each slot of the block; -1 for none."""
-    lengths, at = np.frombuffer(lengths, dtype=np.int32), _positions(at)
+    lengths, at = _unsteps(lengths, np.int32), _unsteps(at, np.int32)
     out = np.full(size, -1, dtype=np.int64)
     out[at] = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
     return out
@@ -294,7 +297,7 @@ def _grown(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     starts = words if row["p_ids"] is None else _merged(row["p_len"], row["p_at"], size)
     at = np.flatnonzero(starts[: row["size"]] >= 0)
     at = at[(words[at + k] >= 0) & (starts[at + 1] >= 0)]
-    wide = np.int64(max(1, len(row["w_len"]) // 4))
+    wide = np.int64(max(1, len(_unsteps(row["w_len"], np.int32))))
     different, candidate = np.unique(starts[at] * wide + words[at + k], return_inverse=True)
     return at, candidate, different // wide, different % wide
 
@@ -304,7 +307,7 @@ _STORED = "block long, own int, size int, n_p long, " + ", ".join(f"{c} binary"
 
 
 def _stored(row: dict, words: list[bytes], lists: list[bytes | None]) -> pa.RecordBatch:
-    n = int(np.frombuffer(words[1] if lists[1] is None else lists[1], dtype=np.int32).sum())
+    n = int(_unsteps(words[1] if lists[1] is None else lists[1], np.int32).sum())
     head = [pa.array([row["block"]]), pa.array([row["own"]], pa.int32()), pa.array([row["size"]], pa.int32()), pa.array([n], pa.int64())]
     return pa.RecordBatch.from_arrays([*head, *(pa.array([x], pa.binary()) for x in [*words, *lists])], ["block", "own", "size", "n_p", *_COLUMNS])
 
@@ -350,7 +353,7 @@ def extended(lists: DataFrame, found: DataFrame, k: int) -> DataFrame:
             words = _merged(row["w_len"], row["w_at"], row["size"] + k + 2)
             follow = at[ids[candidate] >= 0] + k + 1
             follow = follow[words[follow] >= 0]
-            yield _stored(row, _lists(np.frombuffer(row["w_ids"], dtype=np.int64), words[follow], follow), _kept(ids, candidate, at))
+            yield _stored(row, _lists(_unsteps(row["w_ids"], np.int64), words[follow], follow), _kept(ids, candidate, at))
 
     return lists.join(_by_block(found), "block").mapInArrow(run, _STORED)
 
