@@ -39,9 +39,22 @@ def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     return out
 
 
+def materialize_buckets(df: DataFrame, name: str, by: str) -> DataFrame:
+    """The same in buckets, as many as shuffles have partitions: a join by that column doesn't shuffle it. discard() forgets the table's name."""
+    spark = df.sparkSession
+    unique = f"{name}-{uuid.uuid4().hex}"
+    table, path = unique.replace("-", "_"), f"{scratch_folder(spark)}/{unique}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), by).saveAsTable(table)
+    out = spark.table(table)
+    out.scratch_path, out.scratch_table = path, table
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() wrote and that nothing reads any more."""
+    """Delete tables that materialize() or materialize_buckets() wrote and that nothing reads any more."""
     for df in tables:
+        if table := getattr(df, "scratch_table", None):
+            df.sparkSession.sql(f"DROP TABLE {table}")
         delete(df.sparkSession, df.scratch_path)
 
 

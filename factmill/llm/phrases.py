@@ -7,15 +7,17 @@ positions, moved by k, with the postings of words; where the phrase without its
 first word isn't frequent either, nothing is listed. The lengths of lists, summed
 over blocks, are the exact frequencies; lists of infrequent phrases go.
 
-Positions never leave their block. What is shuffled between levels are a
+Positions never leave their block, and blocks are stored in buckets, so that no
+level shuffles them. What is shuffled between levels are a
 block's different candidates with their counts, packed into one row for each group
 of keys, so the commonest word has one entry a block, like any other, and no key
-is hot. Blocks overlap by the longest phrase
+is hot. A block can deal its candidates again in the same order, so a group answers
+with their places in that order. Blocks overlap by the longest phrase
 less one word: a phrase counts in the block that owns its first slot. So a long
 text needs no more memory than a block.
 
-Phrases have the number of the first candidate row, in order of blocks, that
-names them: ids are exact within a number of words, no hashes are compared.
+A phrase's id is its number within its group, times the groups, plus the group's:
+ids are exact within a number of words and leave few gaps, no hashes are compared.
 
 Defined results. A null text is empty; a null lang is `und`, together with rows
 that say so. Repeated rows count as often as they are there. doc_id and other
@@ -40,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, partitions, text_bytes
+from .common import discard, materialize, materialize_buckets, mix, partitions, text_bytes
 
 #: Slots that a block owns, and the bits of a candidate's place in its block.
 BLOCK, PLACE = 1 << 19, 21
@@ -95,20 +97,25 @@ class _Block:
 
 
 def blocks(docs: DataFrame, longest: int, size: int = BLOCK) -> DataFrame:
-    """(block, own, codes, langs, words, counts, sums): codes of slots as compressed int32; slots from own on are looked ahead at. counts are those of words, sums those of languages."""
+    """(block, own, codes, n, langs, lang, words, counts, sums): codes of slots, packed; slots from own on are looked ahead at. The n words come by falling count; lang is an index of langs for each, sums are those of languages."""
 
     def row(number: int, own: int, block: _Block) -> pa.RecordBatch:
         codes = np.array(block.codes[: own + longest - 1], dtype=np.int32)
         words = block.words()[: codes.max(initial=-1) + 1]  # words come in order of their first slot
         owned = codes[:own]
-        counts = np.bincount(owned[owned >= 0], minlength=len(words))
-        langs, at = np.unique(np.array([lang for lang, _ in words], dtype=object), return_inverse=True) if words else ([], [])
-        sums = [{"lang": lang, "n": int(n)} for lang, n in zip(langs, np.bincount(at, counts, len(langs)))] if words else []
-        values = [[number], [own], [zstandard.compress(codes.tobytes(), 1)], [[lang for lang, _ in words]], [[w.decode("utf-8", "replace") for _, w in words]], [counts.astype(np.int32).tobytes()], [len(words)], [sums]]
+        counts = np.bincount(owned[owned >= 0], minlength=len(words)).astype(np.int32)
+        langs = pa.array([lang for lang, _ in words], pa.string()).dictionary_encode()
+        shown = pa.array([w.decode("utf-8", "replace") for _, w in words], pa.string())
+        lang = langs.indices.to_numpy().astype(np.int32)
+        order = pc.sort_indices(pa.table([counts, lang, shown], ["c", "lang", "word"]), [("c", "descending"), ("lang", "ascending"), ("word", "ascending")]).to_numpy().astype(np.int64)
+        code = np.empty(len(words) + 1, dtype=np.int32)
+        code[order], code[-1] = np.arange(len(words)), -1
+        sums = [{"lang": x, "n": int(n)} for x, n in zip(langs.dictionary.to_pylist(), np.bincount(lang, counts, len(langs.dictionary)))]
+        values = [[number], [own], [_planes(code[codes])], [len(words)], [langs.dictionary.to_pylist()], [_steps(lang[order])], [_joined(shown.take(pa.array(order)).to_pylist())], [_steps(counts[order])], [sums]]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
-    names = ["block", "own", "codes", "langs", "words", "counts", "n", "sums"]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.int64(), pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))]
+    names = ["block", "own", "codes", "n", "langs", "lang", "words", "counts", "sums"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, nth, block = TaskContext.get().partitionId() << 20, 0, _Block()
@@ -124,137 +131,169 @@ def blocks(docs: DataFrame, longest: int, size: int = BLOCK) -> DataFrame:
             yield row(first + nth, len(block.codes), block)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNDETERMINED)).alias("lang"), text_bytes().alias("text"))
-    return rows.mapInArrow(run, "block long, own int, codes binary, langs array<string>, words array<string>, counts binary, n long, sums array<struct<lang:string,n:long>>")
+    return rows.mapInArrow(run, "block long, own int, codes binary, n long, langs array<string>, lang binary, words binary, counts binary, sums array<struct<lang:string,n:long>>")
 
 
 # ---------------------------------------------------------------- what meets between levels
 #
 # A block deals its different candidates over groups by a hash of their key: one row for each
 # group, with arrays. A group sums the counts of a key, which has one entry a block at most, and
-# sends the numbers of frequent ones back to their blocks, again as one row for each.
+# sends the numbers of frequent ones back to their blocks, again as one row for each. A place is
+# one in the order in which a block has dealt its candidates, which it can repeat.
 
 
-def _groups(spark, total: int) -> int:
-    return max(partitions(spark), total // GROUP)
+def _groups(candidates: DataFrame, n: str) -> int:
+    spark = candidates.sparkSession
+    return max(partitions(spark), (candidates.agg(F.sum(n)).head()[0] or 0) // GROUP)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Compressed numbers: all lowest bytes first, all highest last, so that zeros stand together."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes(), 1)
+
+
+def _unplanes(data: bytes, kind: type) -> np.ndarray:
+    """What _planes() has compressed."""
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _steps(values: np.ndarray) -> bytes:
-    """Numbers as compressed steps, which are small where they ascend: all lowest bytes first, all highest last, so that zeros stand together."""
-    steps = np.diff(values, prepend=values.dtype.type(0))
-    return zstandard.compress(steps.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes(), 1)
+    """Numbers as compressed steps, which are small where they ascend."""
+    return _planes(np.diff(values, prepend=values.dtype.type(0)))
 
 
 def _unsteps(data: bytes, kind: type) -> np.ndarray:
     """What _steps() has compressed."""
-    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+    return np.cumsum(_unplanes(data, kind), dtype=kind)
+
+
+def _joined(words: list) -> bytes:
+    """Compressed words; none has a line's end."""
+    return zstandard.compress("\n".join(words).encode(), 3)
+
+
+def _split(data: bytes) -> list[bytes]:
+    """What _joined() has compressed, in UTF-8."""
+    return zstandard.decompress(data).split(b"\n")
 
 
-def _values(column: pa.Array, kind: type) -> np.ndarray:
-    """What _packed() has packed, of all rows in a row."""
-    parts = [_unsteps(x, kind) for x in column.to_pylist()]
+def _values(column: pa.Array, kind: type, unpack=_unsteps) -> np.ndarray:
+    """What has been packed, of all rows in a row."""
+    parts = [unpack(x, kind) for x in column.to_pylist()]
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
-def _dealt(bucket: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]:
-    """(order, groups, their bounds, values of each group, packed) of one block's candidates."""
-    order = np.argsort(bucket, kind="stable")
-    groups, at = np.unique(bucket[order], return_index=True)
-    bounds = np.append(at, len(bucket)).astype(np.int32)
-    return order, groups, bounds, [_packed(v[order], bounds) for v in values]
+def _dealt(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(candidates in the order in which they are dealt, groups, their bounds in it)."""
+    order = np.argsort(group, kind="stable")
+    groups, at = np.unique(group[order], return_index=True)
+    return order, groups, np.append(at, len(group)).astype(np.int32)
 
 
-def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """One value for each part, by _steps()."""
-    return pa.array([_steps(values[a:b]) for a, b in zip(bounds, bounds[1:])], pa.binary())
+def _packed(values: np.ndarray, bounds: np.ndarray, pack=_steps) -> pa.Array:
+    """One value for each part."""
+    return pa.array([pack(values[a:b]) for a, b in zip(bounds, bounds[1:])], pa.binary())
 
 
-def _met(key: np.ndarray, c: np.ndarray, bucket: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of candidates with key indexes from 0 on: (rows of frequent keys, the ids of those rows, one row of each frequent key, ids, frequencies)."""
+def _places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1 ... of n places, one row after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _met(key: np.ndarray, c: np.ndarray, least: int, ranked: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates with key indexes from 0 on: (rows of frequent keys, the numbers of those rows, one row of each frequent key, frequencies). Numbers follow the keys, or their falling frequencies."""
     n = int(key.max(initial=-1)) + 1
-    f, some = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    f, some, number = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
     np.add.at(f, key, c)
     some[key] = np.arange(len(key))
-    good = f >= least
-    ids = (bucket << 32) + np.cumsum(good) - 1
-    rows = np.flatnonzero(good[key])
-    return rows, ids[key[rows]], some[good], ids[good], f[good]
+    good = np.flatnonzero(f >= least)
+    if ranked:
+        good = good[np.argsort(-f[good], kind="stable")]
+    number[good] = np.arange(len(good))
+    rows = np.flatnonzero((f >= least)[key])
+    return rows, number[key[rows]], some[good], f[good]
 
 
-def _sent(block: np.ndarray, place: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """(blocks, places, ids): one packed row for each block."""
-    order = np.argsort(block, kind="stable")
+def _said(bucket: int, groups: int, block: np.ndarray, place: np.ndarray, number: np.ndarray, lists: dict[str, list]) -> pa.Table:
+    """A group's rows: one for each block, with places and the numbers of what is there, and one of lists."""
+    order = np.lexsort((place, block))
     each, at = np.unique(block[order], return_index=True)
-    bounds = np.append(at, len(block)).astype(np.int32)
-    return each, _packed(place[order], bounds), _packed(ids[order], bounds)
+    bounds, none = np.append(at, len(block)), pa.nulls(1, pa.binary())
+    packed = [pa.concat_arrays([_packed(x[order].astype(np.int32), bounds), none]) for x in (place, number)]
+    lists = {"id": (np.arange(len(lists["f"])) * groups + bucket).tolist()} | lists
+    named = [pa.array([None] * len(each) + [x], pa.list_(pa.string() if name in ("lang", "word") and "lang" in lists else pa.int64())) for name, x in lists.items()]
+    return pa.table([pa.array([*each.tolist(), None], pa.int64()), pa.array([bucket] * (len(each) + 1), pa.int64()), *packed, *named], ["block", "bucket", "places", "numbers", *lists])
+
+
+_SAID = "block long, bucket long, places binary, numbers binary, id array<long>, f array<long>, "
+
 
+def _dealt_words(row: dict, groups: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words, and _dealt() of them, by language within a group."""
+    words = _split(row["words"])[: row["n"]]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    return words, *_dealt((hashes % np.uint64(groups)).astype(np.int64) * len(row["langs"]) + _unsteps(row["lang"], np.int32))
 
-def frequent_words(text: DataFrame, least: int) -> DataFrame:
-    """What groups of words say: rows of a block (block, places, ids), and rows without one, of lists (id, f, lang, word)."""
-    groups = _groups(text.sparkSession, text.agg(F.sum("n")).head()[0] or 0)
+
+def frequent_words(text: DataFrame, least: int, groups: int) -> DataFrame:
+    """What groups of words say: rows of a block (block, bucket, places, numbers), and rows without one, of lists (id, f, lang, word)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                block, langs, words = b.column(0)[i].as_py(), b.column(1)[i].values.dictionary_encode(), b.column(2)[i].values
-                if len(words):
-                    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
-                    bucket, wide = (hashes % np.uint64(groups)).astype(np.int64), len(langs.dictionary)
-                    counts, places = np.frombuffer(b.column(3)[i].as_py(), dtype=np.int32), np.arange(len(words), dtype=np.int32)
-                    order, each, bounds, packed = _dealt(bucket * wide + langs.indices.to_numpy(), counts, places)  # a row for each language of a group
-                    lists = pa.ListArray.from_arrays(pa.array(bounds), words.take(pa.array(order)))
-                    yield pa.RecordBatch.from_arrays([pa.array(each // wide), pa.array(np.full(len(each), block)), langs.dictionary.take(pa.array(each % wide)), lists, *packed], ["bucket", "block", "lang", "words", "c", "place"])
+        for row in _rows(batches):
+            if row["n"]:
+                words, order, each, bounds = _dealt_words(row, groups)
+                wide, counts = len(row["langs"]), _unsteps(row["counts"], np.int32)[order]
+                some = [_joined([words[i].decode() for i in order[a:b]]) for a, b in zip(bounds, bounds[1:])]
+                langs = pa.array(row["langs"], pa.string()).take(pa.array(each % wide))  # a row for each language of a group
+                yield pa.RecordBatch.from_arrays([pa.array(each // wide), pa.array(np.full(len(each), row["block"])), langs, pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(some, pa.binary()), _packed(counts, bounds)], ["bucket", "block", "lang", "first", "n", "words", "c"])
 
     def meet(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        words, c, place = t.column("words").chunk(0).flatten(), _values(t.column("c"), np.int32), _values(t.column("place"), np.int32)
-        row = np.repeat(np.arange(len(t)), pc.list_value_length(t.column("words")).to_numpy())
-        block, langs = t.column("block").to_numpy()[row], t.column("lang").chunk(0).take(pa.array(row))
+        n = t.column("n").to_numpy()
+        row = np.repeat(np.arange(len(t)), n)
+        words = pa.concat_arrays([pa.array(_split(x), pa.binary()).cast(pa.string()) for x in t.column("words").to_pylist()])
+        block, langs = t.column("block").to_numpy()[row], t.column("lang").combine_chunks().take(pa.array(row))
         key = pc.binary_join_element_wise(langs, words, "\n").dictionary_encode().indices.to_numpy()
-        rows, row_ids, some, ids, f = _met(key, c, t.column("bucket")[0].as_py(), least)
-        at = pa.array(some)
-        return _said(*_sent(block[rows], place[rows], row_ids), {"id": ids.tolist(), "f": f.tolist(), "lang": langs.take(at).to_pylist(), "word": words.take(at).to_pylist()})
+        rows, number, some, f = _met(key, _values(t.column("c"), np.int32), least, ranked=True)
+        at, place = pa.array(some), _places(t.column("first").to_numpy(), n)
+        return _said(t.column("bucket")[0].as_py(), groups, block[rows], place[rows], number, {"f": f.tolist(), "lang": langs.take(at).to_pylist(), "word": words.take(at).to_pylist()})
 
-    dealt = text.select("block", "langs", "words", "counts").mapInArrow(deal, "bucket long, block long, lang string, words array<string>, c binary, place binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "block long, places binary, ids binary, id array<long>, f array<long>, lang array<string>, word array<string>")
+    dealt = text.select("block", "n", "langs", "lang", "words", "counts").mapInArrow(deal, "bucket long, block long, lang string, first int, n int, words binary, c binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, _SAID + "lang array<string>, word array<string>")
 
 
-def _said(blocks: np.ndarray, places: pa.Array, ids: pa.Array, lists: dict[str, list]) -> pa.Table:
-    """A group's rows: one for each block, and one of lists."""
-    n = len(blocks)
-    none = pa.nulls(1, pa.binary())
-    text = ("lang", "word") if "lang" in lists else ()
-    named = [pa.array([None] * n + [x], pa.list_(pa.string() if name in text else pa.int64())) for name, x in lists.items()]
-    return pa.table([pa.array([*blocks.tolist(), None], pa.int64()), pa.concat_arrays([places, none]), pa.concat_arrays([ids, none]), *named], ["block", "places", "ids", *lists])
+def _dealt_phrases(row: dict, prefix: np.ndarray, word: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the prefixes and words of a block's candidates, and _dealt() of these."""
+    p_ids, w_ids = (_unsteps(row[c], np.int64) for c in ("p_ids" if row["p_ids"] else "w_ids", "w_ids"))
+    prefix, word = p_ids[prefix], w_ids[word]
+    return prefix, word, *_dealt((mix(prefix.astype(np.uint64) * np.uint64(3) + mix(word.astype(np.uint64))) % np.uint64(groups)).astype(np.int64))
 
 
-def frequent_phrases(lists: DataFrame, k: int, least: int) -> DataFrame:
+def frequent_phrases(lists: DataFrame, k: int, least: int, groups: int) -> DataFrame:
     """The same for candidates of k + 1 words: lists (id, f, prefix, word)."""
-    groups = _groups(lists.sparkSession, lists.agg(F.sum("n_p")).head()[0] or 0)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             at, candidate, prefix, word = _grown(row, k)
             if len(prefix):
                 owned = np.bincount(candidate[at < row["own"]], minlength=len(prefix)).astype(np.int32)
-                p_ids, w_ids = (_unsteps(row[c], np.int64) for c in ("p_ids" if row["p_ids"] else "w_ids", "w_ids"))
-                prefix, word = p_ids[prefix], w_ids[word]
-                bucket = (mix(prefix.astype(np.uint64) * np.uint64(3) + mix(word.astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
-                _, each, bounds, packed = _dealt(bucket, prefix, word, owned, np.arange(len(prefix), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), row["block"])), pa.array(np.diff(bounds)), *packed], ["bucket", "block", "n", "prefix", "word", "c", "place"])
+                prefix, word, order, each, bounds = _dealt_phrases(row, prefix, word, groups)
+                packed = [_packed(prefix[order], bounds), _packed(word[order], bounds, _planes), _packed(owned[order], bounds, _planes)]
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), row["block"])), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), *packed], ["bucket", "block", "first", "n", "prefix", "word", "c"])
 
     def meet(t: pa.Table) -> pa.Table:
-        prefix, word, c, place = (_values(t.column(x), kind) for x, kind in (("prefix", np.int64), ("word", np.int64), ("c", np.int32), ("place", np.int32)))
-        block = np.repeat(t.column("block").to_numpy(), t.column("n").to_numpy())
+        n = t.column("n").to_numpy()
+        prefix, word, c = _values(t.column("prefix"), np.int64), _values(t.column("word"), np.int64, _unplanes), _values(t.column("c"), np.int32, _unplanes)
+        block, place = np.repeat(t.column("block").to_numpy(), n), _places(t.column("first").to_numpy(), n)
         order = np.lexsort((word, prefix))
         new = np.append(True, (np.diff(prefix[order]) != 0) | (np.diff(word[order]) != 0))
         key = np.empty(len(order), dtype=np.int64)
         key[order] = np.cumsum(new) - 1
-        rows, row_ids, some, ids, f = _met(key, c, t.column("bucket")[0].as_py(), least)
-        return _said(*_sent(block[rows], place[rows], row_ids), {"id": ids.tolist(), "f": f.tolist(), "prefix": prefix[some].tolist(), "word": word[some].tolist()})
+        rows, number, some, f = _met(key, c, least)
+        return _said(t.column("bucket")[0].as_py(), groups, block[rows], place[rows], number, {"f": f.tolist(), "prefix": prefix[some].tolist(), "word": word[some].tolist()})
 
-    dealt = lists.mapInArrow(deal, "bucket long, block long, n int, prefix binary, word binary, c binary, place binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "block long, places binary, ids binary, id array<long>, f array<long>, prefix array<long>, word array<long>")
+    dealt = lists.mapInArrow(deal, "bucket long, block long, first int, n int, prefix binary, word binary, c binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, _SAID + "prefix array<long>, word array<long>")
 
 
 def _listed(found: DataFrame, *columns: str) -> DataFrame:
@@ -264,7 +303,7 @@ def _listed(found: DataFrame, *columns: str) -> DataFrame:
 
 def _by_block(found: DataFrame) -> DataFrame:
     """What all groups say of a block, in one row; a block bounds it."""
-    return found.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("places", "ids")).alias("found"))
+    return found.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "places", "numbers")).alias("found"))
 
 
 # ---------------------------------------------------------------- inverted lists of a block
@@ -312,11 +351,11 @@ def _stored(row: dict, words: list[bytes], lists: list[bytes | None]) -> pa.Reco
     return pa.RecordBatch.from_arrays([*head, *(pa.array([x], pa.binary()) for x in [*words, *lists])], ["block", "own", "size", "n_p", *_COLUMNS])
 
 
-def _numbered(row: dict, n: int) -> np.ndarray:
-    """The id of each of a block's n candidates; -1 for infrequent ones."""
-    out = np.full(n, -1, dtype=np.int64)
+def _numbered(row: dict, order: np.ndarray, groups: int) -> np.ndarray:
+    """The id of each of a block's candidates, dealt in this order; -1 for infrequent ones."""
+    out = np.full(len(order), -1, dtype=np.int64)
     for x in row["found"]:
-        out[_values(pa.array([x["places"]]), np.int32)] = _values(pa.array([x["ids"]]), np.int64)
+        out[order[_unsteps(x["places"], np.int32)]] = _unsteps(x["numbers"], np.int32).astype(np.int64) * groups + x["bucket"]
     return out
 
 
@@ -330,26 +369,26 @@ def _kept(ids: np.ndarray, which: np.ndarray, at: np.ndarray) -> list[bytes]:
     return _lists(ids[order], number[which[stay]], at[stay])
 
 
-def word_lists(text: DataFrame, found: DataFrame) -> DataFrame:
+def word_lists(text: DataFrame, found: DataFrame, groups: int) -> DataFrame:
     """A block's lists of frequent words, which are its phrases of one word as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            codes = np.frombuffer(zstandard.decompress(row["codes"]), dtype=np.int32)
+            codes = _unplanes(row["codes"], np.int32)
             at = np.flatnonzero(codes >= 0)
-            ids = _numbered(row, row["n"])
+            ids = _numbered(row, _dealt_words(row, groups)[1], groups)
             yield _stored(row | {"size": len(codes)}, _kept(ids, codes[at].astype(np.int64), at), [None] * 3)
 
-    return text.select("block", "own", "codes", "n").join(_by_block(found), "block").mapInArrow(run, _STORED)
+    return text.select("block", "own", "codes", "n", "langs", "lang", "words").join(_by_block(found), "block").mapInArrow(run, _STORED)
 
 
-def extended(lists: DataFrame, found: DataFrame, k: int) -> DataFrame:
+def extended(lists: DataFrame, found: DataFrame, k: int, groups: int) -> DataFrame:
     """The lists of frequent phrases of k + 1 words in place of those of k words, and the postings that may follow them; blocks without one go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            at, candidate, prefix, _ = _grown(row, k)
-            ids = _numbered(row, len(prefix))
+            at, candidate, prefix, word = _grown(row, k)
+            ids = _numbered(row, _dealt_phrases(row, prefix, word, groups)[2], groups)
             words = _merged(row["w_len"], row["w_at"], row["size"] + k + 2)
             follow = at[ids[candidate] >= 0] + k + 1
             follow = follow[words[follow] >= 0]
@@ -365,20 +404,22 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, size: int = BLO
     its first and last 1, 2 ... m - 1 words), and inner: whether a longer frequent
     phrase holds it that is as frequent. The second has lang and n, all its words.
     """
-    text = materialize(blocks(docs, longest, size), "phrases-blocks")
+    text = materialize_buckets(blocks(docs, longest, size), "phrases-blocks", "block")
     totals = materialize(text.select(F.explode("sums").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n")), "phrases-totals")
-    found = materialize(frequent_words(text, least), "phrases-1")
+    groups = _groups(text, "n")
+    found = materialize(frequent_words(text, least, groups), "phrases-1")
     none = F.array().cast("array<long>")
     words = _listed(found, "lang", "word").select("id", F.lit(0).cast("long").alias("suffix"), F.lit(0).cast("long").alias("prefix"), F.col("id").alias("word"), "lang", F.col("word").alias("phrase"), "f", none.alias("lefts"), none.alias("rights"))
     known, out = words, []
-    lists = materialize(word_lists(text, found), "phrases-lists-1")
+    lists = materialize_buckets(word_lists(text, found, groups), "phrases-lists-1", "block")
     discard(text)
     for k in range(1, longest):
-        found = materialize(frequent_phrases(lists, k, least), f"phrases-{k + 1}")
+        groups = _groups(lists, "n_p")
+        found = materialize(frequent_phrases(lists, k, least, groups), f"phrases-{k + 1}")
         known = materialize(_named(_listed(found, "prefix", "word"), known, words), f"phrases-named-{k + 1}")
         out.append(known.withColumn("m", F.lit(k + 1)))
         if k + 1 < longest:
-            longer = materialize(extended(lists, found, k), f"phrases-lists-{k + 1}")
+            longer = materialize_buckets(extended(lists, found, k, groups), f"phrases-lists-{k + 1}", "block")
             discard(lists)
             lists = longer
     discard(lists)

@@ -86,3 +86,51 @@ def test_steps_are_exact_and_small():
             assert np.array_equal(_unsteps(_steps(values), kind), values)
     at = np.sort(np.random.default_rng(1).integers(0, 1 << 21, 200_000)).astype(np.int32)
     assert len(_steps(at)) < 0.7 * len(zstandard.compress(np.diff(at, prepend=np.int32(0)).tobytes(), 1))
+
+
+def test_blocks_are_not_shuffled_between_levels(spark, monkeypatch):
+    plans = {}
+
+    def watched(write):
+        def run(df, name, *by):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return write(df, name, *by)
+
+        return run
+
+    for name in ("materialize", "materialize_buckets"):
+        if hasattr(phrases, name):
+            monkeypatch.setattr(phrases, name, watched(getattr(phrases, name)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus(120, 5)
+        got = phrases.collocations(spark.createDataFrame(rows, KIND).repartition(3), least=6, longest=5, most=40, size=64)
+        assert sorted(map(tuple, got.collect())) == brute(rows, 6, 5, 40)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lists = [p for name, p in plans.items() if name.startswith("phrases-lists-")]
+    assert len(lists) == 4
+    for plan in lists:  # only what groups say meets the blocks
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(block") == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("phrases_")]
+
+
+def test_candidates_are_dealt_in_few_bytes(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(" ".join(rng.choices(words, k=400)), "en", i, 0, None, None, None) for i in range(300)]
+    text = phrases.blocks(spark.createDataFrame(rows, KIND).coalesce(1), 5, 1 << 16).persist()
+    found = phrases.frequent_words(text, 1, 4).persist()
+    ids = [i for r in found.where("block IS NULL").collect() for i in r.id]
+    assert len(set(ids)) == len(ids) == 3000 and max(ids) < 2 * len(ids)
+    lists = phrases.word_lists(text, found, 4).persist()
+    said = phrases.frequent_phrases(lists, 1, 1, 4).persist()
+    sent = {"places": 0, "numbers": 0}
+    for r in said.where("block IS NOT NULL").collect():
+        for c in sent:
+            sent[c] += len(r[c])
+    pairs = sum(len(set(zip(w, w[1:]))) for w in (r[0].split() for r in rows))  # about; each is frequent at 1
+    assert sum(sent.values()) < 4 * pairs
+    for df in (text, found, lists, said):
+        df.unpersist()
