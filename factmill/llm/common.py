@@ -39,17 +39,33 @@ def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     return out
 
 
-def materialize_buckets(df: DataFrame, name: str, by: str) -> DataFrame:
+def materialize_buckets(df: DataFrame, name: str, by: str, *folders: str) -> DataFrame:
     """The same in buckets, as many as shuffles have partitions: a join by that column doesn't shuffle it. discard() forgets the table's name."""
     spark = df.sparkSession
     unique = f"{name}-{uuid.uuid4().hex}"
-    table, path = unique.replace("-", "_"), f"{scratch_folder(spark)}/{unique}"
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), by).saveAsTable(table)
+    path = f"{scratch_folder(spark)}/{unique}"
+    return _to_buckets(df, unique.replace("-", "_"), path, by, df.write.option("path", path).partitionBy(*folders))
+
+
+def add_buckets(table: DataFrame, df: DataFrame, by: str) -> DataFrame:
+    """What materialize_buckets() wrote, and the rows of df."""
+    return _to_buckets(df, table.scratch_table, table.scratch_path, by, df.write.mode("append"))
+
+
+def _to_buckets(df: DataFrame, table: str, path: str, by: str, writer: DataFrameWriter) -> DataFrame:
+    spark = df.sparkSession
+    writer.format("parquet").option("compression", "zstd").bucketBy(partitions(spark), by).saveAsTable(table)
     out = spark.table(table)
     out.scratch_path, out.scratch_table = path, table
     return out
 
 
+def discard_part(table: DataFrame, **folder: int) -> None:
+    """Delete one folder of a table that was written in folders; only others may be read from then on."""
+    for name, value in folder.items():
+        delete(table.sparkSession, f"{table.scratch_path}/{name}={value}")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize() or materialize_buckets() wrote and that nothing reads any more."""
     for df in tables:

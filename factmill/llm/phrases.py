@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, materialize_buckets, mix, partitions, text_bytes
+from .common import add_buckets, discard, discard_part, materialize, materialize_buckets, mix, partitions, text_bytes, tidy
 
 #: Slots that a block owns, and the bits of a candidate's place in its block.
 BLOCK, PLACE = 1 << 19, 21
@@ -50,6 +50,8 @@ BLOCK, PLACE = 1 << 19, 21
 WINDOW = 1 << 20
 #: Candidates that meet in a group; groups are as many as that takes.
 GROUP = 1 << 19
+#: Parts of the blocks that become lists one after the other, so that both don't stand on disk whole.
+SLICES = 4
 #: Parts into which a language's phrases are dealt for the first ranking.
 PARTS = 64
 UNDETERMINED = "und"
@@ -262,11 +264,16 @@ def frequent_words(text: DataFrame, least: int, groups: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(meet, _SAID + "lang array<string>, word array<string>")
 
 
+def _turn(prefix: np.ndarray, groups: int) -> np.ndarray:
+    """Where the groups of a prefix's candidates begin; the last word's id tells how far on one is."""
+    return (mix(prefix.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
 def _dealt_phrases(row: dict, prefix: np.ndarray, word: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the prefixes and words of a block's candidates, and _dealt() of these."""
+    """Ids of the prefixes and words of a block's candidates, and _dealt() of these. A group and a prefix leave the word's remainder by the number of groups no choice, so it isn't sent."""
     p_ids, w_ids = (_unsteps(row[c], np.int64) for c in ("p_ids" if row["p_ids"] else "w_ids", "w_ids"))
     prefix, word = p_ids[prefix], w_ids[word]
-    return prefix, word, *_dealt((mix(prefix.astype(np.uint64) * np.uint64(3) + mix(word.astype(np.uint64))) % np.uint64(groups)).astype(np.int64))
+    return prefix, word, *_dealt((_turn(prefix, groups) + word) % groups)
 
 
 def frequent_phrases(lists: DataFrame, k: int, least: int, groups: int) -> DataFrame:
@@ -278,19 +285,20 @@ def frequent_phrases(lists: DataFrame, k: int, least: int, groups: int) -> DataF
             if len(prefix):
                 owned = np.bincount(candidate[at < row["own"]], minlength=len(prefix)).astype(np.int32)
                 prefix, word, order, each, bounds = _dealt_phrases(row, prefix, word, groups)
-                packed = [_packed(prefix[order], bounds), _packed(word[order], bounds, _planes), _packed(owned[order], bounds, _planes)]
+                packed = [_packed(prefix[order], bounds), _packed(word[order] // groups, bounds, _planes), _packed(owned[order], bounds, _planes)]
                 yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.full(len(each), row["block"])), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), *packed], ["bucket", "block", "first", "n", "prefix", "word", "c"])
 
     def meet(t: pa.Table) -> pa.Table:
-        n = t.column("n").to_numpy()
+        n, bucket = t.column("n").to_numpy(), t.column("bucket")[0].as_py()
         prefix, word, c = _values(t.column("prefix"), np.int64), _values(t.column("word"), np.int64, _unplanes), _values(t.column("c"), np.int32, _unplanes)
+        word = word * groups + (bucket - _turn(prefix, groups)) % groups
         block, place = np.repeat(t.column("block").to_numpy(), n), _places(t.column("first").to_numpy(), n)
         order = np.lexsort((word, prefix))
         new = np.append(True, (np.diff(prefix[order]) != 0) | (np.diff(word[order]) != 0))
         key = np.empty(len(order), dtype=np.int64)
         key[order] = np.cumsum(new) - 1
         rows, number, some, f = _met(key, c, least)
-        return _said(t.column("bucket")[0].as_py(), groups, block[rows], place[rows], number, {"f": f.tolist(), "prefix": prefix[some].tolist(), "word": word[some].tolist()})
+        return _said(bucket, groups, block[rows], place[rows], number, {"f": f.tolist(), "prefix": prefix[some].tolist(), "word": word[some].tolist()})
 
     dealt = lists.mapInArrow(deal, "bucket long, block long, first int, n int, prefix binary, word binary, c binary")
     return dealt.groupBy("bucket").applyInArrow(meet, _SAID + "prefix array<long>, word array<long>")
@@ -382,6 +390,21 @@ def word_lists(text: DataFrame, found: DataFrame, groups: int) -> DataFrame:
     return text.select("block", "own", "codes", "n", "langs", "lang", "words").join(_by_block(found), "block").mapInArrow(run, _STORED)
 
 
+def _slice_of(block: str) -> Column:
+    return F.pmod(F.xxhash64(block), F.lit(SLICES)).cast("int")
+
+
+def all_word_lists(text: DataFrame, found: DataFrame, groups: int) -> DataFrame:
+    """word_lists() of all blocks, written; text is deleted."""
+    lists = None
+    for i in range(SLICES):
+        rows = word_lists(text.where(F.col("slice") == i), found.where(_slice_of("block") == i), groups)
+        lists = materialize_buckets(rows, "phrases-lists-1", "block") if lists is None else add_buckets(lists, rows, "block")
+        discard_part(text, slice=i)
+    discard(text)
+    return lists
+
+
 def extended(lists: DataFrame, found: DataFrame, k: int, groups: int) -> DataFrame:
     """The lists of frequent phrases of k + 1 words in place of those of k words, and the postings that may follow them; blocks without one go."""
 
@@ -404,21 +427,22 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, size: int = BLO
     its first and last 1, 2 ... m - 1 words), and inner: whether a longer frequent
     phrase holds it that is as frequent. The second has lang and n, all its words.
     """
-    text = materialize_buckets(blocks(docs, longest, size), "phrases-blocks", "block")
+    text = materialize_buckets(blocks(docs, longest, size).withColumn("slice", _slice_of("block")), "phrases-blocks", "block", "slice")
     totals = materialize(text.select(F.explode("sums").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n")), "phrases-totals")
     groups = _groups(text, "n")
     found = materialize(frequent_words(text, least, groups), "phrases-1")
+    tidy(docs.sparkSession)  # the shuffle of words goes before lists stand beside texts
     none = F.array().cast("array<long>")
     words = _listed(found, "lang", "word").select("id", F.lit(0).cast("long").alias("suffix"), F.lit(0).cast("long").alias("prefix"), F.col("id").alias("word"), "lang", F.col("word").alias("phrase"), "f", none.alias("lefts"), none.alias("rights"))
     known, out = words, []
-    lists = materialize_buckets(word_lists(text, found, groups), "phrases-lists-1", "block")
-    discard(text)
+    lists = all_word_lists(text, found, groups)
     for k in range(1, longest):
         groups = _groups(lists, "n_p")
         found = materialize(frequent_phrases(lists, k, least, groups), f"phrases-{k + 1}")
         known = materialize(_named(_listed(found, "prefix", "word"), known, words), f"phrases-named-{k + 1}")
         out.append(known.withColumn("m", F.lit(k + 1)))
         if k + 1 < longest:
+            tidy(docs.sparkSession)
             longer = materialize_buckets(extended(lists, found, k, groups), f"phrases-lists-{k + 1}", "block")
             discard(lists)
             lists = longer
